@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import binary_output, language_id, packing, quality, simhash, substring_dedup
+from graphloom.llm import binary_output, decontaminate, language_id, packing, quality, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.token_binary(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ _QUERIES = (
     op1_factorisation_machine,
     op4_best_fit_packing,
     op6_simhash_near_dedup,
+    op7_greedy_string_tiling,
     op8_token_binary,
     op9_naive_bayes_language,
     op10_substring_dedup,
