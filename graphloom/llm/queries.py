@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import binary_output, decontaminate, language_id, packing, quality, simhash, substring_dedup
+from graphloom.llm import binary_output, decontaminate, embedding_dedup, language_id, packing, quality, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     op1_factorisation_machine,
+    op3_collision_counting,
     op4_best_fit_packing,
     op6_simhash_near_dedup,
     op7_greedy_string_tiling,
