@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import binary_output, decontaminate, embedding_dedup, language_id, packing, quality, simhash, substring_dedup
+from graphloom.llm import binary_output, decontaminate, embedding_dedup, language_id, line_dedup, packing, quality, secrets, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -25,6 +29,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_table(spark, sf_dir, "documents"))
 
 
+def op5_deletion_neighbourhood_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -47,8 +55,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     op1_factorisation_machine,
+    op2_multipart_secrets,
     op3_collision_counting,
     op4_best_fit_packing,
+    op5_deletion_neighbourhood_lines,
     op6_simhash_near_dedup,
     op7_greedy_string_tiling,
     op8_token_binary,
@@ -58,7 +68,9 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
