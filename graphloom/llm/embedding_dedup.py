@@ -63,9 +63,9 @@ def _units(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _tile(table: int, units: np.ndarray, left: np.ndarray, right: np.ndarray, tables: int, bits: int, window: float, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def _tile(table: int, units: np.ndarray, projected: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray, window: float, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (a in left, b in right) that first collide in this table."""
-    cells, places = _projected(units, tables, bits)
+    cells, places = projected
     order = right[np.argsort(places[right, table], kind="stable")]
     ranked = places[order, table]
     low = np.searchsorted(ranked, places[left, table] - window, "left")
@@ -131,20 +131,23 @@ def linked(distinct: DataFrame, cosine: float = COSINE, recall: float = RECALL)
     spots = spots.join(split, ["size", "t", "cell"], "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
     mine = F.pmod(F.xxhash64("vec_id"), F.col("splits")).cast("int")
     tiled = spots.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    tiled = tiled.select("size", "t", "cell", "vec_id", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    # cells that fit one tile travel together, about as many vectors as a tile holds
+    bundles = total // TILE + 1
+    bundle = F.when(F.col("splits") > 1, -1 - F.col("cell")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(bundles)))
+    tiled = tiled.select("size", "t", bundle.alias("bundle"), "cell", "vec_id", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     full = tiled.join(distinct, "vec_id")
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("vec_id", ignore_index=True)
+        frame = frame.sort_values(["cell", "vec_id"], ignore_index=True)
         units = _units(frame["embedding"])
-        here = np.arange(len(frame))
+        projected = _projected(units, tables, bits)
         i, j = key[3], key[4]
-        if i == j:
-            left = right = here
-        else:
-            side = frame["mine"].to_numpy()
-            left, right = here[side == i], here[side == j]
-        a, b = _tile(key[1], units, left, right, tables, bits, window, cosine)
+        side = frame["mine"].to_numpy()
+        pairs = []
+        for here in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(frame["cell"])) + 1):
+            left, right = (here, here) if i == j else (here[side[here] == i], here[side[here] == j])
+            pairs.append(_tile(key[1], units, projected, left, right, window, cosine))
+        a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
         ids, copies = frame["vec_id"].to_numpy(), frame["copies"].to_numpy()
         n = np.bincount(a, copies[b], len(frame)) + np.bincount(b, copies[a], len(frame))
         touched = np.flatnonzero(n)
@@ -155,7 +158,7 @@ def linked(distinct: DataFrame, cosine: float = COSINE, recall: float = RECALL)
             "n": np.concatenate([n[touched], np.zeros(len(span))]).astype(np.int64),
         }).astype({"other": "Int64"})
 
-    return full.groupBy("size", "t", "cell", "i", "j").applyInPandas(compare, "vec_id bigint, other bigint, n bigint")
+    return full.groupBy("size", "t", "bundle", "i", "j").applyInPandas(compare, "vec_id bigint, other bigint, n bigint")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
