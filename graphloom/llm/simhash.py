@@ -11,16 +11,18 @@ number follows the number of distinct fingerprints, which keeps cells small at e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import rows_of, slices, text_key
+from graphloom.llm.common import rows_of, slices
 from graphloom.plans.fixpoint import connected_components
 from graphloom.plans.scratch import materialise
 
@@ -30,24 +32,33 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _EVEN = 0x5555555555555555
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Majority bits of the XXH64 (seed 42) of the text's word shingles; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """XXH64 (seed 42) of the word shingles, repeats included; of all words if they are fewer."""
     words = text.encode().translate(_LOWER).split() if text else []  # bytes split at ASCII white space alone
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = [0, *ends[:-shingle].tolist()]
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+        return [digest(joined, 42)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[:-shingle].tolist()]
+    return [digest(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+
+
+def majority(hashes: list[int]) -> int:
+    """Bits set in over half of the hashes, as a signed long; 0 without any."""
+    if not hashes:
+        return 0
     columns = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS for k in range(8)])
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, fp) of each row; null text has no words."""
 
@@ -128,12 +139,104 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` without near copies: of each group the row of the smallest doc_id stays.
+def _sampled_cells(n: int, flips: float, recall: float) -> list[int]:
+    """Masks of random choices of segments for a grid whose cells hold some 64 of ``n`` fingerprints.
+
+    Two unrelated segments agree with probability 3/8, linked ones unless one of their bits
+    flips (or both do and cancel); there are as many choices as pairs with that share of flipped bits
+    need to agree on one of them with probability ``recall``.
+    """
+    segments = min(24, max(1, round(math.log(max(n / 64, 2)) / math.log(8 / 3))))
+    agree = ((1 - flips) ** 2 + flips**2 / 2) ** segments
+    random = np.random.default_rng(64)
+    return [sum(3 << (2 * int(x)) for x in random.choice(32, segments, replace=False)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles): the sorted 64-bit hashes of each text's distinct shingles, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, "z", 1_500_000):
+            sets = [np.unique(np.array(shingle_hashes(unpack(z).decode(), shingle), dtype="<u8")).tobytes() for z in batch.column("z").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return docs.mapInArrow(run, "id bigint, shingles binary")
+
+
+def _similar(pairs: DataFrame, zipped: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (src, dst) whose shingle sets have a Jaccard similarity of at least ``least``."""
+    needed = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
+    sets = materialise(_shingle_sets(zipped.join(needed, "id").select("id", "z"), shingle), "shingles")
+    both = pairs.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                kept.append(common >= least * (len(a) + len(b) - common))
+            yield batch.select(["src", "dst"]).filter(pa.array(kept))
+
+    return materialise(both.select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint"), "similar")
 
-    Wordless texts aren't taken as copies of each other. Rows that repeat the smallest
-    doc_id of a group stay as the one with the smallest text hash; null ids stay.
+
+def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, max_bits: int = 14, recall: float = 0.97) -> DataFrame:
+    """(doc_id, component_id) of documents in groups of similar texts, component_id the smallest doc_id.
+
+    Texts link if their fingerprints differ in at most ``max_bits`` bits and their sets of word shingles are ``least`` alike
+    (Jaccard, exactly). At that many bits no choice of blocks must agree, so the grid uses random choices of
+    segments, ``recall`` of them for pairs at the similarity itself (0.15 of bits flipped). Equal texts collapse
+    first. Large cells come to no pairs: first each text meets only the smallest of its cells, and then only
+    texts that this has not yet joined are paired. Wordless texts and null ids are in no group.
+    """
+    rows = rows_of(docs, "doc_id", "text").where("doc_id is not null").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in slices(batches):
+            texts = batch.column("text").to_pylist()
+            keys, prints, zipped = [], [], []
+            for text in texts:
+                hashes = shingle_hashes(text, shingle)
+                keys.append(xxhash.xxh128_digest(np.array(hashes, dtype="<u8").tobytes()))
+                prints.append(majority(hashes))
+                zipped.append(compress(text.encode()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), pa.array(zipped, pa.binary())], ["id", "same", "fp", "z"]
+            )
+
+    every = materialise(rows.mapInArrow(run, "id bigint, same binary, fp bigint, z binary"), "texts")
+    firsts = every.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    copies = every.select("id", "same").join(firsts.where("n > 1"), "same").where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
+    copies = materialise(copies, "copies")
+    single = every.select("id", "fp").join(copies.select(F.col("src").alias("id")), "id", "left_anti")
+    coded = materialise(single.select("id", "fp", embed(F.col("fp")).alias("code")), "codes")
+    masks = _sampled_cells(coded.count(), 0.15, recall)
+    cells = [F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(_long(m)).alias("cell")) for k, m in enumerate(masks)]
+    gridded = coded.select("id", "fp", "code", F.explode(F.array(*cells)).alias("at")).select("id", "fp", "code", "at.k", "at.cell")
+    zipped = every.select("id", "z")
+    close = (F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= max_bits) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
+    same_cell = (F.col("a.k") == F.col("b.k")) & (F.col("a.cell") == F.col("b.cell"))
+
+    heads = gridded.groupBy("k", "cell").agg(F.min(F.struct("id", "fp", "code")).alias("head")).select("k", "cell", "head.*")
+    stars = gridded.alias("a").join(heads.alias("b"), same_cell & (F.col("b.id") < F.col("a.id")) & close)
+    stars = stars.groupBy("a.id").agg(F.min("b.id").alias("dst")).select(F.col("id").alias("src"), "dst")
+    joined = _similar(materialise(stars, "stars"), zipped, shingle, least)
+    parts = materialise(connected_components(joined), "parts")
+    placed = gridded.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    a, b = placed.alias("a"), placed.alias("b")
+    rest = a.join(b, same_cell & (F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part")) & close).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
+    more = _similar(materialise(rest, "rest"), zipped, shingle, least)
+    reach = connected_components(joined.unionByName(more).unionByName(copies))
+    return reach.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` without near copies: of each of :func:`similar_groups` the smallest doc_id stays.
+
+    Wordless texts aren't taken as copies of each other, and rows with a null id stay.
     """
-    found = near_duplicates(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), shingle, max_bits)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = similar_groups(docs, shingle, least).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
