@@ -23,13 +23,20 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    """Registers what the query modules define."""
+    from graphloom.operators import relational  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["node_stats_batch"](spark, sf_dir)
+    return queries()["node_stats_batch"](spark, sf_dir)
