@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import rows_of, slices, text_key
-from graphloom.llm.encoding import Encoder
-from graphloom.plans.scratch import scratch_path
+from graphloom.llm.encoding import encoder
+from graphloom.plans.scratch import materialise, scratch_path
 
 BLOCK = 1 << 16
 END_ID = 2
@@ -58,7 +58,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        ids_of, end = Encoder(path, keep_space=False), int(end_id).to_bytes(4, "little")
+        ids_of, end = encoder(path, keep_space=False), int(end_id).to_bytes(4, "little")
         compress = zstandard.ZstdCompressor(level=level).compress
         held, documents, first, block, place, at = bytearray(), [[], [], [], []], 0, 0, 0, 0
 
@@ -85,7 +85,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json"
         if held:
             yield flush(len(held) // 4)
 
-    ordered = rows_of(docs, "doc_id", "text").repartitionByRange(parts, "doc_id", text_key("text")).sortWithinPartitions("doc_id", text_key("text"))
+    ordered = rows_of(docs, "doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", text_key("text"))
     ordered.mapInArrow(encode, _STORED).write.parquet(f"{folder}/all")
     stored = spark.read.schema(_STORED).parquet(f"{folder}/all")
     stored.select("part", "block", "first", "n_ids", F.transform("planes", lambda x: F.length(x)).alias("bytes")).write.parquet(f"{folder}/index")
@@ -122,7 +122,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 )
 
     # a stretch without a document continues one that starts in an earlier block
-    stretches = stored.mapInArrow(decode, "part int, doc_id bigint, place bigint, start bigint, length bigint, got bigint, crc bigint")
+    stretches = materialise(stored.mapInArrow(decode, "part int, doc_id bigint, place bigint, start bigint, length bigint, got bigint, crc bigint"), "stretches")
     whole = stretches.where("place is not null and got = length")
     broken = stretches.where("place is null or got < length")
 

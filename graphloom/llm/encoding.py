@@ -8,18 +8,21 @@ once and is then looked up.
 from __future__ import annotations
 
 import re
+import struct
+from functools import cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
 # Unicode's White_Space characters; letters whose case and normal form are one to one.
 WHITE = "\t-\r \x85\xa0  -     　"
 LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 
-_END = f"(?=[{WHITE},.;:!?]|\\Z)"
-_SPACED = re.compile(f" ?[{LETTERS}]+{_END}| ?[,.;:!?]+(?=[{WHITE}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-_BARE = re.compile(f"[{LETTERS}]+{_END}|[,.;:!?]+(?=[{WHITE}]|\\Z)|[^{WHITE}]+")
-_WORD = re.compile(f" ?[{LETTERS}]+")
+# ASCII punctuation without the apostrophe, which may start a contraction.
+_MARKS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+# Runs of one class end before a character of another; runs before any other character are left to the library.
+_CLASSES = (f"[{LETTERS}]+(?![^{WHITE}{_MARKS}0-9])", f"[{_MARKS}]+(?![^{WHITE}{LETTERS}0-9])", f"[0-9]+(?![^{WHITE}{_MARKS}{LETTERS}])", f"[^{WHITE}]+")
+_SPACED = re.compile("|".join([*(f" ?{c}" for c in _CLASSES), f"[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"]))
+_BARE = re.compile("|".join(_CLASSES))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -30,6 +33,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _TABLE = _byte_letters()
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(17)]
 
 
 class Encoder(dict):
@@ -37,8 +41,7 @@ class Encoder(dict):
 
     ``keep_space``: pieces carry the space before them (byte-level files); otherwise the
     file lower-cases and white space only separates. Strings of special tokens in a text
-    are ordinary text. At most twice ``most`` pieces of at most ``longest`` characters are
-    held: when a generation is full it becomes the old one, and what is used again moves on.
+    are ordinary text. At most ``most`` pieces of at most ``longest`` characters are held.
     """
 
     def __init__(self, path: str, keep_space: bool, most: int = 400_000, longest: int = 48):
@@ -46,26 +49,38 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # pieces are held here
         self.find = (_SPACED if keep_space else _BARE).findall
         self.lower = not keep_space
-        self.old: dict[str, bytes] = {}
         self.most, self.longest = most, longest
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.old.pop(piece, None)
-        if ids is None:
-            if _WORD.fullmatch(piece):  # one pre-token, already in normal form
-                word = (piece.lower() if self.lower else piece).encode().decode("latin-1").translate(_TABLE)
-                found = [t.id for t in self.model.tokenize(word)]
-            else:
-                found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            ids = np.asarray(found, dtype="<u4").tobytes()
+        spaced = piece[0] == " "
+        letters = piece[1:] if spaced else piece
+        if letters.isalpha() and (letters.isascii() or max(letters) <= "\xff"):  # one pre-token in normal form
+            word = letters.lower() if self.lower else letters
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(_TABLE)
+            found = [t.id for t in self.model.tokenize(_TABLE[32] + word if spaced else word)]
+        else:
+            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        ids = _PACKS[len(found)](*found) if len(found) < len(_PACKS) else struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= self.longest:
             if len(self) >= self.most:
-                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
     def __call__(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.find(text))) if text else b""
+        if not text:
+            return b""
+        # these capitals' lower case depends on their place or has several characters: the library knows
+        if self.lower and "\u03a3" not in text and "\u0130" not in text:
+            text = text.lower()
+        return b"".join(map(self.__getitem__, self.find(text)))
+
+
+@cache
+def encoder(path: str, keep_space: bool) -> Encoder:
+    """One per worker process, so that its pieces serve task after task."""
+    return Encoder(path, keep_space)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import rows_of, slices
-from graphloom.llm.encoding import Encoder
+from graphloom.llm.encoding import encoder
 from graphloom.plans.scratch import materialise
 
 CAPACITY = 2048
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end, width = Encoder(path, keep_space=True), int(end_id).to_bytes(4, "little"), 4 * capacity
+        ids_of, end, width = encoder(path, keep_space=True), int(end_id).to_bytes(4, "little"), 4 * capacity
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(5 + with_ids)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
