@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Registers what the query modules define."""
-    from graphloom.operators import relational, stats  # noqa: F401
+    from graphloom.operators import graph, relational, resolution, retrieval, stats, texts, windows  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
