@@ -62,8 +62,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each length, in the order given.
 
-    Moving a bin from gap g to g - s changes the sum by 2 (N[g-s] - N[g]) + 2, without
-    the terms of N[g-s] when the bin is full; opening one adds 2 N[capacity-s] + 1.
+    Moving a bin from gap g to g - s changes the sum by 2 (N[g-s] - N[g]) + 2, filling one
+    by 1 - 2 N[s]; opening one adds 2 N[capacity-s] + 1.
     Ties go to the smallest gap, and an open bin goes before a new one.
     """
     counts = np.zeros(capacity + 1, dtype=np.int64)  # counts[0] stays 0: full bins aren't open
@@ -75,15 +75,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         fresh = 2 * counts[capacity - s] + (s < capacity)
         best = None
         if len(here):
-            change = counts[: capacity - s] - here
-            change += 1
-            change[0] = -here[0] if here[0] else far
+            change = 2 * (counts[: capacity - s] - here) + 2
+            change[0] = 1 - 2 * here[0]
             change[here == 0] = far
             k = int(change.argmin())
-            if here[k]:
-                cost = 2 * int(change[k]) + (1 if k == 0 else 0)
-                if cost <= fresh:
-                    best = s + k
+            if here[k] and change[k] <= fresh:
+                best = s + k
         if best is None:
             gap, bin_ = capacity, opened
             opened += 1
