@@ -102,10 +102,10 @@ class Machine:
     @staticmethod
     def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 12, rate: float = 0.1, decay: float = 1e-4, batch: int = 64) -> Machine:
         """Adaptive gradient descent on the logistic loss, in a fixed order of batches."""
+        if not rows:
+            return Machine(0.0, np.zeros(SIZE), np.zeros((SIZE, FACTORS)))
         random = np.random.default_rng(11)
         machine = Machine(0.0, np.zeros(SIZE), random.normal(0, 0.02, (SIZE, FACTORS)))
-        if not rows:
-            return machine
         share = float(np.clip(labels.mean(), 0.01, 0.99))
         machine.bias = float(np.log(share / (1 - share)))
         seen_w, seen_v, seen_b = np.full(SIZE, 1e-4), np.full((SIZE, FACTORS), 1e-4), 1e-4
