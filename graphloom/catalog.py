@@ -26,6 +26,8 @@ def query(name: str, sql: str | None = None):
 def _load() -> None:
     """Registers what the query modules define."""
     from graphloom.operators import graph, relational, resolution, retrieval, stats, texts, windows  # noqa: F401
+    from graphloom.sources import exchange, queries as _sources  # noqa: F401
+    from graphloom.streaming import queries as _streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

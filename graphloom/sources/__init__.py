@@ -1,0 +1 @@
+"""Readers by file kind, and the graph's exports."""
