@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import binary_output, decontaminate, embedding_dedup, language_id, line_dedup, packing, quality, secrets, simhash, substring_dedup
+from graphloom.llm import binary_output, decontaminate, embedding_dedup, language_id, line_dedup, oracles, packing, quality, secrets, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,4 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_multipart_secrets": oracles.SECRETS,
+        "op5_deletion_neighbourhood_lines": oracles.LINE_DEDUP,
+        "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
+    }
