@@ -524,3 +524,13 @@ def template_suggest_nodes(spark, d):
 def template_suggest_edges(spark, d):
     skipped = ("link", "unknown", "relationship", "connection", "related")
     return m.relationships(spark, d).where(~F.lower("type").isin(*skipped)).groupBy(F.replace(F.lower("type"), F.lit(" "), F.lit("_")).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("count_nodes_by_template", sql("SELECT template_id, count(*) AS n FROM nodes WHERE template_id NOT IN ('region') GROUP BY template_id"))
+def count_nodes_by_template(spark, d):
+    return m.nodes(spark, d).where(~F.col("template_id").isin(*SYSTEM_TEMPLATES)).groupBy("template_id").agg(F.count("*").alias("n"))
+
+
+@query("count_edges", sql("SELECT template_id, count(*) AS n, count(DISTINCT src) AS sources FROM edges GROUP BY template_id"))
+def count_edges(spark, d):
+    return m.edges(spark, d).groupBy("template_id").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"))

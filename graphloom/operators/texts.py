@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,3 +214,45 @@ def merge_descriptions(spark, d):
 
     other = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_brand"))
     return m.table(spark, d, "part").select("p_partkey", merged_description(F.col("p_name"), other).alias("merged"))
+
+
+@query("fn_unicode_nfc", "SELECT doc_id, md5(nfc_normalize(left(text, 200))) AS digest FROM documents")
+def fn_unicode_nfc(spark, d):
+    @F.pandas_udf("string")
+    def nfc(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+
+    @F.pandas_udf("string")
+    def nfd(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else unicodedata.normalize("NFD", v))
+
+    return _docs(spark, d).select("doc_id", F.md5(nfc(nfd(F.substring("text", 1, 200)))).alias("digest"))
+
+
+def mended(value: str | None) -> str | None:
+    """Text that was UTF-8 and read as Windows-1252, read right; other text as it is."""
+    if value is None or not any(c in value for c in "ÃÂâ"):
+        return value
+    try:
+        return value.encode("cp1252").decode("utf-8")
+    except (UnicodeEncodeError, UnicodeDecodeError):
+        return value
+
+
+@query("fn_fix_encoding", "SELECT r_regionkey, 'café ' || r_name || ' – ñ' AS text FROM region")
+def fn_fix_encoding(spark, d):
+    @F.pandas_udf("string")
+    def mend(x: pd.Series) -> pd.Series:
+        return x.map(mended)
+
+    broken = F.concat(F.lit("café ".encode().decode("cp1252")), "r_name", F.lit(" – ñ".encode().decode("cp1252")))
+    return m.table(spark, d, "region").select("r_regionkey", mend(broken).alias("text"))
+
+
+@query("merge_properties", "SELECT p_partkey, CASE WHEN length(p_name) < 20 AND length(p_brand) < 20 THEN CASE WHEN p_size >= 25 THEN p_name ELSE p_brand END WHEN length(p_name) >= length(p_brand) THEN p_name ELSE p_brand END AS value FROM part")
+def merge_properties(spark, d):
+    """Of two short values the more confident one's, else the longer."""
+    short = (F.length("p_name") < 20) & (F.length("p_brand") < 20)
+    sure = F.when(F.col("p_size") >= 25, F.col("p_name")).otherwise(F.col("p_brand"))
+    longer = F.when(F.length("p_name") >= F.length("p_brand"), F.col("p_name")).otherwise(F.col("p_brand"))
+    return m.table(spark, d, "part").select("p_partkey", F.when(short, sure).otherwise(longer).alias("value"))

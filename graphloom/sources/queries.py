@@ -45,3 +45,87 @@ def scan_html(spark, d):
     path = scratch_path(spark, "html")
     m.table(spark, d, "pages").where("page_id < 5").select("page_id", F.regexp_replace("html", "\n", " ").alias("value")).repartition(1).write.partitionBy("page_id").text(path)
     return loaders.load_html(spark, f"{path}/*/*.txt").where(~F.col("content").contains("<p>") & (F.length("content") > 0)).agg(F.count("*").alias("pages"))
+
+
+def _put(spark, path: str, data: bytes) -> None:
+    """A small file in any store that Spark reaches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def _zipped(files: dict[str, str]) -> bytes:
+    import io
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for name, value in files.items():
+            z.writestr(name, value)
+    return held.getvalue()
+
+
+def _names(spark, d) -> list[str]:
+    return [r.r_name for r in m.table(spark, d, "region").orderBy("r_regionkey").collect()]
+
+
+def _loaded(spark, ending: str, data: bytes):
+    path = scratch_path(spark, "file") + ending
+    _put(spark, path, data)
+    return loaders.load(spark, path).select("part", "content")
+
+
+_LINES = "SELECT 0 AS part, string_agg(r_name, chr(10) ORDER BY r_regionkey) AS content FROM region"
+
+
+@query("scan_docx", _LINES)
+def scan_docx(spark, d):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f"<w:p><w:r><w:t>{n}</w:t></w:r></w:p>" for n in _names(spark, d))
+    return _loaded(spark, ".docx", _zipped({"word/document.xml": f'<w:document xmlns:w="{w}">{body}</w:document>'}))
+
+
+@query("scan_pptx", "SELECT r_regionkey AS part, r_name AS content FROM region")
+def scan_pptx(spark, d):
+    a = "http://schemas.openxmlformats.org/drawingml/2006/main"
+    return _loaded(spark, ".pptx", _zipped({f"ppt/slides/slide{i + 1}.xml": f'<s xmlns:a="{a}"><a:p><a:r><a:t>{n}</a:t></a:r></a:p></s>' for i, n in enumerate(_names(spark, d))}))
+
+
+@query("scan_xlsx", "SELECT 0 AS part, 'Sheet: sheet1' || chr(10) || string_agg(r_regionkey || ' | ' || r_name, chr(10) ORDER BY r_regionkey) AS content FROM region")
+def scan_xlsx(spark, d):
+    s = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rows = "".join(f'<row><c><v>{i}</v></c><c t="s"><v>{i}</v></c></row><row/>' for i, _ in enumerate(_names(spark, d)))
+    strings = "".join(f"<si><t>{n}</t></si>" for n in _names(spark, d))
+    return _loaded(spark, ".xlsx", _zipped({"xl/worksheets/sheet1.xml": f'<worksheet xmlns="{s}"><sheetData>{rows}</sheetData></worksheet>', "xl/sharedStrings.xml": f'<sst xmlns="{s}">{strings}</sst>'}))
+
+
+@query("scan_epub", "SELECT r_regionkey AS part, r_name AS content FROM region")
+def scan_epub(spark, d):
+    names = _names(spark, d)
+    items = "".join(f'<item id="i{k}" href="c{k}.xhtml"/>' for k in range(len(names)))
+    spine = "".join(f'<itemref idref="i{k}"/>' for k in range(len(names)))
+    opf = f'<package xmlns="http://www.idpf.org/2007/opf"><manifest>{items}</manifest><spine>{spine}</spine></package>'
+    return _loaded(spark, ".epub", _zipped({"OEBPS/content.opf": opf} | {f"OEBPS/c{k}.xhtml": f"<html><style>x</style><p>{n}</p></html>" for k, n in enumerate(names)}))
+
+
+@query("scan_rst", _LINES)
+def scan_rst(spark, d):
+    return _loaded(spark, ".rst", "\n".join(_names(spark, d)).encode())
+
+
+@query("scan_archive", "SELECT CAST(row_number() OVER (ORDER BY r_name) - 1 AS INTEGER) AS part, r_name AS content FROM region")
+def scan_archive(spark, d):
+    return _loaded(spark, ".zip", _zipped({f"{n}.md": n for n in _names(spark, d)} | {"skipped.bin": "x"}))
+
+
+@query("scan_registry", "SELECT * FROM (VALUES ('.csv'), ('.docx'), ('.epub'), ('.htm'), ('.html'), ('.json'), ('.jsonl'), ('.log'), ('.md'), ('.ndjson'), ('.pptx'), ('.rst'), ('.tar.gz'), ('.tgz'), ('.tsv'), ('.txt'), ('.xlsx'), ('.zip')) t(extension)")
+def scan_registry(spark, d):
+    return spark.createDataFrame([(n,) for n in loaders.LOADERS.names()], "extension string")
+
+
+@query("web_fetch", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_matches(html, '(?i)<article') AS has_article FROM pages WHERE regexp_matches(url, '^https?://')")
+def web_fetch(spark, d):
+    """Fetched pages by host; the fetching itself is the pages table here."""
+    p = m.table(spark, d, "pages").where(F.col("url").rlike("^https?://"))
+    return p.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.col("html").rlike("(?i)<article").alias("has_article"))

@@ -185,3 +185,17 @@ def llm_spend_cap(spark, d):
     x = m.metrics(spark, d)
     used = F.sum("input_tokens").over(Window.partitionBy("day").orderBy("id"))
     return x.withColumn("used", used).where((F.col("used") > 100000) & (F.col("used") - F.col("input_tokens") <= 100000)).select("day", F.col("id").alias("first_over"))
+
+
+@query("queue_retry_classify", sql("SELECT error_type, CASE error_type WHEN 'timeout' THEN 'retry' WHEN 'rate_limit' THEN 'wait' ELSE 'fail' END AS action, count(*) AS n FROM metrics WHERE NOT success GROUP BY 1, 2"))
+def queue_retry_classify(spark, d):
+    """What becomes of a failed task by its kind of error."""
+    action = F.when(F.col("error_type") == "timeout", "retry").when(F.col("error_type") == "rate_limit", "wait").otherwise("fail")
+    return m.metrics(spark, d).where("not success").groupBy("error_type", action.alias("action")).agg(F.count("*").alias("n"))
+
+
+@query("queue_rehydrate", "SELECT user_id, max(event_id) AS task FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) IN ('view', 'click')")
+def queue_rehydrate(spark, d):
+    """The queue rebuilt from the log: tasks whose last event isn't an end."""
+    last = m.table(spark, d, "events").groupBy("user_id").agg(F.max(F.struct("event_id", "event_type")).alias("x"))
+    return last.where(F.col("x.event_type").isin("view", "click")).select("user_id", F.col("x.event_id").alias("task"))
