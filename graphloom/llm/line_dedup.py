@@ -11,41 +11,33 @@ that shares neither half with a different line has no neighbour. Halves are hash
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import rows_of, text_key
-from graphloom.plans.scratch import materialise
+from graphloom.plans.scratch import discard, materialise, materialise_at
 
 #: Words from which equal lines count, and from which an edit leaves a similarity of 0.8.
 LEAST_EQUAL, LEAST_NEAR = 3, 5
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def _uneven(text: Column) -> Column:
+    """Whether any line isn't words joined by single blanks."""
+    found = text.startswith(" ") | text.endswith(" ")
+    for mark in ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c"):
+        found = found | text.contains(mark)
+    return found
 
 
-def _half(words: Column, tag: str, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(tag), F.array_join(F.slice(words, start, size), " "))
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
 
 
-def _described(words: Column, n: Column) -> Column:
-    """Hash, second hash and hashed halves of a line: those by which a line as long, or one word longer or shorter, meets it."""
-    m = F.size(words)
+def _halves(line: Column, m: Column) -> Column:
+    """Hashed halves by which a line of m words meets those as long and those one word longer or shorter."""
     low, short = F.floor(m / 2).cast("int"), F.floor((m - 1) / 2).cast("int")
-    joined = F.array_join(words, " ")
-    halves = F.array_distinct(F.array(
-        _half(words, "first", F.lit(1), low),
-        _half(words, "first", F.lit(1), short),
-        _half(words, "last", low + 1, m - low),
-        _half(words, "last", m - (m - 1 - short) + 1, m - 1 - short),
-    ))
-    return F.struct(
-        n.alias("n"),
-        F.xxhash64(joined).alias("h"),
-        F.hash(joined).alias("g"),
-        F.when(m >= LEAST_NEAR, halves).otherwise(F.array().cast("array<bigint>")).alias("halves"),
-    )
+    half = lambda tag, words: F.xxhash64(F.lit(tag), F.call_function("substring_index", line, F.lit(" "), words))
+    return F.array_distinct(F.array(half("first", low), half("first", short), half("last", low - m), half("last", short + 1 - m)))
 
 
 def _place(*names: str) -> Column:
@@ -53,12 +45,12 @@ def _place(*names: str) -> Column:
     return F.struct(F.col("doc_id").isNotNull().alias("known"), *[F.col(n) for n in names])
 
 
-def _neighbours(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(h, g): distinct lines that an earlier line is one word edit away from."""
+def _neighbours(docs: DataFrame, lines: DataFrame, held) -> DataFrame:
+    """(h, g): distinct lines that an earlier line is one word edit away from; ``held`` writes what lasts until they are known."""
     keyed = lines.where(F.size("halves") > 0).select("h", "g", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
     chosen = keyed.join(shared, "half").select("h", "g").distinct()
-    wanted = materialise(
+    wanted = held(
         lines.join(chosen, ["h", "g"])
         .groupBy("first.doc_id", "first.t")
         .agg(F.collect_list(F.struct("first.n", "h", "g", "first")).alias("wanted")),
@@ -66,32 +58,35 @@ def _neighbours(docs: DataFrame, lines: DataFrame) -> DataFrame:
     )
     d, w = docs.alias("d"), wanted.alias("w")
     texts = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.t") == F.col("w.t")))
-    picked = materialise(
+    picked = held(
         texts.select(F.split("d.text", "\n").alias("all"), F.explode("w.wanted").alias("l"))
-        .select("l.h", "l.g", "l.first", _words(F.col("all")[F.col("l.n")]).alias("words"))
+        .select("l.h", "l.g", "l.first", F.split(_normal(F.col("all")[F.col("l.n")]), " ").alias("words"))
         .dropDuplicates(["h", "g"]),
         "lines",
     )
-    # a line's hash is the exclusive or of its words' hashes by place; deleting a word moves the later ones down
-    at = lambda shift: lambda w, i: F.xxhash64(w, i - shift)
-    folded = lambda hashes: F.aggregate(hashes, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseXOR(x))
-    hashed = picked.select("h", "g", "first", F.transform("words", at(0)).alias("a"), F.transform("words", at(1)).alias("b"))
-    selves = hashed.select("h", "g", "first", folded(F.col("a")).alias("v"))
-    steps = F.zip_with("a", F.slice("b", 2, F.size("b")), lambda x, y: x.bitwiseXOR(F.coalesce(y, F.lit(0).cast("bigint"))))
-    exploded = hashed.select("h", "g", "first", folded(F.slice("b", 2, F.size("b"))).alias("v0"), F.posexplode(steps).alias("i", "step"))
-    exploded.createOrReplaceTempView("_graphloom_line_steps")
-    variants = materialise(
-        docs.sparkSession.sql(
-            """SELECT h, g, first, i, v0 ^ coalesce(bit_xor(step) OVER (PARTITION BY h, g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS v
-            FROM _graphloom_line_steps"""
+    # a line's hash is the exclusive or of its words' hashes by place, and deleting word i moves the later ones down:
+    # the variant is the exclusive or of a[j] for j < i and b[j] for j > i, where b holds the places moved down
+    words = picked.select("h", "g", F.posexplode("words").alias("i", "w"))
+    a, b = F.xxhash64("w", "i"), F.xxhash64("w", F.col("i") - 1)
+    line = Window.partitionBy("h", "g")
+    before = F.coalesce(F.bit_xor(F.col("a").bitwiseXOR(F.col("b"))).over(line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    variants = held(
+        words.select("h", "g", "i", a.alias("a"), b.alias("b")).select(
+            "h", "g", "i",
+            before.bitwiseXOR(F.col("b")).bitwiseXOR(F.bit_xor("b").over(line)).alias("v"),
+            F.when(F.col("i") == 0, F.bit_xor("a").over(line)).alias("self"),
         ),
         "variants",
     )
+    # whole lines stand among the variants as place -1; only hashes that occur again can join anything
+    hashed = variants.select("v", "i", "h", "g").unionByName(variants.where("i = 0").select(F.col("self").alias("v"), F.lit(-1).alias("i"), "h", "g"))
+    again = hashed.groupBy("v").agg(F.count("*").alias("lines")).where("lines > 1").select("v")
+    shared = held(hashed.join(again, "v").join(picked.select("h", "g", "first"), ["h", "g"]), "shared")
     line = F.struct("first", "h", "g")
-    heads = variants.groupBy("v", "i").agg(F.min(line).alias("other"), F.count("*").alias("lines")).where("lines > 1")
-    replaced = variants.join(heads, ["v", "i"]).where("other.first < first").select("h", "g", "other", F.col("i").alias("mine"), F.col("i").alias("theirs"))
-    whole = selves.select("v", F.struct("first", "h", "g").alias("whole"))
-    met = variants.join(whole, "v").select(F.struct("first", "h", "g").alias("longer"), "whole", "i")
+    cut, whole = shared.where("i >= 0"), shared.where("i < 0").select("v", line.alias("whole"))
+    heads = cut.groupBy("v", "i").agg(F.min(line).alias("other"), F.count("*").alias("lines")).where("lines > 1")
+    replaced = cut.join(heads, ["v", "i"]).where("other.first < first").select("h", "g", "other", F.col("i").alias("mine"), F.col("i").alias("theirs"))
+    met = cut.join(whole, "v").select(line.alias("longer"), "whole", "i")
     longer = met.where("whole.first < longer.first").select("longer.h", "longer.g", F.col("whole").alias("other"), F.col("i").alias("mine"), F.lit(-1).alias("theirs"))
     shorter = met.where("longer.first < whole.first").select("whole.h", "whole.g", F.col("longer").alias("other"), F.lit(-1).alias("mine"), F.col("i").alias("theirs"))
     found = replaced.unionByName(longer).unionByName(shorter)
@@ -113,16 +108,34 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     equal in doc_id and text are one document; null ids come first.
     """
     rows = rows_of(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", text_key("text"))
-    worded = F.transform(F.split("text", "\n"), lambda line, n: F.struct(n.alias("n"), _words(line).alias("words")))
-    judged = F.transform(F.filter(worded, lambda x: F.size(x["words"]) >= LEAST_EQUAL), lambda x: _described(x["words"], x["n"]))
-    scanned = materialise(rows.select("doc_id", "t", F.size(F.split("text", "\n")).alias("n_lines"), judged.alias("lines")), "scanned")
-    flat = scanned.select("doc_id", "t", F.explode("lines").alias("l")).select("doc_id", "t", "l.*")
-    lines = materialise(
+    documents = rows.select("doc_id", "t", F.size(F.split("text", "\n")).alias("n_lines"))
+    marked = rows.withColumn("uneven", _uneven(F.col("text")))  # below the explosion: once per text
+    each = marked.select("doc_id", "t", "uneven", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    each = each.select("doc_id", "t", "n", F.when(F.col("uneven"), _normal(F.col("line"))).otherwise(F.col("line")).alias("line"))
+    m = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + F.when(F.col("line") == "", 0).otherwise(1)
+    # short lines go after the write: a filter before it would count the words twice
+    flat = materialise(
+        each.select(
+            "doc_id", "t", "n", m.alias("m"), F.xxhash64("line").alias("h"), F.hash("line").alias("g"),
+            F.when(m >= LEAST_NEAR, _halves(F.col("line"), m)).otherwise(F.array().cast("array<bigint>")).alias("halves"),
+        ),
+        "scanned",
+    ).where(F.col("m") >= LEAST_EQUAL)
+    spent: list[str] = []
+
+    def held(df: DataFrame, tag: str) -> DataFrame:
+        table, path = materialise_at(df, tag)
+        spent.append(path)
+        return table
+
+    lines = held(
         flat.groupBy("h", "g").agg(F.min(_place("doc_id", "t", "n")).alias("first"), F.count("*").alias("times"), F.first("halves").alias("halves")), "distinct"
     )
-    near = _neighbours(rows, lines).withColumn("near", F.lit(True))
+    near = _neighbours(rows, lines, held).withColumn("near", F.lit(True))
     flagged = lines.select("h", "g", "first", "times").join(near, ["h", "g"], "left").where("near or times > 1").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
     flagged = materialise(flagged, "flagged")
+    for path in spent:
+        discard(docs.sparkSession, path)
     gone = (
         flat.select("doc_id", "t", "n", "h", "g")
         .join(flagged, ["h", "g"])
@@ -130,7 +143,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "t")
         .agg(F.array_sort(F.collect_set("n")).alias("removed"))
     )
-    s, g = scanned.alias("s"), gone.alias("g")
+    s, g = documents.alias("s"), gone.alias("g")
     return s.join(g, F.col("s.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("s.t") == F.col("g.t")), "left").select(
         "s.doc_id", "s.t", "s.n_lines", F.coalesce("g.removed", F.array().cast("array<int>")).alias("removed")
     )
