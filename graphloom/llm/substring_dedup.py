@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import rows_of, slices, text_key
-from graphloom.plans.scratch import materialise
+from graphloom.plans.scratch import discard, materialise, materialise_at
 
 WINDOW = 20
 ANCHOR = 8
 #: Distinct anchors of a bucket that one task compares.
-BUCKET = 1_000_000
+BUCKET = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 5
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,7 +53,7 @@ class _Powers:
 
 
 class _WordHash(dict):
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -185,11 +185,11 @@ def _as_batch(rows: np.ndarray) -> pd.DataFrame:
     return out
 
 
-def _repeated(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Every occurrence (a, f, doc_id, t, first, n) of an anchor that occurs more than once."""
+def _repeated(docs: DataFrame, window: int, anchor: int, held) -> DataFrame:
+    """Every occurrence (a, f, doc_id, t, first, n) of an anchor that occurs more than once, written by ``held``."""
     words = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = 1 + words // (40 * BUCKET)  # an anchor in seven words of about six characters
-    blobs = materialise(_anchor_blobs(docs, buckets, window, anchor), "anchors")
+    blobs, path = materialise_at(_anchor_blobs(docs, buckets, window, anchor), "anchors")
 
     def loose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decompress = zstandard.ZstdDecompressor().decompress
@@ -203,7 +203,9 @@ def _repeated(docs: DataFrame, window: int, anchor: int) -> DataFrame:
         _, inverse, times = np.unique(rows["a"], return_inverse=True, return_counts=True)
         return _as_batch(rows[(times[inverse] > 1) | (rows["known"] == 1)])
 
-    return blobs.where("bucket = -1").mapInPandas(loose, _ROW).unionByName(blobs.where("bucket >= 0").groupBy("bucket").applyInPandas(compare, _ROW))
+    found = held(blobs.where("bucket = -1").mapInPandas(loose, _ROW).unionByName(blobs.where("bucket >= 0").groupBy("bucket").applyInPandas(compare, _ROW)), "repeated")
+    discard(docs.sparkSession, path)
+    return found
 
 
 def _spot(*names: str) -> F.Column:
@@ -212,9 +214,16 @@ def _spot(*names: str) -> F.Column:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, t, first, n): runs of ``n`` windows from word ``first`` that each start earlier elsewhere."""
-    found = materialise(_repeated(docs, window, anchor), "repeated")
-    classes = materialise(
+    """(doc_id, t, gone): per document the runs (first, n) of ``n`` windows from word ``first`` that each start earlier elsewhere."""
+    spent: list[str] = []
+
+    def held(df: DataFrame, tag: str) -> DataFrame:
+        table, path = materialise_at(df, tag)
+        spent.append(path)
+        return table
+
+    found = _repeated(docs, window, anchor, held)
+    classes = held(
         found.groupBy("a", "f").agg(F.min(_spot("first", "n")).alias("head"), F.count("*").alias("times")), "stretches"
     )
     again = (
@@ -243,10 +252,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
                 ["a", "w", "doc_id", "t", "first"],
             )
 
-    singles = materialise(asked.mapInArrow(expand, "a bigint, w bigint, doc_id bigint, t bigint, first int"), "windows")
+    singles = held(asked.mapInArrow(expand, "a bigint, w bigint, doc_id bigint, t bigint, first int"), "windows")
     earliest = singles.groupBy("a", "w").agg(F.min(_spot("first")).alias("head"), F.count("*").alias("times")).where("times > 1")
     single = singles.join(earliest, ["a", "w"]).where(~_spot("first").eqNullSafe(F.col("head"))).select("doc_id", "t", "first", F.lit(1).alias("n"))
-    return again.unionByName(single)
+    gone = materialise(again.unionByName(single).groupBy("doc_id", "t").agg(F.collect_list(F.struct("first", "n")).alias("gone")), "gone")
+    for path in spent:
+        discard(docs.sparkSession, path)
+    return gone
 
 
 def _zipped(texts: DataFrame) -> DataFrame:
@@ -275,7 +287,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     input. Null and empty texts have no words and the hash of the empty string. Rows equal in
     doc_id and text are one document; others that share an id are ordered by their text's hash, null ids come first.
     """
-    gone = repeats(docs, window, anchor).groupBy("doc_id", "t").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
+    gone = repeats(docs, window, anchor)
     texts = rows_of(docs, "doc_id", "text").withColumn("t", text_key("text"))
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text
 
