@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import rows_of, slices
+from graphloom.plans.scratch import materialise
 
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 14
@@ -18,7 +18,6 @@ BUCKETS = 1 << 14
 LEAST_SCORE = 0.5
 UNKNOWN = "und"
 _MIX = 0x9E3779B1
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -88,7 +87,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
         for batch in slices(batches):
             names, scores = [], []
             for text in batch.column("text").to_pylist():
-                if not langs or not text or not _LETTER.search(text):
+                if not langs or not text or not any(map(str.isalpha, text)):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
@@ -118,6 +117,6 @@ def language_id(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """``docs`` without rows whose text has no letter, is null or has no clear language."""
     marked = predict(docs, train(docs)).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
-    gone = marked.select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialise(marked.select(F.col("doc_id").alias("_gone")).distinct(), "gone")  # written: a small one is then joined without moving texts
     kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     return kept.where(F.col("doc_id").isNotNull() | F.col("text").rlike(r"\p{L}"))
