@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import rows_of, slices
+from graphloom.plans.scratch import materialise
 
 SEED = 5
 COVERAGE = 0.8
@@ -216,4 +217,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, least
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without documents that hold a benchmark item; rows with a null id stay."""
     gone = contamination(docs, benchmark, **how).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialise(gone, "gone")  # written: a small one is then joined without moving texts
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

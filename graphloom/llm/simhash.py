@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import rows_of, slices
 from graphloom.plans.fixpoint import connected_components
-from graphloom.plans.scratch import materialise
+from graphloom.plans.scratch import discard, materialise, materialise_at
 
 MAX_BITS = 4
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -140,13 +140,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS)
 
 
 def _sampled_cells(n: int, flips: float, recall: float) -> list[int]:
-    """Masks of random choices of segments for a grid whose cells hold some 64 of ``n`` fingerprints.
+    """Masks of random choices of segments, nine at least and so many that cells hold some 64 of ``n`` fingerprints.
 
     Two unrelated segments agree with probability 3/8, linked ones unless one of their bits
     flips (or both do and cancel); there are as many choices as pairs with that share of flipped bits
     need to agree on one of them with probability ``recall``.
     """
-    segments = min(24, max(1, round(math.log(max(n / 64, 2)) / math.log(8 / 3))))
+    segments = min(24, max(9, round(math.log(max(n / 64, 2)) / math.log(8 / 3))))
     agree = ((1 - flips) ** 2 + flips**2 / 2) ** segments
     random = np.random.default_rng(64)
     return [sum(3 << (2 * int(x)) for x in random.choice(32, segments, replace=False)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
@@ -164,10 +164,10 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, shingles binary")
 
 
-def _similar(pairs: DataFrame, zipped: DataFrame, shingle: int, least: float) -> DataFrame:
+def _similar(pairs: DataFrame, zipped: DataFrame, shingle: int, least: float, held) -> DataFrame:
     """Those of ``pairs`` (src, dst) whose shingle sets have a Jaccard similarity of at least ``least``."""
-    needed = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    sets = materialise(_shingle_sets(zipped.join(needed, "id").select("id", "z"), shingle), "shingles")
+    needed = held(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct(), "needed")
+    sets = held(_shingle_sets(zipped.join(needed, "id").select("id", "z"), shingle), "shingles")
     both = pairs.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def _similar(pairs: DataFrame, zipped: DataFrame, shingle: int, least: float) ->
                 kept.append(common >= least * (len(a) + len(b) - common))
             yield batch.select(["src", "dst"]).filter(pa.array(kept))
 
-    return materialise(both.select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint"), "similar")
+    return held(both.select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint"), "similar")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, max_bits: int = 14, recall: float = 0.97) -> DataFrame:
@@ -207,29 +207,42 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, max_bi
                 [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), pa.array(zipped, pa.binary())], ["id", "same", "fp", "z"]
             )
 
-    every = materialise(rows.mapInArrow(run, "id bigint, same binary, fp bigint, z binary"), "texts")
+    spent: list[str] = []
+
+    def held(df: DataFrame, tag: str) -> DataFrame:
+        table, path = materialise_at(df, tag)
+        spent.append(path)
+        return table
+
+    every = held(rows.mapInArrow(run, "id bigint, same binary, fp bigint, z binary"), "texts")
     firsts = every.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    copies = every.select("id", "same").join(firsts.where("n > 1"), "same").where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
-    copies = materialise(copies, "copies")
-    single = every.select("id", "fp").join(copies.select(F.col("src").alias("id")), "id", "left_anti")
-    coded = materialise(single.select("id", "fp", embed(F.col("fp")).alias("code")), "codes")
-    masks = _sampled_cells(coded.count(), 0.15, recall)
-    cells = [F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(_long(m)).alias("cell")) for k, m in enumerate(masks)]
-    gridded = coded.select("id", "fp", "code", F.explode(F.array(*cells)).alias("at")).select("id", "fp", "code", "at.k", "at.cell")
+    copies = held(every.select("id", "same").join(firsts.where("n > 1"), "same").where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst")), "copies")
+    single = held(every.select("id", "fp").join(copies.select(F.col("src").alias("id")), "id", "left_anti"), "single")
     zipped = every.select("id", "z")
-    close = (F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= max_bits) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
-    same_cell = (F.col("a.k") == F.col("b.k")) & (F.col("a.cell") == F.col("b.cell"))
-
-    heads = gridded.groupBy("k", "cell").agg(F.min(F.struct("id", "fp", "code")).alias("head")).select("k", "cell", "head.*")
-    stars = gridded.alias("a").join(heads.alias("b"), same_cell & (F.col("b.id") < F.col("a.id")) & close)
+    masks = _sampled_cells(single.count(), 0.15, recall)
+
+    def gridded(prints: DataFrame) -> DataFrame:
+        """A row per choice of segments; codes follow from fingerprints, so cells travel as one hash."""
+        coded = prints.withColumn("code", embed(F.col("fp")))
+        cells = [F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.col("code").bitwiseAND(_long(x))).alias("cell")) for k, x in enumerate(masks)]
+        return coded.select(*prints.columns, F.explode(F.array(*cells)).alias("at")).select(*prints.columns, "at.k", "at.cell")
+
+    apart = embed(F.col("a.fp")).bitwiseXOR(embed(F.col("b.fp")))
+    close = (F.bit_count(apart) <= max_bits) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
+    heads = gridded(single).groupBy("cell").agg(F.min(F.struct("id", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1").select("cell", "head.*")
+    stars = gridded(single).drop("k").alias("a").join(heads.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("b.id") < F.col("a.id")) & close)
     stars = stars.groupBy("a.id").agg(F.min("b.id").alias("dst")).select(F.col("id").alias("src"), "dst")
-    joined = _similar(materialise(stars, "stars"), zipped, shingle, least)
-    parts = materialise(connected_components(joined), "parts")
-    placed = gridded.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
-    a, b = placed.alias("a"), placed.alias("b")
-    rest = a.join(b, same_cell & (F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part")) & close).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
-    more = _similar(materialise(rest, "rest"), zipped, shingle, least)
-    reach = connected_components(joined.unionByName(more).unionByName(copies))
+    joined = _similar(held(stars, "stars"), zipped, shingle, least, held)
+    parts = held(connected_components(joined), "parts").withColumnRenamed("node", "id")
+    placed = gridded(single.join(parts, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("part")))
+    a, b = placed.alias("a"), placed.drop("k").alias("b")
+    agreeing = F.transform(F.array(*[_long(x) for x in masks]), lambda x: apart.bitwiseAND(x) == 0)
+    first = F.array_position(agreeing, True) == F.col("a.k") + 1  # a pair is reported once, by the first choice on which it agrees
+    rest = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part")) & close & first)
+    more = _similar(held(rest.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")), "rest"), zipped, shingle, least, held)
+    reach = connected_components(joined.unionByName(more).unionByName(copies))  # written: what it came from can go
+    for path in spent:
+        discard(docs.sparkSession, path)
     return reach.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
@@ -239,4 +252,5 @@ def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFra
     Wordless texts aren't taken as copies of each other, and rows with a null id stay.
     """
     gone = similar_groups(docs, shingle, least).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    gone = materialise(gone, "gone")  # written: a small one is then joined without moving texts
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
