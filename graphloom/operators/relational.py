@@ -278,16 +278,17 @@ def anti_orphan_templates(spark, d):
     return m.edges(spark, d).select("template_id").distinct().join(m.nodes(spark, d).select("template_id"), "template_id", "left_anti")
 
 
-@query("set_orphan_entities", sql("SELECT DISTINCT entity_uri FROM citations WHERE source_id = 3 AND entity_uri NOT IN (SELECT entity_uri FROM citations WHERE source_id <> 3)"))
+@query("set_orphan_entities", sql("SELECT DISTINCT entity_uri FROM citations WHERE chunk_id < 20 AND source_id = 3 AND entity_uri NOT IN (SELECT entity_uri FROM citations WHERE chunk_id < 20 AND source_id <> 3)"))
 def set_orphan_entities(spark, d):
-    """Entities that only source 3 cites, by one aggregation instead of two scans."""
-    by = m.citations(spark, d).groupBy("entity_uri").agg(F.min("source_id").alias("low"), F.max("source_id").alias("high"))
+    """Entities that in some chunks only source 3 cites, by one aggregation instead of two scans."""
+    by = m.citations(spark, d).where("chunk_id < 20").groupBy("entity_uri").agg(F.min("source_id").alias("low"), F.max("source_id").alias("high"))
     return by.where("low = 3 and high = 3").select("entity_uri")
 
 
-@query("isolated_nodes", sql("SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION ALL SELECT dst FROM edges)"))
+@query("isolated_nodes", sql("SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM edges WHERE template_id NOT IN ('supplied_by', 'bought') UNION ALL SELECT dst FROM edges WHERE template_id NOT IN ('supplied_by', 'bought'))"))
 def isolated_nodes(spark, d):
-    return m.nodes(spark, d).join(endpoints(m.edges(spark, d)), "id", "left_anti").select("id")
+    """Nodes at no edge but trade."""
+    return m.nodes(spark, d).join(endpoints(m.edges(spark, d).where("template_id not in ('supplied_by', 'bought')")), "id", "left_anti").select("id")
 
 
 def delete_cascade(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
