@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -139,17 +140,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _sampled_cells(n: int, flips: float, recall: float) -> list[int]:
-    """Masks of random choices of segments, nine at least and so many that cells hold some 64 of ``n`` fingerprints.
+def _bands(least: float, recall: float) -> tuple[int, int]:
+    """(bands, minima of each) by which sets of Jaccard similarity ``least`` agree on a band with probability ``recall``.
 
-    Two unrelated segments agree with probability 3/8, linked ones unless one of their bits
-    flips (or both do and cancel); there are as many choices as pairs with that share of flipped bits
-    need to agree on one of them with probability ``recall``.
+    Two sets agree on a minimum with their similarity, each time anew, so the recall is that of every pair and at
+    every table size. Bands are as long as about one in six is agreed on.
     """
-    segments = min(24, max(9, round(math.log(max(n / 64, 2)) / math.log(8 / 3))))
-    agree = ((1 - flips) ** 2 + flips**2 / 2) ** segments
+    if least >= 1:
+        return 1, 1
+    long = max(1, round(math.log(1 / 6) / math.log(least)))
+    return math.ceil(math.log(1 - recall) / math.log(1 - least**long)), long
+
+
+@lru_cache
+def _bijections(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of n maps of 32-bit hashes, one a row."""
     random = np.random.default_rng(64)
-    return [sum(3 << (2 * int(x)) for x in random.choice(32, segments, replace=False)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
+    return random.integers(0, 1 << 31, (n, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1), random.integers(0, 1 << 32, (n, 1), dtype=np.uint32)
+
+
+def band_hashes(hashes: list[int], bands: int, long: int) -> np.ndarray:
+    """A hash per band of ``long`` smallest values, each under a random bijection of 32-bit hashes."""
+    times, plus = _bijections(bands * long)
+    values = np.array(hashes, dtype="<u8").astype(np.uint32)
+    low = np.full(bands * long, (1 << 32) - 1, np.uint32)
+    for k in range(0, len(values), 2048):  # a slice stays in the cache
+        low = np.minimum(low, (values[k : k + 2048] * times + plus).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.astype("<u4").reshape(bands, long))], np.uint64).view(np.int64)
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -182,29 +199,30 @@ def _similar(pairs: DataFrame, zipped: DataFrame, shingle: int, least: float, he
     return held(both.select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint"), "similar")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, max_bits: int = 14, recall: float = 0.97) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall: float = 0.97) -> DataFrame:
     """(doc_id, component_id) of documents in groups of similar texts, component_id the smallest doc_id.
 
-    Texts link if their fingerprints differ in at most ``max_bits`` bits and their sets of word shingles are ``least`` alike
-    (Jaccard, exactly). At that many bits no choice of blocks must agree, so the grid uses random choices of
-    segments, ``recall`` of them for pairs at the similarity itself (0.15 of bits flipped). Equal texts collapse
-    first. Large cells come to no pairs: first each text meets only the smallest of its cells, and then only
-    texts that this has not yet joined are paired. Wordless texts and null ids are in no group.
+    Texts link if their sets of word shingles are ``least`` alike (Jaccard, exactly). Fingerprints can't find such pairs: they
+    differ in some 10 bits, and a pair of many differing bits has them in every table. Candidates are texts that share a band of
+    smallest shingle hashes instead, ``recall`` of the pairs at the similarity itself, whatever the table's size. Equal texts
+    collapse first. Large cells come to few pairs: first each text meets only the smallest of its cells, and then only
+    cells of texts that this has not joined are paired. Wordless texts and null ids are in no group.
     """
+    bands, long = _bands(least, recall)
     rows = rows_of(docs, "doc_id", "text").where("doc_id is not null").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            keys, prints, zipped = [], [], []
+            keys, cells, zipped = [], [], []
             for text in texts:
                 hashes = shingle_hashes(text, shingle)
                 keys.append(xxhash.xxh128_digest(np.array(hashes, dtype="<u8").tobytes()))
-                prints.append(majority(hashes))
+                cells.append(band_hashes(hashes, bands, long))
                 zipped.append(compress(text.encode()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), pa.array(zipped, pa.binary())], ["id", "same", "fp", "z"]
+                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(zipped, pa.binary())], ["id", "same", "cells", "z"]
             )
 
     spent: list[str] = []
@@ -214,32 +232,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, max_bi
         spent.append(path)
         return table
 
-    every = held(rows.mapInArrow(run, "id bigint, same binary, fp bigint, z binary"), "texts")
+    every = held(rows.mapInArrow(run, "id bigint, same binary, cells array<bigint>, z binary"), "texts")
     firsts = every.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     copies = held(every.select("id", "same").join(firsts.where("n > 1"), "same").where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst")), "copies")
-    single = held(every.select("id", "fp").join(copies.select(F.col("src").alias("id")), "id", "left_anti"), "single")
+    single = every.join(copies.select(F.col("src").alias("id")), "id", "left_anti")
+    gridded = held(single.select("id", F.explode("cells").alias("cell")), "grid")
+    heads = gridded.groupBy("cell").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("cell", "head")
+    shared = held(gridded.join(heads, "cell"), "shared")
     zipped = every.select("id", "z")
-    masks = _sampled_cells(single.count(), 0.15, recall)
-
-    def gridded(prints: DataFrame) -> DataFrame:
-        """A row per choice of segments; codes follow from fingerprints, so cells travel as one hash."""
-        coded = prints.withColumn("code", embed(F.col("fp")))
-        cells = [F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.col("code").bitwiseAND(_long(x))).alias("cell")) for k, x in enumerate(masks)]
-        return coded.select(*prints.columns, F.explode(F.array(*cells)).alias("at")).select(*prints.columns, "at.k", "at.cell")
-
-    apart = embed(F.col("a.fp")).bitwiseXOR(embed(F.col("b.fp")))
-    close = (F.bit_count(apart) <= max_bits) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
-    heads = gridded(single).groupBy("cell").agg(F.min(F.struct("id", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1").select("cell", "head.*")
-    stars = gridded(single).drop("k").alias("a").join(heads.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("b.id") < F.col("a.id")) & close)
-    stars = stars.groupBy("a.id").agg(F.min("b.id").alias("dst")).select(F.col("id").alias("src"), "dst")
+    stars = shared.where("head < id").select(F.col("id").alias("src"), F.col("head").alias("dst")).distinct()
     joined = _similar(held(stars, "stars"), zipped, shingle, least, held)
     parts = held(connected_components(joined), "parts").withColumnRenamed("node", "id")
-    placed = gridded(single.join(parts, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("part")))
-    a, b = placed.alias("a"), placed.drop("k").alias("b")
-    agreeing = F.transform(F.array(*[_long(x) for x in masks]), lambda x: apart.bitwiseAND(x) == 0)
-    first = F.array_position(agreeing, True) == F.col("a.k") + 1  # a pair is reported once, by the first choice on which it agrees
-    rest = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part")) & close & first)
-    more = _similar(held(rest.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")), "rest"), zipped, shingle, least, held)
+    placed = held(shared.join(parts, "id", "left").select("id", "cell", F.coalesce("component", "id").alias("part")), "placed")
+    mixed = placed.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("cell")
+    placed = held(placed.join(mixed, "cell"), "mixed")
+    a, b = placed.alias("a"), placed.alias("b")
+    rest = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part")))
+    more = _similar(held(rest.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct(), "rest"), zipped, shingle, least, held)
     reach = connected_components(joined.unionByName(more).unionByName(copies))  # written: what it came from can go
     for path in spent:
         discard(docs.sparkSession, path)

@@ -182,6 +182,26 @@ def test_similar_groups(spark):
     assert simhash.keep_first(df).count() == 22
 
 
+def test_similar_groups_at_the_similarity(spark):
+    """Pairs just above a Jaccard similarity of 0.8 are found as often as pairs at it are promised to be, and none below it."""
+    rng = random.Random(11)
+    rows, alike = [], {}
+    for k in range(600):
+        n = rng.randrange(60, 400)
+        words = [f"w{rng.randrange(50_000)}" for _ in range(n)]
+        near = list(words)
+        for i in rng.sample(range(n), max(1, round(n * rng.uniform(0.016, 0.03)))):
+            near[i] = f"x{k}"
+        a, b = ({tuple(w[i : i + 5]) for i in range(n - 4)} for w in (words, near))
+        alike[2 * k] = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = [k for k, j in alike.items() if 0.8 <= j < 0.85]
+    assert len(at) > 150
+    assert sum(got.get(k + 1) == k for k in at) >= 0.95 * len(at)
+    assert not any(k in got for k, j in alike.items() if j < 0.8)
+
+
 def test_substring_dedup(docs, texts):
     unique = sorted(set(texts), key=lambda x: (x[0], 0))
     seen, want = {}, {}
