@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import rows_of, text_key
 from graphloom.plans.scratch import discard, materialise, materialise_at
 
-#: Words from which equal lines count, and from which an edit leaves a similarity of 0.8.
+#: Words from which equal lines count in the query, and from which an edit leaves a similarity of 0.8.
 LEAST_EQUAL, LEAST_NEAR = 3, 5
 
 
@@ -99,12 +99,12 @@ def _neighbours(docs: DataFrame, lines: DataFrame, held) -> DataFrame:
     return checked.where(left(F.col("my_words"), F.col("mine")) == left(F.col("their_words"), F.col("theirs"))).select("h", "g")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least_equal: int = LEAST_EQUAL) -> DataFrame:
     """(doc_id, t, n_lines, removed): per document of ``docs`` the places of lines that occur earlier.
 
-    A line goes if an equal line of at least three words, or one of at least five words at one word edit or less, occurs earlier in the
+    A line goes if an equal line of at least ``least_equal`` words, or one of at least five words at one word edit or less, occurs earlier in the
     table: in a smaller doc_id or higher up in the same document; lines are judged on the input. White space inside a line
-    doesn't tell lines apart, and lines of fewer words, the empty one too, always stay. Null text is one empty line. Rows
+    doesn't tell lines apart, and lines of fewer words always stay, with 1 the empty ones alone. Null text is one empty line. Rows
     equal in doc_id and text are one document; null ids come first.
     """
     rows = rows_of(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", text_key("text"))
@@ -120,7 +120,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
             F.when(m >= LEAST_NEAR, _halves(F.col("line"), m)).otherwise(F.array().cast("array<bigint>")).alias("halves"),
         ),
         "scanned",
-    ).where(F.col("m") >= LEAST_EQUAL)
+    ).where(F.col("m") >= least_equal)
     spent: list[str] = []
 
     def held(df: DataFrame, tag: str) -> DataFrame:
@@ -162,9 +162,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the removed lines cut out of text; rows of which nothing but white space is left go.
 
+    Equal lines count at any length: one of a script without blanks, a link or encoded data is a single word.
     Rows that lose nothing stay as they are, whatever they hold. n_chars, where it exists, follows the text.
     """
-    found = removed_lines(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("removed").alias("_removed")).distinct()
+    found = removed_lines(docs, least_equal=1).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("removed").alias("_removed")).distinct()
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, n: F.struct(x.alias("x"), n.alias("n"))), lambda s: ~F.array_contains("_removed", s["n"]))
     joined = docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")) & (text_key(docs.text) == F.col("_t")), "left")
     cut = joined.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(lines, lambda s: s["x"]), "\n")))

@@ -133,6 +133,13 @@ def test_line_dedup(docs, texts):
     assert 1005 not in kept and kept[1004] and kept[1001] == ""
 
 
+def test_short_lines_are_cut(spark):
+    """Equal lines of one or two words, or of a script without blanks, go like any other; empty ones stay."""
+    rows = [(1, "Les.\n\n这是一个很长的句子没有空格\nfirst own line"), (2, "Wh the.\nLes.\n\n 这是一个很长的句子没有空格\nsecond own line"), (3, "Wh  the.\nthird own line"), (4, "Les.")]
+    got = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "Wh the.\n\nsecond own line", 3: "third own line"}
+
+
 def groups_of(ids, linked):
     root = {i: i for i in ids}
     def find(x):
