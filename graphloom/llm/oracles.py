@@ -33,12 +33,13 @@ def _found(kind: int, pattern: str, keep: str = "true", group: int = 0) -> str:
 
 _NAMES = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
 _OPAQUE = "regexp_matches(hits[k], '[0-9]') AND regexp_matches(hits[k], '[A-Z]') AND regexp_matches(hits[k], '[a-z]')"
+_ADDRESS = f"""regexp_matches(hits[k], '{secrets.ADDRESS.replace(chr(39), chr(39) * 2)}')"""
 _CLEAR = "NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s < x.s + x.n AND x.s < b.s + b.n)"
 
 SECRETS = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
   base AS MATERIALIZED ({_found(0, secrets.ASSIGN, "length(kept[k]) >= 12", 2)} UNION ALL {_found(1, secrets.ACCESS, "length(hits[k]) >= 18")} UNION ALL {_found(2, secrets.HEX)}),
-  weak AS MATERIALIZED (SELECT * FROM ({_found(3, secrets.IDENTIFIER)} UNION ALL {_found(4, secrets.OPAQUE, _OPAQUE)} UNION ALL {_found(5, secrets.ENDPOINT)}) x WHERE {_CLEAR}),
+  weak AS MATERIALIZED (SELECT * FROM ({_found(3, secrets.IDENTIFIER)} UNION ALL {_found(4, secrets.OPAQUE, _OPAQUE)} UNION ALL {_found(5, secrets.ENDPOINT, _ADDRESS)}) x WHERE {_CLEAR}),
   parts AS (SELECT *, kind IN (0, 2, 4) AS secret FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
   linked AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = w.doc_id AND q.secret <> (w.kind = 4) AND q.s <= w.s + w.n + {secrets.SCOPE} AND q.s + q.n >= w.s - {secrets.SCOPE})),
   named AS (SELECT doc_id, s, kind, s + n AS e, {_NAMES}[kind + 1] || ':' || s || ':' || (s + n) AS span, b FROM (SELECT *, true AS b FROM base UNION ALL SELECT *, false FROM linked)),

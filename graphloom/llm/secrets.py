@@ -4,10 +4,15 @@ Strong parts are reported wherever they stand. Weak parts, identifiers, opaque s
 that mean nothing alone, are reported only if a part that complements them lies in the scope around them.
 The link is an interval join inside documents: scopes are cut into cells of one scope's width,
 so a part meets only what lies in its own and the neighbouring cells.
+
+Patterns repeat single characters only, and none starts again inside a run that it has read: a text of any length
+takes time in proportion to it and no depth of calls.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,47 +25,75 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # as [0-9a-f]+ of 16 or more: runs are maximal
 IDENTIFIER = r"""(?i)(?:client|account|user|tenant|app|access|key)[_-]?(?:key[_-]?)?(?:id|name)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}"""
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}={0,2}"
-ENDPOINT = r"""https?://[^\s"'<>]{4,}|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}"""
+ENDPOINT = r"""https?://[^\s"'<>]+|[A-Za-z0-9.-]+(?::[0-9]+)?"""
+#: What an endpoint looks like: an address of four characters or more, or a dotted host with a port.
+ADDRESS = r"""^(?:https?://.{4}|[A-Za-z0-9.-]*[A-Za-z0-9-]\.[A-Za-z0-9-][A-Za-z0-9.-]*:[0-9]{2,5}$)"""
 
 KINDS = ("assign", "access", "hex", "identifier", "opaque", "endpoint")
 #: Role of each kind: identifiers (0), secrets (1), endpoints (2).
 ROLES = (1, 0, 1, 0, 1, 2)
 #: Code points between two parts that can still belong together.
 SCOPE = 400
+#: Matches whose places are added up together.
+_BLOCK = 128
 
-_SPAN = "array<struct<start:int,kind:int,end:int>>"
+_SPAN = "struct<start:int,kind:int,end:int>"
+_NONE = f"array<{_SPAN}>"
 
 
-def _found(text: Column, pattern: str, kind: int, keep=None, group: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches that ``keep`` holds for.
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
 
-    Matches and the pieces between them come in the same order, so their lengths add up to places.
-    """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kept = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), keep) if keep else F.transform(matches, lambda m: F.lit(True))
-    steps = F.zip_with(
-        F.transform(F.split(text, pattern, -1), lambda x: F.length(x)),
-        F.arrays_zip(F.transform(matches, lambda m: F.length(m)).alias("size"), kept.alias("kept")),
-        lambda gap, m: F.struct(gap.alias("gap"), m["size"].alias("size"), m["kept"].alias("kept")),
-    )
-    start = lambda s, x: s["at"] + x["gap"]
+
+def _running(steps: Column, first: Column, step: Callable[[Column, Column], Column], put: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``put(place, step)`` of each step that it isn't null for, where places add up from ``first``."""
     folded = F.aggregate(
         steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
+        F.struct(first.cast("int").alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
         lambda s, x: F.struct(
-            (start(s, x) + F.coalesce(x["size"], F.lit(0))).alias("at"),
-            F.when(
-                F.coalesce(x["kept"], F.lit(False)),
-                F.concat(s["out"], F.array(F.struct(start(s, x).alias("start"), F.lit(kind).alias("kind"), (start(s, x) + x["size"]).alias("end")))),
-            ).otherwise(s["out"]).alias("out"),
+            step(s["at"], x).alias("at"),
+            F.when(put(s["at"], x).isNotNull(), F.concat(s["out"], F.array(put(s["at"], x)))).otherwise(s["out"]).alias("out"),
         ),
     )
-    return F.when(text.rlike(pattern), folded["out"]).otherwise(F.array().cast(_SPAN))
+    return folded["out"]
+
 
+def _found(text: Column, pattern: str, kind: int, keep=None, group: int = 0) -> Column:
+    """Spans of the leftmost non-overlapping matches that ``keep`` holds for.
 
-def _clear_of(spans: Column, others: Column) -> Column:
-    """Spans that overlap none of the others."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    Matches and the pieces between them come in the same order, so their lengths add up to places: first of whole blocks
+    of matches, then inside each block, since a list that grows by one match at a time is copied each time.
+    """
+    size = lambda x: F.coalesce(x["size"], F.lit(0))
+    kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    steps = F.zip_with(
+        F.split(text, pattern, -1),
+        F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), kept.alias("kept")) if group else F.transform(kept, lambda m: F.struct(m.alias("hit"), m.alias("kept"))),
+        lambda gap, m: F.struct(
+            F.length(gap).alias("gap"),
+            F.length(m["hit"]).alias("size"),
+            (F.coalesce(keep(m["kept"]), F.lit(False)) if keep else m["hit"].isNotNull()).alias("kept"),
+        ),
+    )
+    after = lambda at, x: at + x["gap"] + size(x)
+    span = lambda at, x: F.when(x["kept"], F.struct((at + x["gap"]).cast("int").alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["size"]).cast("int").alias("end")))
+
+    def placed(steps: Column) -> Column:
+        many = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int"))
+        blocks = F.transform(many, lambda b: F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)))
+        return _with(
+            F.transform(blocks, lambda block: F.struct(block.alias("steps"), F.aggregate(block, F.lit(0), lambda s, x: s + x["gap"] + size(x)).alias("total"))),
+            lambda blocks: F.flatten(
+                F.zip_with(
+                    blocks,
+                    _running(blocks, F.lit(0), lambda at, b: at + b["total"], lambda at, b: at, "int"),
+                    lambda b, at: _running(b["steps"], at, after, span, _SPAN),
+                )
+            ),
+        )
+
+    return F.when(text.rlike(pattern), _with(steps, placed)).otherwise(F.array().cast(_NONE))
 
 
 def _written(spans: Column) -> Column:
@@ -72,35 +105,38 @@ def _role(kind: Column) -> Column:
     return F.array(*[F.lit(r) for r in ROLES])[kind]
 
 
-def linked_parts(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
+def _near(left: DataFrame, right: DataFrame, scope: int, reach: int, also: Column, how: str) -> DataFrame:
+    """``left`` rows (doc_id, t, s) with (or without) a right one (doc_id, t, p) of the same text less than ``reach`` away."""
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope)))
+    a = left.withColumn("cell", cells(F.col("s.start") - reach, F.col("s.end") + reach)).alias("a")
+    b = right.withColumn("cell", cells(F.col("p.start"), F.col("p.end") - 1)).alias("b")
+    met = (
+        F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+        & (F.col("a.t") == F.col("b.t"))
+        & (F.col("a.cell") == F.col("b.cell"))
+        & (F.col("b.p.start") < F.col("a.s.end") + reach)
+        & (F.col("b.p.end") > F.col("a.s.start") - reach)
+        & also
+    )
+    return a.join(b, met, how).drop("cell")
+
+
+def linked_parts(scanned: DataFrame, scope: int = SCOPE, held: Callable[[DataFrame, str], DataFrame] = lambda df, tag: df) -> DataFrame:
     """(doc_id, t, linked): the weak spans of ``scanned`` (doc_id, t, base, weak) with a complement in scope.
 
-    An identifier or an endpoint wants a secret, a secret an identifier or an endpoint.
+    Weak spans that overlap a base span are part of it and no candidates. An identifier or an endpoint wants a
+    secret, a secret an identifier or an endpoint. ``held`` writes what is read more than once.
     """
-    roles = F.transform(F.concat("base", "weak"), lambda s: _role(s["kind"]))
-    some = scanned.where((F.size("weak") > 0) & F.array_contains(roles, 1) & (F.array_contains(roles, 0) | F.array_contains(roles, 2)))
-    cells = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope)))
-    weak = (
-        some.select("doc_id", "t", F.explode("weak").alias("s"))
-        .select("doc_id", "t", "s", _role(F.col("s.kind")).alias("role"), cells(F.col("s.start") - scope, F.col("s.end") + scope).alias("cell"))
-        .alias("w")
-    )
-    parts = (
-        some.select("doc_id", "t", F.explode(F.concat("base", "weak")).alias("p"))
-        .select("doc_id", "t", "p", _role(F.col("p.kind")).alias("role"), cells(F.col("p.start"), F.col("p.end") - 1).alias("cell"))
-        .alias("q")
-    )
-    near = (F.col("q.p.start") <= F.col("w.s.end") + scope) & (F.col("q.p.end") >= F.col("w.s.start") - scope)
-    joined = weak.join(
-        parts,
-        F.col("w.doc_id").eqNullSafe(F.col("q.doc_id"))
-        & (F.col("w.t") == F.col("q.t"))
-        & (F.col("w.cell") == F.col("q.cell"))
-        & ((F.col("w.role") == 1) != (F.col("q.role") == 1))
-        & near,
-        "left_semi",
-    )
-    return joined.groupBy("doc_id", "t").agg(F.collect_set("s").alias("linked"))
+    some = scanned.where(F.size("weak") > 0)
+    weak = some.select("doc_id", "t", F.explode("weak").alias("s")).distinct()
+    base = some.select("doc_id", "t", F.explode("base").alias("p")).distinct()
+    inside = _near(weak, base, scope, 0, F.lit(True), "left_semi").distinct().alias("i")
+    w = weak.alias("w")
+    same = F.col("w.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("w.t") == F.col("i.t")) & (F.col("w.s") == F.col("i.s"))
+    clear = held(w.join(inside, same, "left_anti"), "clear")
+    complement = (_role(F.col("a.s.kind")) == 1) != (_role(F.col("b.p.kind")) == 1)
+    parts = base.unionByName(clear.select("doc_id", "t", F.col("s").alias("p")))
+    return _near(clear, parts, scope, scope + 1, complement, "left_semi").groupBy("doc_id", "t").agg(F.collect_set("s").alias("linked"))
 
 
 def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -108,7 +144,7 @@ def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Spans are code points, end exclusive, written kind:start:end by start, kind and end. Null
     text is empty and has no spans: ``spans`` is then the empty string and ``base_sha256`` its hash. Rows that repeat a doc_id
-    are scanned each.
+    are scanned each. Spans of one document are one row at most, whatever its length.
     """
     text = F.col("text")
     base = F.array_sort(F.concat(
@@ -116,14 +152,16 @@ def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         _found(text, ACCESS, 1, lambda m: F.length(m) >= 18),
         _found(text, HEX, 2),
     ))
-    opaque = _found(text, OPAQUE, 4, lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]"))
+    weak = F.concat(
+        _found(text, IDENTIFIER, 3),
+        _found(text, OPAQUE, 4, lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")),
+        F.when(text.rlike("https?://|[A-Za-z0-9-]:[0-9]{2}"), _found(text, ENDPOINT, 5, lambda m: m.rlike(ADDRESS))).otherwise(F.array().cast(_NONE)),
+    )
     rows = rows_of(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    scanned = rows.select("doc_id", text_key("text").alias("t"), "text", base.alias("base"))
-    weak = F.array_sort(F.concat(_clear_of(_found(text, IDENTIFIER, 3), F.col("base")), _clear_of(opaque, F.col("base")), _clear_of(_found(text, ENDPOINT, 5), F.col("base"))))
-    scanned = materialise(scanned.select("doc_id", "t", "base", weak.alias("weak")), "secrets")
-    b, m = scanned.alias("b"), linked_parts(scanned, scope).alias("m")
+    scanned = materialise(rows.select("doc_id", text_key("text").alias("t"), base.alias("base"), weak.alias("weak")), "secrets")
+    b, m = scanned.alias("b"), linked_parts(scanned, scope, materialise).alias("m")
     every = b.join(m, F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b.t") == F.col("m.t")), "left").select(
-        "b.doc_id", "b.base", F.coalesce("m.linked", F.array().cast(_SPAN)).alias("linked")
+        "b.doc_id", "b.base", F.coalesce("m.linked", F.array().cast(_NONE)).alias("linked")
     )
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
     return every.select(

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,6 +15,8 @@ from tokenizers import Tokenizer
 
 from graphloom.llm import binary_output, decontaminate, embedding_dedup, language_id, line_dedup, packing, quality, secrets, simhash, substring_dedup
 
+from graphloom.llm import queries as llm_queries
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -112,6 +116,45 @@ def test_secret_base_spans(docs, texts, spark):
     assert spans[3] == "identifier:0:16,opaque:22:49,endpoint:53:66" and spans[4] == "" and spans[5] == ""
 
 
+LONG = {
+    "labels": "a." * 500_000 + "b:80",
+    "letters": "q" * 1_000_000,
+    "assigned": "token=abcdefghijkl1 " * 50_000,
+    "weak": "client_id: foo99 Zx9Zx9Zx9Zx9Zx9Zx9Zx9Zx9Zx9 a.b:80 " * 20_000,
+    "hosts": "a.b-c.d:8080 " * 50_000,
+    "wide": "https://" + "a😀" * 200_000,
+    "blanks": "password" + " " * 1_000_000,
+}
+
+
+def test_secrets_in_very_long_texts(spark):
+    """A megabyte of labels, of one run, of matches: no depth of calls, no time by the square."""
+    rows = spark.createDataFrame(list(enumerate(LONG.values())), "doc_id bigint, text string")
+    began = time.monotonic()
+    got = {list(LONG)[r.doc_id]: r for r in secrets.secret_scan(rows).collect()}
+    assert time.monotonic() - began < 120
+    assert got["assigned"].n_assign == 50_000 and got["assigned"].spans.endswith(f"assign:{49_999 * 20}:{49_999 * 20 + 19}")
+    assert got["weak"].n_linked == 60_000  # each part has a complement within the scope
+    assert {k for k, r in got.items() if r.spans} == {"assigned", "weak"}
+
+
+def test_weak_parts_inside_base_spans_are_no_candidates(spark):
+    text = "client_id: foo99 token=Zx9Zx9Zx9Zx9Zx9Zx9Zx9Zx9Zx9 " + "far " * 200 + "see a.b.c:8080 or https://x.example/y"
+    row = secrets.secret_scan(spark.createDataFrame([(1, text), (None, text), (None, None)], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id is None, r.spans) for r in row) == sorted([(False, "identifier:0:16,assign:17:50"), (True, "identifier:0:16,assign:17:50"), (True, "")])
+
+
+@pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
+def test_equals_sql(spark, data, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    cursor = con.execute(llm_queries.oracle_sql()[name])
+    names = [c[0] for c in cursor.description]
+    df = llm_queries.queries()[name](spark, data)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, cursor.fetchall()))
+
+
 def test_line_dedup(docs, texts):
     seen, lost, dropped, gone = set(), {}, set(), {}
     for doc, text in sorted(set(texts), key=lambda x: (x[0], xxhash.xxh64_intdigest(x[1].encode(), 42))):
