@@ -40,3 +40,24 @@ def rows_of(docs: DataFrame, *columns: str) -> DataFrame:
 def text_key(text: Column | str) -> Column:
     """Tells rows that share a doc_id apart; equal rows stay one document."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (doc_id, t) names by id and text; a null id equals a null id."""
+    named = gone.select(F.col("doc_id").alias("_gone_id"), F.col("t").alias("_gone_text"))
+    return docs.join(named, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone_id")) & (text_key("text") == F.col("_gone_text")), "left_anti")
+
+
+#: Rows that a table of the commonest keys can have: each key of it has more than one in so many of all rows.
+HEAVY = 10_000
+
+
+def join_counted(rows: DataFrame, classes: DataFrame, keys: list[str], total: int, times: str = "times") -> DataFrame:
+    """Inner join of ``rows`` to ``classes``, which has each key once with its number of rows.
+
+    Keys of more than ``total`` / ``HEAVY`` of the ``total`` rows number less than ``HEAVY``, so their classes are broadcast and
+    their rows stay where they are; the rest, without a hot key left, is shuffled.
+    """
+    hot = F.col(times) > total / HEAVY
+    heavy, light = F.broadcast(classes.where(hot)), classes.where(~hot)
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys))

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import rows_of, slices
+from graphloom.llm.common import join_counted, rows_of, slices, text_key, without
 from graphloom.plans.fixpoint import connected_components
 from graphloom.plans.scratch import discard, materialise, materialise_at
 
@@ -131,13 +131,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS)
     null ids has a null component). Repeated rows are returned each.
     """
     prints = materialise(fingerprints(docs, shingle), "fingerprints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("times")), "classes")
     reach = connected_components(links(classes.select("fp"), max_bits))
     grouped = classes.join(reach, classes.fp == reach.node).select("fp", "low", "component")
     lows = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
     merged = grouped.join(lows, "component").select("fp", "component_id")
-    named = materialise(classes.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "named")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialise(classes.join(merged, "fp", "left").select("fp", "times", F.coalesce("component_id", "low").alias("component_id")), "named")
+    return join_counted(prints, named, ["fp"], prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _bands(least: float, recall: float) -> tuple[int, int]:
@@ -199,17 +199,26 @@ def _similar(pairs: DataFrame, zipped: DataFrame, shingle: int, least: float, he
     return held(both.select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint"), "similar")
 
 
+def _order() -> Column:
+    """Which document stays: the smallest doc_id, of those the smallest hash of the text; null ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "t", "id")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall: float = 0.97) -> DataFrame:
-    """(doc_id, component_id) of documents in groups of similar texts, component_id the smallest doc_id.
+    """(doc_id, t, component_id, first) of each row in a group of similar texts: its id and the hash of its text, the smallest
+    doc_id of its group, and whether it is the row that stays for the group.
 
     Texts link if their sets of word shingles are ``least`` alike (Jaccard, exactly). Fingerprints can't find such pairs: they
     differ in some 10 bits, and a pair of many differing bits has them in every table. Candidates are texts that share a band of
     smallest shingle hashes instead, ``recall`` of the pairs at the similarity itself, whatever the table's size. Equal texts
     collapse first. Large cells come to few pairs: first each text meets only the smallest of its cells, and then only
-    cells of texts that this has not joined are paired. Wordless texts and null ids are in no group.
+    cells of texts that this has not joined are paired. Null and wordless texts are in no group. Rows are told apart by
+    themselves, not by doc_id: repeated rows, ids on several texts and null ids are each a row of their group, and one of all of
+    them stays.
     """
     bands, long = _bands(least, recall)
-    rows = rows_of(docs, "doc_id", "text").where("doc_id is not null").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows_of(docs, "doc_id", "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.select("doc_id", "text", text_key("text").alias("t"), F.monotonically_increasing_id().alias("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=1).compress
@@ -222,7 +231,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall
                 cells.append(band_hashes(hashes, bands, long))
                 zipped.append(compress(text.encode()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(zipped, pa.binary())], ["id", "same", "cells", "z"]
+                [batch.column("id"), batch.column("doc_id"), batch.column("t"), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(zipped, pa.binary())],
+                ["id", "doc_id", "t", "same", "cells", "z"],
             )
 
     spent: list[str] = []
@@ -232,10 +242,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall
         spent.append(path)
         return table
 
-    every = held(rows.mapInArrow(run, "id bigint, same binary, cells array<bigint>, z binary"), "texts")
-    firsts = every.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    copies = held(every.select("id", "same").join(firsts.where("n > 1"), "same").where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst")), "copies")
-    single = every.join(copies.select(F.col("src").alias("id")), "id", "left_anti")
+    # ids are numbered once, in the scan whose result is written
+    every = held(rows.mapInArrow(run, "id bigint, doc_id bigint, t bigint, same binary, cells array<bigint>, z binary"), "texts")
+    classes = held(every.groupBy("same").agg(F.min(_order()).alias("low"), F.count("*").alias("times")), "same")
+    single = every.join(classes.select(F.col("low.id").alias("id")), "id", "left_semi")
     gridded = held(single.select("id", F.explode("cells").alias("cell")), "grid")
     heads = gridded.groupBy("cell").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("cell", "head")
     shared = held(gridded.join(heads, "cell"), "shared")
@@ -249,17 +259,30 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall
     a, b = placed.alias("a"), placed.alias("b")
     rest = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part")))
     more = _similar(held(rest.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct(), "rest"), zipped, shingle, least, held)
-    reach = connected_components(joined.unionByName(more).unionByName(copies))  # written: what it came from can go
+    reach = connected_components(joined.unionByName(more))
+    grouped = classes.select("same", "low", "times", F.col("low.id").alias("node")).join(reach, "node", "left").select("same", "low", "times", F.coalesce("component", "node").alias("component"))
+    best = grouped.groupBy("component").agg(F.min("low").alias("best"), F.sum("times").alias("rows")).where("rows > 1").select("component", "best")
+    named = held(grouped.join(best, "component").select("same", "times", "best"), "named")
+    found = join_counted(every.select("id", "doc_id", "t", "same"), named, ["same"], every.count())
+    found = materialise(found.select("doc_id", "t", F.col("best.doc_id").alias("component_id"), (F.col("id") == F.col("best.id")).alias("first")), "groups")
     for path in spent:
         discard(docs.sparkSession, path)
-    return reach.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    return found
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` without near copies: of each of :func:`similar_groups` the smallest doc_id stays.
+    """``docs`` without near copies: of each of :func:`similar_groups` the row of the smallest doc_id stays.
 
-    Wordless texts aren't taken as copies of each other, and rows with a null id stay.
+    Null and wordless texts aren't taken as copies of each other and stay. Rows with a null id go if their text is in a group with
+    another row. Of rows equal in doc_id and text any one stays.
     """
-    gone = similar_groups(docs, shingle, least).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    gone = materialise(gone, "gone")  # written: a small one is then joined without moving texts
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    groups = similar_groups(docs, shingle, least)
+    names = groups.groupBy("doc_id", "t").agg(F.max("first").alias("first"), F.count("*").alias("n"))
+    names = materialise(names.where("n > 1 or not first"), "gone")  # written: a small one is then joined without moving texts
+    kept = without(docs, names)
+    again = names.where("first")
+    if again.isEmpty():
+        return kept
+    named = again.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    repeated = docs.join(named, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (text_key("text") == F.col("_t")), "left_semi")
+    return kept.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
