@@ -42,10 +42,14 @@ def text_key(text: Column | str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def is_row(docs: DataFrame, named: DataFrame) -> Column:
+    """Join condition of rows of ``docs`` (doc_id, text, anything else) with their names (doc_id, t) in a written table."""
+    return docs["doc_id"].cast("bigint").eqNullSafe(named["doc_id"]) & (text_key(docs["text"]) == named["t"])
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``gone`` (doc_id, t) names by id and text; a null id equals a null id."""
-    named = gone.select(F.col("doc_id").alias("_gone_id"), F.col("t").alias("_gone_text"))
-    return docs.join(named, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone_id")) & (text_key("text") == F.col("_gone_text")), "left_anti")
+    """``docs`` without the rows that the written table ``gone`` (doc_id, t) names by id and text; a null id equals a null id."""
+    return docs.join(gone, is_row(docs, gone), "left_anti")
 
 
 #: Rows that a table of the commonest keys can have: each key of it has more than one in so many of all rows.

@@ -4,218 +4,274 @@ Seeds, runs of five tokens that a document shares with a benchmark item, choose
 shared seeds could cover enough of the item. For those, running Karp-Rabin marks the longest common
 runs that don't overlap, again and again; the share of the item under tiles is its coverage. Tiles
 lie anywhere in the document, so an item whose parts come in another order is found as well.
+
+Documents are read and tokenized once. A bitmap of the benchmark's seeds, of bounded size whatever the
+benchmark's, leaves of each text the words in seeds that some item may have; everything else is joined by
+shuffles: seeds to seeds, pairs to texts and items. No part of either table passes through the driver.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import rows_of, slices
-from graphloom.plans.scratch import materialise
+from graphloom.llm.common import rows_of, slices, text_key, without
+from graphloom.llm.rolling import Sums, Texts, WordHash
+from graphloom.plans.scratch import discard, materialise, materialise_at
 
 SEED = 5
 COVERAGE = 0.8
-#: Tokens of benchmark items that are sent to the executors at a time.
-BLOCK_TOKENS = 2_000_000
-_TOKEN = re.compile(r"\w+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the bitmap of seeds at most: 16 MB.
+MOST_BITS = 1 << 27
+_BUCKET = 1 << 15  # bits of one of Spark's bitmaps
+# Runs of word characters; of scripts that are written without blanks each character is a token.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+_TOKEN = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+")
 
 
 def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
-def _rolling(ids: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all runs of ``length`` ids."""
-    n = len(ids) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for k in range(length):
-        total = total * _BASE + (ids[k : k + n].astype(np.uint64) + np.uint64(2)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return total ^ (total >> np.uint64(29))
+def _free_runs(free: np.ndarray) -> np.ndarray:
+    """How many places are free from each place on."""
+    at = np.arange(len(free))
+    ends = np.minimum.accumulate(np.where(free, len(free), at)[::-1])[::-1]
+    return ends - at
 
 
 def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(item place, text place, length) of tiles of at least ``least`` ids, longest first.
+    """(item place, text place, length) of tiles of at least ``least`` words (hashes), longest first.
 
-    Negative ids match nothing. The search length halves from the longest match expected to ``least``; a far
-    longer match restarts from its length. Ties go to the earlier place in the item, then in the text.
+    Words of 0 match nothing. Ties go to the earlier place in the item, then in the text. Runs of the search
+    length are compared by rolling hashes; that length starts at 20, grows to a far longer match, and halves
+    down to ``least``. What a tile leaves of a longer match goes back among the matches, so that the order is that of
+    always taking the longest run left.
     """
-    free_item, free_text = item >= 0, text >= 0
+    free_item, free_text = item != 0, text != 0
+    in_item, in_text = Sums(item).runs, Sums(text).runs
     tiles: list[tuple[int, int, int]] = []
 
-    def starts(free: np.ndarray, length: int) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(free)])
-        return np.flatnonzero(sums[length:] - sums[:-length] == length) if len(free) >= length else np.zeros(0, np.int64)
-
     def matches(length: int) -> list[tuple[int, int, int]]:
-        at = defaultdict(list)
-        hashes = _rolling(item, length)
-        for i in starts(free_item, length).tolist():
-            at[int(hashes[i])].append(i)
-        hashes, found = _rolling(text, length), []
-        open_ = starts(free_text, length)
-        for j in open_[np.isin(hashes[open_], np.fromiter(at, np.uint64, len(at)))].tolist():
-            for i in at[int(hashes[j])]:
-                if i and j and free_item[i - 1] and free_text[j - 1] and item[i - 1] == text[j - 1]:
-                    continue  # part of a match that began before
-                k = 0
-                while i + k < len(item) and j + k < len(text) and free_item[i + k] and free_text[j + k] and item[i + k] == text[j + k]:
-                    k += 1
-                if k >= length:
-                    found.append((i, j, k))
+        """All common runs of at least ``length`` free words that can't be longer, as (-length, item place, text place)."""
+        run_item, run_text = _free_runs(free_item), _free_runs(free_text)
+        mine, theirs = np.flatnonzero(run_item >= length), np.flatnonzero(run_text >= length)
+        if not len(mine) or not len(theirs):
+            return []
+        keys = in_item(mine, mine + length)
+        order = np.argsort(keys, kind="stable")
+        mine, keys = mine[order], keys[order]
+        hashes = in_text(theirs, theirs + length)
+        low, high = np.searchsorted(keys, hashes, "left"), np.searchsorted(keys, hashes, "right")
+        ends = np.cumsum(high - low)
+        found, begin = [], 0
+        while begin < len(theirs):  # a million pairs of places at a time
+            base = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, base + 1_000_000, "right")))
+            sizes = (high - low)[begin:stop]
+            j = np.repeat(theirs[begin:stop], sizes)
+            i = mine[np.repeat(low[begin:stop], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+            begin = stop
+            inner = (i > 0) & (j > 0)
+            inner[inner] = free_item[i[inner] - 1] & free_text[j[inner] - 1] & (item[i[inner] - 1] == text[j[inner] - 1])
+            i, j = i[~inner], j[~inner]  # others are part of a match that begins before
+            sure, most = np.full(len(i), length), np.minimum(run_item[i], run_text[j])
+            while (sure < most).any():  # the longest equal run, by halving
+                tried = (sure + most + 1) // 2
+                equal = in_item(i, i + tried) == in_text(j, j + tried)
+                sure, most = np.where(equal, tried, sure), np.where(equal, most, tried - 1)
+            found += zip((-sure).tolist(), i.tolist(), j.tolist(), strict=True)
         return found
 
     length = max(least, min(20, len(item), len(text)))
-    while True:
+    while free_item.any():
         found = matches(length)
-        longest = max((k for _, _, k in found), default=0)
+        longest = -min(found)[0] if found else 0
         if longest > 2 * length:
             length = longest
             continue
-        for i, j, k in sorted(found, key=lambda m: (-m[2], m[0], m[1])):
-            if free_item[i : i + k].all() and free_text[j : j + k].all():
+        heapq.heapify(found)
+        while found and free_item.any():
+            k, i, j = heapq.heappop(found)
+            k = -k
+            open_ = free_item[i : i + k] & free_text[j : j + k] & (item[i : i + k] == text[j : j + k])
+            if open_.all():
                 tiles.append((i, j, k))
                 free_item[i : i + k] = free_text[j : j + k] = False
-        if found:
-            continue  # what a longer tile cut short may still hold a match of this length
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if b - a >= length:
+                    heapq.heappush(found, (a - b, i + a, j + a))
         if length == least:
-            return tiles
+            break
         length = max(least, length // 2)
+    return tiles
+
+
+def coverage(item: np.ndarray, text: np.ndarray, seed: int, least: float) -> float:
+    """Share of the item under tiles; 0 where the seeds that it shares can't cover ``least`` of it."""
+    starts = np.arange(len(item) - seed + 1)
+    if not len(starts) or len(text) < seed:
+        return 0.0
+    at = np.arange(len(text) - seed + 1)
+    shared = np.isin(Sums(item).runs(starts, starts + seed), Sums(text).runs(at, at + seed))
+    edge = np.zeros(len(item) + 1, np.int64)
+    np.add.at(edge, starts[shared], 1)
+    np.add.at(edge, starts[shared] + seed, -1)
+    if (np.cumsum(edge[:-1]) > 0).sum() < least * len(item):
+        return 0.0
+    return sum(k for _, _, k in greedy_tiles(item, text, seed)) / len(item)
+
+
+def _items(benchmark: DataFrame, seed: int) -> DataFrame:
+    """(item, item_id, words, n, seeds): distinct items as word hashes, with the hashes of their seeds by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in slices(batches):
+            texts = Texts(batch.column("text").to_pylist(), tokens, hashes)
+            starts, text = texts.windows(seed)
+            seeds = texts.runs(starts, starts + seed).view(np.int64)
+            cuts = np.searchsorted(text, np.arange(len(texts.counts) + 1))
+            words = [texts.words[b : b + n].astype("<u8").tobytes() for b, n in zip(texts.begins, texts.counts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item_id"), pa.array(words, pa.binary()), pa.array(texts.counts), pa.array([seeds[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.list_(pa.int64()))],
+                ["item_id", "words", "n", "seeds"],
+            )
+
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    known = rows.mapInArrow(run, "item_id bigint, words binary, n bigint, seeds array<bigint>").where(F.col("n") >= seed).dropDuplicates(["item_id", "words"])
+    return known.select(F.monotonically_increasing_id().alias("item"), "item_id", "words", "n", "seeds")
+
+
+def _bitmap(seeds: DataFrame, most: int) -> np.ndarray:
+    """Bits of the hashes modulo their number, which is a power of two up to ``most``."""
+    count = seeds.agg(F.approx_count_distinct("seed")).first()[0]
+    bits = min(most, max(_BUCKET, 1 << math.ceil(math.log2(16 * count + 1))))
+    place = (F.col("seed").bitwiseAND(F.lit(bits - 1)) + 1).cast("bigint")
+    parts = seeds.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    held = np.zeros(bits // 8, np.uint8)
+    for row in parts.toLocalIterator():  # at most ``most`` bits in all
+        held[(row.bucket - 1) * _BUCKET // 8 :][: _BUCKET // 8] = np.frombuffer(row.bits, np.uint8)
+    return held
+
 
+def _scan(docs: DataFrame, bitmap: np.ndarray, seed: int) -> DataFrame:
+    """(row, doc_id, t, seeds, words) of each row: hashes of seeds that some item may have, and the words in them, runs apart by 0."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # at most MOST_BITS
 
-class Index:
-    """Seeds of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], seed: int):
-        self.seed = seed
-        self.vocabulary: dict[str, int] = {}
-        self.items = [(key, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64)) for key, words in items]
-        parts = [_rolling(ids, seed) for _, ids in self.items]
-        hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.item = np.repeat(np.arange(len(parts)), [len(p) for p in parts])[order]
-        self.place = np.concatenate([np.arange(len(p)) for p in parts])[order] if parts else self.item
-
-    def coverages(self, texts: list[str | None], least: float) -> list[list[tuple[int, float]]]:
-        """For each text the (key, coverage) of items covered at least that much."""
-        words = [tokens(t) for t in texts]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        get = self.vocabulary.get
-        flat = np.fromiter((get(w, -1) for w in chain.from_iterable(words)), np.int64, int(counts.sum()))
-        out: list[list[tuple[int, float]]] = [[] for _ in texts]
-        n, seed = len(flat) - self.seed + 1, self.seed
-        if n <= 0 or not len(self.hashes):
-            return out
-        owner = np.repeat(np.arange(len(counts)), counts)
-        known = np.concatenate([[0], np.cumsum(flat >= 0)])
-        at = np.flatnonzero((known[seed:] - known[:-seed] == seed) & (owner[:n] == owner[seed - 1 :]))
-        hashes = _rolling(flat, seed)[at]
-        low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
-        hit = high > low
-        at, low, high = at[hit], low[hit], high[hit]
-        begins = np.cumsum(counts) - counts
-        cuts = np.flatnonzero(np.diff(owner[at])) + 1 if len(at) else []
-        for group in np.split(np.arange(len(at)), cuts) if len(at) else []:
-            text = int(owner[at[group[0]]])
-            sizes = high[group] - low[group]
-            rows = np.repeat(low[group], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            seeds = np.unique(np.stack([self.item[rows], self.place[rows]]), axis=1)
-            mine = flat[begins[text] : begins[text] + counts[text]]
-            shared = np.zeros(len(mine) + 1, np.int64)
-            np.add.at(shared, at[group] - begins[text], 1)
-            np.add.at(shared, at[group] - begins[text] + seed, -1)
-            reduced = np.where(np.cumsum(shared[:-1]) > 0, mine, -1)
-            edge = (reduced >= 0) | np.concatenate([[False], reduced[:-1] >= 0])
-            reduced = reduced[edge]  # words in no seed are in no tile; one of them keeps runs apart
-            for k in np.unique(seeds[0]).tolist():
-                key, ids = self.items[k]
-                reach = np.zeros(len(ids) + 1, np.int64)
-                np.add.at(reach, seeds[1][seeds[0] == k], 1)
-                np.add.at(reach, seeds[1][seeds[0] == k] + seed, -1)
-                if (np.cumsum(reach[:-1]) > 0).sum() < least * len(ids):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, hashes = shared.value, WordHash()
+        mask = np.uint64(8 * len(bitmap) - 1)
+        for batch in slices(batches):
+            texts = Texts(batch.column("text").to_pylist(), tokens, hashes)
+            starts, text = texts.windows(seed)
+            found = texts.runs(starts, starts + seed)
+            place = found & mask
+            hit = (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            starts, text, found = starts[hit], text[hit], found[hit].view(np.int64)
+            edge = np.zeros(len(texts.words) + 1, np.int64)
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + seed, -1)
+            inside = np.cumsum(edge[:-1]) > 0
+            cuts = np.searchsorted(text, np.arange(len(texts.counts) + 1))
+            seeds, words = [], []
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a == b:
+                    seeds.append([])
+                    words.append(None)
                     continue
-                covered = sum(n for _, _, n in greedy_tiles(ids, reduced, seed)) / len(ids)
-                if covered >= least:
-                    out[text].append((key, covered))
-        return out
+                span = slice(texts.begins[k], texts.begins[k] + texts.counts[k])
+                mine = inside[span]
+                reduced = np.where(mine, texts.words[span], 0)
+                seeds.append(np.unique(found[a:b]))
+                words.append(reduced[mine | np.concatenate([[False], mine[:-1]])].astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc_id"), batch.column("t"), pa.array(seeds, pa.list_(pa.int64())), pa.array(words, pa.binary())],
+                ["row", "doc_id", "t", "seeds", "words"],
+            )
 
+    rows = rows_of(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key("text").alias("t"), "text")
+    return rows.mapInArrow(run, "row bigint, doc_id bigint, t bigint, seeds array<bigint>, words binary")
 
-def _blocks(benchmark: DataFrame, seed: int, most: int) -> Iterator[Index]:
-    held, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").toLocalIterator():
-        words = tokens(row.text)
-        if len(words) < seed:
-            continue
-        if size and size + len(words) > most:
-            yield Index(held, seed)
-            held, size = [], 0
-        held.append((row.item_id, words))
-        size += len(words)
-    yield Index(held, seed)
+
+def _candidates(scanned: DataFrame, items: DataFrame, seed: int, least: float) -> DataFrame:
+    """(row, item) that share enough seeds for a coverage of ``least``.
+
+    Tiles of at least ``seed`` words that cover so much of an item of n words hold ``least`` * n / ``seed`` of its seeds or more. The
+    commonest seeds of the benchmark, half that many of each item, are left out and the rest asked for: formulas that
+    most items begin with don't pair all of them with every text that has them.
+    """
+    places = items.select("item", "n", F.posexplode("seeds").alias("place", "seed"))
+    common = places.groupBy("seed").agg(F.count("*").alias("times"))
+    needed = F.ceil(F.col("n") * least / seed - 1e-9)
+    ranked = places.join(common, "seed").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("times"), "place")))
+    kept = ranked.where(F.col("rank") > F.floor(needed / 2)).select("item", "seed", (needed - F.floor(needed / 2)).alias("wanted"))
+    hits = scanned.where(F.size("seeds") > 0).select("row", F.explode("seeds").alias("seed"))
+    met = hits.join(kept, "seed").groupBy("row", "item").agg(F.count("*").alias("shared"), F.first("wanted").alias("wanted"))
+    return met.where("shared >= wanted").select("row", "item")
+
+
+def _covered(docs: DataFrame, benchmark: DataFrame, seed: int, least: float, most_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, t) of ``docs``, and (row, items, coverage) of those that hold items."""
+    spent: list[str] = []
+
+    def held(df: DataFrame, tag: str) -> DataFrame:
+        table, path = materialise_at(df, tag)
+        spent.append(path)
+        return table
+
+    items = held(_items(benchmark, seed), "items")
+    bitmap = _bitmap(items.select(F.explode("seeds").alias("seed")), most_bits)
+    scanned = held(_scan(docs, bitmap, seed), "seeds")
+    pairs = _candidates(scanned, items, seed, least)
+    both = pairs.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item").join(scanned.select("row", "words"), "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("item_words", "words"))
+            shares = [coverage(np.frombuffer(i, "<u8"), np.frombuffer(w, "<u8"), seed, least) for i, w in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item_id"), pa.array(shares, pa.float64())], ["row", "item_id", "share"])
+
+    shares = both.select("row", "item_id", "item_words", "words").mapInArrow(run, "row bigint, item_id bigint, share double").where(F.col("share") >= least)
+    found = materialise(shares.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("share").alias("coverage")), "covered")
+    rows = materialise(scanned.select("row", "doc_id", "t"), "rows")
+    for path in spent:
+        discard(docs.sparkSession, path)
+    return rows, found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, least: float = COVERAGE, block: int = BLOCK_TOKENS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, least: float = COVERAGE, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, n_items, item_ids, max_coverage, contaminated) of each row of ``docs`` (doc_id, text).
 
     ``item_ids`` are the benchmark items (item_id, text) of which at least ``least`` of the tokens lie under tiles
-    of at least ``seed`` tokens, ascending and comma-joined. Tokens are lower-cased runs of word characters. Null
-    and empty texts hold nothing; items with fewer than ``seed`` tokens or a null id can't be found, and rows that
-    repeat an item count once. The benchmark goes to the executors in blocks of at most ``block`` tokens,
-    each scanning the documents once, so its size bounds no memory.
+    of at least ``seed`` tokens, ascending and comma-joined. Tokens are lower-cased runs of word characters, and single
+    characters of scripts without blanks; they are compared by 64-bit hashes. Null
+    and empty texts hold nothing; items with fewer than ``seed`` tokens, a null text or a null id can't be found, rows that
+    repeat an item count once, and an id with several texts is found by any. A benchmark too large for a bitmap of
+    ``most_bits`` only makes it choose less: candidates are joined by their seeds all the same.
     """
-    scans = []
-    rows = rows_of(docs, "doc_id", "text")
-    for index in _blocks(benchmark, seed, block):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in slices(batches):
-                found = [sorted(set(x)) for x in index.coverages(batch.column("text").to_pylist(), least)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array([[key for key, _ in x] for x in found], pa.list_(pa.int64())),
-                        pa.array([max((c for _, c in x), default=0.0) for x in found], pa.float64()),
-                        batch.column("row"),
-                    ],
-                    ["doc_id", "items", "coverage", "row"],
-                )
-
-        scans.append(rows.withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, items array<bigint>, coverage double, row bigint"))
-    found = scans[0]
-    if len(scans) > 1:
-        others = scans[1].where(F.size("items") > 0)
-        for scan in scans[2:]:
-            others = others.unionByName(scan.where(F.size("items") > 0))
-        more = others.groupBy("doc_id", "row").agg(F.flatten(F.collect_set("items")).alias("more"), F.max("coverage").alias("most"))
-        base, more = scans[0].alias("b"), more.alias("m")
-        found = base.join(more, F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("b.row").eqNullSafe(F.col("m.row")), "left").select(
-            "b.doc_id", F.concat("b.items", F.coalesce("m.more", F.array().cast("array<bigint>"))).alias("items"), F.greatest("b.coverage", "m.most").alias("coverage")
-        )
-    items = F.array_sort(F.array_distinct("items"))
-    return found.select(
+    rows, found = _covered(docs, benchmark, seed, least, most_bits)
+    items = F.coalesce("items", F.array().cast("array<bigint>"))
+    return rows.join(found, "row", "left").select(
         "doc_id",
         F.size(items).alias("n_items"),
         F.array_join(items.cast("array<string>"), ",").alias("item_ids"),
-        F.col("coverage").alias("max_coverage"),
+        F.coalesce("coverage", F.lit(0.0)).alias("max_coverage"),
         (F.size(items) > 0).alias("contaminated"),
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without documents that hold a benchmark item; rows with a null id stay."""
-    gone = contamination(docs, benchmark, **how).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialise(gone, "gone")  # written: a small one is then joined without moving texts
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` without the texts that hold a benchmark item, whatever their id; other texts with the same id stay."""
+    rows, found = _covered(docs, benchmark, **{"seed": SEED, "least": COVERAGE, "most_bits": MOST_BITS, **how})
+    gone = materialise(rows.join(found, "row", "left_semi").select("doc_id", "t").distinct(), "gone")  # written: a small one is then joined without moving texts
+    return without(docs, gone)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import rows_of, text_key
+from graphloom.llm.common import is_row, rows_of, text_key
 from graphloom.plans.scratch import discard, materialise, materialise_at
 
 #: Words from which equal lines count in the query, and from which an edit leaves a similarity of 0.8.
@@ -165,9 +165,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Equal lines count at any length: one of a script without blanks, a link or encoded data is a single word.
     Rows that lose nothing stay as they are, whatever they hold. n_chars, where it exists, follows the text.
     """
-    found = removed_lines(docs, least_equal=1).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("removed").alias("_removed")).distinct()
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, n: F.struct(x.alias("x"), n.alias("n"))), lambda s: ~F.array_contains("_removed", s["n"]))
-    joined = docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")) & (text_key(docs.text) == F.col("_t")), "left")
-    cut = joined.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(lines, lambda s: s["x"]), "\n")))
-    kept = cut.where(F.col("_removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("_id", "_t", "_removed")
-    return kept.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else kept
+    found = materialise(removed_lines(docs, least_equal=1).where(F.size("removed") > 0).select("doc_id", "t", F.col("removed").alias("_removed")).distinct(), "gone")
+    joined = docs.join(found, is_row(docs, found), "left")
+    gone = found["_removed"]
+    lines = F.filter(F.transform(F.split(docs["text"], "\n"), lambda x, n: F.struct(x.alias("x"), n.alias("n"))), lambda s: ~F.array_contains(gone, s["n"]))
+    text = F.when(gone.isNull(), docs["text"]).otherwise(F.array_join(F.transform(lines, lambda s: s["x"]), "\n"))
+    put = {"text": text, "n_chars": F.when(gone.isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
+    kept = joined.where(gone.isNull() | text.rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*[put[c].alias(c) if c in put else docs[c] for c in docs.columns])

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import join_counted, rows_of, slices, text_key, without
+from graphloom.llm.common import is_row, join_counted, rows_of, slices, text_key, without
 from graphloom.plans.fixpoint import connected_components
 from graphloom.plans.scratch import discard, materialise, materialise_at
 
@@ -283,6 +283,5 @@ def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFra
     again = names.where("first")
     if again.isEmpty():
         return kept
-    named = again.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
-    repeated = docs.join(named, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (text_key("text") == F.col("_t")), "left_semi")
+    repeated = docs.join(again, is_row(docs, again), "left_semi")
     return kept.unionByName(repeated.dropDuplicates(["doc_id", "text"]))

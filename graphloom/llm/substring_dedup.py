@@ -14,95 +14,37 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import rows_of, slices, text_key
+from graphloom.llm.common import join_counted, rows_of, slices, text_key
+from graphloom.llm.rolling import Texts, WordHash
 from graphloom.plans.scratch import discard, materialise, materialise_at
 
 WINDOW = 20
 ANCHOR = 8
 #: Distinct anchors of a bucket that one task compares.
 BUCKET = 500_000
-_BASE = 0x9E3779B97F4A7C15 | 5
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-class _Powers:
-    """Powers of the base modulo 2**64 and of its inverse, as many as asked for."""
+class Passages(Texts):
+    """Stretches of a list of texts."""
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
-
-
-class _WordHash(dict):
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh64_intdigest(word.encode(), 1)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value
-        return value
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-class Passages:
-    """Hashes of any run of words of a list of texts."""
-
-    def __init__(self):
-        self.powers, self.hashes = _Powers(), _WordHash()
-
-    def load(self, texts: list[str | None]) -> None:
-        words = [_WORDS.findall(t) if t else [] for t in texts]
-        self.counts = np.fromiter(map(len, words), np.int64, len(words))
-        self.begins = np.cumsum(self.counts) - self.counts
-        n = int(self.counts.sum())
-        get = self.hashes.__getitem__
-        flat = np.fromiter(map(get, chain.from_iterable(words)), np.uint64, n)
-        up, self.down = self.powers(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(flat * up[:n], out=self.sums[1:])
-
-    def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
-
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all windows of ``length`` words, and the text each lies in."""
-        each = np.maximum(self.counts - length + 1, 0)
-        text = np.repeat(np.arange(len(each)), each)
-        return self.begins[text] + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each), text
+    def __init__(self, texts: list[str | None], hashes: WordHash):
+        super().__init__(texts, _WORDS.findall, hashes)
 
     def stretches(self, window: int, anchor: int) -> tuple[np.ndarray, ...]:
         """(text, first window, windows, anchor hash, hash of the stretch) by text and place."""
         starts, text = self.windows(window)
         if not len(starts):
             return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-        last = len(self.sums) - anchor
+        last = len(self.words) + 1 - anchor
         at = np.arange(max(last, 0))
         grams = self.runs(at, at + anchor)
         # leftmost minimum of each run of grams, by doubling its reach
@@ -136,9 +78,9 @@ def _anchor_blobs(docs: DataFrame, buckets: int, window: int, anchor: int) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages, compress = Passages(), zstandard.ZstdCompressor(level=1).compress
+        hashes, compress = WordHash(), zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches):
-            passages.load(batch.column("text").to_pylist())
+            passages = Passages(batch.column("text").to_pylist(), hashes)
             text, first, n, a, f = passages.stretches(window, anchor)
             ids = batch.column("doc_id")
             null = np.asarray(ids.is_null())[text]
@@ -227,7 +169,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
         found.groupBy("a", "f").agg(F.min(_spot("first", "n")).alias("head"), F.count("*").alias("times")), "stretches"
     )
     again = (
-        found.join(classes.where("times > 1"), ["a", "f"])
+        join_counted(found, classes.where("times > 1"), ["a", "f"], found.count())  # the commonest stretches stay where they are
         .where(~_spot("first", "n").eqNullSafe(F.col("head")))
         .select("doc_id", "t", "first", "n")
     )
@@ -238,9 +180,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     asked = _with(texts, wanted, "wanted", "inner")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages, unpack = Passages(), zstandard.ZstdDecompressor().decompress
+        hashes, unpack = WordHash(), zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, "z", 1_500_000):
-            passages.load([unpack(z).decode() for z in batch.column("z").to_pylist()])
+            passages = Passages([unpack(z).decode() for z in batch.column("z").to_pylist()], hashes)
             rows = [(i, w["a"], w["first"], w["n"]) for i, ws in enumerate(batch.column("wanted").to_pylist()) for w in ws]
             i, a, first, n = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 4
             which = np.repeat(np.arange(len(n)), n)

@@ -1,6 +1,8 @@
 """Operators against brute force on small tables with nulls, empty texts, ties and repeated rows."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -274,36 +276,82 @@ def test_decontamination(spark, data):
     words = items[0][1].split()
     third = len(words) // 3
     moved = " ".join([*words[2 * third :], "between", "them", *words[:third], "and", *words[third : 2 * third]])
-    rows = [(1, "intro " + items[1][1].upper() + "!!"), (2, moved), (3, " ".join(words[:third])), (4, None), (5, ""), (6, "quite other text " * 30)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    bench = spark.createDataFrame(items + [items[1]], "item_id bigint, text string")
-    for block in (2_000_000, 200):
-        got = {r.doc_id: r.item_ids for r in decontaminate.contamination(df, bench, block=block).collect()}
-        assert got == {1: str(items[1][0]), 2: str(items[0][0]), 3: "", 4: "", 5: "", 6: ""}
+    spaced = "人工智能的历史可以追溯到上个世纪"
+    rows = [(1, "intro " + items[1][1].upper() + "!!"), (2, moved), (3, " ".join(words[:third])), (4, None), (5, ""), (6, "quite other text " * 30), (7, f"前言{spaced}。")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS row", "2 AS t", "'x' AS words")
+    bench = spark.createDataFrame(items + [items[1], (None, items[2][1]), (9000, None), (9001, "too short"), (9002, spaced)], "item_id bigint, text string")
+    for bits in (1 << 27, 1 << 15):
+        got = {r.doc_id: r.item_ids for r in decontaminate.contamination(df, bench, most_bits=bits).collect()}
+        assert got == {1: str(items[1][0]), 2: str(items[0][0]), 3: "", 4: "", 5: "", 6: "", 7: "9002"}
+
+
+def tiled_by_brute_force(item, text, least):
+    free_i, free_t, out = [True] * len(item), [True] * len(text), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                k = 0
+                while i + k < len(item) and j + k < len(text) and free_i[i + k] and free_t[j + k] and item[i + k] == text[j + k]:
+                    k += 1
+                if k > best[2]:
+                    best = (i, j, k)
+        if best[2] < least:
+            return out
+        out.append(best)
+        for k in range(best[2]):
+            free_i[best[0] + k] = free_t[best[1] + k] = False
 
 
 def test_greedy_tiles_against_brute_force():
     rng = random.Random(5)
-    for _ in range(60):
-        item, text = np.array(rng.choices(range(4), k=rng.randrange(5, 40))), np.array(rng.choices(range(4), k=rng.randrange(5, 60)))
-        free_i, free_t, want = [True] * len(item), [True] * len(text), []
-        while True:
-            best = (0, 0, 0)
-            for i in range(len(item)):
-                for j in range(len(text)):
-                    k = 0
-                    while i + k < len(item) and j + k < len(text) and free_i[i + k] and free_t[j + k] and item[i + k] == text[j + k]:
-                        k += 1
-                    if k > best[2]:
-                        best = (i, j, k)
-            if best[2] < 3:
-                break
-            want.append(best)
-            for k in range(best[2]):
-                free_i[best[0] + k] = free_t[best[1] + k] = False
-        got = decontaminate.greedy_tiles(item, text, 3)
-        assert [k for _, _, k in got][:1] == [k for _, _, k in want][:1]
-        assert abs(sum(k for _, _, k in got) - sum(k for _, _, k in want)) <= 6
+    for round_ in range(80):
+        item, text = rng.choices(range(1, 4 + round_ % 3), k=rng.randrange(5, 60)), rng.choices(range(1, 4 + round_ % 3), k=rng.randrange(5, 90))
+        got = decontaminate.greedy_tiles(np.array(item, np.uint64), np.array(text, np.uint64), 3)
+        assert got == tiled_by_brute_force(item, text, 3)
+
+
+def test_coverage_against_brute_force(spark):
+    """Documents made of shuffled, cut and doubled parts of items: the share of each item under tiles, and so each pair."""
+    rng = random.Random(8)
+    items = [(k, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(4, 30)))) for k in range(12)]
+    docs = []
+    for d in range(80):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            words = rng.choice(items)[1].split()
+            a = rng.randrange(len(words))
+            parts.append(words[a : a + rng.randrange(4, 30)] if rng.random() < 0.5 else words)
+        rng.shuffle(parts)
+        docs.append((d, " ".join(w for p in parts for w in [*p, *rng.choices(["x", "y", "w1"], k=rng.randrange(3))])))
+    want = {}
+    for d, text in docs:
+        shares = {k: sum(n for _, _, n in tiled_by_brute_force(i.split(), text.split(), 5)) / len(i.split()) for k, i in items}
+        held = sorted(k for k, share in shares.items() if share >= 0.8)
+        want[d] = (",".join(map(str, held)), max((shares[k] for k in held), default=0.0))
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {r.doc_id: (r.item_ids, r.max_coverage) for r in got} == want
+    assert len({v for v, _ in want.values()}) > 10
+
+
+def test_tiles_of_periodic_and_long_texts():
+    item = np.array([7] * 50, np.uint64)
+    assert sum(k for _, _, k in decontaminate.greedy_tiles(item, np.full(300_000, 7, np.uint64), 5)) == 50
+    long = np.random.default_rng(2).integers(1, 1 << 40, 60_000).astype(np.uint64)
+    assert decontaminate.greedy_tiles(long, np.concatenate([long[30_000:], long[:30_000]]), 5) == [(0, 30_000, 30_000), (30_000, 0, 30_000)]
+
+
+def test_removals_by_row(spark, data):
+    """Ids on several texts, equal rows and null ids: each row is judged as itself."""
+    item = spark.read.parquet(f"{data}/benchmark.parquet").where("length(text) > 150").first()
+    bench = spark.createDataFrame([(item.item_id, item.text)], "item_id bigint, text string")
+    clean = "A clean text that shares nothing with any of the others here at all"
+    rows = spark.createDataFrame([(1, item.text), (1, clean), (None, item.text), (None, "Other words than those that nobody else here has said so far at all"), (5, clean), (5, clean), (6, None)], "doc_id bigint, text string").selectExpr("*", "3 AS _gone_id", "4 AS first")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in decontaminate.keep_clean(rows, bench).collect()))) == sorted(map(str, [(1, clean), (None, "Other words than those that nobody else here has said so far at all"), (5, clean), (5, clean), (6, None)]))
+    kept = simhash.keep_first(rows).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [(1, item.text), (1, clean), (None, "Other words than those that nobody else here has said so far at all"), (6, None)]))
+    learnt = rows.selectExpr("*", "'en' AS lang")
+    assert sorted(str(r.doc_id) for r in language_id.keep_known(learnt).collect()) == ["1", "1", "5", "5", "None", "None"]
 
 
 def test_language_and_quality_on_held_out(spark):
@@ -317,6 +365,38 @@ def test_language_and_quality_on_held_out(spark):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.93
 
 
+def test_language_scores_against_plain_bayes(spark):
+    """Counts, priors and posteriors in plain Python; n-grams are told apart by bucket as the operator does."""
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [(7001, "İSTANBUL\u3000x", "tr"), (7002, "ab", None)]
+    def grams(text):
+        chars = " ".join(["", *text.lower().split(), ""])
+        for n in (1, 2, 3):
+            for i in range(len(chars) - n + 1):
+                h = 0
+                for k, c in enumerate(chars[i : i + n]):
+                    h = (h * 0x9E3779B1 & 0xFFFFFFFF) ^ (ord(c) + k + 1)
+                yield (h * 0x85EBCA6B & 0xFFFFFFFF) >> 18
+    counts, seen = {}, collections.Counter()
+    for doc, text, lang in docs:
+        if text is not None and lang is not None and zlib.crc32(str(doc).encode()) % 4 != 2:
+            counts.setdefault(lang, collections.Counter()).update(grams(text))
+            seen[lang] += 1
+    langs = sorted(counts)
+    size = {lang: sum(counts[lang].values()) + 0.5 * (1 << 14) for lang in langs}
+    got = {r.doc_id: r for r in language_id.language_id(spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()}
+    for doc, text, _ in docs[::7] + docs[-2:]:
+        if not any(map(str.isalpha, text or "")):
+            assert (got[doc].lang_pred, got[doc].score) == ("und", 0.0)
+            continue
+        every = list(grams(text))
+        prior = {lang: math.log(seen[lang] / sum(seen.values())) for lang in langs}
+        sums = {lang: sum(math.log((counts[lang][g] + 0.5) / size[lang]) for g in every) for lang in langs}
+        best = max(langs, key=lambda lang: sums[lang] + prior[lang])
+        fair = {lang: prior[lang] + sums[lang] * min(len(every), 100) / len(every) for lang in langs}
+        assert got[doc].lang_pred == best
+        assert got[doc].score == pytest.approx(1 / sum(math.exp(fair[lang] - fair[best]) for lang in langs), rel=1e-6)
+
+
 def test_language_of_odd_texts(docs):
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.language_id(docs.selectExpr("*", "'en' AS lang")).collect()}
     assert got[1000] == got[1001] == got[1002] == got[1007] == ("und", 0.0) and got[1003][0] == "en"
