@@ -53,7 +53,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json"
     """
     path = public_tokenizers.path(tokenizer)
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many parts as the input has splits, so that parts keep their size
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     level = 3
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +86,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json"
         if held:
             yield flush(len(held) // 4)
 
-    ordered = rows_of(docs, "doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", text_key("text"))
+    rows = rows_of(docs, "doc_id", "text").select("doc_id", "text", text_key("text").alias("t"), F.monotonically_increasing_id().alias("row"))
+    # rows that share an id, equal ones too, may go to several parts
+    ordered = rows.repartitionByRange(parts, "doc_id", "t", "row").sortWithinPartitions("doc_id", "t").select("doc_id", "text")
     ordered.mapInArrow(encode, _STORED).write.parquet(f"{folder}/all")
     stored = spark.read.schema(_STORED).parquet(f"{folder}/all")
     stored.select("part", "block", "first", "n_ids", F.transform("planes", lambda x: F.length(x)).alias("bytes")).write.parquet(f"{folder}/index")

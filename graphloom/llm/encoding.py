@@ -40,14 +40,16 @@ class Encoder(dict):
     """``encoder(text)``: its ids as little-endian unsigned 32-bit bytes; null is an empty text.
 
     ``keep_space``: pieces carry the space before them (byte-level files); otherwise the
-    file lower-cases and white space only separates. Strings of special tokens in a text
-    are ordinary text. At most ``most`` pieces of at most ``longest`` characters are held.
+    file lower-cases and white space only separates. A text that holds the string of an added token, special or not, goes
+    through the library whole: such a string is that token, as the library has it. At most ``most`` pieces of at most
+    ``longest`` characters are held.
     """
 
     def __init__(self, path: str, keep_space: bool, most: int = 400_000, longest: int = 48):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))).search if added else None
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # pieces are held here
         self.find = (_SPACED if keep_space else _BARE).findall
@@ -74,6 +76,9 @@ class Encoder(dict):
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.added and self.added(text.lower()):
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(found)}I", *found)
         # these capitals' lower case depends on their place or has several characters: the library knows
         if self.lower and "\u03a3" not in text and "\u0130" not in text:
             text = text.lower()

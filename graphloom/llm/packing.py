@@ -110,7 +110,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
 
     part = (
         parts.where(F.col("length") < capacity)
-        .withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+        .withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))  # equal rows spread as well
         .groupBy("_group")
         .applyInPandas(place, schema)
     )

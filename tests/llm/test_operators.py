@@ -27,7 +27,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def docs(spark, data):
     """Documents of the smallest tables, odd ones, and a column that clashes with an operator's."""
     real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
-    odd = [(1000, None), (1001, ""), (1002, "   \n\t "), (1007, "² 12"), (1003, "The the the ßtraße İ Σ don't foo-bar 12³ x'y,z"), (1004, "one two three four five six seven"), (1005, "one two three four FIVE six seven"), (1006, "word " * 3000)]
+    odd = [(1000, None), (1001, ""), (1002, "   \n\t "), (1007, "² 12"), (1003, "The the the ßtraße İ Σ don't foo-bar 12³ x'y,z"), (1004, "one two three four five six seven"), (1005, "one two three four FIVE six seven"), (1006, "word " * 3000), (1008, "before <|endoftext|>after<|startoftext|> x<|EndOfText|>")]
     return spark.createDataFrame(real + odd + [odd[4], real[3]], "doc_id bigint, text string").selectExpr("*", "1 AS first", "'x' AS z", "2.0 AS score")
 
 
@@ -43,7 +43,6 @@ def empty(docs):
 
 def ids_of(name, text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
