@@ -144,8 +144,66 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, sentences): the lines of each document that aren't blank; a document is a source."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select(F.col("doc_id").alias("source_id"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("sentences"))
+
+
+def _drawn(spark: SparkSession, sf_dir: str, many: int) -> DataFrame:
+    """Documents of twelve words or more, with a running number i from 0."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    return d.where(F.size("w") >= 12).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+
+
+# References to sentences as models write them, sound, out of range, repairable and missing.
+REFERENCES = ("S1", "S1-S3", "S2,S1", "S900000", "S1 to S2", "s2", "first line")
+
+
+def _picked(values: tuple, at: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(at, F.lit(len(values))).cast("int"))
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities as a model would extract them: eight of each document, some structural, generic, junk or ungrounded."""
+    k, i = F.col("k"), F.col("i")
+    w = lambda at: F.get("w", F.pmod(at, F.size("w")).cast("int"))
+    name = (
+        F.when(i == 7, F.concat(F.lit("Chapter "), k % 30)).when((i == 6) & (k % 5 == 0), "the").when(i == 5, w(k * 7))
+        .otherwise(F.concat(w(k * 7 + i * 13), F.lit(" "), w(k * 3 + i * 5)))
+    )
+    kind = _picked(("Person", "Place", "Item", "Title", "person", "Unknown", "Object"), k + i)
+    text = F.when((k + i) % 3 == 0, F.concat(F.lit("A place near "), w(k + i))).when((k + i) % 3 == 1, F.concat(F.lit("Someone called "), w(k * 2 + i)))
+    return _drawn(spark, sf_dir, 8).select(
+        k.alias("source_id"), (i % 3).cast("int").alias("chunk_index"), (k * 8 + i).alias("ordinal"), name.alias("name"), kind.alias("type"),
+        F.when(i % 2 == 0, F.array(w(k * 5 + i * 3))).otherwise(F.array().cast("array<string>")).alias("aliases"),
+        text.alias("description"), F.when((k + i) % 9 != 8, _picked(REFERENCES, k + i * 2)).alias("sent_ref"), F.round(((k * 37 + i * 11) % 100) / 100, 2).alias("confidence"),
+    )
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships as a model would extract them: ten between the entities of each document, self loops and odd types among them."""
+    k, i = F.col("k"), F.col("i")
+    types = ("works_for", "lives_in", "lives_in_city", "works", "totally_unknown", "owner_of", "located_in")
+    return _drawn(spark, sf_dir, 10).select(
+        k.alias("source_id"), (i % 3).cast("int").alias("chunk_index"), (k * 10 + i).alias("ordinal"), (k * 8 + i % 7).alias("source"),
+        (k * 8 + F.when((k + i) % 11 == 0, i % 7).otherwise((i * 3 + 1) % 8)).alias("target"), _picked(types, k + i).alias("type"),
+        _picked(REFERENCES, k * 2 + i).alias("sent_ref"), F.round(((k * 53 + i * 17) % 100) / 100, 2).alias("confidence"),
+    )
+
+
+_REFS = "[" + ", ".join(f"'{r}'" for r in REFERENCES) + "]"
+_DRAWN = "(SELECT *, len(w) AS n, unnest(range({many})) AS i FROM (SELECT doc_id AS k, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents) WHERE len(w) >= 12)"
+
 # Tables above in SQL, by name.
 SQL = {
+    "sentences": "SELECT doc_id AS source_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS sentences FROM documents WHERE text IS NOT NULL",
+    "mentions": f"""SELECT k AS source_id, CAST(i % 3 AS INTEGER) AS chunk_index, k * 8 + i AS ordinal, CASE WHEN i = 7 THEN 'Chapter ' || (k % 30) WHEN i = 6 AND k % 5 = 0 THEN 'the' WHEN i = 5 THEN w[(k * 7) % n + 1] ELSE w[(k * 7 + i * 13) % n + 1] || ' ' || w[(k * 3 + i * 5) % n + 1] END AS name,
+      ['Person', 'Place', 'Item', 'Title', 'person', 'Unknown', 'Object'][(k + i) % 7 + 1] AS type, CASE WHEN i % 2 = 0 THEN [w[(k * 5 + i * 3) % n + 1]] ELSE CAST([] AS VARCHAR[]) END AS aliases,
+      CASE (k + i) % 3 WHEN 0 THEN 'A place near ' || w[(k + i) % n + 1] WHEN 1 THEN 'Someone called ' || w[(k * 2 + i) % n + 1] END AS description,
+      CASE WHEN (k + i) % 9 <> 8 THEN {_REFS}[(k + i * 2) % 7 + 1] END AS sent_ref, round(((k * 37 + i * 11) % 100) / 100.0, 2) AS confidence FROM {_DRAWN.format(many=8)}""",
+    "claims": f"""SELECT k AS source_id, CAST(i % 3 AS INTEGER) AS chunk_index, k * 10 + i AS ordinal, k * 8 + i % 7 AS source, k * 8 + CASE WHEN (k + i) % 11 = 0 THEN i % 7 ELSE (i * 3 + 1) % 8 END AS target,
+      ['works_for', 'lives_in', 'lives_in_city', 'works', 'totally_unknown', 'owner_of', 'located_in'][(k + i) % 7 + 1] AS type, {_REFS}[(k * 2 + i) % 7 + 1] AS sent_ref, round(((k * 53 + i * 17) % 100) / 100.0, 2) AS confidence FROM {_DRAWN.format(many=10)}""",
     "nodes": """SELECT 'c:' || c_custkey AS id, c_name AS label, 'customer' AS template_id, CASE WHEN c_custkey % 97 = 0 THEN 999 ELSE c_nationkey END AS source_id, c_acctbal AS weight FROM customer
       UNION ALL SELECT 's:' || s_suppkey, s_name, 'supplier', s_nationkey, s_acctbal FROM supplier
       UNION ALL SELECT 'p:' || p_partkey, p_name, 'part', NULL, p_retailprice FROM part

@@ -37,140 +37,277 @@ def er_exact(spark, d):
     return exact_names(m.entities(spark, d), []).select("ordinal", "canonical")
 
 
-def greedy_aliases(entities: DataFrame) -> DataFrame:
-    """(source_id, ordinal, canonical): in order, a name or alias that an earlier entity's name equals joins it."""
+def greedy_aliases(entities: DataFrame, typed: bool = False) -> DataFrame:
+    """(source_id, ordinal, canonical): in order, a name or alias that an earlier entity's name equals joins it.
+
+    ``typed`` lets only entities of compatible types join. Entities without a name get no canonical. A source is one
+    document's entities, taken in order.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[str, int] = {}
+        seen: dict[str, list[tuple[int, str]]] = {}
         out = []
-        for source, ordinal, name, aliases in frame.sort_values("ordinal")[["source_id", "ordinal", "name", "aliases"]].itertuples(index=False):
+        rows = frame.sort_values("ordinal")[["source_id", "ordinal", "name", "aliases", "type"]]
+        for source, ordinal, name, aliases, kind in rows.itertuples(index=False):
+            if not (name or "").strip():
+                out.append((source, ordinal, None))
+                continue
+            kind = (kind or "").strip().lower()
             keys = [k.strip().lower() for k in [name, *(aliases if aliases is not None else [])] if k and k.strip()]
-            hit = next((seen[k] for k in keys if k in seen), None)
-            if hit is None and keys:
-                seen[keys[0]] = ordinal
+            fits = lambda other: not typed or other == kind or kind in t.GENERIC_TYPES or other in t.GENERIC_TYPES  # noqa: B023, E731
+            hit = next((o for k in keys for o, other in seen.get(k, ()) if fits(other)), None)
+            if hit is None:
+                seen.setdefault(keys[0], []).append((ordinal, kind))
             out.append((source, ordinal, ordinal if hit is None else hit))
-        return pd.DataFrame(out, columns=["source_id", "ordinal", "canonical"])
+        return pd.DataFrame(out, columns=["source_id", "ordinal", "canonical"]).astype({"canonical": "Int64"})
 
-    return entities.groupBy("source_id").applyInPandas(run, "source_id int, ordinal bigint, canonical bigint")
+    return entities.select("source_id", "ordinal", "name", "aliases", "type").groupBy("source_id").applyInPandas(run, "source_id bigint, ordinal bigint, canonical bigint")
 
 
 @query("er_exact_aliases")
 def er_exact_aliases(spark, d):
-    e = m.entities(spark, d).select("source_id", "ordinal", "name", F.array("brand").alias("aliases"))
-    return greedy_aliases(e)
+    """Tested against a plain loop."""
+    return greedy_aliases(m.mentions(spark, d), typed=True)
 
 
 def adjusted_similarity(a: str, b: str) -> Column:
     """Cosine and bonuses for equal names, a name among the other's aliases, shared aliases; 1 at most."""
+    return F.least(F.lit(1.0), _base(a, b) + _bonus(a, b))
+
+
+def _base(a: str, b: str) -> Column:
+    return cosine(F.col(f"{a}.embedding"), F.col(f"{b}.embedding"))
+
+
+def _bonus(a: str, b: str) -> Column:
     x, y = (lambda c, p=p: F.col(f"{p}.{c}") for p in (a, b))
-    bonus = (
+    keys = lambda c: F.transform(c, lambda k: t.name_key(k))
+    return (
         F.when(t.name_key(x("name")) == t.name_key(y("name")), 0.20).otherwise(0.0)
-        + F.when(F.array_contains(y("aliases"), x("name")), 0.15).otherwise(0.0)
-        + F.when(F.array_contains(x("aliases"), y("name")), 0.15).otherwise(0.0)
-        + F.when(F.arrays_overlap(x("aliases"), y("aliases")), 0.10).otherwise(0.0)
+        + F.when(F.array_contains(keys(y("aliases")), t.name_key(x("name"))), 0.15).otherwise(0.0)
+        + F.when(F.array_contains(keys(x("aliases")), t.name_key(y("name"))), 0.15).otherwise(0.0)
+        + F.when(F.arrays_overlap(keys(x("aliases")), keys(y("aliases"))), 0.10).otherwise(0.0)
     )
-    return F.least(F.lit(1.0), cosine(x("embedding"), y("embedding")) + bonus)
 
 
-def similar_pairs(entities: DataFrame, threshold: float) -> DataFrame:
-    """(left, right, score) with left < right: pairs of one source and type at or above the threshold.
+#: Entities of a source from which only equal types are compared.
+PARTITION_FROM = 50
+
+
+def similar_pairs(entities: DataFrame, threshold: float, no_bonus: float = 0.08) -> DataFrame:
+    """(source_id, left, right, score) with left < right: pairs of one source at or above the threshold.
 
-    The block is source and type; cells of that block are what bounds the pairs.
+    Types must be compatible, in sources of ``PARTITION_FROM`` entities or more equal. Without any bonus the cosine must be ``no_bonus`` above the
+    threshold. Pairs are of one source, a document's entities; sources spread over tasks.
     """
-    a, b = entities.alias("a"), entities.alias("b")
-    block = (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.type") == F.col("b.type")) & (F.col("a.ordinal") < F.col("b.ordinal"))
-    scored = a.join(b, block).select(F.col("a.ordinal").alias("left"), F.col("b.ordinal").alias("right"), adjusted_similarity("a", "b").alias("score"))
-    return scored.where(F.col("score") >= threshold)
+    sized = entities.withColumn("_n", F.count("*").over(Window.partitionBy("source_id"))).withColumn("_kind", F.lower(F.trim(F.coalesce("type", F.lit("unknown")))))
+    a, b = sized.alias("a"), sized.alias("b")
+    fits = F.when(F.col("a._n") >= PARTITION_FROM, F.col("a._kind") == F.col("b._kind")).otherwise(t.types_compatible(F.col("a._kind"), F.col("b._kind")))
+    block = (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.ordinal") < F.col("b.ordinal")) & fits
+    scored = a.join(b, block).select(F.col("a.source_id").alias("source_id"), F.col("a.ordinal").alias("left"), F.col("b.ordinal").alias("right"), _base("a", "b").alias("base"), _bonus("a", "b").alias("bonus"))
+    score = F.least(F.lit(1.0), F.col("base") + F.col("bonus"))
+    bar = threshold + F.when(score <= F.col("base"), no_bonus).otherwise(0.0)
+    return scored.where((score >= threshold) & (score >= bar)).select("source_id", "left", "right", score.alias("score"))
 
 
 def _vectored(spark, d) -> DataFrame:
-    e = m.table(spark, d, "embeddings").where("vec_id < 400")
-    return e.select((F.col("vec_id") % 3).cast("int").alias("source_id"), F.col("vec_id").alias("ordinal"), F.concat(F.lit("name"), F.col("vec_id") % 40).alias("name"), F.col("label").cast("string").alias("type"), F.array(F.concat(F.lit("alias"), F.col("vec_id") % 60)).alias("aliases"), "embedding")
+    """Vectors as entities, forty to sixty to a source."""
+    k = F.col("vec_id")
+    return m.table(spark, d, "embeddings").select(
+        F.floor(k / F.lit(40)).alias("source_id"), k.alias("ordinal"), F.concat(F.lit("Name"), k % 13).alias("name"),
+        F.when(k % 19 == 0, "Thing").otherwise(F.concat(F.lit("t"), F.col("label") % 2)).alias("type"),
+        F.array(F.concat(F.lit("name"), (k * 3) % 17), F.concat(F.lit("alias"), k % 23)).alias("aliases"), F.round((k * 29 % 100) / 100, 2).alias("confidence"), "embedding",
+    )
 
 
-_PAIRS = """SELECT a.vec_id AS l, b.vec_id AS r, least(1.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) + CASE WHEN a.vec_id % 40 = b.vec_id % 40 THEN 0.2 ELSE 0 END + CASE WHEN a.vec_id % 60 = b.vec_id % 60 THEN 0.1 ELSE 0 END) AS score
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 3 = b.vec_id % 3 AND a.vec_id < b.vec_id WHERE b.vec_id < 400"""
+_V = "v AS (SELECT vec_id // 40 AS s, vec_id AS o, 'name' || vec_id % 13 AS n, ['name' || (vec_id * 3) % 17, 'alias' || vec_id % 23] AS al, CASE WHEN vec_id % 19 = 0 THEN 'thing' ELSE 't' || label % 2 END AS ty, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+_PAIRS = f"""WITH {_V}, p AS (SELECT a.s, a.o AS l, b.o AS r, list_cosine_similarity(a.e, b.e) AS base, CASE WHEN a.n = b.n THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN list_contains(b.al, a.n) THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN list_contains(a.al, b.n) THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN list_has_any(a.al, b.al) THEN 0.1::DOUBLE ELSE 0 END AS bonus
+  FROM v a JOIN v b ON a.s = b.s AND a.o < b.o AND (a.ty = b.ty OR a.ty = 'thing' OR b.ty = 'thing')), q AS (SELECT *, least(1.0, base + bonus) AS score FROM p)"""
 
 
-@query("er_similarity", f"SELECT l AS left_id, r AS right_id, round(score, 6) AS score FROM ({_PAIRS}) WHERE score >= 0.3")
+@query("er_similarity", f"{_PAIRS} SELECT l AS left_id, r AS right_id, round(score, 6) AS score FROM q WHERE score >= 0.3 AND (score > base OR score >= 0.38)")
 def er_similarity(spark, d):
     return similar_pairs(_vectored(spark, d), 0.3).select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), F.round("score", 6).alias("score"))
 
 
-@query("similarity_join", "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE b.vec_id < 400 AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.25")
+@query("similarity_join", f"WITH {_V} SELECT a.o AS left_id, b.o AS right_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.s = b.s AND a.o < b.o WHERE list_cosine_similarity(a.e, b.e) >= 0.25")
 def similarity_join(spark, d):
-    e = m.table(spark, d, "embeddings").where("vec_id < 400")
+    """Pairs of each source's vectors by cosine alone."""
+    e = _vectored(spark, d).select("source_id", "ordinal", "embedding")
     a, b = e.alias("a"), e.alias("b")
-    s = cosine(F.col("a.embedding"), F.col("b.embedding"))
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).select(F.col("a.vec_id").alias("left_id"), F.col("b.vec_id").alias("right_id"), s.alias("score"))
+    pairs = a.join(b, (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.ordinal") < F.col("b.ordinal"))).select(F.col("a.ordinal").alias("left_id"), F.col("b.ordinal").alias("right_id"), _base("a", "b").alias("score"))
     return pairs.where("score >= 0.25").withColumn("score", F.round("score", 6))
 
 
-def greedy_merge(pairs: DataFrame, entities: DataFrame) -> DataFrame:
-    """(source_id, ordinal, canonical): in order, an entity not yet taken takes its later partners."""
-    taken = pairs.join(entities.select(F.col("ordinal").alias("left"), "source_id"), "left").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("left", "right"))).alias("pairs"))
+def greedy_merge(pairs: DataFrame, entities: DataFrame, threshold: float, penalty: float = 0.05) -> DataFrame:
+    """(source_id, ordinal, canonical, confidence): in order, an entity not yet taken takes its later partners.
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for source, found in zip(frame["source_id"], frame["pairs"], strict=True):
-                canonical: dict[int, int] = {}
-                for p in found:
-                    a, b = p["left"], p["right"]
-                    if a not in canonical and b not in canonical:
-                        canonical[b] = a
-                out += [(source, k, v) for k, v in canonical.items()]
-            yield pd.DataFrame(out, columns=["source_id", "ordinal", "canonical"])
+    confidence is that of the canonical entity after its merges: the higher one, less ``penalty`` where the score is within 0.10 of the threshold,
+    0.1 at least. Others keep their own.
+    """
+    rows = entities.select("source_id", F.col("ordinal").alias("left"), F.lit(None).cast("bigint").alias("right"), F.coalesce("confidence", F.lit(0.0)).alias("score"))
+    both = rows.unionByName(pairs.select("source_id", "left", "right", "score"))
 
-    moved = taken.mapInPandas(run, "source_id int, ordinal bigint, canonical bigint")
-    return entities.select("source_id", "ordinal").join(moved, ["source_id", "ordinal"], "left").select("source_id", "ordinal", F.coalesce("canonical", "ordinal").alias("canonical"))
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        alone = frame["right"].isna()
+        sure = dict(zip(frame["left"][alone].tolist(), frame["score"][alone].tolist(), strict=True))
+        merged = dict(sure)
+        taken: dict[int, int] = {}
+        for a, b, score in frame[~alone].sort_values(["left", "right"])[["left", "right", "score"]].itertuples(index=False):
+            b = int(b)
+            if a not in taken and b not in taken:
+                taken[b] = a
+                merged[a] = max(0.1, max(merged[a], sure[b]) - (penalty if score - threshold < 0.10 else 0.0))
+        source = frame["source_id"].iloc[0]
+        return pd.DataFrame([(source, k, taken.get(k, k), merged[k]) for k in sorted(sure)], columns=["source_id", "ordinal", "canonical", "confidence"])
+
+    return both.groupBy("source_id").applyInPandas(run, "source_id bigint, ordinal bigint, canonical bigint, confidence double")
 
 
 @query("er_semantic")
 def er_semantic(spark, d):
+    """Tested against a plain loop."""
     e = _vectored(spark, d)
-    return greedy_merge(similar_pairs(e, 0.35), e)
+    return greedy_merge(similar_pairs(e, 0.35), e, 0.35)
+
 
+def name_pairs(entities: DataFrame) -> DataFrame:
+    """(source_id, left, right, canonical): pairs of one source and type, left before right, that name the same; canonical is the fuller.
 
-def name_parts(entities: DataFrame) -> DataFrame:
-    """(left, right): pairs of one source and type where all words of the shorter name are in the longer, 40 % of it at least."""
-    e = entities.select("source_id", "type", "ordinal", F.array_sort(F.array_distinct(t.significant_words("name"))).alias("w")).where(F.size("w") > 0)
-    # names that share no word can't hold each other: the join is on words
-    each = e.select("source_id", "type", "ordinal", "w", F.explode("w").alias("word"))
+    One name holds the other from word border to word border, or all telling words of one are among the other's and at least 40 % of them. A name held across a
+    border is another word, so such a pair never counts. Pairs without a common word can't fit and aren't formed.
+    """
+    key = t.name_key("name")
+    e = entities.select("source_id", F.coalesce("type", F.lit("Unknown")).alias("type"), "ordinal", key.alias("k"), F.array_distinct(t.significant_words("name")).alias("w")).where((F.size("w") > 0) & (F.col("k") != ""))
+    each = e.withColumn("word", F.explode(F.array_distinct(F.filter(F.split("k", r"[^\p{L}\p{N}]+"), lambda x: x != ""))))
     a, b = each.alias("a"), each.alias("b")
-    same = (F.col("a.source_id") == F.col("b.source_id")) & F.col("a.type").eqNullSafe(F.col("b.type")) & (F.col("a.word") == F.col("b.word"))
-    inside = (F.size(F.array_except("a.w", "b.w")) == 0) & (F.size("a.w") < F.size("b.w")) & (F.size("a.w") >= 0.4 * F.size("b.w"))
-    return a.join(b, same & inside).select(F.col("a.ordinal").alias("left"), F.col("b.ordinal").alias("right")).distinct()
+    met = a.join(b, (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.type") == F.col("b.type")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.ordinal") < F.col("b.ordinal")))
+    pairs = met.select("a.source_id", F.col("a.ordinal").alias("left"), F.col("b.ordinal").alias("right"), F.col("a.k").alias("ka"), F.col("b.k").alias("kb"), F.col("a.w").alias("wa"), F.col("b.w").alias("wb")).dropDuplicates(["source_id", "left", "right"])
+    differ = F.col("ka") != F.col("kb")
+    a_in_b, b_in_a = differ & F.contains("kb", "ka"), differ & F.contains("ka", "kb")
+    subset = lambda x, y: (F.size(F.array_except(x, y)) == 0) & (F.size(x) / F.size(y) >= 0.4)
+    canonical = (
+        F.when(a_in_b, F.when(t.at_word_boundary(F.col("kb"), F.col("ka")), F.col("right")))
+        .when(b_in_a, F.when(t.at_word_boundary(F.col("ka"), F.col("kb")), F.col("left")))
+        .when(subset("wa", "wb"), F.col("right")).when(subset("wb", "wa"), F.col("left"))
+    )
+    return pairs.select("source_id", "left", "right", canonical.alias("canonical")).where("canonical is not null")
 
 
-def _named(spark, d) -> DataFrame:
-    p = m.table(spark, d, "part").where("p_partkey < 600")
-    return p.select((F.col("p_partkey") % 5).cast("int").alias("source_id"), F.col("p_type").alias("type"), F.col("p_partkey").alias("ordinal"), F.when(F.col("p_partkey") % 3 == 0, F.substring_index("p_name", " ", 1)).otherwise(F.col("p_name")).alias("name"))
+_N = "n AS (SELECT source_id AS s, 'any' AS ty, ordinal AS o, lower(trim(name, ' ')) AS k, list_distinct(list_filter(string_split(lower(trim(name, ' ')), ' '), lambda w: length(w) > 1 AND w NOT IN ('mr', 'mrs', 'ms', 'dr', 'prof', 'sir', 'lady', 'lord', 'the'))) AS w FROM mentions)"
+_AT = "(instr({long}, {short}) = 1 OR NOT regexp_matches({long}[instr({long}, {short}) - 1], '[\\p{{L}}\\p{{N}}]')) AND NOT regexp_matches({long}[instr({long}, {short}) + length({short})], '[\\p{{L}}\\p{{N}}]')"
 
 
-_NAMES = "(SELECT p_partkey % 5 AS s, p_type AS ty, p_partkey AS o, CASE WHEN p_partkey % 3 = 0 THEN string_split(p_name, ' ')[1] ELSE p_name END AS n FROM part WHERE p_partkey < 600)"
+@query("fuzzy_name_join", sql(f"""WITH {_N}, p AS (SELECT a.s, a.o AS l, b.o AS r, a.k AS ka, b.k AS kb, a.w AS wa, b.w AS wb FROM n a JOIN n b ON a.s = b.s AND a.ty = b.ty AND a.o < b.o WHERE len(a.w) > 0 AND len(b.w) > 0),
+  c AS (SELECT l, r, CASE WHEN ka <> kb AND contains(kb, ka) THEN CASE WHEN {_AT.format(long='kb', short='ka')} THEN r END WHEN ka <> kb AND contains(ka, kb) THEN CASE WHEN {_AT.format(long='ka', short='kb')} THEN l END
+    WHEN list_has_all(wb, wa) AND len(wa) / len(wb) >= 0.4 THEN r WHEN list_has_all(wa, wb) AND len(wb) / len(wa) >= 0.4 THEN l END AS c FROM p) SELECT l AS left_id, r AS right_id, c AS canonical FROM c WHERE c IS NOT NULL"""))
+def fuzzy_name_join(spark, d):
+    """All names of a document as one type."""
+    return name_pairs(m.mentions(spark, d).withColumn("type", F.lit("any"))).select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), "canonical")
 
 
-@query("fuzzy_name_join", f"SELECT a.o AS left_id, b.o AS right_id FROM {_NAMES} a JOIN {_NAMES} b ON a.s = b.s AND a.ty = b.ty AND a.n <> b.n AND list_has_all(string_split(b.n, ' '), string_split(a.n, ' ')) AND len(string_split(a.n, ' ')) < len(string_split(b.n, ' '))")
-def fuzzy_name_join(spark, d):
-    return name_parts(_named(spark, d)).select(F.col("left").alias("left_id"), F.col("right").alias("right_id"))
+def hierarchical(entities: DataFrame) -> DataFrame:
+    """(source_id, ordinal, canonical): names folded into fuller ones, each to the end of its chain.
 
+    Pairs are taken in order; an entity folded before its turn looks for no more, one folded is no partner. A source's pairs,
+    those of one document, are worked through in one task.
+    """
+    rows = entities.select("source_id", F.col("ordinal").alias("left"), F.lit(None).cast("bigint").alias("right"), F.col("ordinal").alias("canonical")).unionByName(name_pairs(entities))
 
-@query("er_hierarchical", f"SELECT a.o AS ordinal, coalesce(min(b.o), a.o) AS canonical FROM {_NAMES} a LEFT JOIN {_NAMES} b ON a.s = b.s AND a.ty = b.ty AND a.n <> b.n AND list_has_all(string_split(b.n, ' '), string_split(a.n, ' ')) AND len(string_split(a.n, ' ')) < len(string_split(b.n, ' ')) GROUP BY a.o")
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        into: dict[int, int] = {}
+        alone = frame["right"].isna()
+        pairs = frame[~alone].sort_values(["left", "right"])
+        for a, group in pairs.groupby("left", sort=True):
+            if a in into:
+                continue
+            for b, keep in zip(group["right"].astype("int64").tolist(), group["canonical"].tolist(), strict=True):
+                if b in into:
+                    continue
+                into[b if keep == a else a] = into.get(keep, keep)
+
+        def root(x: int) -> int:
+            met = set()
+            while x in into and x not in met:
+                met.add(x)
+                x = into[x]
+            return x
+
+        ids = sorted(frame["left"][alone].tolist())
+        return pd.DataFrame({"source_id": frame["source_id"].iloc[0], "ordinal": ids, "canonical": [root(i) for i in ids]})
+
+    return rows.groupBy("source_id").applyInPandas(run, "source_id bigint, ordinal bigint, canonical bigint")
+
+
+@query("er_hierarchical")
 def er_hierarchical(spark, d):
-    """A shorter name's canonical is the first longer one that holds it."""
-    e = _named(spark, d)
-    best = name_parts(e).groupBy("left").agg(F.min("right").alias("canonical"))
-    return e.join(best, e.ordinal == best.left, "left").select("ordinal", F.coalesce("canonical", "ordinal").alias("canonical"))
+    """Tested against a plain loop; all names of a document as one type."""
+    return hierarchical(m.mentions(spark, d).withColumn("type", F.lit("any")))
 
 
-@query("er_merge", sql("SELECT source_id, lower(trim(name)) AS name, greatest(0.1, max(confidence) - 0.05) AS confidence, string_agg(DISTINCT brand, ',' ORDER BY brand) AS aliases, count(*) AS merged FROM entities GROUP BY 1, 2".replace("greatest(0.1, max(confidence) - 0.05)", "round(greatest(0.1, max(confidence) - 0.05), 6)")))
-def er_merge(spark, d):
-    return m.entities(spark, d).groupBy("source_id", t.name_key("name").alias("name")).agg(
-        F.round(F.greatest(F.lit(0.1), F.max("confidence") - 0.05), 6).alias("confidence"), F.array_join(F.array_sort(F.collect_set("brand")), ",").alias("aliases"), F.count("*").alias("merged")
+def merged_value(a: Column, b: Column, a_sure: Column, b_sure: Column) -> Column:
+    """Of two texts: the surer entity's if either is shorter than 20 characters, else the longer; ties go to the first."""
+    short = F.least(F.length(a), F.length(b)) < 20
+    return F.when(a.isNull(), b).when(b.isNull() | (a == b), a).when(short, F.when(a_sure >= b_sure, a).otherwise(b)).otherwise(F.when(F.length(a) >= F.length(b), a).otherwise(b))
+
+
+def merged_properties(a: Column, b: Column, a_sure: Column, b_sure: Column) -> Column:
+    """Two maps of texts by :func:`merged_value` of each key."""
+    return F.map_zip_with(a, b, lambda k, x, y: merged_value(x, y, a_sure, b_sure))
+
+
+def merged_entities(entities: DataFrame, canonical: DataFrame, penalty: float = 0.0) -> DataFrame:
+    """One row (source_id, canonical, name, type, aliases, confidence, description, properties, source_chunk_indices, history, merged) per canonical entity.
+
+    The canonical row is folded with the others in order: names become aliases (title words don't, they go to history), the surer one's type and values win,
+    descriptions join, chunks unite, and history keeps each time the lower confidence. A group is one entity's mentions in one document.
+    """
+    props = F.col("properties") if "properties" in entities.columns else F.create_map().cast("map<string,string>")
+    rows = entities.join(canonical.where("canonical is not null").select("source_id", "ordinal", "canonical"), ["source_id", "ordinal"])
+    chunk = F.when(F.col("chunk_index").isNotNull(), F.array("chunk_index")).otherwise(F.array().cast("array<int>"))
+    item = F.struct(
+        (F.col("ordinal") != F.col("canonical")).alias("later"), "ordinal", "name", "type", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("description", F.lit("")).alias("description"), props.alias("properties"), chunk.alias("chunks"), F.array().cast("array<double>").alias("lost"), F.array().cast("array<string>").alias("skipped"),
+    )
+    groups = rows.groupBy("source_id", "canonical").agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(F.struct(a["later"], a["ordinal"]) < F.struct(b["later"], b["ordinal"]), -1).otherwise(1)).alias("rows"))
+
+    def fold(s: Column, x: Column) -> Column:
+        title = F.lower(F.trim(x["name"])).isin(*t.TITLES)
+        other = F.lower(x["name"]) != F.lower(s["name"])
+        named = F.when(other & ~title, F.array(x["name"])).otherwise(F.array().cast("array<string>"))
+        low = F.least(s["confidence"], x["confidence"])
+        put = {
+            "type": F.when((x["confidence"] > s["confidence"]) & (F.coalesce(x["type"], F.lit("")) != ""), x["type"]).otherwise(s["type"]),
+            "aliases": F.array_union(s["aliases"], F.concat(x["aliases"], named)),
+            "confidence": F.greatest(F.lit(0.1), F.greatest(s["confidence"], x["confidence"]) - penalty),
+            "description": F.when(s["description"] == "", x["description"]).when(x["description"] == "", s["description"]).otherwise(merged_description(s["description"], x["description"])),
+            "properties": merged_properties(s["properties"], x["properties"], s["confidence"], x["confidence"]),
+            "chunks": F.array_union(s["chunks"], x["chunks"]),
+            "lost": F.when(low > 0, F.array_append(s["lost"], low)).otherwise(s["lost"]),
+            "skipped": F.when(other & title, F.array_append(s["skipped"], x["name"])).otherwise(s["skipped"]),
+        }
+        return F.struct(*[put.get(c, s[c]).alias(c) for c in ("later", "ordinal", "name", "type", "aliases", "confidence", "description", "properties", "chunks", "lost", "skipped")])
+
+    done = groups.select("source_id", "canonical", F.size("rows").alias("merged"), F.aggregate(F.slice("rows", 2, F.greatest(F.lit(0), F.size("rows") - 1)), F.get("rows", F.lit(0)), fold).alias("e"))
+    return done.select(
+        "source_id", "canonical", "e.name", "e.type", F.array_sort("e.aliases").alias("aliases"), "e.confidence", "e.description", "e.properties", F.array_sort("e.chunks").alias("source_chunk_indices"),
+        F.struct(F.col("e.lost").alias("confidence"), F.col("e.skipped").alias("aliases_skipped")).alias("history"), "merged",
     )
 
 
+@query("er_merge", sql("""WITH c AS (SELECT *, min(ordinal) OVER (PARTITION BY source_id, type) AS canonical FROM mentions), f AS (SELECT *, first_value(name) OVER w AS head, max(confidence) OVER (PARTITION BY source_id, canonical ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c WINDOW w AS (PARTITION BY source_id, canonical ORDER BY ordinal)),
+  al AS (SELECT source_id, canonical, list_sort(list_distinct(flatten(list(x)))) AS aliases FROM (SELECT source_id, canonical, aliases || CASE WHEN lower(name) <> lower(head) AND lower(name) <> 'the' THEN [name] ELSE [] END AS x FROM f) GROUP BY 1, 2)
+  SELECT f.source_id, f.canonical, any_value(head) AS name, max(confidence) AS confidence, array_to_string(any_value(al.aliases), ',') AS aliases, string_agg(DISTINCT chunk_index, ',' ORDER BY chunk_index) AS chunks, coalesce(string_agg(CASE WHEN least(before, confidence) > 0 THEN CAST(CAST(round(100 * least(before, confidence)) AS INTEGER) AS VARCHAR) END, ',' ORDER BY ordinal) FILTER (WHERE before IS NOT NULL), '') AS lost,
+  coalesce(string_agg(CASE WHEN lower(name) = 'the' AND lower(name) <> lower(head) THEN name END, ','), '') AS skipped, CAST(count(*) AS INTEGER) AS merged FROM f JOIN al ON al.source_id = f.source_id AND al.canonical = f.canonical GROUP BY 1, 2"""))
+def er_merge(spark, d):
+    """Entities of one type in a document, merged into the first; descriptions and properties are tested on their own."""
+    e = m.mentions(spark, d)
+    first = e.select("source_id", "ordinal", F.min("ordinal").over(Window.partitionBy("source_id", "type")).alias("canonical"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    lost = F.array_join(F.transform("history.confidence", lambda x: F.round(x * 100).cast("int").cast("string")), ",")
+    return merged_entities(e, first).select("source_id", "canonical", "name", "confidence", text("aliases").alias("aliases"), text("source_chunk_indices").alias("chunks"), lost.alias("lost"), text("history.aliases_skipped").alias("skipped"), "merged")
+
+
 def remapped(relationships: DataFrame, canonical: DataFrame) -> DataFrame:
     """Relationships between canonical entities; unknown ends and new self loops go."""
     a, b = canonical.select(F.col("ordinal").alias("source"), F.col("canonical").alias("_a")), canonical.select(F.col("ordinal").alias("target"), F.col("canonical").alias("_b"))
@@ -204,157 +341,3 @@ def rel_dedup(spark, d):
 @query("rel_merge_within_task", sql("SELECT source, target, type, max(confidence) AS confidence, count(DISTINCT justification_length) AS justifications FROM relationships GROUP BY ALL"))
 def rel_merge_within_task(spark, d):
     return m.relationships(spark, d).groupBy("source", "target", "type").agg(F.max("confidence").alias("confidence"), F.count_distinct("justification_length").alias("justifications"))
-
-
-@query("rel_validate", sql("SELECT ordinal FROM relationships WHERE source <> target AND source IN (SELECT ordinal FROM entities) AND target IN (SELECT ordinal FROM entities)"))
-def rel_validate(spark, d):
-    ids = m.entities(spark, d).select("ordinal")
-    r = m.relationships(spark, d).where("source <> target")
-    for end in ("source", "target"):
-        r = r.join(ids.select(F.col("ordinal").alias(end)), end, "left_semi")
-    return r.select("ordinal")
-
-
-@query("rel_type_constraints", sql("""SELECT fit, count(*) AS n FROM (SELECT CASE WHEN r.type <> 'uses' THEN 'free' WHEN a.type = 'ECONOMY' AND b.type = 'PROMO' THEN 'fits' WHEN a.type = 'PROMO' AND b.type = 'ECONOMY' THEN 'turned' ELSE 'dropped' END AS fit FROM relationships r JOIN entities a ON r.source = a.ordinal JOIN entities b ON r.target = b.ordinal) GROUP BY fit"""))
-def rel_type_constraints(spark, d):
-    """Relationships by how their ends fit the template of their type: a misfit is turned if that fits, else dropped."""
-    rules = spark.createDataFrame([("uses", "ECONOMY", "PROMO")], "type string, from_type string, to_type string")
-    e = m.entities(spark, d)
-    r = m.relationships(spark, d).join(e.select(F.col("ordinal").alias("source"), F.col("type").alias("st")), "source").join(e.select(F.col("ordinal").alias("target"), F.col("type").alias("tt")), "target")
-    fit = (
-        F.when(F.col("from_type").isNull(), "free").when((F.col("st") == F.col("from_type")) & (F.col("tt") == F.col("to_type")), "fits")
-        .when((F.col("tt") == F.col("from_type")) & (F.col("st") == F.col("to_type")), "turned").otherwise("dropped")
-    )
-    return r.join(F.broadcast(rules), "type", "left").select(fit.alias("fit")).groupBy("fit").agg(F.count("*").alias("n"))
-
-
-@query("rel_limits", sql("SELECT source_id, count(*) AS kept FROM (SELECT source_id, row_number() OVER (PARTITION BY source_id, source, type ORDER BY confidence DESC, ordinal) AS k FROM relationships) WHERE k <= 3 GROUP BY source_id"))
-def rel_limits(spark, d):
-    """At most three relationships of a type from one entity, the most confident."""
-    w = Window.partitionBy("source_id", "source", "type").orderBy(F.desc("confidence"), "ordinal")
-    return m.relationships(spark, d).withColumn("k", F.row_number().over(w)).where("k <= 3").groupBy("source_id").agg(F.count("*").alias("kept"))
-
-
-def degree_capped(relationships: DataFrame, cap: int, protect: bool = False) -> DataFrame:
-    """(source_id, ordinal) kept when each end may have ``cap`` relationships, the most confident first.
-
-    ``protect`` keeps one that an end with fewer than two would lose. Order matters, so a source is one task.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        degree: dict[int, int] = {}
-        kept = []
-        for source, ordinal, a, b in frame.sort_values(["confidence", "ordinal"], ascending=[False, True])[["source_id", "ordinal", "source", "target"]].itertuples(index=False):
-            x, y = degree.get(a, 0), degree.get(b, 0)
-            if (x < cap and y < cap) or (protect and min(x, y) < 2 and max(x, y) >= cap):
-                kept.append((source, ordinal))
-                degree[a], degree[b] = x + 1, y + 1
-        return pd.DataFrame(kept, columns=["source_id", "ordinal"])
-
-    return relationships.groupBy("source_id").applyInPandas(run, "source_id int, ordinal bigint")
-
-
-@query("rel_limits_degree")
-def rel_limits_degree(spark, d):
-    return degree_capped(m.relationships(spark, d), 25).groupBy("source_id").agg(F.count("*").alias("kept"))
-
-
-@query("ent_evidence", "SELECT doc_id, contains(lower(string_split(text, '. ')[1]), 'the') AS grounded FROM documents")
-def ent_evidence(spark, d):
-    """Whether the sentence that an entity refers to holds its name."""
-    sentences = F.split("text", r"\. ")
-    return m.table(spark, d, "documents").select("doc_id", F.lower(F.get(sentences, F.lit(0))).contains("the").alias("grounded"))
-
-
-@query("rel_evidence", "SELECT doc_id, contains(lower(s), 'the') AND contains(lower(s), 'of') AS both_ends, contains(lower(s), 'the') OR contains(lower(s), 'of') AS one_end FROM (SELECT doc_id, string_split(text, '. ')[1] AS s FROM documents)")
-def rel_evidence(spark, d):
-    s = F.lower(F.get(F.split("text", r"\. "), F.lit(0)))
-    a, b = s.contains("the"), s.contains("of")
-    return m.table(spark, d, "documents").select("doc_id", (a & b).alias("both_ends"), (a | b).alias("one_end"))
-
-
-@query("ent_plausibility", "SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE round(c / n, 4) END AS grounding FROM (SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}]+')) AS n, len(regexp_extract_all(text, '[\\p{Ll}] \\p{Lu}[\\p{Ll}]+')) AS c FROM documents)".replace("0.0 ELSE", "CAST(0 AS DOUBLE) ELSE"))
-def ent_plausibility(spark, d):
-    """Capitalised words inside sentences by all words."""
-    n = F.regexp_count("text", F.lit(r"[\p{L}]+"))
-    c = F.size(F.regexp_extract_all("text", F.lit(r"[\p{Ll}] \p{Lu}[\p{Ll}]+"), F.lit(0)))
-    return m.table(spark, d, "documents").select("doc_id", F.when(n == 0, 0.0).otherwise(F.round(c / n, 4)).alias("grounding"))
-
-
-# Names of what structures a document rather than being in it.
-STRUCTURAL = r"(?i)^(chapter|section|figure|table|appendix|page|part|volume) *[0-9ivxlc]*$"
-
-
-@query("ent_structural", "SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0")
-def ent_structural(spark, d):
-    name = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("Chapter "), "p_size")).otherwise(F.concat("p_name", F.lit(" "), "p_brand"))
-    return m.table(spark, d, "part").where(~name.rlike(STRUCTURAL)).select("p_partkey")
-
-
-@query("ent_type_alias", sql("SELECT ordinal, CASE type WHEN 'ECONOMY' THEN 'budget' WHEN 'PROMO' THEN 'offer' ELSE lower(coalesce(type, 'unknown')) END AS type, type IN ('ECONOMY', 'PROMO') AS aliased FROM entities".replace("type IN ('ECONOMY', 'PROMO') AS", "coalesce(type IN ('ECONOMY', 'PROMO'), false) AS")))
-def ent_type_alias(spark, d):
-    known = F.create_map(F.lit("economy"), F.lit("budget"), F.lit("promo"), F.lit("offer"))
-    low = F.lower(F.coalesce("type", F.lit("unknown")))
-    return m.entities(spark, d).select("ordinal", F.coalesce(F.try_element_at(known, low), low).alias("type"), F.try_element_at(known, low).isNotNull().alias("aliased"))
-
-
-@query("ent_type_normalize", sql("SELECT ordinal, CASE WHEN type IS NOT NULL THEN lower(type) WHEN contains(name, 'ring') THEN 'jewel' WHEN contains(name, 'blue') THEN 'colour' ELSE 'unknown' END AS type FROM entities"))
-def ent_type_normalize(spark, d):
-    """Generic types by the first keyword in the description."""
-    rule = F.when(F.col("name").contains("ring"), "jewel").when(F.col("name").contains("blue"), "colour").otherwise("unknown")
-    return m.entities(spark, d).select("ordinal", F.coalesce(F.lower("type"), rule).alias("type"))
-
-
-@query("ent_type_rescue", sql("SELECT action, count(*) AS n FROM (SELECT CASE WHEN type IS NOT NULL THEN 'valid' WHEN length(name) < 9 THEN 'junk' WHEN ordinal IN (SELECT source FROM relationships) THEN 'absorbed' ELSE 'dropped' END AS action FROM entities) GROUP BY action"))
-def ent_type_rescue(spark, d):
-    linked = m.relationships(spark, d).select(F.col("source").alias("ordinal")).distinct().withColumn("linked", F.lit(True))
-    action = F.when(F.col("type").isNotNull(), "valid").when(F.length("name") < 9, "junk").when(F.col("linked"), "absorbed").otherwise("dropped")
-    return m.entities(spark, d).join(linked, "ordinal", "left").groupBy(action.alias("action")).agg(F.count("*").alias("n"))
-
-
-def detect_domains(docs: DataFrame, domains: list[tuple[str, float, str]], text: str = "text") -> DataFrame:
-    """(doc_id, domain, score): each document's best domain by weighted keyword hits; ties by name."""
-    scores = [F.struct((-(F.regexp_count(F.lower(text), F.lit(pattern)) * weight)).alias("minus"), F.lit(name).alias("domain")) for name, weight, pattern in domains]
-    return docs.select("doc_id", F.array_min(F.array(*scores)).alias("best")).select("doc_id", "best.domain", (-F.col("best.minus")).alias("score"))
-
-
-_DOMAINS = [("articles", 1.0, "the"), ("french", 2.0, "eau"), ("german", 1.5, "keit")]
-_C = {n: f"len(regexp_extract_all(lower(text), '{p}')) * {w}::DOUBLE" for n, w, p in _DOMAINS}
-
-
-@query("domain_detect", f"SELECT doc_id, CASE WHEN a >= f AND a >= g THEN 'articles' WHEN f >= g THEN 'french' ELSE 'german' END AS domain, greatest(a, f, g) AS score FROM (SELECT doc_id, {_C['articles']} AS a, {_C['french']} AS f, {_C['german']} AS g FROM documents)")
-def domain_detect(spark, d):
-    return detect_domains(m.table(spark, d, "documents"), _DOMAINS)
-
-
-@query("domain_of_source", f"SELECT source, arg_min(domain, (-s, domain)) AS domain FROM (SELECT source, domain, sum(score) AS s FROM (SELECT source, 'articles' AS domain, {_C['articles']} AS score FROM documents UNION ALL SELECT source, 'french', {_C['french']} FROM documents UNION ALL SELECT source, 'german', {_C['german']} FROM documents) GROUP BY 1, 2) GROUP BY source")
-def domain_of_source(spark, d):
-    docs = m.table(spark, d, "documents")
-    sums = docs.groupBy("source").agg(*[F.sum(F.regexp_count(F.lower("text"), F.lit(p)) * w).alias(n) for n, w, p in _DOMAINS])
-    return sums.select("source", F.array_min(F.array(*[F.struct((-F.col(n)).alias("minus"), F.lit(n).alias("domain")) for n, _, _ in _DOMAINS]))["domain"].alias("domain"))
-
-
-@query("ent_orphan_drop", sql("SELECT source_id, ordinal, CAST(row_number() OVER (PARTITION BY source_id ORDER BY ordinal) - 1 AS INTEGER) AS new_index FROM entities WHERE ordinal IN (SELECT source FROM relationships UNION SELECT target FROM relationships)"))
-def ent_orphan_drop(spark, d):
-    r = m.relationships(spark, d)
-    linked = r.select(F.explode(F.array("source", "target")).alias("ordinal"))
-    kept = m.entities(spark, d).join(linked, "ordinal", "left_semi")
-    return kept.select("source_id", "ordinal", (F.row_number().over(Window.partitionBy("source_id").orderBy("ordinal")) - 1).alias("new_index"))
-
-
-@query("citation_build", sql("SELECT ordinal, i AS chunk, 'p:' || ordinal AS entity_uri FROM (SELECT ordinal, unnest(range(0, n_chunks)) AS i FROM entities WHERE n_chunks > 0)".replace("i AS chunk", "CAST(i AS INTEGER) AS chunk")))
-def citation_build(spark, d):
-    e = m.entities(spark, d).where("n_chunks > 0")
-    return e.select("ordinal", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"), F.concat(F.lit("p:"), "ordinal").alias("entity_uri"))
-
-
-@query("ent_exclusions", sql("SELECT ordinal FROM entities WHERE NOT regexp_matches(name, '^(blue|red) ')"))
-def ent_exclusions(spark, d):
-    return m.entities(spark, d).where(~F.col("name").rlike("^(blue|red) ")).select("ordinal")
-
-
-@query("filter_presets", "SELECT * FROM (VALUES ('balanced', CAST(0.9 AS DOUBLE), 25), ('strict', CAST(0.95 AS DOUBLE), 15), ('narrative', CAST(0.88 AS DOUBLE), 40)) t(preset, threshold, degree_cap)")
-def filter_presets(spark, d):
-    """What presets mean; a source's override beats its domain's, which beats the mode's."""
-    rows = [("balanced", 0.9, 25), ("strict", 0.95, 15), ("narrative", 0.88, 40)]
-    return spark.createDataFrame(rows, "preset string, threshold double, degree_cap int")

@@ -76,13 +76,6 @@ def test_cosine_of_odd_vectors(spark):
     assert all(r.got == r.want for r in df.select("want", cosine(F.col("a"), F.col("b")).alias("got")).collect())
 
 
-def test_degree_cap_and_protection(spark):
-    rows = [(1, k, 0, k, 1.0 - k / 10) for k in range(1, 6)]
-    df = spark.createDataFrame(rows, "source_id int, ordinal bigint, source bigint, target bigint, confidence double")
-    assert resolution.degree_capped(df, 3).count() == 3
-    assert resolution.degree_capped(df, 3, protect=True).count() == 5
-
-
 def test_loaders(spark, tmp_path):
     (tmp_path / "a.csv").write_text("name;age\nAnn;3\nBob;\n")
     (tmp_path / "b.jsonl").write_text('{"a":1}\nbroken\n\n{"a":2}\n')
