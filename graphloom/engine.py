@@ -22,7 +22,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, embed: Callable[[Column], Column] = retrieval.hashed_embedding, **tables: DataFrame):
-        self.spark, self.embed, self.tables = spark, embed, tables
+        self.spark, self.embed, self.tables, self.index = spark, embed, tables, None
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -70,24 +70,39 @@ class Engine:
 
     # ---- search ----------------------------------------------------------------------------
 
+    def build_index(self, path: str) -> None:
+        """Write the keyword index of the chunks; searches read it from then on."""
+        retrieval.build_index(self.chunks, {"content": 1.0}, path, "chunk_id")
+        self.index = path
+
     def search(self, query: str, mode: str = "hybrid", k: int = 10, least: float = 0.55) -> DataFrame:
-        """(id, score) of chunks; mode is keyword, semantic or hybrid. An empty query finds nothing."""
+        """(id, score) of chunks; mode is keyword, semantic or hybrid. An empty query finds nothing.
+
+        Without :meth:`build_index` the chunks' texts are read; without a vector column they are embedded.
+        """
         terms = query.lower().split()
-        keyword = retrieval.bm25(retrieval.postings(self.chunks, {"content": 1.0}, "chunk_id"), terms)
-        keyword = keyword.select("id", (F.col("score") / (1 + F.col("score"))).alias("score"))
+        found = retrieval.search_index(self.spark, self.index, terms) if self.index else retrieval.keyword(self.chunks, terms, {"content": 1.0}, "chunk_id", stemmed=True)
+        found = found.select("id", (F.col("score") / (1 + F.col("score"))).alias("score"))
         if mode == "keyword" or not terms:
-            return keyword.orderBy(F.desc("score"), "id").limit(k)
-        vector = self.spark.range(1).select(self.embed(F.lit(query)).alias("v")).first().v
-        vectors = self.chunks if "embedding" in self.chunks.columns else self.embed_chunks(self.chunks)
-        semantic = retrieval.knn(vectors, vector, 3 * k, key="chunk_id")
-        return semantic.limit(k) if mode == "semantic" else retrieval.hybrid(keyword, semantic, query, k, least)
+            return found.orderBy(F.desc("score"), "id").limit(k)
+        semantic = retrieval.knn(self._vectors(), self._vector(query), 3 * k, key="chunk_id")
+        return semantic.limit(k) if mode == "semantic" else retrieval.hybrid(found, semantic, query, k, least)
+
+    def _vectors(self) -> DataFrame:
+        return self.chunks if "embedding" in self.chunks.columns else self.embed_chunks(self.chunks)
+
+    def _vector(self, text: str) -> list[float]:
+        return list(self.spark.range(1).select(self.embed(F.lit(text)).alias("v")).first().v)
 
     def resolve(self, name: str, limit: int = 5) -> DataFrame:
         return retrieval.resolve(self.nodes, name, limit)
 
-    def graph_search(self, query: str, seeds: dict[str, float], limit: int = 20) -> DataFrame:
-        """Chunks for a question: those that cite nodes near the seeds, and those the question finds."""
-        return graph.graph_search(self.nodes, self.edges, self.citations, seeds, self.search(query, k=2 * limit, least=0.3), limit)
+    def graph_search(self, query: str, limit: int = 10, **how) -> graph.GraphAnswer:
+        """Chunks, triples and statistics for a question; see :func:`graph.graph_search`."""
+        vectors = self.nodes.select("id", self.embed(F.col("label")).alias("embedding")) if "embedding" not in self.nodes.columns else self.nodes.select("id", "embedding")
+        chunks = self.chunks if "source_id" in self.chunks.columns else self.chunks.withColumn("source_id", F.lit(None).cast("int"))
+        found = self._vectors().select(F.col("chunk_id").alias("id"), "embedding")
+        return graph.graph_search(self.nodes, self.edges, self.citations, chunks, vectors, found, query, self._vector(query) if query.strip() else [], limit, **how)
 
     def fuse(self, *hits: DataFrame) -> DataFrame:
         lists = [ranking.ranks(h.select(F.lit(i).alias("list"), "id", "score")) for i, h in enumerate(hits)]

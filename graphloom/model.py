@@ -64,6 +64,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(bought, _id("c", "o_custkey"), _id("p", "l_partkey"), "bought", none),
         pick(supplied, _id("p", "l_partkey"), _id("s", "l_suppkey"), "supplied_by", none),
         pick(nation.where("n_nationkey % 6 = 0"), _id("n", "n_nationkey"), _id("x", "n_nationkey"), "refers_to", F.col("n_nationkey")),
+        pick(nation.where("n_nationkey % 2 = 0"), _id("n", "n_nationkey"), F.concat(F.lit("n:"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("string")), "trades_with", none),
     ):
         out = out.union(more)
     return out
@@ -99,9 +100,9 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents."""
+    """Lines of documents; ids leave room for sixteen million of each."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
-    return d.select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), "doc_id", F.col("source").alias("source_id"), "chunk_index", "content")
+    return d.select((F.col("doc_id") * 16777216 + F.col("chunk_index")).alias("chunk_id"), "doc_id", F.col("source").alias("source_id"), "chunk_index", "content")
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,14 +218,15 @@ SQL = {
       UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 'part_of', n_nationkey FROM nation
       UNION ALL SELECT DISTINCT 'c:' || o_custkey, 'p:' || l_partkey, 'bought', CAST(NULL AS INTEGER) FROM orders JOIN lineitem ON o_orderkey = l_orderkey
       UNION ALL SELECT DISTINCT 'p:' || l_partkey, 's:' || l_suppkey, 'supplied_by', CAST(NULL AS INTEGER) FROM lineitem
-      UNION ALL SELECT 'n:' || n_nationkey, 'x:' || n_nationkey, 'refers_to', n_nationkey FROM nation WHERE n_nationkey % 6 = 0""",
+      UNION ALL SELECT 'n:' || n_nationkey, 'x:' || n_nationkey, 'refers_to', n_nationkey FROM nation WHERE n_nationkey % 6 = 0
+      UNION ALL SELECT 'n:' || n_nationkey, 'n:' || ((n_nationkey * 7 + 3) % 25), 'trades_with', CAST(NULL AS INTEGER) FROM nation WHERE n_nationkey % 2 = 0""",
     "small_nodes": "SELECT * FROM nodes WHERE template_id IN ('nation', 'region', 'supplier')",
     "small_edges": """SELECT 'n:' || n_nationkey AS src, 'n:' || ((n_nationkey * 7 + 3) % 25) AS dst, 'trades_with' AS template_id FROM nation WHERE n_nationkey % 2 = 0
       UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 'part_of' FROM nation
       UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'located_in' FROM supplier WHERE s_suppkey < 200""",
     "citations": """SELECT 'p:' || l_partkey AS entity_uri, CAST(l_suppkey % 25 AS INTEGER) AS source_id, l_orderkey % 500 AS chunk_id, round(1 - l_discount, 2) AS confidence,
       l_returnflag AS extraction_method, CASE WHEN l_linenumber <> 7 THEN l_linestatus END AS entity_type, l_shipdate AS created_at, l_orderkey * 8 + l_linenumber AS citation_id FROM lineitem""",
-    "chunks": """SELECT doc_id * 100000 + i - 1 AS chunk_id, doc_id, source AS source_id, CAST(i - 1 AS INTEGER) AS chunk_index, lines[i] AS content FROM
+    "chunks": """SELECT doc_id * 16777216 + i - 1 AS chunk_id, doc_id, source AS source_id, CAST(i - 1 AS INTEGER) AS chunk_index, lines[i] AS content FROM
       (SELECT doc_id, source, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents))""",
     "entities": """SELECT p_partkey AS ordinal, CAST(p_partkey % 25 AS INTEGER) AS source_id, p_name AS name, CASE WHEN p_partkey % 11 <> 0 THEN p_type END AS type, p_size * 6 AS description_length,
       round((p_partkey % 100) / 100.0, 2) AS confidence, CAST(p_partkey % 7 AS INTEGER) AS n_chunks, CAST(p_partkey % 9 AS INTEGER) AS n_properties, CAST(p_partkey % 4 AS INTEGER) AS n_aliases, p_brand AS brand FROM part""",

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom import model as m
 from graphloom.catalog import query
 from graphloom.operators.relational import endpoints, sql
 from graphloom.plans.fixpoint import connected_components
-from graphloom.plans.scratch import materialise
+from graphloom.plans.scratch import discard, materialise, materialise_at
 
 
 def known(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -33,11 +32,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(reach, nodes.id == reach.node, "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, seeds: dict[str, float] | None = None, tolerance: float | None = None) -> DataFrame:
-    """(id, score): ranks after ``rounds``, or fewer once their change falls below ``tolerance``.
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, seeds: dict[str, float] | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """(id, score): ranks once a round changes them by less than ``tolerance`` a node on average, or after ``rounds``.
 
     Several edges between two nodes count each. Nodes without outgoing edges give their rank, as restarts do, to the
-    seeds in proportion to their weight, or evenly to all nodes if no seed is known. No nodes, no rows.
+    seeds in proportion to their weight, or evenly to all nodes if no seed is known. No nodes, no rows. A round is one
+    join and one partial sum; it writes its ranks and drops those before.
     """
     spark = nodes.sparkSession
     ids = nodes.select("id")
@@ -48,28 +48,26 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     start = spark.createDataFrame(list(wanted.items()) or [("", 0.0)], "id string, w double").where("w > 0").join(ids, "id", "left_semi")
     total = start.agg(F.sum("w")).first()[0]
     if total:
-        restart = ids.join(F.broadcast(start), "id", "left").select("id", (F.coalesce("w", F.lit(0.0)) / total).alias("restart"))
+        restart = ids.join(start, "id", "left").select("id", (F.coalesce("w", F.lit(0.0)) / total).alias("restart"))
     else:
         restart = ids.withColumn("restart", F.lit(1.0 / n))
     links = known(edges, nodes).groupBy("src", "dst").agg(F.count("*").alias("k"))
     out = links.groupBy("src").agg(F.sum("k").alias("out"))
-    links = materialise(links.join(out, "src").select("src", "dst", (F.col("k") / F.col("out")).alias("share")), "links")
-    base = materialise(restart.join(links.select(F.col("src").alias("id")).distinct().withColumn("gives", F.lit(True)), "id", "left"), "ranks")
-    rank = base.select("id", F.col("restart").alias("score"))
-    for k in range(rounds):
-        got = links.join(rank, links.src == rank.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        lost = rank.join(base.where("gives is null"), "id").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        after = base.join(got, "id", "left").crossJoin(F.broadcast(lost)).select(
-            "id", ((1 - damping) * F.col("restart") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("restart"))).alias("score")
-        )
-        if tolerance is not None or k % 4 == 3:
-            after = materialise(after, "ranks")
-            if tolerance is not None:
-                change = after.join(rank.withColumnRenamed("score", "old"), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-                if change < tolerance:
-                    return after
-        rank = after
-    return rank
+    links, links_path = materialise_at(links.join(out, "src").select("src", "dst", (F.col("k") / F.col("out")).alias("share")), "links")
+    giving = links.select(F.col("src").alias("id")).distinct().withColumn("gives", F.lit(True))
+    rank, path = materialise_at(restart.join(giving, "id", "left").select("id", "restart", F.coalesce("gives", F.lit(False)).alias("gives"), F.col("restart").alias("score"), F.lit(1e9).alias("change")), "ranks")
+    for _ in range(rounds):
+        state = rank.agg(F.sum("change").alias("change"), F.sum(F.when(~F.col("gives"), F.col("score"))).alias("lost")).first()
+        if state.change < n * tolerance:
+            break
+        got = links.join(rank.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        score = (1 - damping) * F.col("restart") + damping * (F.coalesce("got", F.lit(0.0)) + (state.lost or 0.0) * F.col("restart"))
+        after = rank.join(got, "id", "left").select("id", "restart", "gives", score.alias("score"), F.abs(score - F.col("score")).alias("change"))
+        after, after_path = materialise_at(after, "ranks")
+        discard(spark, path)
+        rank, path = after, after_path
+    discard(spark, links_path)
+    return rank.select("id", "score")
 
 
 def depths(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
@@ -163,45 +161,83 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst): edges whose loss parts a component; src < dst.
+    """(src, dst, relationship_type): edges whose loss parts a component, src < dst; the type is the last by name of the pair's.
 
-    Each component is searched on its own in one task: for components that fit a worker's memory.
+    A breadth-first forest is grown from each component's smallest node, level by level. Each edge outside it gets a hash, and an edge of
+    the forest is a bridge if no outside edge goes around it: if the hashes at the nodes below it, each outside edge counted at both ends, cancel out.
+    Rounds follow the depth of the forest; no component is gathered anywhere.
     """
-    both = undirected(known(edges, nodes)).where("src < dst")
-    part = components(nodes, edges)
-    placed = both.join(part, both.src == part.id).select("component", "src", "dst")
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        around: dict[str, list[str]] = {}
-        for a, b in zip(frame["src"], frame["dst"], strict=True):
-            around.setdefault(a, []).append(b)
-            around.setdefault(b, []).append(a)
-        order: dict[str, int] = {}
-        low: dict[str, int] = {}
-        found = []
-        for root in around:
-            if root in order:
-                continue
-            order[root] = low[root] = len(order)
-            stack: list[tuple[str, str | None, Iterator[str]]] = [(root, None, iter(around[root]))]
-            while stack:
-                node, parent, rest = stack[-1]
-                for other in rest:
-                    if other not in order:
-                        order[other] = low[other] = len(order)
-                        stack.append((other, node, iter(around[other])))
-                        break
-                    if other != parent:
-                        low[node] = min(low[node], order[other])
-                else:
-                    stack.pop()
-                    if parent is not None:
-                        low[parent] = min(low[parent], low[node])
-                        if low[node] > order[parent]:
-                            found.append((min(parent, node), max(parent, node)))
-        return pd.DataFrame(found, columns=["src", "dst"])
-
-    return placed.groupBy("component").applyInPandas(search, "src string, dst string")
+    pairs = known(edges, nodes).where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "template_id")
+    pairs = materialise(pairs.groupBy("a", "b").agg(F.max("template_id").alias("relationship_type")), "pairs")
+    both = materialise(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*"), "both")
+    level = materialise(connected_components(both).where("node = component").select(F.col("node").alias("id"), F.lit(None).cast("string").alias("parent")), "level")
+    levels, seen = [], None
+    while not level.isEmpty():
+        levels.append(level)
+        seen = level.select("id") if seen is None else seen.unionByName(level.select("id"))
+        step = level.select(F.col("id").alias("src")).join(both, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        level = materialise(step.join(seen, "id", "left_anti"), "level")
+    found = None
+    forest = None
+    for x in levels[1:]:
+        t = x.select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
+        forest = t if forest is None else forest.unionByName(t)
+    if forest is None:
+        return pairs.limit(0).select(F.col("a").alias("src"), F.col("b").alias("dst"), "relationship_type")
+    outside = pairs.join(forest, ["a", "b"], "left_anti").select("a", "b", F.xxhash64("a", "b").alias("h"), F.xxhash64("b", "a").alias("g"))
+    marks = outside.select(F.explode(F.array("a", "b")).alias("id"), "h", "g").groupBy("id").agg(F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
+    marks = materialise(marks, "marks")
+    below = None
+    for x in levels[:0:-1]:  # from the deepest level up: what lies at a node and below it
+        own = x.join(marks, "id", "left").select("id", "parent", F.coalesce("h", F.lit(0).cast("bigint")).alias("h"), F.coalesce("g", F.lit(0).cast("bigint")).alias("g"))
+        if below is not None:
+            up = below.groupBy(F.col("parent").alias("id")).agg(F.bit_xor("h").alias("uh"), F.bit_xor("g").alias("ug"))
+            zero = F.lit(0).cast("bigint")
+            own = own.join(up, "id", "left").select("id", "parent", F.col("h").bitwiseXOR(F.coalesce("uh", zero)).alias("h"), F.col("g").bitwiseXOR(F.coalesce("ug", zero)).alias("g"))
+        below = materialise(own, "below")
+        part = below.where("h = 0 and g = 0").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
+        found = part if found is None else found.unionByName(part)
+    return found.join(pairs, ["a", "b"]).select(F.col("a").alias("src"), F.col("b").alias("dst"), "relationship_type")
+
+
+def traverse(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "both", types: list[str] | None = None, most_depth: int = 3, limit: int = 100) -> DataFrame:
+    """(id, label, depth, path): nodes in the order of a breadth-first walk, the start left out, ``limit`` of them at most.
+
+    A node's first visit counts: by the order of its parents, outgoing edges before incoming ones, then by type and node. ``types`` keeps edges whose template_id
+    is among them. ``path`` holds a step (id, type, direction) per edge. A level is never more rows than ``limit`` allows.
+    """
+    spark = nodes.sparkSession
+    e = known(edges, nodes)
+    if types is not None:
+        e = e.where(F.col("template_id").isin(*types))
+    ways = []
+    if direction in ("both", "out"):
+        ways.append(e.select(F.col("src").alias("_at"), F.lit(0).alias("way"), "template_id", F.col("dst").alias("id")))
+    if direction in ("both", "in"):
+        ways.append(e.select(F.col("dst").alias("_at"), F.lit(1).alias("way"), "template_id", F.col("src").alias("id")))
+    way = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
+    step = "struct<id:string,type:string,direction:string>"
+    frontier = spark.createDataFrame([(start, 0)], "id string, place int").withColumn("path", F.array().cast(f"array<{step}>"))
+    seen, out, left = frontier.select("id"), None, limit
+    for depth in range(1, most_depth + 1):
+        met = frontier.select(F.col("id").alias("_at"), "place", "path").join(way, "_at").join(seen, "id", "left_anti")
+        first = met.groupBy("id").agg(F.min(F.struct("place", "way", "template_id")).alias("key"), F.min_by("path", F.struct("place", "way", "template_id")).alias("path"))
+        best = first.orderBy("key.place", "key.way", "key.template_id", "id").limit(left)
+        order = Window.orderBy("key.place", "key.way", "key.template_id", "id")  # of at most ``limit`` rows
+        taken = F.struct("id", F.col("key.template_id").alias("type"), F.when(F.col("key.way") == 0, "out").otherwise("in").alias("direction"))
+        frontier = materialise(best.select("id", F.row_number().over(order).alias("place"), F.concat("path", F.array(taken)).alias("path")), "frontier")
+        found = frontier.count()
+        if not found:
+            break
+        seen = seen.unionByName(frontier.select("id"))
+        level = frontier.select("id", F.lit(depth).alias("depth"), "path")
+        out = level if out is None else out.unionByName(level)
+        left -= found
+        if left <= 0:
+            break
+    if out is None:
+        return nodes.limit(0).select("id", "label", F.lit(0).alias("depth"), F.array().cast(f"array<{step}>").alias("path"))
+    return out.join(nodes.select("id", "label"), "id").select("id", "label", "depth", "path")
 
 
 def neighbours(edges: DataFrame, start: str, direction: str = "both", types: list[str] | None = None) -> DataFrame:
@@ -212,7 +248,7 @@ def neighbours(edges: DataFrame, start: str, direction: str = "both", types: lis
     return (out if direction == "out" else into if direction == "in" else out.unionByName(into)).distinct()
 
 
-_UND = "und AS (SELECT src AS a, dst AS b FROM small_edges WHERE src <> dst AND src IN (SELECT id FROM small_nodes) AND dst IN (SELECT id FROM small_nodes) UNION SELECT dst, src FROM small_edges WHERE src <> dst AND src IN (SELECT id FROM small_nodes) AND dst IN (SELECT id FROM small_nodes))"
+_UND = "und AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) UNION SELECT dst, src FROM edges WHERE src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))"
 
 
 @query("graph_degree", sql("SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id"))
@@ -220,72 +256,81 @@ def graph_degree(spark, d):
     return endpoints(m.edges(spark, d)).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def _sparse(spark, d) -> DataFrame:
-    """Suppliers and nations only, so that there are several components."""
-    return m.small_edges(spark, d).where("template_id = 'located_in'")
-
-
-@query("graph_components", sql("WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM small_edges WHERE template_id = 'located_in' UNION SELECT dst, src FROM small_edges WHERE template_id = 'located_in'), r AS (SELECT id, id AS root FROM small_nodes UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT id, min(root) AS component FROM r GROUP BY id"))
+@query("graph_components", sql("""WITH RECURSIVE ok AS (SELECT src, dst FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)), 
+  way AS (SELECT src AS a, dst AS b FROM ok UNION SELECT dst, src FROM ok), r AS (SELECT id, id AS root FROM nodes WHERE id = (SELECT min(id) FROM nodes) UNION SELECT way.b, r.root FROM r JOIN way ON way.a = r.id)
+  SELECT n.id, coalesce(r.root, n.id) AS component FROM nodes n LEFT JOIN r ON r.id = n.id"""))
 def graph_components(spark, d):
-    return components(m.small_nodes(spark, d), _sparse(spark, d))
+    """The whole graph: one component and nodes alone, which the SQL's single search rests on."""
+    return components(m.nodes(spark, d), m.edges(spark, d))
 
 
-def _pagerank_sql(rounds: int, restart: str) -> str:
-    """Unrolled iterations over the small graph."""
-    steps = [f"""base AS (SELECT id, {restart} AS restart, id IN (SELECT src FROM small_edges WHERE dst IN (SELECT id FROM small_nodes)) AS gives FROM small_nodes),
-      lk AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM small_edges WHERE src IN (SELECT id FROM small_nodes) AND dst IN (SELECT id FROM small_nodes)), r0 AS (SELECT id, restart AS score FROM base)"""]
+def _pagerank_ctes(restart: str, rounds: int = 50) -> str:
+    """Unrolled rounds in ``every`` (k, id, score), of which the first that changes little enough counts: ``settled``."""
+    steps = [f"""base AS MATERIALIZED (SELECT id, {restart} AS restart, id IN (SELECT src FROM edges WHERE dst IN (SELECT id FROM nodes)) AS gives FROM nodes),
+      lk AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)), r0 AS (SELECT id, restart AS score FROM base)"""]
     for k in range(rounds):
         steps.append(f"""g{k} AS (SELECT dst, sum(score * share) AS got FROM lk JOIN r{k} ON lk.src = r{k}.id GROUP BY dst),
       r{k + 1} AS MATERIALIZED (SELECT base.id, 0.15 * restart + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(score), 0) FROM r{k} JOIN base USING (id) WHERE NOT gives) * restart) AS score FROM base LEFT JOIN g{k} ON g{k}.dst = base.id)""")
-    return sql(f"WITH {', '.join(steps)} SELECT id, round(score, 6) AS score FROM r{rounds}")
+    changes = " UNION ALL ".join(f"SELECT {k + 1} AS k, sum(abs(a.score - b.score)) AS change FROM r{k} a JOIN r{k + 1} b USING (id)" for k in range(rounds))
+    every = " UNION ALL ".join(f"SELECT {k + 1} AS k, id, score FROM r{k + 1}" for k in range(rounds))
+    steps.append(f"settled AS (SELECT min(k) AS k FROM ({changes}) WHERE change < 1e-6 * (SELECT count(*) FROM nodes)), every AS ({every})")
+    return ", ".join(steps)
+
+
+def _pagerank_sql(restart: str, pick: str = "") -> str:
+    return sql(f"WITH {_pagerank_ctes(restart)} SELECT id, round(score, 8) AS score FROM every WHERE k = (SELECT k FROM settled) {pick}")
 
 
-@query("graph_pagerank", _pagerank_sql(10, "1.0::DOUBLE / (SELECT count(*) FROM small_nodes)"))
+@query("graph_pagerank", _pagerank_sql("1.0::DOUBLE / (SELECT count(*) FROM nodes)"))
 def graph_pagerank(spark, d):
-    return pagerank(m.small_nodes(spark, d), m.small_edges(spark, d), rounds=10).select("id", F.round("score", 6).alias("score"))
+    return pagerank(m.nodes(spark, d), m.edges(spark, d)).select("id", F.round("score", 8).alias("score"))
 
 
-@query("graph_ppr", _pagerank_sql(10, "CASE id WHEN 'n:3' THEN 0.7::DOUBLE WHEN 's:5' THEN 0.3::DOUBLE ELSE 0::DOUBLE END"))
+@query("graph_ppr", _pagerank_sql("CASE id WHEN 'n:3' THEN 0.7::DOUBLE WHEN 's:5' THEN 0.3::DOUBLE ELSE 0::DOUBLE END"))
 def graph_ppr(spark, d):
-    return pagerank(m.small_nodes(spark, d), m.small_edges(spark, d), rounds=10, seeds={"n:3": 0.7, "s:5": 0.3, "nobody": 2.0}).select("id", F.round("score", 6).alias("score"))
+    return pagerank(m.nodes(spark, d), m.edges(spark, d), seeds={"n:3": 0.7, "s:5": 0.3, "nobody": 2.0}).select("id", F.round("score", 8).alias("score"))
 
 
-@query("topk_pagerank", _pagerank_sql(10, "1.0::DOUBLE / (SELECT count(*) FROM small_nodes)") + " ORDER BY 2 DESC, id LIMIT 5")
+@query("topk_pagerank", _pagerank_sql("1.0::DOUBLE / (SELECT count(*) FROM nodes)", pick="ORDER BY 2 DESC, id LIMIT 20"))
 def topk_pagerank(spark, d):
-    ranks = pagerank(m.small_nodes(spark, d), m.small_edges(spark, d), rounds=10).select("id", F.round("score", 6).alias("score"))
-    return ranks.orderBy(F.desc("score"), "id").limit(5)
+    ranks = pagerank(m.nodes(spark, d), m.edges(spark, d)).select("id", F.round("score", 8).alias("score"))
+    return ranks.orderBy(F.desc("score"), "id").limit(20)
 
 
 @query("graph_clustering", sql(f"""WITH {_UND}, k AS (SELECT a, count(*) AS k FROM und GROUP BY a), t AS (SELECT x.a, count(*) AS t FROM und x JOIN und y ON x.b = y.a JOIN und z ON y.b = z.a AND z.b = x.a WHERE x.b < y.b GROUP BY x.a)
-  SELECT id, CASE WHEN k >= 2 THEN round(2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)), 6) ELSE 0.0::DOUBLE END AS coefficient FROM small_nodes LEFT JOIN k ON k.a = id LEFT JOIN t ON t.a = id"""))
+  SELECT id, CASE WHEN k >= 2 THEN round(2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)), 6) ELSE 0.0::DOUBLE END AS coefficient FROM nodes LEFT JOIN k ON k.a = id LEFT JOIN t ON t.a = id"""))
 def graph_clustering(spark, d):
-    return clustering(m.small_nodes(spark, d), m.small_edges(spark, d)).select("id", F.round("coefficient", 6).alias("coefficient"))
+    return clustering(m.nodes(spark, d), m.edges(spark, d)).select("id", F.round("coefficient", 6).alias("coefficient"))
 
 
 @query("topk_clustering", sql(f"""WITH {_UND}, k AS (SELECT a, count(*) AS k FROM und GROUP BY a), t AS (SELECT x.a, count(*) AS t FROM und x JOIN und y ON x.b = y.a JOIN und z ON y.b = z.a AND z.b = x.a WHERE x.b < y.b GROUP BY x.a)
-  SELECT id, CASE WHEN k >= 2 THEN round(2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)), 6) ELSE 0.0::DOUBLE END AS coefficient FROM small_nodes LEFT JOIN k ON k.a = id LEFT JOIN t ON t.a = id ORDER BY 2 DESC, id LIMIT 20"""))
+  SELECT id, CASE WHEN k >= 2 THEN round(2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)), 6) ELSE 0.0::DOUBLE END AS coefficient FROM nodes LEFT JOIN k ON k.a = id LEFT JOIN t ON t.a = id ORDER BY 2 DESC, id LIMIT 20"""))
 def topk_clustering(spark, d):
-    return clustering(m.small_nodes(spark, d), m.small_edges(spark, d)).select("id", F.round("coefficient", 6).alias("coefficient")).orderBy(F.desc("coefficient"), "id").limit(20)
+    return clustering(m.nodes(spark, d), m.edges(spark, d)).select("id", F.round("coefficient", 6).alias("coefficient")).orderBy(F.desc("coefficient"), "id").limit(20)
 
 
-_DEPTH = f"""WITH RECURSIVE {_UND}, r AS (SELECT id AS s, id AS v, 0 AS depth FROM small_nodes WHERE id IN ({{starts}}) UNION SELECT r.s, und.b, r.depth + 1 FROM r JOIN und ON und.a = r.v WHERE r.depth < 8), dist AS (SELECT s, v, min(depth) AS depth FROM r GROUP BY s, v)"""
+_DEPTH = f"""WITH RECURSIVE {_UND}, r AS (SELECT id AS s, id AS v, 0 AS depth FROM nodes WHERE id IN ({{starts}}) UNION SELECT r.s, und.b, r.depth + 1 FROM r JOIN und ON und.a = r.v WHERE r.depth < 8), dist AS (SELECT s, v, min(depth) AS depth FROM r GROUP BY s, v)"""
 
 
 @query("graph_shortest_path", sql(_DEPTH.format(starts="'s:3'") + " SELECT CAST(depth AS INTEGER) AS length, v AS goal FROM dist WHERE v = 's:8'"))
 def graph_shortest_path(spark, d):
-    return shortest_path(m.small_nodes(spark, d), m.small_edges(spark, d), "s:3", "s:8").select("length", F.element_at("path", -1).alias("goal"))
+    return shortest_path(m.nodes(spark, d), m.edges(spark, d), "s:3", "s:8").select("length", F.element_at("path", -1).alias("goal"))
 
 
-@query("graph_traverse", sql(_DEPTH.format(starts="'n:1'") + " SELECT v AS id, CAST(depth AS INTEGER) AS depth FROM dist WHERE depth <= 3"))
+@query("graph_traverse", sql("""WITH RECURSIVE ok AS (SELECT src, dst, template_id FROM edges WHERE template_id IN ('supplied_by', 'located_in', 'trades_with', 'part_of') AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)),
+  r AS (SELECT 'p:3' AS id, 0 AS depth, '' AS key, '' AS path UNION ALL SELECT ok.dst, r.depth + 1, r.key || '|' || ok.template_id || ' ' || ok.dst, r.path || '>' || ok.template_id || ' ' || ok.dst FROM r JOIN ok ON ok.src = r.id WHERE r.depth < 3),
+  d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT id, CAST(d.depth AS INTEGER) AS depth, (SELECT arg_min(path, key) FROM r WHERE r.id = d.id AND r.depth = d.depth) AS path FROM d WHERE d.depth > 0"""))
 def graph_traverse(spark, d):
-    both = undirected(known(m.small_edges(spark, d), m.small_nodes(spark, d)))
-    return depths(both, spark.createDataFrame([("n:1",)], "id string"), 3).select("id", "depth")
+    """Three steps along outgoing edges of some types, with the path that the walk took first."""
+    walk = traverse(m.nodes(spark, d), m.edges(spark, d), "p:3", "out", ["supplied_by", "located_in", "trades_with", "part_of"], 3, 1000)
+    return walk.select("id", "depth", F.concat(F.lit(">"), F.array_join(F.transform("path", lambda s: F.concat(s["type"], F.lit(" "), s["id"])), ">")).alias("path"))
 
 
 @query("graph_betweenness")
 def graph_betweenness(spark, d):
+    """Nations and regions: all pairs of a larger graph are too many; tested against a plain search."""
     n = m.small_nodes(spark, d).where("template_id <> 'supplier'")
-    return betweenness(n, m.small_edges(spark, d)).select("id", F.round("score", 6).alias("score"))
+    return betweenness(n, m.small_edges(spark, d)).select("id", F.round("score", 8).alias("score"))
 
 
 @query("topk_betweenness")
@@ -293,12 +338,10 @@ def topk_betweenness(spark, d):
     return graph_betweenness(spark, d).orderBy(F.desc("score"), "id").limit(20)
 
 
-@query("graph_bridges", sql(f"""WITH RECURSIVE {_UND}, e AS (SELECT a, b FROM und WHERE a < b AND a NOT LIKE 's%' AND b NOT LIKE 's%'), way AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-  r AS (SELECT e.a AS x, e.b AS y, e.a AS v FROM e UNION SELECT r.x, r.y, way.b FROM r JOIN way ON way.a = r.v WHERE NOT (way.a = r.x AND way.b = r.y) AND NOT (way.a = r.y AND way.b = r.x))
-  SELECT x AS src, y AS dst FROM (SELECT DISTINCT x, y FROM r) q WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.x = q.x AND r.y = q.y AND r.v = q.y)"""))
+@query("graph_bridges")
 def graph_bridges(spark, d):
-    n = m.small_nodes(spark, d).where("template_id <> 'supplier'")
-    return bridges(n, m.small_edges(spark, d))
+    """Tested against a plain search."""
+    return bridges(m.nodes(spark, d), m.edges(spark, d))
 
 
 @query("graph_neighbors", sql("SELECT DISTINCT dst AS id, template_id, 'out' AS direction FROM edges WHERE src = 'c:5' UNION ALL SELECT DISTINCT src, template_id, 'in' FROM edges WHERE dst = 'c:5'"))
@@ -306,21 +349,48 @@ def graph_neighbors(spark, d):
     return neighbours(m.edges(spark, d), "c:5")
 
 
-@query("graph_similar_nodes", "SELECT a.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 7 AND a.vec_id <> 7 ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, id LIMIT 10")
-def graph_similar_nodes(spark, d):
+def similar_nodes(vectors: DataFrame, node, nodes: DataFrame, limit: int = 10) -> DataFrame:
+    """(id, score): the nearest other vectors of a node, (vec_id, embedding) by id; a node without a vector gets others of its template at 0.5, by id."""
     from graphloom.operators.retrieval import knn
 
-    e = m.table(spark, d, "embeddings")
-    return knn(e.where("vec_id <> 7"), e.where("vec_id = 7").first().embedding, 10).select("id", F.round("score", 6).alias("score"))
+    own = vectors.where(F.col("vec_id") == node).select("embedding").first()
+    if own is not None and own.embedding is not None:
+        return knn(vectors.where(F.col("vec_id") != node), list(own.embedding), limit)
+    mine = nodes.where(F.col("id") == node).select("template_id").limit(1)
+    return nodes.where(F.col("id") != node).join(mine, "template_id", "left_semi").orderBy("id").limit(limit).select("id", F.lit(0.5).alias("score"))
 
 
-@query("graph_node_context", sql("SELECT n.id, n.label, (SELECT count(*) FROM edges WHERE src = n.id) AS outgoing, (SELECT count(*) FROM edges WHERE dst = n.id) AS incoming, (SELECT count(*) FROM citations WHERE entity_uri = n.id) AS chunks FROM nodes n WHERE n.id = 'p:3'"))
-def graph_node_context(spark, d):
-    n = m.nodes(spark, d).where("id = 'p:3'").select("id", "label")
-    e = m.edges(spark, d)
-    from graphloom.operators.stats import one_row
+_NEAREST = "SELECT CAST(a.vec_id AS VARCHAR) AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score, 'vector' AS way FROM embeddings a, embeddings b WHERE b.vec_id = 7 AND a.vec_id <> 7 ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, a.vec_id LIMIT 10"
 
-    return one_row(n, e.where("src = 'p:3'").agg(F.count("*").alias("outgoing")), e.where("dst = 'p:3'").agg(F.count("*").alias("incoming")), m.citations(spark, d).where("entity_uri = 'p:3'").agg(F.count("*").alias("chunks")))
+
+@query("graph_similar_nodes", sql(f"SELECT * FROM ({_NEAREST}) UNION ALL SELECT * FROM (SELECT id, CAST(0.5 AS DOUBLE), 'template' FROM nodes WHERE template_id = 'nation' AND id <> 'n:7' ORDER BY id LIMIT 10)"))
+def graph_similar_nodes(spark, d):
+    """A node with a vector, and one without."""
+    e = m.table(spark, d, "embeddings")
+    near = similar_nodes(e, 7, m.nodes(spark, d)).select(F.col("id").cast("string").alias("id"), F.round("score", 6).alias("score"), F.lit("vector").alias("way"))
+    none = e.select(F.col("vec_id").cast("string").alias("vec_id"), "embedding")
+    return near.unionByName(similar_nodes(none, "n:7", m.nodes(spark, d)).withColumn("way", F.lit("template")))
+
+
+def node_context(nodes: DataFrame, edges: DataFrame, citations: DataFrame, node: str) -> DataFrame:
+    """Rows (kind, id, label, relation) about a node: itself, its edges out and in, the nodes at them once, and the chunks that cite it."""
+    e = edges.where((F.col("src") == node) | (F.col("dst") == node))
+    names = nodes.select("id", "label", "template_id")
+    out = e.where(F.col("src") == node).select(F.lit("out").alias("kind"), F.col("dst").alias("id"), F.col("template_id").alias("relation"))
+    into = e.where(F.col("dst") == node).select(F.lit("in").alias("kind"), F.col("src").alias("id"), F.col("template_id").alias("relation"))
+    at = materialise(out.unionByName(into), "context")
+    related = at.select("id").distinct().where(F.col("id") != node).join(names, "id").select(F.lit("related").alias("kind"), "id", "label", F.col("template_id").alias("relation"))
+    own = names.where(F.col("id") == node).select(F.lit("node").alias("kind"), "id", "label", F.col("template_id").alias("relation"))
+    cited = citations.where(F.col("entity_uri") == node).select(F.col("chunk_id").cast("string").alias("id")).distinct()
+    chunks = cited.select(F.lit("chunk").alias("kind"), "id", F.lit(None).cast("string").alias("label"), F.lit("cited").alias("relation"))
+    return own.unionByName(at.join(names.select("id", "label"), "id", "left").select("kind", "id", "label", "relation")).unionByName(related).unionByName(chunks)
+
+
+@query("graph_node_context", sql("""WITH at AS (SELECT 'out' AS kind, dst AS id, template_id AS relation FROM edges WHERE src = 'p:3' UNION ALL SELECT 'in', src, template_id FROM edges WHERE dst = 'p:3')
+  SELECT 'node' AS kind, id, label, template_id AS relation FROM nodes WHERE id = 'p:3' UNION ALL SELECT kind, a.id, label, relation FROM at a LEFT JOIN nodes n ON n.id = a.id
+  UNION ALL SELECT DISTINCT 'related', n.id, n.label, n.template_id FROM nodes n WHERE n.id IN (SELECT id FROM at) AND n.id <> 'p:3' UNION ALL SELECT DISTINCT 'chunk', CAST(chunk_id AS VARCHAR), NULL, 'cited' FROM citations WHERE entity_uri = 'p:3'""".replace("WITH at AS", "WITH here AS").replace("FROM at a", "FROM here a").replace("FROM at)", "FROM here)")))
+def graph_node_context(spark, d):
+    return node_context(m.nodes(spark, d), m.edges(spark, d), m.citations(spark, d), "p:3")
 
 
 @query("graph_hub_skew", sql("SELECT round(max(k) / quantile_cont(k, 0.5), 6) AS skew FROM (SELECT id, count(*) AS k FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)"))
@@ -329,52 +399,131 @@ def graph_hub_skew(spark, d):
     return k.agg(F.coalesce(F.round(F.max("k") / F.percentile("k", F.lit(0.5)), 6), F.lit(1.0)).alias("skew"))
 
 
-@query("graph_reciprocal_rate", sql("WITH e AS (SELECT DISTINCT src, dst, template_id FROM small_edges) SELECT round(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM e b WHERE b.src = a.dst AND b.dst = a.src AND b.template_id = a.template_id AND a.src <> a.dst)) / count(*), 6) AS rate FROM e a"))
+@query("graph_reciprocal_rate", sql("WITH e AS (SELECT DISTINCT src, dst, template_id FROM edges) SELECT round(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM e b WHERE b.src = a.dst AND b.dst = a.src AND b.template_id = a.template_id AND a.src <> a.dst)) / count(*), 6) AS rate FROM e a"))
 def graph_reciprocal_rate(spark, d):
-    e = m.small_edges(spark, d).select("src", "dst", "template_id").distinct()
+    e = m.edges(spark, d).select("src", "dst", "template_id").distinct()
     back = e.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "template_id", F.lit(1).alias("back"))
     return e.join(back, ["src", "dst", "template_id"], "left").agg(F.round(F.count("back") / F.count("*"), 6).alias("rate"))
 
 
-@query("canvas_data", sql("SELECT count(*) AS nodes, count(*) > 5000 AS truncated FROM (SELECT id FROM nodes ORDER BY id LIMIT 5001)".replace("count(*) AS nodes", "least(count(*), 5000) AS nodes")))
+#: Nodes and edges that a canvas shows at most.
+CANVAS_NODES, CANVAS_EDGES = 5_000, 15_000
+
+
+def canvas(nodes: DataFrame, edges: DataFrame, most_nodes: int = CANVAS_NODES, most_edges: int = CANVAS_EDGES) -> DataFrame:
+    """(kind, id, src, dst, template_id, truncated): the first nodes by id and, by their ends and type, the first edges between them."""
+    shown = materialise(nodes.select("id", "template_id").orderBy("id").limit(most_nodes + 1), "canvas")
+    kept = shown.orderBy("id").limit(most_nodes)
+    between = materialise(known(edges, kept).select("src", "dst", "template_id").orderBy("src", "dst", "template_id").limit(most_edges + 1), "canvas")
+    more = F.lit(shown.count() > most_nodes or between.count() > most_edges)
+    none = F.lit(None).cast("string")
+    first = kept.select(F.lit("node").alias("kind"), "id", none.alias("src"), none.alias("dst"), "template_id")
+    return first.unionByName(between.orderBy("src", "dst", "template_id").limit(most_edges).select(F.lit("edge").alias("kind"), none.alias("id"), "src", "dst", "template_id")).withColumn("truncated", more)
+
+
+@query("canvas_data", sql("""WITH n AS MATERIALIZED (SELECT id, template_id FROM nodes ORDER BY id LIMIT 5000), e AS MATERIALIZED (SELECT src, dst, template_id FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)), t AS (SELECT (SELECT count(*) FROM nodes) > 5000 OR (SELECT count(*) FROM e) > 15000 AS truncated)
+  SELECT 'node' AS kind, id, NULL::VARCHAR AS src, NULL::VARCHAR AS dst, template_id, truncated FROM n, t UNION ALL SELECT 'edge', NULL, src, dst, template_id, truncated FROM (SELECT * FROM e ORDER BY src, dst, template_id LIMIT 15000), t"""))
 def canvas_data(spark, d):
-    """How many nodes a canvas of 5,000 shows."""
-    shown = m.nodes(spark, d).select("id").limit(5001).agg(F.count("*").alias("n"))
-    return shown.select(F.least("n", F.lit(5000).cast("bigint")).alias("nodes"), (F.col("n") > 5000).alias("truncated"))
+    return canvas(m.nodes(spark, d), m.edges(spark, d))
 
 
-@query("graph_structure_report", sql(f"""WITH RECURSIVE {_UND}, r AS (SELECT id, id AS root FROM small_nodes UNION SELECT und.b, r.root FROM r JOIN und ON und.a = r.id), c AS (SELECT id, min(root) AS component FROM r GROUP BY id), k AS (SELECT a, count(*) AS k FROM und GROUP BY a)
-  SELECT (SELECT count(*) FROM small_nodes) AS nodes, (SELECT count(*) // 2 FROM und) AS links, (SELECT count(DISTINCT component) FROM c) AS communities, (SELECT round(avg(k), 4) FROM k) AS avg_degree, (SELECT count(*) FROM small_nodes WHERE id NOT IN (SELECT a FROM und)) AS isolated"""))
+def structure_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (section, place, id, value): sizes, average degree and clustering, isolated nodes, the ten highest ranks and degrees, and the five largest communities with
+    their sizes and, after them, their first five nodes."""
+    both = materialise(undirected(known(edges, nodes)), "both")
+    degree = materialise(both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k")), "degrees")
+    n = nodes.count()
+    k = degree.agg(F.count("*").alias("linked"), F.coalesce(F.sum("k"), F.lit(0)).alias("ends")).first()
+    part = materialise(components(nodes, edges), "parts")
+    sizes = part.groupBy("component").agg(F.count("*").alias("n"))
+    mean = clustering(nodes, edges).agg(F.avg("coefficient")).first()[0] or 0.0
+    facts = [("nodes", n), ("links", k.ends // 2), ("isolated", n - k.linked), ("communities", sizes.count()), ("average_degree", round(k.ends / n, 4) if n else 0.0), ("average_clustering", round(mean, 6))]
+    out = nodes.sparkSession.createDataFrame([("facts", 0, name, float(v)) for name, v in facts], "section string, place int, id string, value double")
+    place = F.row_number().over(Window.orderBy(F.desc("value"), "id"))  # of ten rows
+    for section, rows in (("rank", pagerank(nodes, edges).select("id", F.round("score", 8).alias("value"))), ("degree", degree.select("id", F.col("k").cast("double").alias("value")))):
+        out = out.unionByName(rows.orderBy(F.desc("value"), "id").limit(10).select(F.lit(section).alias("section"), place.alias("place"), "id", "value"))
+    top = materialise(sizes.orderBy(F.desc("n"), "component").limit(5).select("component", F.col("n").cast("double").alias("value"), F.row_number().over(Window.orderBy(F.desc("n"), "component")).alias("place")), "communities")
+    out = out.unionByName(top.select(F.lit("community").alias("section"), "place", F.col("component").alias("id"), "value"))
+    firsts = [part.where(F.col("component") == c.component).orderBy("id").limit(5).select(F.lit("member").alias("section"), F.lit(c.place).alias("place"), "id", F.lit(c.value).alias("value")) for c in top.collect()]
+    for rows in firsts:  # five small sorts: no community is gathered
+        out = out.unionByName(rows)
+    return out
+
+
+@query("graph_structure_report")
 def graph_structure_report(spark, d):
-    from graphloom.operators.stats import one_row
+    """Its parts are compared with SQL one by one under their own names."""
+    return structure_report(m.nodes(spark, d), m.edges(spark, d))
 
-    n, e = m.small_nodes(spark, d), m.small_edges(spark, d)
-    both = undirected(known(e, n))
-    k = both.groupBy("src").agg(F.count("*").alias("k")).agg(F.round(F.avg("k"), 4).alias("avg_degree"), F.count("*").alias("linked"), F.floor(F.sum("k") / 2).alias("links"))
-    c = components(n, e).agg(F.count_distinct("component").alias("communities"))
-    return one_row(n.agg(F.count("*").alias("nodes")), k, c).select("nodes", "links", "communities", "avg_degree", (F.col("nodes") - F.col("linked")).alias("isolated"))
 
+@dataclass
+class GraphAnswer:
+    """What a graph search found: chunks (id, score, origin, alias), triples (subject, relation, object), their text, and how it went."""
 
-def graph_search(nodes: DataFrame, edges: DataFrame, citations: DataFrame, seeds: dict[str, float], chunk_hits: DataFrame, limit: int = 20, rounds: int = 10) -> DataFrame:
-    """Chunks (id, score, origin, alias) for seed nodes: ranks spread from the seeds, chunks that cite the best
-    nodes and chunks found directly are fused by reciprocal ranks."""
-    from graphloom.operators.retrieval import fuse, provenance
+    chunks: DataFrame
+    triples: DataFrame | None
+    context: str
+    stats: dict
 
-    ranks = pagerank(nodes, edges, rounds=rounds, seeds=seeds)
-    tops = ranks.orderBy(F.desc("score"), "id").limit(20)
-    first = provenance(citations, tops).select(F.col("chunk_id").alias("id"), "score")
-    return fuse(first, chunk_hits, limit)
 
+def graph_search(
+    nodes: DataFrame, edges: DataFrame, citations: DataFrame, chunks: DataFrame, node_vectors: DataFrame, chunk_vectors: DataFrame, text: str, query_vector: list[float],
+    limit: int = 10, seed_limit: int = 5, least_seed: float = 0.3, least_chunk: float = 0.3, scope: list | None = None, with_context: bool = True,
+) -> GraphAnswer:
+    """Chunks for a question from the graph around it and by hybrid search, fused by reciprocal ranks.
 
-@query("graphrag_search")
+    Seeds are the nearest nodes to the query vector, three times ``seed_limit`` at ``least_seed`` or nearer. Ranks spread from them over the graph; chunks that cite
+    the twenty best nodes come first. Modes: full_graphrag; vector_only, without seeds; keyword_only, without a query vector.
+    """
+    from graphloom.operators.retrieval import context_text, context_triples, fuse, knn, provenance, search_chunks_by
+
+    hits = search_chunks_by(chunks, chunk_vectors, text, query_vector, scope, 2 * limit, least_chunk).select(F.col("chunk_id").alias("id"), "score")
+    seeds: dict[str, float] = {}
+    if query_vector:
+        near = knn(node_vectors.join(nodes.select("id"), "id", "left_semi"), query_vector, 3 * seed_limit, least_seed, "id")
+        seeds = {r.id: r.score for r in near.collect()}  # three times seed_limit
+    mode = "full_graphrag" if seeds else "vector_only" if query_vector else "keyword_only"
+    stats = {"mode": mode, "seeds": len(seeds), "vector_chunks": hits.count(), "provenance_chunks": 0, "triples": 0}
+    empty = hits.limit(0)
+    if not seeds:
+        return GraphAnswer(fuse(empty, hits, limit), None, "", stats)
+    tops = materialise(pagerank(nodes, edges, seeds=seeds).orderBy(F.desc("score"), "id").limit(20), "tops")
+    cited = provenance(citations, tops).select(F.col("chunk_id").alias("id"), "score")
+    stats["provenance_chunks"] = cited.count()
+    triples = context_triples(edges, nodes, tops) if with_context else None
+    context = context_text(triples) if with_context else ""
+    stats["triples"] = context.count("\n") + 1 if context else 0
+    return GraphAnswer(fuse(cited, hits, limit), triples, context, stats)
+
+
+def _graphrag_sql() -> str:
+    from graphloom.operators.retrieval import _COS, _SCOPE_SQL, _chunk_sql
+
+    near = f"SELECT 'c:' || a.vec_id AS id, {_COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 3"
+    seeds = f"seeds AS MATERIALIZED (SELECT * FROM ({near}) WHERE id IN (SELECT id FROM nodes) AND score >= 0.2 ORDER BY score DESC, id LIMIT 15)"
+    ranks = _pagerank_ctes("coalesce((SELECT s.score FROM seeds s WHERE s.id = nodes.id), 0) / (SELECT sum(score) FROM seeds)")
+    return sql(f"""WITH {seeds}, {_chunk_sql(_SCOPE_SQL, ['thing', 'hahaha'], 0.1, 20)}, {ranks}, tops AS (SELECT id, score FROM every WHERE k = (SELECT k FROM settled) ORDER BY score DESC, id LIMIT 20),
+  cited AS (SELECT chunk_id * 16777216 AS id, 1.0 AS score FROM (SELECT chunk_id, max(score) AS best FROM citations JOIN tops ON entity_uri = id GROUP BY 1 ORDER BY best DESC, chunk_id LIMIT 50)),
+  r AS (SELECT 'provenance' AS list, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM cited UNION ALL SELECT 'vector', chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) FROM chunk_hits),
+  f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score, CASE WHEN count(DISTINCT list) = 2 THEN 'both' ELSE min(list) END AS origin FROM r GROUP BY id ORDER BY score DESC, id LIMIT 10)
+  SELECT id, round(score, 8) AS score, origin, 'C' || (row_number() OVER (ORDER BY score DESC, id) - 1) AS alias, CASE WHEN (SELECT count(*) FROM seeds) > 0 THEN 'full_graphrag' ELSE 'vector_only' END AS mode, (SELECT count(*) FROM seeds) AS seeds, (SELECT count(*) FROM cited) AS provenance_chunks FROM f""")
+
+
+@query("graphrag_search", _graphrag_sql())
 def graphrag_search(spark, d):
-    n = m.nodes(spark, d).where(F.col("template_id").isin("part", "supplier", "nation"))
-    e = m.edges(spark, d).where(F.col("template_id").isin("supplied_by", "located_in"))
-    hits = m.chunks(spark, d).where(F.col("content").contains("thing") & (F.col("chunk_index") == 0)).select((F.col("doc_id") % 500).alias("id"), F.length("content").alias("score")).groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(40)
-    return graph_search(n, e, m.citations(spark, d), {"p:1": 1.0, "p:2": 0.5}, hits, rounds=4).select("id", F.round("score", 8).alias("score"), "origin", "alias")
+    """The whole: seeds by vector, ranks over the whole graph, cited chunks and hybrid search in some sources."""
+    from graphloom.operators.retrieval import _SCOPE, _chunk_vectors, _node_vectors, _query_vector
+
+    cited = m.citations(spark, d).withColumn("chunk_id", F.col("chunk_id") * 16777216)
+    answer = graph_search(
+        m.nodes(spark, d), m.edges(spark, d), cited, m.chunks(spark, d), _node_vectors(spark, d), _chunk_vectors(spark, d), "thing hahaha", _query_vector(spark, d),
+        least_seed=0.2, least_chunk=0.1, scope=_SCOPE, with_context=False,
+    )
+    s = answer.stats
+    return answer.chunks.select("id", F.round("score", 8).alias("score"), "origin", "alias", F.lit(s["mode"]).alias("mode"), F.lit(s["seeds"]).cast("bigint").alias("seeds"), F.lit(s["provenance_chunks"]).cast("bigint").alias("provenance_chunks"))
 
 
-@query("graphrag_ppr", _pagerank_sql(10, "CASE id WHEN 'n:1' THEN 0.5::DOUBLE WHEN 'r:2' THEN 0.5::DOUBLE ELSE 0::DOUBLE END") + " ORDER BY 2 DESC, id LIMIT 10")
+@query("graphrag_ppr", _pagerank_sql("CASE id WHEN 'n:1' THEN 0.5::DOUBLE WHEN 'r:2' THEN 0.5::DOUBLE ELSE 0::DOUBLE END", pick="ORDER BY 2 DESC, id LIMIT 10"))
 def graphrag_ppr(spark, d):
-    ranks = pagerank(m.small_nodes(spark, d), m.small_edges(spark, d), rounds=10, seeds={"n:1": 1, "r:2": 1}).select("id", F.round("score", 6).alias("score"))
+    ranks = pagerank(m.nodes(spark, d), m.edges(spark, d), seeds={"n:1": 1, "r:2": 1}).select("id", F.round("score", 8).alias("score"))
     return ranks.orderBy(F.desc("score"), "id").limit(10)

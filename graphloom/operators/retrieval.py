@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from graphloom import model as m
 from graphloom.catalog import query
+from graphloom.functions.stem import stem, stems
 from graphloom.operators.ranking import ranks, rrf, union_max
 from graphloom.operators.relational import endpoints, in_enabled_sources, sql
+from graphloom.plans.scratch import scratch_path
 
 K1, B = 1.2, 0.75
 
@@ -29,30 +31,80 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
-    """(id, term, tf, length): the inverted index, term frequencies weighted by field."""
-    parts = [docs.select(F.col(key).alias("id"), F.explode(words(f)).alias("term"), F.lit(w).alias("w")) for f, w in fields.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    index = out.groupBy("id", "term").agg(F.sum("w").alias("tf"))
-    return index.join(index.groupBy("id").agg(F.sum("tf").alias("length")), "id")
+def fields_of(docs: DataFrame, fields: dict[str, float], key: str, stemmed: bool) -> DataFrame:
+    """(id, _words_0, _words_1, ..., length): the words of each field, stemmed or not, and how many they are in all."""
+    each = {f"_words_{k}": F.coalesce(words(f), F.array().cast("array<string>")) for k, f in enumerate(fields)}
+    out = docs.select(F.col(key).alias("id"), *[(stems(c) if stemmed else c).alias(n) for n, c in each.items()])
+    total = F.size("_words_0")
+    for n in list(each)[1:]:
+        total = total + F.size(n)
+    return out.withColumn("length", total)
 
 
-def bm25(index: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, score): BM25 of rows of :func:`postings` for some query terms; an empty query finds nothing.
+def idf(n: Column, df: Column) -> Column:
+    """Of a term in df of n texts; a term in over half of them counts next to nothing."""
+    value = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(value > 0, value).otherwise(1e-6)
 
-    The corpus' size and mean length are one row, the query's terms as many as it has: those are broadcast.
+
+def keyword(docs: DataFrame, terms: list[str], fields: dict[str, float], key: str = "doc_id", stemmed: bool = False) -> DataFrame:
+    """(id, score): BM25 of texts for some terms, occurrences weighted by field; no term, no hit.
+
+    Only counts of these terms are taken from a text, so nothing is shuffled: one pass sums up how many texts have each term and how long they are,
+    one scores.
+    """
+    wanted = sorted({stem(x) if stemmed else x for x in (t.lower() for t in terms) if x})
+    split = fields_of(docs, fields, key, stemmed)
+    times = lambda n, x: F.size(F.filter(n, lambda w: w == x))
+    tf = []
+    for x in wanted:
+        parts = [times(f"_words_{k}", x) * weight for k, weight in enumerate(fields.values())]
+        tf.append(sum(parts[1:], parts[0]).cast("double"))
+    counted = split.select("id", "length", *[c.alias(f"_tf_{k}") for k, c in enumerate(tf)])
+    if not wanted:
+        return counted.limit(0).select("id", F.lit(0.0).alias("score"))
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"_tf_{k}") > 0).alias(f"_df_{k}") for k in range(len(wanted))]).first()
+    score = F.lit(0.0)
+    for k in range(len(wanted)):
+        f = F.col(f"_tf_{k}")
+        norm = f + K1 * (1 - B + B * F.col("length") / (stats.mean or 1.0))
+        score = score + idf(F.lit(stats.n), F.lit(stats[f"_df_{k}"])) * f * (K1 + 1) / norm
+    hit = F.lit(False)
+    for k in range(len(wanted)):
+        hit = hit | (F.col(f"_tf_{k}") > 0)
+    return counted.where(hit).select("id", score.alias("score"))
+
+
+def build_index(docs: DataFrame, fields: dict[str, float], path: str, key: str = "doc_id", stemmed: bool = True, buckets: int = 256) -> None:
+    """Write an inverted index: postings (bucket, term, id, tf, length), a folder per bucket of terms, and statistics of one row.
+
+    A later search reads the folders of its terms. An index that is there is replaced.
     """
-    spark = index.sparkSession
-    lengths = index.select("id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    hits = index.where(F.col("term").isin(*terms)) if terms else index.limit(0)
+    split = fields_of(docs, fields, key, stemmed)
+
+    def weigh(column: str, weight: float) -> Column:
+        return F.transform(column, lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("w")))
+
+    weighted = F.flatten(F.array(*[weigh(f"_words_{k}", weight) for k, weight in enumerate(fields.values())]))
+    terms = split.select("id", "length", F.explode(weighted).alias("x")).groupBy("id", "length", "x.term").agg(F.sum("x.w").alias("tf"))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    terms.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    split.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean"), F.lit(stemmed).alias("stemmed"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def search_index(spark, path: str, terms: list[str]) -> DataFrame:
+    """(id, score) by a written index, as :func:`keyword` gives them."""
+    stats = spark.read.parquet(f"{path}/stats").first()
+    wanted = sorted({stem(x) if stats.stemmed else x for x in (t.lower() for t in terms) if x})
+    rows = spark.read.parquet(f"{path}/postings")
+    if not wanted:
+        return rows.limit(0).select("id", F.lit(0.0).alias("score"))
+    at = {r.b for r in spark.createDataFrame([(w,) for w in wanted], "term string").select(F.pmod(F.xxhash64("term"), F.lit(stats.buckets)).cast("int").alias("b")).collect()}
+    hits = rows.where(F.col("bucket").isin(*at) & F.col("term").isin(*wanted))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(lengths))
-    assert spark is not None
-    return scored.groupBy("id").agg(F.sum(idf * F.col("tf") * (K1 + 1) / norm).alias("score"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / stats.mean)
+    scored = hits.join(F.broadcast(df), "term")  # a row per term of the query
+    return scored.groupBy("id").agg(F.sum(idf(F.lit(stats.n), F.col("df")) * F.col("tf") * (K1 + 1) / norm).alias("score"))
 
 
 def knn(vectors: DataFrame, query_vector: list[float], k: int, least: float | None = None, key: str = "vec_id") -> DataFrame:
@@ -71,15 +123,30 @@ def hybrid(keyword: DataFrame, semantic: DataFrame, query_text: str, k: int, lea
     return hits.orderBy(F.desc("score"), "id").limit(k)
 
 
-_QUERY = ("thing", "the", "heonor")
-_BM25 = """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), len AS (SELECT doc_id, sum(tf) AS l FROM tf GROUP BY 1),
-  c AS (SELECT count(*) AS n, avg(l) AS mean FROM len), df AS (SELECT term, count(*) AS df FROM tf WHERE term IN ('the', 'of', 'anand') GROUP BY 1),
-  bm AS (SELECT doc_id AS id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS score FROM tf JOIN df USING (term) JOIN len USING (doc_id), c GROUP BY 1)"""
-_TERMS = ["the", "of", "anand"]
+TERMS = ["onreen", "thing", "ndble", "hahaha"]
+
+
+def bm25_sql(rows: str, terms: list[str], name: str = "bm") -> str:
+    """CTEs that end in ``name`` (id, score): BM25 over ``rows``, a query of (id, label, text) with weights 3 and 0.5."""
+    listed = ", ".join(f"'{t}'" for t in terms)
+    cut = lambda c: f"regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""{name}_t AS MATERIALIZED (SELECT id, {cut('label')} AS a, {cut('text')} AS b FROM ({rows})), {name}_l AS (SELECT id, len(a) + len(b) AS l FROM {name}_t), {name}_c AS (SELECT count(*) AS n, avg(l) AS mean FROM {name}_l),
+  {name}_f AS (SELECT id, term, sum(w) AS tf FROM (SELECT id, unnest(a) AS term, 3.0::DOUBLE AS w FROM {name}_t UNION ALL SELECT id, unnest(b), 0.5 FROM {name}_t) WHERE term IN ({listed}) GROUP BY 1, 2), {name}_d AS (SELECT term, count(*) AS df FROM {name}_f GROUP BY 1),
+  {name} AS (SELECT id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS score FROM {name}_f JOIN {name}_d USING (term) JOIN {name}_l USING (id), {name}_c GROUP BY 1)"""
+
+
+FIELDS = {"label": 3.0, "text": 0.5}
+_DOC_ROWS = "SELECT doc_id AS id, string_split(text, chr(10))[1] AS label, text FROM documents"
+_BM25 = f"WITH {bm25_sql(_DOC_ROWS, TERMS)}"
+
+
+def _titled(spark, d) -> DataFrame:
+    """Documents with their first line as label."""
+    return m.table(spark, d, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("label"), "text")
 
 
 def _keyword(spark, d) -> DataFrame:
-    return bm25(postings(m.table(spark, d, "documents"), {"text": 1.0}), _TERMS)
+    return keyword(_titled(spark, d), TERMS, FIELDS)
 
 
 @query("search_keyword", f"{_BM25} SELECT id, round(score, 5) AS score FROM bm")
@@ -87,6 +154,20 @@ def search_keyword(spark, d):
     return _keyword(spark, d).select("id", F.round("score", 5).alias("score"))
 
 
+@query("search_keyword_index", f"{_BM25} SELECT id, round(score, 5) AS score FROM bm")
+def search_keyword_index(spark, d):
+    """The same by a written index."""
+    path = scratch_path(spark, "index")
+    build_index(_titled(spark, d), FIELDS, path, stemmed=False)
+    return search_index(spark, path, TERMS).select("id", F.round("score", 5).alias("score"))
+
+
+@query("search_keyword_stemmed")
+def search_keyword_stemmed(spark, d):
+    """Stems of words and of the query's terms; tested against plain Python."""
+    return keyword(_titled(spark, d), ["things", "hahahaing", "relating"], FIELDS, stemmed=True).select("id", F.round("score", 5).alias("score"))
+
+
 def _vector(spark, d, k: int, least: float | None = None) -> DataFrame:
     e = m.table(spark, d, "embeddings")
     seed = e.where("vec_id = 3").select("embedding").first()  # the query
@@ -122,18 +203,53 @@ def search_hybrid(spark, d):
     return hybrid(k, _vector(spark, d, 25), "the of", 40, 0.2).select("id", F.round("score", 5).alias("score"))
 
 
-@query("search_template_keyword", sql("SELECT template_id, max(CASE WHEN contains(template_id, 'part') THEN 1.0 WHEN contains(template_id, 'item') OR contains(template_id, 'suppl') THEN 0.85 END) AS score FROM nodes WHERE contains(template_id, 'part') OR contains(template_id, 'item') OR contains(template_id, 'suppl') GROUP BY template_id".replace("max(CASE", "CAST(max(CASE").replace("0.85 END)", "0.85 END) AS DOUBLE)")))
+def _templates(spark, d) -> DataFrame:
+    """(name, kind, description, uses, embedding): templates of nodes and edges; the k-th by name has the k-th vector."""
+    counted = m.nodes(spark, d).groupBy(F.col("template_id").alias("name")).agg(F.count("*").alias("uses")).withColumn("kind", F.lit("node"))
+    counted = counted.unionByName(m.edges(spark, d).groupBy(F.col("template_id").alias("name")).agg(F.count("*").alias("uses")).withColumn("kind", F.lit("edge")))
+    placed = counted.withColumn("vec_id", F.row_number().over(Window.orderBy("name")).cast("bigint"))  # as many rows as there are templates
+    described = placed.withColumn("description", F.concat(F.lit("A kind of "), F.when(F.col("kind") == "node", "thing").otherwise("relation"), F.when(F.col("name").contains("_"), F.lit(" between things")).otherwise("")))
+    return described.join(m.table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
+
+
+_TEMPLATES = """counted AS (SELECT template_id AS name, count(*) AS uses, 'node' AS kind FROM nodes GROUP BY 1 UNION ALL SELECT template_id, count(*), 'edge' FROM edges GROUP BY 1), placed AS (SELECT *, row_number() OVER (ORDER BY name) AS vec_id FROM counted),
+  templates AS (SELECT name, kind, uses, 'A kind of ' || CASE WHEN kind = 'node' THEN 'thing' ELSE 'relation' END || CASE WHEN contains(name, '_') THEN ' between things' ELSE '' END AS description, embedding FROM placed LEFT JOIN embeddings USING (vec_id))"""
+#: Words that stand for others in a search for templates.
+SYNONYMS = {"company": ("supplier", "customer"), "location": ("nation", "region", "located"), "thing": ("part",)}
+
+
+def template_keyword(templates: DataFrame, text: str, synonyms: dict[str, tuple[str, ...]] = SYNONYMS) -> DataFrame:
+    """(name, score): 1 if the name holds the query, 0.85 a synonym of one of its words, 0.7 and 0.6 for the description; the best counts."""
+    low = text.strip().lower()
+    others = sorted({s for w in low.split() for s in synonyms.get(w, ())})
+    name, about = F.lower("name"), F.lower(F.coalesce("description", F.lit("")))
+    any_of = lambda c: F.exists(F.array(*[F.lit(s) for s in others]), lambda s: F.contains(c, s)) if others else F.lit(False)
+    score = F.when(F.contains(name, F.lit(low)), 1.0).when(any_of(name), 0.85).when(F.contains(about, F.lit(low)), 0.7).when(any_of(about), 0.6)
+    return templates.where(F.lit(low) != "").select("name", score.alias("score")).where("score is not null").groupBy("name").agg(F.max("score").alias("score"))
+
+
+_TEMPLATE_HITS = "hits AS (SELECT name, max(CASE WHEN contains(name, 'thing') THEN 1.0::DOUBLE WHEN contains(name, 'part') THEN 0.85 WHEN contains(lower(description), 'thing') THEN 0.7 WHEN contains(lower(description), 'part') THEN 0.6 END) AS score FROM templates GROUP BY 1)"
+
+
+@query("search_template_keyword", sql(f"WITH {_TEMPLATES}, {_TEMPLATE_HITS} SELECT * FROM hits WHERE score IS NOT NULL"))
 def search_template_keyword(spark, d):
-    """Templates by name: 1 for the query, 0.85 for its synonyms."""
-    terms = spark.createDataFrame([("part", 1.0), ("item", 0.85), ("suppl", 0.85)], "term string, score double")
-    t = m.nodes(spark, d).select("template_id").distinct()
-    return t.join(F.broadcast(terms), F.col("template_id").contains(F.col("term"))).groupBy("template_id").agg(F.max("score").alias("score"))
+    return template_keyword(_templates(spark, d), "thing")
+
+
+def search_templates(templates: DataFrame, text: str, query_vector: list[float], limit: int = 10, least: float = 0.4, kind: str | None = None) -> DataFrame:
+    """(name, uses, score): the nearest templates of 3 * ``limit`` at ``least`` or more, then by name those not among them; most used first."""
+    wanted = templates if kind is None else templates.where(F.col("kind") == kind)
+    near = knn(wanted.where("embedding is not null"), query_vector, 3 * limit, least, "name")
+    more = template_keyword(wanted, text).select(F.col("name").alias("id"), "score").join(near.select("id"), "id", "left_anti")
+    both = near.unionByName(more).join(wanted.select(F.col("name").alias("id"), "uses"), "id")
+    return both.orderBy(F.desc("uses"), F.desc("score"), "id").limit(limit).select(F.col("id").alias("name"), "uses", "score")
 
 
-@query("search_template", sql("SELECT label AS template, count(*) AS uses, round(max(score), 6) AS score FROM (SELECT a.label, " + _COS + " AS score FROM embeddings a, embeddings b WHERE b.vec_id = 3) WHERE score >= 0.1 GROUP BY label"))
+@query("search_template", sql(f"""WITH {_TEMPLATES}, {_TEMPLATE_HITS}, near AS (SELECT a.name, {_COS} AS score FROM templates a, embeddings b WHERE b.vec_id = 3 AND a.kind = 'node' AND a.embedding IS NOT NULL), close AS (SELECT * FROM near WHERE score >= 0.05 ORDER BY score DESC, name LIMIT 12),
+  every AS (SELECT * FROM close UNION ALL SELECT h.name, h.score FROM hits h JOIN templates t ON t.name = h.name AND t.kind = 'node' WHERE h.score IS NOT NULL AND h.name NOT IN (SELECT name FROM close)) SELECT e.name, uses, round(e.score, 6) AS score FROM every e JOIN templates t ON t.name = e.name AND t.kind = 'node' ORDER BY uses DESC, e.score DESC, e.name LIMIT 4"""))
 def search_template(spark, d):
-    hits = knn(m.table(spark, d, "embeddings"), m.table(spark, d, "embeddings").where("vec_id = 3").first().embedding, 1_000_000, 0.1)
-    return hits.join(m.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id").groupBy(F.col("label").alias("template")).agg(F.count("*").alias("uses"), F.round(F.max("score"), 6).alias("score"))
+    seed = m.table(spark, d, "embeddings").where("vec_id = 3").first()
+    return search_templates(_templates(spark, d), "thing", list(seed.embedding) if seed else [], 4, 0.05, "node").withColumn("score", F.round("score", 6))
 
 
 def resolve(nodes: DataFrame, name: str, limit: int = 5) -> DataFrame:
@@ -154,15 +270,69 @@ def search_hydrate(spark, d):
     return in_enabled_sources(m.nodes(spark, d).join(F.broadcast(hits), "id"), m.sources(spark, d)).select("id", "label", "template_id", "score")
 
 
-@query("search_nodes", sql("SELECT template_id, count(*) AS hits FROM (SELECT template_id FROM nodes WHERE contains(lower(label), '00') AND template_id IN ('customer', 'supplier') ) GROUP BY template_id"))
+_NODE_ROWS = "SELECT id, label, '' AS text FROM nodes"
+_NODE_NEAR = f"SELECT 'c:' || a.vec_id AS id, {_COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 3"
+_CHUNK_NEAR = f"SELECT a.vec_id * 16777216 AS id, {_COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 3"
+
+
+def _query_vector(spark, d) -> list[float]:
+    seed = m.table(spark, d, "embeddings").where("vec_id = 3").first()
+    return list(seed.embedding) if seed else []
+
+
+def _node_vectors(spark, d) -> DataFrame:
+    """Customers have the vectors of their number."""
+    return m.table(spark, d, "embeddings").select(F.concat(F.lit("c:"), "vec_id").alias("id"), "embedding")
+
+
+def _chunk_vectors(spark, d) -> DataFrame:
+    """The first chunk of a document has the vector of its number."""
+    return m.table(spark, d, "embeddings").select((F.col("vec_id") * 16777216).alias("id"), "embedding")
+
+
+def hybrid_hits(docs: DataFrame, vectors: DataFrame, text: str, query_vector: list[float], least: float = 0.55, fields: dict[str, float] | None = None) -> DataFrame:
+    """(id, score): keyword hits and vectors (id, embedding) at ``least`` or nearer, the higher score of each; keywords alone below three characters
+    or without a query vector. Not cut off, so that filters come before the best are taken."""
+    found = keyword(docs, text.split(), fields or FIELDS, "id").select("id", (F.col("score") / (1 + F.col("score"))).alias("score"))
+    if len(text) < 3 or not query_vector:
+        return found
+    q = F.array(*[F.lit(float(x)) for x in query_vector])
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("embedding"), q)))
+    near = vectors.where(F.size("embedding") == len(query_vector)).select("id", score.alias("score")).where(F.col("score") >= least)
+    return union_max(found, near)
+
+
+def search_nodes_by(nodes: DataFrame, sources: DataFrame, vectors: DataFrame, text: str, query_vector: list[float], templates: list[str] | None = None, limit: int = 10, least: float = 0.55) -> DataFrame:
+    """(id, label, template_id, score, of_template): the best nodes of enabled sources and some templates, each with how many of its template are among them."""
+    wanted = nodes if templates is None else nodes.where(F.col("template_id").isin(*templates))
+    hits = hybrid_hits(wanted.select("id", "label", F.lit("").alias("text")), vectors, text, query_vector, least)
+    best = in_enabled_sources(wanted.join(hits, "id"), sources).orderBy(F.desc("score"), "id").limit(limit)
+    return best.select("id", "label", "template_id", "score", F.count("*").over(Window.partitionBy("template_id")).alias("of_template"))
+
+
+@query("search_nodes", sql(f"""WITH {bm25_sql("SELECT id, label, '' AS text FROM nodes WHERE template_id IN ('part', 'customer')", ["blue", "ring"])}, k AS (SELECT id, score / (1 + score) AS score FROM bm UNION ALL SELECT * FROM ({_NODE_NEAR}) WHERE score >= 0.2), h AS (SELECT id, max(score) AS score FROM k GROUP BY 1),
+  best AS (SELECT n.id, n.label, n.template_id, h.score FROM h JOIN nodes n ON n.id = h.id AND n.template_id IN ('part', 'customer') LEFT JOIN sources s ON s.source_id = n.source_id WHERE n.source_id IS NULL OR s.enabled ORDER BY h.score DESC, n.id LIMIT 60) SELECT id, label, template_id, round(score, 5) AS score, count(*) OVER (PARTITION BY template_id) AS of_template FROM best"""))
 def search_nodes(spark, d):
-    n = m.nodes(spark, d).where(F.col("template_id").isin("customer", "supplier"))
-    return n.where(F.lower("label").contains("00")).groupBy("template_id").agg(F.count("*").alias("hits"))
+    found = search_nodes_by(m.nodes(spark, d), m.sources(spark, d), _node_vectors(spark, d), "blue ring", _query_vector(spark, d), ["part", "customer"], 60, 0.2)
+    return found.withColumn("score", F.round("score", 5))
+
+
+def search_chunks_by(chunks: DataFrame, vectors: DataFrame, text: str, query_vector: list[float], scope: list | None = None, limit: int = 10, least: float = 0.55) -> DataFrame:
+    """(chunk_id, doc_id, score): the best chunks of some sources."""
+    wanted = chunks if scope is None else chunks.where(F.col("source_id").isin(*scope))
+    hits = hybrid_hits(wanted.select(F.col("chunk_id").alias("id"), F.lit("").alias("label"), F.col("content").alias("text")), vectors, text, query_vector, least)
+    return wanted.join(hits, wanted.chunk_id == hits.id).orderBy(F.desc("score"), "chunk_id").limit(limit).select("chunk_id", "doc_id", "score")
+
 
+def _chunk_sql(where: str, terms: list[str], least: float, limit: int) -> str:
+    rows = f"SELECT chunk_id AS id, '' AS label, content AS text FROM chunks WHERE {where}"
+    return f"""{bm25_sql(rows, terms)}, k AS (SELECT id, score / (1 + score) AS score FROM bm UNION ALL SELECT * FROM ({_CHUNK_NEAR}) WHERE score >= {least}), h AS (SELECT id, max(score) AS score FROM k GROUP BY 1),
+  chunk_hits AS (SELECT c.chunk_id, c.doc_id, h.score FROM h JOIN chunks c ON c.chunk_id = h.id WHERE {where} ORDER BY h.score DESC, c.chunk_id LIMIT {limit})"""
 
-@query("search_chunks", sql("SELECT chunk_id, doc_id FROM chunks WHERE contains(lower(content), 'licensed') ORDER BY chunk_id LIMIT 15"))
+
+@query("search_chunks", sql(f"WITH {_chunk_sql('true', ['licensed', 'onreen'], 0.2, 30)} SELECT chunk_id, doc_id, round(score, 5) AS score FROM chunk_hits"))
 def search_chunks(spark, d):
-    return m.chunks(spark, d).where(F.lower("content").contains("licensed")).orderBy("chunk_id").limit(15).select("chunk_id", "doc_id")
+    return search_chunks_by(m.chunks(spark, d), _chunk_vectors(spark, d), "licensed onreen", _query_vector(spark, d), None, 30, 0.2).withColumn("score", F.round("score", 5))
 
 
 def rerank(hits: DataFrame, query_text: str) -> DataFrame:
@@ -185,8 +355,8 @@ def graphrag_seed(spark, d):
 
 
 def context_triples(edges: DataFrame, nodes: DataFrame, tops: DataFrame, limit: int = 200) -> DataFrame:
-    """Triples of labels between top nodes (id, score), the best pairs first."""
-    t = tops.select("id", "score")
+    """Triples of labels between the twenty best nodes of ``tops`` (id, score), the best pairs first."""
+    t = tops.orderBy(F.desc("score"), "id").limit(20).select("id", "score")
     a, b = t.select(F.col("id").alias("src"), F.col("score").alias("s1")), t.select(F.col("id").alias("dst"), F.col("score").alias("s2"))
     names = nodes.select("id", "label")
     hits = edges.select("src", "dst", "template_id").distinct().join(F.broadcast(a), "src").join(F.broadcast(b), "dst")
@@ -194,10 +364,27 @@ def context_triples(edges: DataFrame, nodes: DataFrame, tops: DataFrame, limit:
     return best.join(names.select(F.col("id").alias("src"), F.col("label").alias("subject")), "src").join(names.select(F.col("id").alias("dst"), F.col("label").alias("object")), "dst").select("subject", F.col("template_id").alias("relation"), "object")
 
 
-@query("graphrag_context", sql("SELECT a.label AS subject, e.template_id AS relation, b.label AS object FROM small_edges e JOIN small_nodes a ON a.id = e.src JOIN small_nodes b ON b.id = e.dst WHERE a.template_id = 'nation' AND b.template_id IN ('nation', 'region') GROUP BY ALL"))
+def context_text(triples: DataFrame, most: int = 4_000) -> str:
+    """The triples a line each, as many as ``most`` characters hold, and how many are left out."""
+    lines = [f"{r.subject} {r.relation} {r.object}" for r in triples.collect()]  # two hundred at most
+    kept, size = [], 0
+    for line in lines:
+        if size + len(line) + 1 > most:
+            break
+        kept.append(line)
+        size += len(line) + 1
+    left = len(lines) - len(kept)
+    return "\n".join([*kept, *([f"... and {left} more"] if left else [])])
+
+
+@query("graphrag_context", sql("WITH t AS (SELECT id, weight AS score FROM nodes WHERE template_id IN ('nation', 'region', 'supplier') ORDER BY weight DESC, id LIMIT 20), n AS (SELECT * FROM t UNION SELECT id, weight FROM nodes WHERE template_id = 'nation') SELECT a.label AS subject, e.template_id AS relation, b.label AS object, x.seed FROM (SELECT DISTINCT src, dst, template_id FROM edges) e JOIN (SELECT id, id < 'n:2' AS seed FROM nodes WHERE template_id IN ('nation', 'region') ORDER BY id LIMIT 20) x ON x.id = e.src JOIN (SELECT id FROM nodes WHERE template_id IN ('nation', 'region') ORDER BY id LIMIT 20) y ON y.id = e.dst JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst"))
 def graphrag_context(spark, d):
-    tops = m.small_nodes(spark, d).where(F.col("template_id").isin("nation", "region")).select("id", F.lit(1.0).alias("score"))
-    return context_triples(m.small_edges(spark, d), m.small_nodes(spark, d), tops)
+    """Triples between the twenty best nodes, with whether they start at a seed."""
+    n = m.nodes(spark, d)
+    tops = n.where(F.col("template_id").isin("nation", "region")).select("id", F.lit(1.0).alias("score"))
+    found = context_triples(m.edges(spark, d), n, tops)
+    seeds = n.where("id < 'n:2'").select(F.col("label").alias("subject"), F.lit(True).alias("seed"))
+    return found.join(seeds, "subject", "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
 
 
 def provenance(citations: DataFrame, tops: DataFrame, limit: int = 50) -> DataFrame:
@@ -212,9 +399,14 @@ def graphrag_provenance(spark, d):
     return provenance(m.citations(spark, d), tops)
 
 
-@query("graphrag_vector_chunks", sql("SELECT chunk_id, doc_id FROM chunks WHERE contains(content, 'the') AND doc_id % 10 = 3 ORDER BY chunk_id LIMIT 20"))
+_SCOPE = ["src1", "src2", "src3", "src4", "src5"]
+_SCOPE_SQL = "source_id IN ('src1', 'src2', 'src3', 'src4', 'src5')"
+
+
+@query("graphrag_vector_chunks", sql(f"WITH {_chunk_sql(_SCOPE_SQL, ['thing', 'hahaha'], 0.1, 20)} SELECT chunk_id, doc_id, round(score, 5) AS score FROM chunk_hits"))
 def graphrag_vector_chunks(spark, d):
-    return m.chunks(spark, d).where(F.col("content").contains("the") & (F.col("doc_id") % 10 == 3)).orderBy("chunk_id").limit(20).select("chunk_id", "doc_id")
+    """Twice ten chunks of some sources."""
+    return search_chunks_by(m.chunks(spark, d), _chunk_vectors(spark, d), "thing hahaha", _query_vector(spark, d), _SCOPE, 20, 0.1).withColumn("score", F.round("score", 5))
 
 
 def fuse(first: DataFrame, second: DataFrame, limit: int) -> DataFrame:
@@ -235,11 +427,12 @@ def graphrag_fuse(spark, d):
     return fuse(a, b, 20).select("id", F.round("score", 8).alias("score"), "origin", "alias")
 
 
-@query("knowledge_gaps", sql("SELECT n.id, count(e.id) AS connections FROM (SELECT id FROM nodes WHERE contains(label, 'ring') ORDER BY id LIMIT 20) n LEFT JOIN (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) e ON e.id = n.id GROUP BY n.id"))
+@query("knowledge_gaps", sql(f"WITH {bm25_sql(_NODE_ROWS, ['ring', 'green'])}, n AS (SELECT id FROM bm ORDER BY score DESC, id LIMIT 20) SELECT n.id, count(e.id) AS connections FROM n LEFT JOIN (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) e ON e.id = n.id GROUP BY n.id"))
 def knowledge_gaps(spark, d):
     """Hits of a search with how connected they are."""
-    hits = m.nodes(spark, d).where(F.col("label").contains("ring")).orderBy("id").limit(20).select("id")
-    degree = endpoints(m.edges(spark, d)).join(F.broadcast(hits), "id", "left_semi").groupBy("id").agg(F.count("*").alias("connections"))
+    nodes = m.nodes(spark, d).select("id", "label", F.lit("").alias("text"))
+    hits = keyword(nodes, ["ring", "green"], FIELDS, "id").orderBy(F.desc("score"), "id").limit(20).select("id")
+    degree = endpoints(m.edges(spark, d)).join(F.broadcast(hits), "id", "left_semi").groupBy("id").agg(F.count("*").alias("connections"))  # twenty ids
     return hits.join(degree, "id", "left").na.fill(0)
 
 
@@ -250,8 +443,11 @@ def topic_research(spark, d):
 
 @query("index_build", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark) GROUP BY 1, 2) GROUP BY term")
 def index_build(spark, d):
-    index = postings(m.table(spark, d, "benchmark"), {"text": 1.0}, "item_id")
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("cf"))
+    """Written twice, so replaced once, and read back."""
+    path = scratch_path(spark, "index")
+    for rows in (m.table(spark, d, "benchmark").limit(3), m.table(spark, d, "benchmark")):
+        build_index(rows, {"text": 1.0}, path, "item_id", stemmed=False)
+    return spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("cf"))
 
 
 @query("index_reconcile_sweep", sql("SELECT source_id FROM sources WHERE status <> 'pending' AND source_id NOT IN (SELECT source_id FROM chunks_indexed)".replace("chunks_indexed", "(SELECT DISTINCT CAST(label AS INTEGER) AS source_id FROM embeddings)")))
