@@ -261,7 +261,13 @@ def types_compatible(a: Column, b: Column) -> Column:
 
 
 def simhash(tokens: Column) -> Column:
-    """64-bit fingerprint of an array of tokens, from the low half of their SHA-256."""
+    """64-bit fingerprint of an array of tokens, from the low half of their SHA-256: a bit is set if most have it."""
+    one = F.lit(1).cast("bigint")
     hashes = F.transform(tokens, lambda t: F.conv(F.substring(F.sha2(t, 256), 49, 16), 16, -10).cast("bigint"))
-    bit = lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(h.bitwiseAND(F.shiftleft(F.lit(1).cast("bigint"), i)) != 0, 1).otherwise(-1))
-    return F.aggregate(F.array(*[F.when(bit(i) > 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")) for i in range(64)]), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
+
+    def fold(hashes: Column) -> Column:
+        times = lambda i: F.size(F.filter(hashes, lambda h: F.call_function("shiftright", h, i).bitwiseAND(one) != 0))
+        bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(2 * times(i) > F.size(hashes), F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
+
+    return F.transform(F.array(hashes), fold)[0]  # the hashes are worked out once

@@ -205,10 +205,9 @@ def join_edge_nodes(spark, d):
     return with_nodes(e, m.nodes(spark, d)).select("src", "dst", "template_id", "src_label", "dst_label")
 
 
-@query("join_rel_entities", sql("""SELECT r.ordinal, r.type, a.name AS source_name, b.name AS target_name FROM relationships r LEFT JOIN entities a ON r.source = a.ordinal LEFT JOIN entities b ON r.target = b.ordinal
-  WHERE r.source_id = 4 ORDER BY r.ordinal LIMIT 50 OFFSET 20"""))
+@query("join_rel_entities", sql("""SELECT r.ordinal, r.type, a.name AS source_name, b.name AS target_name FROM relationships r LEFT JOIN entities a ON r.source = a.ordinal LEFT JOIN entities b ON r.target = b.ordinal"""))
 def join_rel_entities(spark, d):
-    r, e = m.relationships(spark, d).where("source_id = 4").orderBy("ordinal").offset(20).limit(50), m.entities(spark, d)
+    r, e = m.relationships(spark, d), m.entities(spark, d)
     a, b = e.select(F.col("ordinal").alias("ao"), F.col("name").alias("source_name")), e.select(F.col("ordinal").alias("bo"), F.col("name").alias("target_name"))
     return r.join(a, r.source == a.ao, "left").join(b, r.target == b.bo, "left").select("ordinal", "type", "source_name", "target_name")
 
@@ -250,9 +249,9 @@ def join_tag_assignment(spark, d):
     return joined.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("tags"))
 
 
-@query("semi_nodes_batch", sql("SELECT id, label FROM nodes WHERE id IN (SELECT 'p:' || l_partkey FROM lineitem WHERE l_orderkey < 50)"))
+@query("semi_nodes_batch", sql("SELECT id, label FROM nodes WHERE id IN (SELECT 'p:' || l_partkey FROM lineitem WHERE l_returnflag = 'R')"))
 def semi_nodes_batch(spark, d):
-    wanted = m.table(spark, d, "lineitem").where("l_orderkey < 50").select(F.concat(F.lit("p:"), "l_partkey").alias("id"))
+    wanted = m.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("p:"), "l_partkey").alias("id"))
     return m.nodes(spark, d).join(wanted, "id", "left_semi").select("id", "label")
 
 
@@ -278,10 +277,10 @@ def anti_orphan_templates(spark, d):
     return m.edges(spark, d).select("template_id").distinct().join(m.nodes(spark, d).select("template_id"), "template_id", "left_anti")
 
 
-@query("set_orphan_entities", sql("SELECT DISTINCT entity_uri FROM citations WHERE chunk_id < 20 AND source_id = 3 AND entity_uri NOT IN (SELECT entity_uri FROM citations WHERE chunk_id < 20 AND source_id <> 3)"))
+@query("set_orphan_entities", sql("SELECT DISTINCT entity_uri FROM citations WHERE confidence = 1 AND source_id = 3 AND entity_uri NOT IN (SELECT entity_uri FROM citations WHERE confidence = 1 AND source_id <> 3)"))
 def set_orphan_entities(spark, d):
-    """Entities that in some chunks only source 3 cites, by one aggregation instead of two scans."""
-    by = m.citations(spark, d).where("chunk_id < 20").groupBy("entity_uri").agg(F.min("source_id").alias("low"), F.max("source_id").alias("high"))
+    """Entities that only source 3 cites for sure, by one aggregation instead of two scans."""
+    by = m.citations(spark, d).where("confidence = 1").groupBy("entity_uri").agg(F.min("source_id").alias("low"), F.max("source_id").alias("high"))
     return by.where("low = 3 and high = 3").select("entity_uri")
 
 
@@ -326,18 +325,22 @@ def upsert_nodes(spark, d):
     return merged.groupBy("template_id").agg(F.count_if("inserted").alias("inserted_count"), F.count_if(~F.col("inserted")).alias("existing_count"))
 
 
-@query("upsert_edges", sql("""SELECT count(*) AS inserted_count FROM (SELECT DISTINCT substr(sha256('db:' || coalesce(CAST(source_id AS VARCHAR), 'no_source') || ':' || template_id || ':' || src || ':' || dst), 1, 24) AS key FROM edges WHERE template_id <> 'bought')"""))
+@query("upsert_edges", sql("""SELECT count(*) AS inserted_count FROM (SELECT DISTINCT substr(sha256('db:' || coalesce(CAST(source_id AS VARCHAR), 'no_source') || ':' || template_id || ':' || src || ':' || dst), 1, 24) AS key FROM edges)"""))
 def upsert_edges(spark, d):
-    e = m.edges(spark, d).where("template_id <> 'bought'")
+    e = m.edges(spark, d)
     key = F.substring(F.sha2(F.concat_ws(":", F.lit("db"), F.coalesce(F.col("source_id").cast("string"), F.lit("no_source")), "template_id", "src", "dst"), 256), 1, 24)
     e = e.withColumn("key", key)
     return upsert(e.limit(0), e.unionByName(e), "key", "src").agg(F.count_if("inserted").alias("inserted_count"))
 
 
-@query("upsert_templates", sql("SELECT 'template_' || substr(sha256('db:' || template_id), 1, 24) AS key, count(*) AS uses FROM nodes GROUP BY template_id"))
+@query("upsert_templates", sql("SELECT 'template_' || substr(sha256('db:' || lower(trim(name, ' '))), 1, 24) AS key, min(name) AS name, min(rank) = 1 AS inserted FROM (SELECT template_id AS name, 0 AS rank FROM nodes UNION ALL SELECT template_id, 1 FROM edges UNION ALL SELECT ' ' || upper(template_id), 1 FROM nodes) GROUP BY 1".replace("min(name) AS name", "arg_min(name, (rank, name)) AS name")))
 def upsert_templates(spark, d):
-    counted = m.nodes(spark, d).groupBy("template_id").agg(F.count("*").alias("uses"))
-    return counted.select(F.concat(F.lit("template_"), F.substring(F.sha2(F.concat(F.lit("db:"), "template_id"), 256), 1, 24)).alias("key"), "uses")
+    """Templates of edges, and those of nodes written otherwise, into those of nodes: a key that is there keeps its row."""
+    key = lambda c: F.concat(F.lit("template_"), F.substring(F.sha2(F.concat(F.lit("db:"), F.lower(F.trim(c))), 256), 1, 24))
+    named = lambda df, c: df.select(c.alias("name")).distinct().select(key(F.col("name")).alias("key"), "name")
+    own = named(m.nodes(spark, d), F.col("template_id"))
+    new = named(m.edges(spark, d), F.col("template_id")).unionByName(named(m.nodes(spark, d), F.concat(F.lit(" "), F.upper("template_id"))))
+    return upsert(own, new, "key", "name").select("key", "name", "inserted")
 
 
 @query("upsert_by_iri", sql("""SELECT coalesce(a.id, b.id) AS id, coalesce(b.label, a.label) AS label, a.id IS NULL AS created FROM (SELECT id, label FROM nodes WHERE template_id = 'supplier') a

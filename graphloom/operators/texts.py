@@ -28,7 +28,7 @@ def _each(name: str, column, body: str, out: str) -> None:
 
 _each("fn_estimate_tokens", t.estimate_tokens, "CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS INTEGER)", "tokens")
 _each("fn_control_chars", lambda c: F.length(t.strip_controls(F.concat(c, F.lit("\x07x\x1f")))), "CAST(length(regexp_replace(text || chr(7) || 'x' || chr(31), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]', '', 'g')) AS INTEGER)", "n")
-_each("fn_unicode_bom", lambda c: t.strip_bom(F.concat(F.lit("﻿"), F.substring(c, 1, 30))), "left(text, 30)", "head")
+_each("fn_unicode_bom", lambda c: F.md5(t.strip_bom(F.concat(F.lit("﻿"), c))), "md5(text)", "digest")
 _TIDY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || '  ' || chr(13) || chr(10) || chr(10) || chr(10) || chr(10) || 'end ', '\\r\\n?', chr(10), 'g'), '[ \\t\\f\\x0b]+', ' ', 'g'), ' +\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
 _each("fn_whitespace", lambda c: F.md5(t.tidy_spaces(F.concat(c, F.lit("  \r\n\n\n\nend ")))), f"md5(regexp_replace({_TIDY}, '^[ \\n]+|[ \\n]+$', '', 'g'))", "digest")
 _each("fn_text_ratio", t.text_ratio, "CASE WHEN length(text) = 0 THEN 0.0 ELSE round(length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / length(text), 3) END", "ratio")
@@ -38,12 +38,12 @@ _each("fn_structure_score", lambda c: F.round(t.structure_score(c), 4), "CAST(ro
 _COMMON = "(" + ", ".join(f"'{w}'" for w in t.COMMON) + ")"
 _W = "regexp_extract_all(lower(text), '[\\p{L}]+')"
 _each("fn_language_confidence", lambda c: F.round(t.language_confidence(c), 6), f"CASE WHEN len({_W}) = 0 THEN 0.3 ELSE round(least(1.0, 0.3 + CASE WHEN length(array_to_string({_W}, '')) / len({_W}) BETWEEN 3 AND 8 THEN 0.3 ELSE 0.1 END + least(0.4, len(list_filter({_W}, lambda w: w IN {_COMMON})) / len({_W}))), 6) END", "confidence")
-_each("fn_normalize_name_key", lambda c: t.name_key(F.substring(c, 1, 60)), "lower(trim(strip_accents(left(text, 60))))", "key")
-_each("fn_significant_words", lambda c: F.array_join(t.significant_words(F.substring(c, 1, 60)), ","), "array_to_string(list_filter(string_split(regexp_replace(lower(trim(strip_accents(left(text, 60)))), '[., /-]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND w NOT IN ('mr', 'mrs', 'ms', 'dr', 'prof', 'sir', 'lady', 'lord', 'the')), ',')", "words")
+_each("fn_normalize_name_key", lambda c: F.md5(t.name_key(c)), "md5(lower(trim(strip_accents(text))))", "digest")
+_each("fn_significant_words", lambda c: F.md5(F.array_join(t.significant_words(c), ",")), "md5(array_to_string(list_filter(string_split(regexp_replace(lower(trim(strip_accents(text))), '[., /-]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND w NOT IN ('mr', 'mrs', 'ms', 'dr', 'prof', 'sir', 'lady', 'lord', 'the')), ','))", "digest")
 _each("fn_word_boundary", lambda c: t.at_word_boundary(c, F.lit("and")), "instr(text, 'and') > 0 AND (instr(text, 'and') = 1 OR NOT regexp_matches(substr(text, instr(text, 'and') - 1, 1), '[\\p{L}\\p{N}]')) AND NOT regexp_matches(substr(text, instr(text, 'and') + 3, 1), '[\\p{L}\\p{N}]')", "whole")
 _each("fn_sentences_plain", lambda c: F.size(t.plain_sentences(c)), "CAST(len(string_split(regexp_replace(text, '([.!?])[ \\n\\t]+(\\p{Lu})', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS INTEGER)", "n")
-_each("fn_numbered_sentences", lambda c: t.numbered_sentences(F.slice(F.split(c, "\n"), 1, 3)), "(SELECT string_agg('S' || i || ': ' || l[i], chr(10) ORDER BY i) FROM (SELECT string_split(text, chr(10)) AS l) x, unnest(range(1, least(len(l), 3) + 1)) AS r(i))", "numbered")
-_each("fn_edge_label", lambda c: t.edge_label(F.substring(c, 1, 40)), "regexp_replace(regexp_replace(lower(trim(left(text, 40))), '[ _\\t\\n]+', '_', 'g'), '^_+|_+$', '', 'g')", "label")
+_each("fn_numbered_sentences", lambda c: F.md5(t.numbered_sentences(F.split(c, "\n"))), "md5((SELECT string_agg('S' || i || ': ' || l[i], chr(10) ORDER BY i) FROM (SELECT string_split(text, chr(10)) AS l) x, unnest(range(1, len(l) + 1)) AS r(i)))", "digest")
+_each("fn_edge_label", lambda c: F.md5(t.edge_label(c)), "md5(regexp_replace(regexp_replace(lower(trim(text)), '[ _\\t\\n]+', '_', 'g'), '^_+|_+$', '', 'g'))", "digest")
 _each("fn_content_type", t.content_type, """CASE WHEN regexp_matches(left(trim(text), 1000), '(?i)<!doctype html|<html[ >]|<head[ >]|<body[ >]|<div[ >]|<p[ >]|<script[ >]') THEN 'html' WHEN regexp_matches(trim(text), '^[\\[{]') AND regexp_matches(trim(text), '[\\]}]$') THEN 'json'
   WHEN (SELECT count(*) >= 2 AND min(c) = max(c) AND min(c) > 0 FROM (SELECT length(x) - length(replace(x, ',', '')) AS c FROM unnest(list_filter(string_split(trim(text), chr(10)), lambda x: trim(x) <> '')[1:5]) AS u(x))) THEN 'csv'
   WHEN regexp_matches(trim(text), '(?m)^#{1,6} |^[*-] |^```') THEN 'markdown' WHEN regexp_matches(trim(text), '(?m)^(def|class|import|function|public|#include)[ (]') THEN 'code' ELSE 'text' END""", "kind")
@@ -91,10 +91,11 @@ def fn_hamming(spark, d):
     return m.table(spark, d, "part").select("p_partkey", F.bit_count((F.col("p_partkey") * 7919).bitwiseXOR(F.col("p_size").cast("bigint") * 104729)).alias("distance"))
 
 
-@query("fn_simhash64")
+@query("fn_simhash64", """WITH h AS (SELECT doc_id, CAST('0x' || substr(sha256(w), 49, 16) AS UBIGINT) AS h FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)), n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
+  b AS (SELECT doc_id, i, count(*) FILTER (WHERE (h >> i) & 1 = 1) AS k FROM h, range(64) AS r(i) GROUP BY 1, 2) SELECT doc_id, printf('%016x', bit_or(CASE WHEN 2 * k > n THEN 1::UBIGINT << i::UBIGINT ELSE 0::UBIGINT END)) AS fingerprint FROM b JOIN n USING (doc_id) GROUP BY 1""")
 def fn_simhash64(spark, d):
-    words = F.slice(F.split("text", " "), 1, 20)
-    return _docs(spark, d).where("doc_id < 200").select("doc_id", t.simhash(words).alias("fingerprint"))
+    """Of all words of each document."""
+    return _docs(spark, d).select("doc_id", F.lower(F.lpad(F.hex(t.simhash(F.split("text", " "))), 16, "0")).alias("fingerprint"))
 
 
 @query("fn_sentences")
@@ -216,7 +217,7 @@ def merge_descriptions(spark, d):
     return m.table(spark, d, "part").select("p_partkey", merged_description(F.col("p_name"), other).alias("merged"))
 
 
-@query("fn_unicode_nfc", "SELECT doc_id, md5(nfc_normalize(left(text, 200))) AS digest FROM documents")
+@query("fn_unicode_nfc", "SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")
 def fn_unicode_nfc(spark, d):
     @F.pandas_udf("string")
     def nfc(x: pd.Series) -> pd.Series:
@@ -226,7 +227,7 @@ def fn_unicode_nfc(spark, d):
     def nfd(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else unicodedata.normalize("NFD", v))
 
-    return _docs(spark, d).select("doc_id", F.md5(nfc(nfd(F.substring("text", 1, 200)))).alias("digest"))
+    return _docs(spark, d).select("doc_id", F.md5(nfc(nfd("text"))).alias("digest"))
 
 
 def mended(value: str | None) -> str | None:

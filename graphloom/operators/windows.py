@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import operator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom import model as m
@@ -34,10 +36,9 @@ def grouped_chunks(chunks: DataFrame, size: int, overlap: int) -> DataFrame:
     return exploded.groupBy("doc_id", "group_index").agg(F.array_sort(F.collect_list("chunk_index")).alias("members"))
 
 
-@query("chunk_group_window", sql("SELECT doc_id, g AS group_index, string_agg(chunk_index, ',' ORDER BY chunk_index) AS members FROM chunks, (SELECT unnest(range(0, 2000)) AS g) WHERE chunk_index >= g * 3 AND chunk_index < g * 3 + 4 AND doc_id < 300 GROUP BY doc_id, g"))
+@query("chunk_group_window", sql("SELECT doc_id, g AS group_index, string_agg(chunk_index, ',' ORDER BY chunk_index) AS members FROM (SELECT doc_id, chunk_index, unnest(range(greatest(0, CAST(ceil((chunk_index - 3) / 3) AS BIGINT)), chunk_index // 3 + 1)) AS g FROM chunks) GROUP BY doc_id, g"))
 def chunk_group_window(spark, d):
-    c = m.chunks(spark, d).where("doc_id < 300")
-    return grouped_chunks(c, 4, 1).select("doc_id", "group_index", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+    return grouped_chunks(m.chunks(spark, d), 4, 1).select("doc_id", "group_index", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 def token_groups(chunks: DataFrame, budget: int) -> DataFrame:
@@ -79,41 +80,50 @@ def offset_aggregate(spark, d):
     return per.select("source_id", "chunk", F.coalesce(before, F.lit(0).cast("bigint")).alias("first_global"))
 
 
-@query("dup_paragraph_lookback", sql("SELECT doc_id, count(*) AS kept FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, lower(trim(content)) ORDER BY chunk_index) AS k FROM chunks) WHERE k = 1 GROUP BY doc_id"))
-def dup_paragraph_lookback(spark, d):
-    c = m.chunks(spark, d).select("doc_id", F.lower(F.trim("content")).alias("key")).distinct()
-    return c.groupBy("doc_id").agg(F.count("*").alias("kept"))
-
+def lookback(paragraphs: DataFrame, key: Column, same: Callable, back: int = 50) -> DataFrame:
+    """(doc_id, kept): how many paragraphs of each document are unlike all of the last ``back`` kept before them, by ``same`` of two keys.
 
-def fuzzy_lookback(paragraphs: DataFrame, back: int = 50, bits: int = 10) -> DataFrame:
-    """(doc_id, kept): paragraphs that differ by ``bits`` or more of their fingerprint from the last ``back`` kept ones."""
+    A document's keys, one number a paragraph, are one row.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, prints in zip(frame["doc_id"], frame["prints"], strict=True):
-                kept: list[int] = []
-                for p in prints:
-                    if all((p ^ q).bit_count() >= bits for q in kept[-back:]):
-                        kept.append(p)
-                out.append((doc, len(kept)))
+            for doc, keys in zip(frame["doc_id"], frame["keys"], strict=True):
+                kept: deque[int] = deque(maxlen=back)
+                n = 0
+                for k in keys:
+                    if not any(same(k, other) for other in kept):
+                        kept.append(k)
+                        n += 1
+                out.append((doc, n))
             yield pd.DataFrame(out, columns=["doc_id", "kept"])
 
-    from graphloom.functions.text import simhash
+    ordered = paragraphs.select("doc_id", "chunk_index", key.alias("k")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "k"))).alias("x"))
+    return ordered.select("doc_id", F.transform("x", lambda x: x["k"]).alias("keys")).mapInPandas(run, "doc_id bigint, kept bigint")
+
 
-    prints = paragraphs.select("doc_id", "chunk_index", simhash(F.split(F.lower("content"), " ")).bitwiseAND(F.lit((1 << 63) - 1)).alias("p"))
-    ordered = prints.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "p"))).alias("x")).select("doc_id", F.transform("x", lambda x: x["p"]).alias("prints"))
-    return ordered.mapInPandas(run, "doc_id bigint, kept int")
+@query("dup_paragraph_lookback", sql("SELECT doc_id, CAST(len(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(ks, lambda k: [k])), lambda acc, x: CASE WHEN list_contains(acc[greatest(1, len(acc) - 49):], x[1]) THEN acc ELSE acc || x END)) AS BIGINT) AS kept FROM (SELECT doc_id, list(md5(lower(trim(content))) ORDER BY chunk_index) AS ks FROM chunks GROUP BY doc_id)"))
+def dup_paragraph_lookback(spark, d):
+    """Equal paragraphs but for case and blanks around them."""
+    return lookback(m.chunks(spark, d), F.xxhash64(F.lower(F.trim("content"))), operator.eq)
+
+
+def _alike(a: int, b: int, bits: int = 10) -> bool:
+    return (a ^ b).bit_count() < bits
 
 
 @query("dup_paragraph_fuzzy")
 def dup_paragraph_fuzzy(spark, d):
-    return fuzzy_lookback(m.chunks(spark, d).where("doc_id % 200 = 1"))
+    """Paragraphs whose fingerprints differ by less than ten bits; tested against a plain loop."""
+    from graphloom.functions.text import simhash
+
+    return lookback(m.chunks(spark, d), simhash(F.split(F.lower("content"), " ")).bitwiseAND(F.lit((1 << 63) - 1)), _alike)
 
 
-@query("attempts_history", sql("SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id) AS attempt FROM metrics WHERE user_id < 20"))
+@query("attempts_history", sql("SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id) AS attempt FROM metrics"))
 def attempts_history(spark, d):
-    x = m.metrics(spark, d).where("user_id < 20")
+    x = m.metrics(spark, d)
     return x.select("user_id", "id", F.row_number().over(Window.partitionBy("user_id").orderBy("id")).cast("bigint").alias("attempt"))
 
 
