@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.metadata
+import re
+import time
 from collections.abc import Callable
 from typing import Generic, TypeVar
 
@@ -38,6 +42,22 @@ class Registry(Generic[T]):
     def __iter__(self):
         return iter(p for _, _, p in sorted(self._held.values(), key=lambda x: x[1]))
 
+    def discover(self, group: str) -> list[str]:
+        """Register the entry points of ``group`` that installed packages declare; those that don't load are returned by name."""
+        failed = []
+        for point in importlib.metadata.entry_points(group=group):
+            try:
+                self.register(point.name, point.load(), origin="package")
+            except Exception:  # whatever a foreign package does, the others load
+                failed.append(point.name)
+        return failed
+
+    def reload(self, name: str) -> None:
+        """Import a plug-in's module again and register what it defines under the same name there."""
+        rank, priority, plugin = self._held[name]
+        fresh = getattr(importlib.reload(importlib.import_module(plugin.__module__)), plugin.__qualname__)
+        self._held[name] = (rank, priority, fresh)
+
     def names(self) -> list[str]:
         return sorted(self._held, key=lambda n: (self._held[n][1], n))
 
@@ -53,6 +73,118 @@ CLEANERS.register("spaces", (lambda c: F.lit(True), t.tidy_spaces), 40)
 TOOLS: Registry[Callable[..., DataFrame]] = Registry()
 
 
+def _tool(name: str):
+    def put(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        TOOLS.register(name, f)
+        return f
+
+    return put
+
+
+@_tool("data.filter")
+def filter_rows(rows: DataFrame, where: str) -> DataFrame:
+    """Rows for which a SQL condition holds."""
+    return rows.where(where)
+
+
+@_tool("data.extract")
+def extract_path(rows: DataFrame, column: str, path: str, out: str) -> DataFrame:
+    """Add what a dotted path finds in a column of JSON text; null where it finds nothing."""
+    return rows.withColumn(out, F.get_json_object(column, "$." + re.sub(r"\.([0-9]+)(?=\.|$)", r"[\1]", path)))
+
+
+@_tool("data.merge")
+def merge_rows(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with the columns of another result; of columns in both the other's value counts, where it has one."""
+    theirs = other.select(*on, *[F.col(c).alias(f"_other_{c}") for c in other.columns if c not in on])
+    joined = rows.join(theirs, on, "left")
+    both = [c for c in rows.columns if c not in on and c in other.columns]
+    new = [c for c in other.columns if c not in rows.columns]
+    kept = [F.coalesce(f"_other_{c}", c).alias(c) if c in both else F.col(c) for c in rows.columns]
+    return joined.select(*kept, *[F.col(f"_other_{c}").alias(c) for c in new])
+
+
+@_tool("data.aggregate")
+def aggregate_rows(rows: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:
+    """Groups with SQL aggregates: values are names and expressions."""
+    return rows.groupBy(*by).agg(*[F.expr(e).alias(n) for n, e in values.items()])
+
+
+@_tool("data.sort")
+def sort_rows(rows: DataFrame, by: list[str], limit: int | None = None) -> DataFrame:
+    """Rows in the order of SQL expressions, the first ``limit`` of them."""
+    ordered = rows.orderBy(*[F.expr(b[1:]).desc() if b.startswith("-") else F.expr(b) for b in by])
+    return ordered if limit is None else ordered.limit(limit)
+
+
+@_tool("logic.conditional")
+def conditional(rows: DataFrame, when: str, then: str, otherwise: str, out: str) -> DataFrame:
+    """Add one of two SQL expressions by a SQL condition; a null condition is false."""
+    return rows.withColumn(out, F.when(F.coalesce(F.expr(when), F.lit(False)), F.expr(then)).otherwise(F.expr(otherwise)))
+
+
+@_tool("logic.loop")
+def loop(rows: DataFrame, array: str, out: str) -> DataFrame:
+    """A row per element of an array column, with its place from 0; rows with an empty array go."""
+    return rows.select("*", F.posexplode(array).alias(f"{out}_index", out))
+
+
+@_tool("text.clean")
+def clean_text(rows: DataFrame, text: str = "text") -> DataFrame:
+    """All cleaners in order."""
+    return clean(rows, text, text)
+
+
+@_tool("text.match")
+def match_text(rows: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
+    """Whether a user's pattern, if it is a safe one, is found."""
+    return rows.withColumn(out, F.col(text).rlike(safe_pattern(pattern)))
+
+
+#: What makes a user's pattern unsafe: a repeated group that repeats inside or chooses between alternatives, and references back.
+_UNSAFE = (re.compile(r"\((?:[^()\\]|\\.)*(?:[+*]|\{\d+,\d*\})(?:[^()\\]|\\.)*\)(?:[+*]|\{\d+,\d*\})"), re.compile(r"\((?:[^()\\]|\\.)*\|(?:[^()\\]|\\.)*\)(?:[+*]|\{\d+,\d*\})"), re.compile(r"\\[1-9]|\(\?P=|\(\?\(|\(\?[<!=]|\\k<"))
+LONGEST_PATTERN = 500
+
+
+class UnsafePattern(ValueError):
+    """A pattern whose cost could explode."""
+
+
+def safe_pattern(pattern: str) -> str:
+    """The pattern itself; too long ones, nested repeats, references and look-around are refused, as is what doesn't compile."""
+    if len(pattern) > LONGEST_PATTERN:
+        raise UnsafePattern(f"longer than {LONGEST_PATTERN} characters")
+    if any(p.search(pattern) for p in _UNSAFE):
+        raise UnsafePattern("repeats inside repeats, references and look-around aren't allowed")
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        raise UnsafePattern(str(e)) from e
+    return pattern
+
+
+class TimedPatterns:
+    """Users' patterns with a budget of time: one that is over it for some texts ``most`` times is switched off."""
+
+    def __init__(self, patterns: dict[str, str], seconds: float = 0.1, most: int = 3):
+        self.patterns = {n: re.compile(safe_pattern(p)) for n, p in patterns.items()}
+        self.seconds, self.most = seconds, most
+        self.timeouts = dict.fromkeys(patterns, 0)
+
+    def search(self, text: str) -> list[str]:
+        """Names of the patterns found in a text."""
+        found = []
+        for name, pattern in self.patterns.items():
+            if self.timeouts[name] >= self.most:
+                continue
+            began = time.monotonic()
+            if pattern.search(text):
+                found.append(name)
+            if time.monotonic() - began > self.seconds:
+                self.timeouts[name] += 1
+        return found
+
+
 def clean(docs: DataFrame, text: str = "text", out: str = "text") -> DataFrame:
     """Run all cleaners in order; each step is a column of its own, so none is evaluated twice."""
     value = F.col(text)

@@ -43,8 +43,10 @@ def replay(spark: SparkSession, sf_dir: str, name: str, step: Callable[[DataFram
 
 
 def stage_progress(events: DataFrame) -> DataFrame:
-    """Per user and kind: how many, their values' sum, last activity."""
-    return events.groupBy("user_id", "event_type").agg(F.count("*").alias("processed"), F.round(F.sum("value"), 2).alias("total_value"), F.max("event_id").alias("last_event"))
+    """Per user and kind: how many, their values' sum and mean, last activity."""
+    return events.groupBy("user_id", "event_type").agg(
+        F.count("*").alias("processed"), F.round(F.sum("value"), 2).alias("total_value"), F.round(F.avg("value"), 4).alias("avg_value"), F.max("event_id").alias("last_event"), F.max("ts").alias("last_activity")
+    )
 
 
 def triggered(events: DataFrame, triggers: DataFrame) -> DataFrame:
@@ -80,6 +82,88 @@ def fan_in(events: DataFrame, size: int) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Counter(), outputStructType="user_id bigint, finished_at bigint", outputMode="Append", timeMode="None")
 
 
+def folded(events: DataFrame, key: str, state: str, start: tuple, step: Callable[[tuple, dict], tuple[tuple, list[tuple]]], out: str) -> DataFrame:
+    """Rows (``key``, *``out``) that ``step`` emits: it takes a key's state and an event to the next state and rows.
+
+    Events of a key that come together are taken by event_id. The state, of fixed size, is all that is kept of a key.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    names = [key, *[c.split()[0] for c in out.split(", ")]]
+
+    class Fold(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("state", state)
+
+        def handleInputRows(self, k, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            now = tuple(self.state.get()) if self.state.exists() else start
+            found = []
+            for event in sorted((e for frame in rows for e in frame.to_dict("records")), key=lambda e: e["event_id"]):
+                now, more = step(now, event)
+                found += [(k[0], *m) for m in more]
+            self.state.update(now)
+            if found:
+                yield pd.DataFrame(found, columns=names)
+
+        def close(self) -> None:
+            pass
+
+    kind = dict(events.dtypes)[key]
+    return events.groupBy(key).transformWithStateInPandas(statefulProcessor=Fold(), outputStructType=f"{key} {kind}, {out}", outputMode="Append", timeMode="None")
+
+
+#: Status changes that may be made.
+TRANSITIONS = {("view", "click"), ("click", "purchase"), ("click", "error"), ("error", "view"), ("purchase", "view")}
+
+
+def compare_and_set(state: tuple, event: dict) -> tuple[tuple, list[tuple]]:
+    """A change counts if the status is still the expected one and may become the new one."""
+    (now,) = state
+    fine = event["expected"] == now and (now, event["wanted"]) in TRANSITIONS
+    after = event["wanted"] if fine else now
+    return (after,), [(int(event["event_id"]), bool(fine), after)]
+
+
+#: Failures in a row that trip a probe, and passes in a row of all tripped probes that clear an automatic pause.
+TRIP, CLEAR, PROBES = 3, 3, 3
+
+
+def pausing(state: tuple, event: dict) -> tuple[tuple, list[tuple]]:
+    """Pauses by probes: ``TRIP`` failures of one in a row pause; ``CLEAR`` passes in a row of each that tripped resume, unless a user paused or a failure can't be recovered from.
+
+    A user's pause is never taken over or lifted by probes; their resume lifts everything. Emits each change of the pause.
+    """
+    fails, passes, tripped, paused, blocked = list(state[:PROBES]), list(state[PROBES : 2 * PROBES]), list(state[2 * PROBES : 3 * PROBES]), state[-2], state[-1]
+    before, k = paused, int(event["probe"])
+    if event["kind"] == "pause":
+        paused = "user"
+    elif event["kind"] == "resume":
+        paused, blocked, tripped, fails = "", False, [False] * PROBES, [0] * PROBES
+    elif event["kind"] in ("fail", "fatal"):
+        fails[k], passes[k] = fails[k] + 1, 0
+        blocked = blocked or event["kind"] == "fatal"
+        if fails[k] >= TRIP or event["kind"] == "fatal":
+            tripped[k] = True
+            paused = paused or "auto"
+    else:
+        fails[k], passes[k] = 0, passes[k] + 1
+        if paused == "auto" and not blocked and all(p >= CLEAR for p, t in zip(passes, tripped, strict=True) if t):
+            paused, tripped = "", [False] * PROBES
+    out = [(int(event["event_id"]), before, paused)] if paused != before else []
+    return (*fails, *passes, *tripped, paused, blocked), out
+
+
+PAUSE_STATE = ", ".join([*[f"f{k} int" for k in range(PROBES)], *[f"p{k} int" for k in range(PROBES)], *[f"t{k} boolean" for k in range(PROBES)], "paused string, blocked boolean"])
+PAUSE_START = (0,) * (2 * PROBES) + (False,) * PROBES + ("", False)
+
+
+def probe_events(events: DataFrame) -> DataFrame:
+    """Events as results of probes of ten systems, with users' pauses and failures that can't be recovered from among them."""
+    e = F.col("event_id")
+    kind = F.when(e % 97 == 0, "pause").when(e % 53 == 0, "resume").when((F.col("event_type") == "error") & (e % 41 == 0), "fatal").when(F.col("event_type").isin("error", "purchase"), "fail").otherwise("pass")
+    return events.select((F.col("user_id") % 10).alias("system"), "event_id", (e % PROBES).alias("probe"), kind.alias("kind"))
+
+
 def windowed(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """An extension beyond the graph operators: counts by day, late events dropped after ``late``."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), "event_type", "n")
@@ -88,7 +172,7 @@ def windowed(events: DataFrame, late: str = "1 hour") -> DataFrame:
 # ---- queries -------------------------------------------------------------------------------
 
 
-@query("stage_progress", "SELECT user_id, event_type, count(*) AS processed, round(sum(value), 2) AS total_value, max(event_id) AS last_event FROM events GROUP BY user_id, event_type")
+@query("stage_progress", "SELECT user_id, event_type, count(*) AS processed, round(sum(value), 2) AS total_value, round(avg(value), 4) AS avg_value, max(event_id) AS last_event, max(ts) AS last_activity FROM events GROUP BY user_id, event_type")
 def stage_progress_query(spark, d):
     return replay(spark, d, "events", stage_progress)
 
@@ -119,16 +203,26 @@ def window_counts(spark, d):
 
 @query("auto_embed_debounce", "SELECT user_id, count(*) AS embedded FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id")
 def auto_embed_debounce(spark, d):
-    return replay(spark, d, "events", lambda e: e.dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type"), "append").groupBy("user_id").agg(F.count("*").alias("embedded"))
+    """What was embedded within the last month isn't again; older keys leave the state."""
+    once = lambda e: e.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "31 days").dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
+    return replay(spark, d, "events", once, "append").groupBy("user_id").agg(F.count("*").alias("embedded"))
+
+
+def _stateful(spark: SparkSession) -> None:
+    """State with several columns is kept by this provider alone."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-@query("status_cas", "SELECT user_id, count(*) FILTER (WHERE before = 'view' AND event_type = 'click' OR before = 'click' AND event_type IN ('purchase', 'error')) AS valid, count(before) AS transitions FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) GROUP BY user_id")
+@query("status_cas", """WITH e AS (SELECT user_id, list({'s': '', 'n': 0, 'x': ['view', 'click', 'purchase'][event_id % 3 + 1], 'w': event_type} ORDER BY event_id) AS es FROM events GROUP BY user_id),
+  f AS (SELECT user_id, list_reduce(list_prepend({'s': 'view', 'n': 0, 'x': '', 'w': ''}, es), lambda a, e: CASE WHEN e.x = a.s AND a.s || '>' || e.w IN ('view>click', 'click>purchase', 'click>error', 'error>view', 'purchase>view') THEN {'s': e.w, 'n': a.n + 1, 'x': '', 'w': ''} ELSE {'s': a.s, 'n': a.n, 'x': '', 'w': ''} END) AS r FROM e)
+  SELECT user_id, r.s AS status, CAST(r.n AS BIGINT) AS accepted FROM f""")
 def status_cas(spark, d):
-    """Status changes that the allowed transitions cover."""
-    allowed = F.array(*[F.lit(x) for x in ("view>click", "click>purchase", "click>error")])
-    e = m.table(spark, d, "events").withColumn("before", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id")))
-    step = F.concat("before", F.lit(">"), "event_type")
-    return e.groupBy("user_id").agg(F.count_if(F.array_contains(allowed, step)).alias("valid"), F.count("before").alias("transitions"))
+    """Each user's status after all changes, each of which expects a status."""
+    _stateful(spark)
+    expected = F.get(F.array(F.lit("view"), F.lit("click"), F.lit("purchase")), (F.col("event_id") % 3).cast("int"))
+    asked = lambda e: e.select("user_id", "event_id", expected.alias("expected"), F.col("event_type").alias("wanted"))
+    done = replay(spark, d, "events", lambda e: folded(asked(e), "user_id", "status string", ("view",), compare_and_set, "event_id bigint, accepted boolean, status string"), "append")
+    return done.groupBy("user_id").agg(F.max_by("status", "event_id").alias("status"), F.count_if("accepted").alias("accepted"))
 
 
 @query("stuck_detection", "SELECT user_id, max(ts) < TIMESTAMP '2024-01-30 12:00:00' AS stuck FROM events GROUP BY user_id")
@@ -170,8 +264,15 @@ def health_error_rate(spark, d):
     return e.select("user_id", F.when(F.col("n") < 20, "ok").when(rate >= 0.8, "error").when(rate >= 0.5, "warning").otherwise("ok").alias("health"))
 
 
-@query("health_pause", "SELECT user_id, count(*) FILTER (WHERE run = 3) AS trips FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id, g ORDER BY event_id) AS run FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY event_id) AS g FROM events) WHERE event_type = 'error') GROUP BY user_id")
+@query("health_pause")
 def health_pause(spark, d):
+    """Changes of each system's pause; tested against a plain loop."""
+    _stateful(spark)
+    return replay(spark, d, "events", lambda e: folded(probe_events(e), "system", PAUSE_STATE, PAUSE_START, pausing, "event_id bigint, before string, after string"), "append")
+
+
+@query("health_trips", "SELECT user_id, count(*) FILTER (WHERE run = 3) AS trips FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id, g ORDER BY event_id) AS run FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY event_id) AS g FROM events) WHERE event_type = 'error') GROUP BY user_id")
+def health_trips(spark, d):
     """How often three errors in a row trip the pause: runs are islands between gaps."""
     by = Window.partitionBy("user_id").orderBy("event_id")
     e = m.table(spark, d, "events").withColumn("error", F.col("event_type") == "error")
@@ -179,19 +280,31 @@ def health_pause(spark, d):
     return e.groupBy("user_id", "g").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count_if(F.col("n") >= 3).alias("trips"))
 
 
-@query("llm_spend_cap", sql("SELECT day, id AS first_over FROM (SELECT day, id, sum(input_tokens) OVER (PARTITION BY day ORDER BY id) AS used, row_number() OVER (PARTITION BY day ORDER BY id) AS k, sum(input_tokens) OVER (PARTITION BY day ORDER BY id) - input_tokens AS before FROM metrics) WHERE used > 100000 AND before <= 100000"))
+@query("llm_spend_cap", sql("""WITH u AS (SELECT id, day, source_id, sum(input_tokens) OVER (PARTITION BY day ORDER BY id) AS all_used, sum(input_tokens) OVER (PARTITION BY day, source_id ORDER BY id) AS own_used FROM metrics)
+  SELECT id, day, source_id, CASE WHEN all_used > 100000 THEN 'day' ELSE 'source' END AS cap FROM u WHERE all_used > 100000 OR own_used > 6000"""))
 def llm_spend_cap(spark, d):
-    """The call with which each day's tokens pass the cap."""
+    """Calls past the cap of their day, or of their source on that day."""
     x = m.metrics(spark, d)
     used = F.sum("input_tokens").over(Window.partitionBy("day").orderBy("id"))
-    return x.withColumn("used", used).where((F.col("used") > 100000) & (F.col("used") - F.col("input_tokens") <= 100000)).select("day", F.col("id").alias("first_over"))
+    own = F.sum("input_tokens").over(Window.partitionBy("day", "source_id").orderBy("id"))
+    over = x.select("id", "day", "source_id", used.alias("used"), own.alias("own")).where("used > 100000 or own > 6000")
+    return over.select("id", "day", "source_id", F.when(F.col("used") > 100000, "day").otherwise("source").alias("cap"))
+
+
+#: Failures that may pass by themselves, tries of a task, and seconds before the first retry and the longest wait.
+TRANSIENT, TRIES, FIRST_WAIT, LONGEST_WAIT = ("timeout", "rate_limit"), 3, 5, 300
 
 
-@query("queue_retry_classify", sql("SELECT error_type, CASE error_type WHEN 'timeout' THEN 'retry' WHEN 'rate_limit' THEN 'wait' ELSE 'fail' END AS action, count(*) AS n FROM metrics WHERE NOT success GROUP BY 1, 2"))
+@query("queue_retry_classify", sql("""WITH f AS (SELECT id, error_type, row_number() OVER (PARTITION BY source_id, error_type ORDER BY id) AS attempt FROM metrics WHERE NOT success)
+  SELECT id, CASE WHEN error_type NOT IN ('timeout', 'rate_limit') THEN 'fail' WHEN attempt >= 3 THEN 'dead' ELSE 'retry' END AS action, CASE WHEN error_type IN ('timeout', 'rate_limit') AND attempt < 3 THEN CAST(least(300, 5 * power(2, attempt - 1)) * CASE WHEN error_type = 'rate_limit' THEN 4 ELSE 1 END AS BIGINT) END AS wait FROM f"""))
 def queue_retry_classify(spark, d):
-    """What becomes of a failed task by its kind of error."""
-    action = F.when(F.col("error_type") == "timeout", "retry").when(F.col("error_type") == "rate_limit", "wait").otherwise("fail")
-    return m.metrics(spark, d).where("not success").groupBy("error_type", action.alias("action")).agg(F.count("*").alias("n"))
+    """What becomes of each failed call, and the seconds it waits: doubled by attempt, four times as long after a rate limit."""
+    attempt = F.row_number().over(Window.partitionBy("source_id", "error_type").orderBy("id"))
+    f = m.metrics(spark, d).where("not success").select("id", "error_type", attempt.alias("attempt"))
+    passing = F.col("error_type").isin(*TRANSIENT)
+    wait = F.least(F.lit(LONGEST_WAIT), FIRST_WAIT * F.pow(F.lit(2), F.col("attempt") - 1)) * F.when(F.col("error_type") == "rate_limit", 4).otherwise(1)
+    action = F.when(~passing, "fail").when(F.col("attempt") >= TRIES, "dead").otherwise("retry")
+    return f.select("id", action.alias("action"), F.when(action == "retry", wait.cast("bigint")).alias("wait"))
 
 
 @query("queue_rehydrate", "SELECT user_id, max(event_id) AS task FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) IN ('view', 'click')")
