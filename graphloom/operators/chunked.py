@@ -40,14 +40,18 @@ def chunk_offsets(spark, d):
     return x.select("doc_id", (at - 1).alias("start")).where("start = 100")
 
 
-@query("embedding_codec", "SELECT vec_id, vec_id % 5 <> 0 AS valid FROM embeddings")
+@query("embedding_codec", "SELECT vec_id, vec_id % 5 <> 0 AND vec_id % 7 <> 0 AND vec_id % 11 <> 0 AS valid, CASE WHEN vec_id % 5 <> 0 AND vec_id % 7 <> 0 AND vec_id % 11 <> 0 THEN round(list_sum(CAST(embedding AS DOUBLE[])), 4) END AS total FROM embeddings")
 def embedding_codec(spark, d):
+    """Vectors written as text and read again; some aren't base64, some too short, some hold no number."""
+
     def encode(frames):
         for f in frames:
-            yield pd.DataFrame({"vec_id": f["vec_id"], "blob": [c.encode_vector(v) if i % 5 else "not base64!" for i, v in zip(f["vec_id"], f["embedding"], strict=True)]})
+            bad = lambda i, v: "not base64!" if i % 5 == 0 else c.encode_vector(v[:-1]) if i % 7 == 0 else c.encode_vector([float("nan"), *v[1:]]) if i % 11 == 0 else c.encode_vector(v)
+            yield pd.DataFrame({"vec_id": f["vec_id"], "blob": [bad(i, list(v)) for i, v in zip(f["vec_id"], f["embedding"], strict=True)]})
 
     rows = m.table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(encode, "vec_id bigint, blob string")
-    return c.decode_vectors(rows, "blob", 64).select("vec_id", F.col("embedding").isNotNull().alias("valid"))
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
+    return c.decode_vectors(rows, "blob", 64).select("vec_id", F.col("embedding").isNotNull().alias("valid"), total.alias("total"))
 
 
 @query("markdown_transforms", "SELECT p_partkey, '# ' || p_name || chr(10) || chr(10) || '## ' || p_brand || chr(10) || '- ' || p_type AS text FROM part")

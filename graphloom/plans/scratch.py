@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only if unset."""
+    """``spark.checkpoint.dir`` of the session; unset, a temporary folder, but only where driver and tasks are one process.
+
+    On a cluster a folder of the driver's own would be missing elsewhere, so there the setting is asked for.
+    """
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
