@@ -45,7 +45,7 @@ def replay(spark: SparkSession, sf_dir: str, name: str, step: Callable[[DataFram
 def stage_progress(events: DataFrame) -> DataFrame:
     """Per user and kind: how many, their values' sum and mean, last activity."""
     return events.groupBy("user_id", "event_type").agg(
-        F.count("*").alias("processed"), F.round(F.sum("value"), 2).alias("total_value"), F.round(F.avg("value"), 4).alias("avg_value"), F.max("event_id").alias("last_event"), F.max("ts").alias("last_activity")
+        F.count("*").alias("processed"), F.round(F.sum("value"), 2).alias("total_value"), (F.round(F.sum("value") * 100) / F.count("*")).alias("avg_cents"), F.max("event_id").alias("last_event"), F.max("ts").alias("last_activity")
     )
 
 
@@ -172,7 +172,7 @@ def windowed(events: DataFrame, late: str = "1 hour") -> DataFrame:
 # ---- queries -------------------------------------------------------------------------------
 
 
-@query("stage_progress", "SELECT user_id, event_type, count(*) AS processed, round(sum(value), 2) AS total_value, round(avg(value), 4) AS avg_value, max(event_id) AS last_event, max(ts) AS last_activity FROM events GROUP BY user_id, event_type")
+@query("stage_progress", "SELECT user_id, event_type, count(*) AS processed, round(sum(value), 2) AS total_value, round(sum(value) * 100) / count(*) AS avg_cents, max(event_id) AS last_event, max(ts) AS last_activity FROM events GROUP BY user_id, event_type")
 def stage_progress_query(spark, d):
     return replay(spark, d, "events", stage_progress)
 
