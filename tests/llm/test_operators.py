@@ -410,6 +410,28 @@ def test_machine_identity():
     assert machine.margins(at, value, np.array([0]))[0] == pytest.approx(0.3 + machine.weights[at] @ value + pairs)
 
 
+def test_scores_against_all_pairs(spark, data):
+    """Scores of a fitted machine, in plain Python: bias, weights and every pair of features one by one."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = docs.select("doc_id", "text", "n_chars").collect()
+    machine = quality.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    odd = [(9001, None, None), (9002, "", 0), (9003, "  \n ", None), (9004, "word " * 400, 2000)]
+    df = spark.createDataFrame([tuple(r) for r in rows[:25]] + odd, "doc_id bigint, text string, n_chars bigint")
+    got = {r.doc_id: r for r in quality.score(df, machine).collect()}
+    for doc, text, n in [tuple(r) for r in rows[:25]] + odd:
+        words = (text or "").split()
+        share = collections.Counter(words)
+        found = [(xxhash.xxh64_intdigest(w.encode(), 7) % (1 << 16), math.sqrt(k / len(words))) for w, k in share.items()]
+        for k, v in enumerate(quality.statistics(text or "", n, words, share)):
+            found.append(((1 << 16) + 16 * k + min(15, int(v * 16)), 0.5))
+        margin = machine.bias + sum(machine.weights[i] * v for i, v in found)
+        if len(found) < 250:
+            margin += sum(float(machine.factors[i] @ machine.factors[j]) * a * b for k, (i, a) in enumerate(found) for j, b in found[:k])
+            assert got[doc].score == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9)
+            assert got[doc].predicted == int(got[doc].score >= 0.3)
+        assert 0 <= got[doc].score <= 1 and got[doc].held_out == (zlib.crc32(str(doc).encode()) % 5 == 0)
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(60, 64))
