@@ -92,3 +92,69 @@ def test_lookback_against_a_loop(spark, data):
                 kept.append(p)
         want[doc] = len(kept)
     assert {r.doc_id: r.kept for r in catalog.queries()["dup_paragraph_fuzzy"](spark, data).collect()} == want
+
+
+def test_groups_by_budget_against_a_loop(spark, data):
+    from graphloom.functions.text import estimate_tokens
+
+    per = defaultdict(list)
+    for r in m.chunks(spark, data).select("doc_id", "chunk_index", estimate_tokens("content").alias("n")).collect():
+        per[r.doc_id].append((r.chunk_index, r.n))
+    want = set()
+    for doc, rows in per.items():
+        groups = []
+        for _, n in sorted(rows):
+            if not groups or groups[-1][0] + n > 500:
+                groups.append([0, 0])
+            groups[-1][0] += n
+            groups[-1][1] += 1
+        want |= {(doc, k, c) for k, (_, c) in enumerate(groups)}
+    assert {tuple(r) for r in catalog.queries()["chunk_group_budget"](spark, data).collect()} == want
+
+
+def test_representatives_against_a_loop(spark, data):
+    import numpy as np
+
+    per = defaultdict(list)
+    for r in m.table(spark, data, "embeddings").select("label", "vec_id", "embedding").collect():
+        per[r.label].append((r.vec_id, np.array(r.embedding, float)))
+    want = set()
+    for label, rows in per.items():
+        rows.sort(key=lambda v: v[0])
+        points = [v for _, v in rows]
+        if len(points) <= 8:
+            want |= {(label, i) for i, _ in rows}
+            continue
+        centres = [points[int(k)] for k in np.linspace(0, len(points) - 1, 8)]
+        for _ in range(20):
+            homes = [min(range(8), key=lambda k, p=p: ((p - centres[k]) ** 2).sum()) for p in points]
+            centres = [np.mean([p for p, h in zip(points, homes, strict=True) if h == k], axis=0) if k in homes else centres[k] for k in range(8)]
+        want |= {(label, rows[min(range(len(points)), key=lambda i, k=k: ((points[i] - centres[k]) ** 2).sum())][0]) for k in range(8)}
+    assert {tuple(r) for r in catalog.queries()["summarize_select"](spark, data).collect()} == want
+
+
+def test_semantic_search_against_a_loop(spark, data):
+    import math
+    import re
+
+    from graphloom.operators.retrieval import hashed_embedding
+
+    asked = "the thing of and that"
+    rows = [(r.item_id, r.text) for r in m.table(spark, data, "benchmark").collect()]
+    words = sorted({w for _, t in [*rows, (0, asked)] for w in re.findall(r"[^\W_]+", t.lower())})
+    signs = {r.w: (r.h % 64, 1 if r.h > 0 else -1) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+
+    def vector(text):
+        v = [0.0] * 64
+        for w in re.findall(r"[^\W_]+", text.lower()):
+            at, sign = signs[w]
+            v[at] += sign
+        return v
+
+    q = vector(asked)
+    assert spark.range(1).select(hashed_embedding(F.lit(asked)).alias("v")).first().v == q
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    score = lambda v: max(0.0, min(1.0, sum(a * b for a, b in zip(v, q, strict=True)) / (norm(v) * norm(q)))) if norm(v) else 0.0
+    want = sorted(((round(score(vector(t)), 6), i) for i, t in rows), key=lambda v: (-v[0], v[1]))[:10]
+    got = [(r.score, r.id) for r in catalog.queries()["search_semantic"](spark, data).orderBy(F.desc("score"), "id").collect()]
+    assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=1e-6)
