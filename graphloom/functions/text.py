@@ -5,6 +5,7 @@ Patterns name their character classes, so that Java's and RE2's engines read the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -134,30 +135,51 @@ def plain_sentences(text: Column | str) -> Column:
 
 
 # Abbreviations that end no sentence.
-ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "St.", "Jr.", "Sr.", "vs.", "etc.", "e.g.", "i.e.", "U.S.", "No.", "Vol.", "Fig.", "Inc.", "Ltd.", "Co.")
+ABBREVIATIONS = (
+    "Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "Gen", "Gov", "Rep", "Sen", "Sgt", "Cpl", "Pvt", "Capt", "Lt", "Col", "Maj", "Cmdr", "Adm", "Rev", "Hon", "Pres", "U.S", "U.K", "E.U", "U.N",
+    "a.m", "p.m", "vs", "etc", "i.e", "e.g", "al", "fig", "no", "vol", "dept", "approx", "inc", "ltd", "corp", "assn",
+)
+
+
+def sentence_offsets(value: str | None) -> list[dict[str, int]]:
+    """Start and end of each sentence, without the blanks around it; none of a blank text.
+
+    A sentence ends at a mark before white space and a capital, a quotation mark or a bracket, unless the mark ends an abbreviation or
+    both lie inside one pair of quotation marks.
+    """
+    if not value or not value.strip():
+        return []
+    quoted = [m.span() for m in _QUOTED.finditer(value)]
+    spans, at, k = [], 0, 0
+    for m in _BORDER.finditer(value):
+        while k < len(quoted) and quoted[k][1] <= m.start():
+            k += 1
+        inside = k < len(quoted) and quoted[k][0] < m.start()
+        if inside or _SHORT.search(value, max(0, m.start() - 8), m.start()):
+            continue
+        spans.append((at, m.start()))
+        at = m.end()
+    spans.append((at, len(value)))
+    out = []
+    for start, end in spans:
+        part = value[start:end]
+        if part.strip():
+            lead = len(part) - len(part.lstrip())
+            out.append({"start": start + lead, "end": start + lead + len(part.strip())})
+    return out
+
+
+_BORDER = re.compile(r"(?<=[.!?])\s+(?=[A-Z\u201c\"(])")
+_QUOTED = re.compile("[\"\u201c][^\"\u201c\u201d]*[\"\u201d]")
+_SHORT = re.compile(r"\b(?:" + "|".join(re.escape(a) for a in sorted(ABBREVIATIONS, key=len, reverse=True)) + r")\.$")
 
 
 def split_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add sentences array<struct<start,end>>: offsets of sentences, abbreviations and quotes kept whole."""
-    import re
-
-    border = re.compile(r"(?<=[.!?])\s+(?=[A-Z\"“(])")
-    held = re.compile("|".join(re.escape(a) for a in ABBREVIATIONS))
-
-    def offsets(value: str | None) -> list[dict]:
-        if not value or not value.strip():
-            return []
-        safe = held.sub(lambda m: m[0].replace(".", "\x00"), value)
-        spans, at = [], 0
-        for m in border.finditer(safe):
-            spans.append((at, m.start()))
-            at = m.end()
-        spans.append((at, len(value)))
-        return [{"start": a, "end": b} for a, b in spans if value[a:b].strip()]
+    """Add sentences array<struct<start,end>>: see :func:`sentence_offsets`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(sentences=frame[text].map(offsets))
+            yield frame.assign(sentences=frame[text].map(sentence_offsets))
 
     schema = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes) + ", sentences array<struct<start:int,end:int>>"
     return docs.mapInPandas(run, schema)

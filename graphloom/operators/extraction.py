@@ -509,7 +509,7 @@ def plausible(entities: DataFrame, texts: DataFrame, named: tuple[str, ...] | No
 
 @query("ent_plausibility")
 def ent_plausibility(spark, d):
-    """Tested against a plain loop."""
+    """Tested on cases made by hand."""
     texts = m.table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "text")
     return plausible(m.mentions(spark, d), texts, ("Person", "Place")).select("ordinal", "plausibility", "kept")
 

@@ -46,6 +46,11 @@ def test_sentences(spark):
     assert [[r.text[s.start : s.end] for s in r.sentences] for r in got] == [["Dr. Who came.", "He left!", "Then no. 5 rang."], [], []]
 
 
+def test_sentences_keep_quotes_and_ranks_whole():
+    said = "Gen. Lee left at 5 p.m. Monday. \"Go. Now? Yes.\" She did. He said “Stop. Now.” Then ran."
+    assert [said[s["start"] : s["end"]] for s in text.sentence_offsets(said)] == ["Gen. Lee left at 5 p.m. Monday.", "\"Go. Now? Yes.\" She did.", "He said “Stop. Now.” Then ran."]
+
+
 def test_sentence_refs(spark):
     cases = [("S1", [1]), ("S1-S3", [1, 2, 3]), ("s2; S1,S2", [1, 2]), ("S9", None), ("x", None), ("", None), (None, None), ("S3-S1", None)]
     df = spark.createDataFrame(cases, "r string, want array<int>")
