@@ -48,8 +48,9 @@ class Encoder(dict):
     def __init__(self, path: str, keep_space: bool, most: int = 400_000, longest: int = 48):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))).search if added else None
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        kind = re.IGNORECASE if any(t.normalized for t in added) else 0  # others are found as they are written
+        self.added = re.compile("|".join(sorted(re.escape(t.content) for t in added)), kind).search if added else None
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # pieces are held here
         self.find = (_SPACED if keep_space else _BARE).findall
@@ -76,7 +77,7 @@ class Encoder(dict):
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.added and self.added(text.lower()):
+        if self.added and self.added(text):
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(found)}I", *found)
         # these capitals' lower case depends on their place or has several characters: the library knows
