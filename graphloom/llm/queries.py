@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import binary_output, decontaminate, embedding_dedup, language_id, line_dedup, oracles, packing, quality, secrets, simhash, substring_dedup
+from graphloom.llm import binary_output, decontaminate, embedding_dedup, exact_dedup, language_id, line_dedup, merkle, oracles, packing, quality, secrets, simhash, substring_dedup, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 _QUERIES = (
     op1_factorisation_machine,
     op2_multipart_secrets,
@@ -64,6 +76,9 @@ _QUERIES = (
     op8_token_binary,
     op9_naive_bayes_language,
     op10_substring_dedup,
+    op11_digest_index,
+    op12_merkle_manifest,
+    op13_spelling_variants,
 )
 
 
@@ -78,4 +93,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_multipart_secrets": oracles.SECRETS,
         "op5_deletion_neighbourhood_lines": oracles.LINE_DEDUP,
         "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op11_digest_index": oracles.EXACT_DEDUP,
+        "op12_merkle_manifest": oracles.MERKLE,
+        "op13_spelling_variants": oracles.VARIANTS,
     }
