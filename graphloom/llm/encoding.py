@@ -40,8 +40,8 @@ class Encoder(dict):
     """``encoder(text)``: its ids as little-endian unsigned 32-bit bytes; null is an empty text.
 
     ``keep_space``: pieces carry the space before them (byte-level files); otherwise the
-    file lower-cases and white space only separates. A text that holds the string of an added token, special or not, goes
-    through the library whole: such a string is that token, as the library has it. At most ``most`` pieces of at most
+    file lower-cases and white space only separates. A text that holds the string of an added token, special or not, or in such a
+    file its capitals, goes through the library whole: what is that token is what the library takes for it. At most ``most`` pieces of at most
     ``longest`` characters are held.
     """
 
@@ -49,7 +49,8 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        kind = re.IGNORECASE if any(t.normalized for t in added) else 0  # others are found as they are written
+        # lower-casing must not make the string of a token that isn't there as written, so its capitals are looked for as well
+        kind = re.IGNORECASE if not keep_space or any(t.normalized for t in added) else 0
         self.added = re.compile("|".join(sorted(re.escape(t.content) for t in added)), kind).search if added else None
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # pieces are held here
