@@ -151,10 +151,16 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("source_id"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("sentences"))
 
 
-def _drawn(spark: SparkSession, sf_dir: str, many: int) -> DataFrame:
-    """Documents of twelve words or more, with a running number i from 0."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
-    return d.where(F.size("w") >= 12).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+def _drawn(spark: SparkSession, sf_dir: str, many: int, **picks) -> DataFrame:
+    """Documents of twelve words or more, each ``many`` times with a running number i from 0; ``picks`` name words by their places from k and i.
+
+    Words are picked before rows are made, so a document's words are held once.
+    """
+    found = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)) if picks else None
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), *([found.alias("w")] if picks else ["text"]))
+    d = d.where(F.size("w") >= 12) if picks else d.where(F.regexp_count("text", F.lit("[A-Za-z]+")) >= 12)
+    drawn = lambda i: F.struct(i.alias("i"), *[F.get("w", F.pmod(at(F.col("k"), i), F.size("w")).cast("int")).alias(n) for n, at in picks.items()])
+    return d.select("k", F.explode(F.transform(F.sequence(F.lit(0), F.lit(many - 1)), drawn)).alias("x")).select("k", "x.*")
 
 
 # References to sentences as models write them, sound, out of range, repairable and missing.
@@ -168,16 +174,19 @@ def _picked(values: tuple, at: Column) -> Column:
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities as a model would extract them: eight of each document, some structural, generic, junk or ungrounded."""
     k, i = F.col("k"), F.col("i")
-    w = lambda at: F.get("w", F.pmod(at, F.size("w")).cast("int"))
     name = (
-        F.when(i == 7, F.concat(F.lit("Chapter "), k % 30)).when((i == 6) & (k % 5 == 0), "the").when(i == 5, w(k * 7))
-        .otherwise(F.concat(w(k * 7 + i * 13), F.lit(" "), w(k * 3 + i * 5)))
+        F.when(i == 7, F.concat(F.lit("Chapter "), k % 30)).when((i == 6) & (k % 5 == 0), "the").when(i == 5, F.col("first"))
+        .otherwise(F.concat("given", F.lit(" "), "family"))
     )
     kind = _picked(("Person", "Place", "Item", "Title", "person", "Unknown", "Object"), k + i)
-    text = F.when((k + i) % 3 == 0, F.concat(F.lit("A place near "), w(k + i))).when((k + i) % 3 == 1, F.concat(F.lit("Someone called "), w(k * 2 + i)))
-    return _drawn(spark, sf_dir, 8).select(
+    text = F.when((k + i) % 3 == 0, F.concat(F.lit("A place near "), "near")).when((k + i) % 3 == 1, F.concat(F.lit("Someone called "), "called"))
+    drawn = _drawn(
+        spark, sf_dir, 8, first=lambda k, i: k * 7, given=lambda k, i: k * 7 + i * 13, family=lambda k, i: k * 3 + i * 5, other=lambda k, i: k * 5 + i * 3,
+        near=lambda k, i: k + i, called=lambda k, i: k * 2 + i,
+    )
+    return drawn.select(
         k.alias("source_id"), (i % 3).cast("int").alias("chunk_index"), (k * 8 + i).alias("ordinal"), name.alias("name"), kind.alias("type"),
-        F.when(i % 2 == 0, F.array(w(k * 5 + i * 3))).otherwise(F.array().cast("array<string>")).alias("aliases"),
+        F.when(i % 2 == 0, F.array("other")).otherwise(F.array().cast("array<string>")).alias("aliases"),
         text.alias("description"), F.when((k + i) % 9 != 8, _picked(REFERENCES, k + i * 2)).alias("sent_ref"), F.round(((k * 37 + i * 11) % 100) / 100, 2).alias("confidence"),
     )
 

@@ -9,8 +9,8 @@ types and references count as empty ones.
 from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ from graphloom import model as m
 from graphloom.catalog import query
 from graphloom.functions import text as t
 from graphloom.operators.relational import sql
+from graphloom.plans.ordering import Ordered
+from graphloom.plans.scratch import discard, materialise_at
 
 # ---- presets -------------------------------------------------------------------------------
 
@@ -319,37 +321,58 @@ def rel_type_constraints_strict(spark, d):
 def limited(relations: DataFrame, entities: DataFrame, degree: int = 25, same: int = 12, ratio: float = 8.0, protect: bool = False) -> DataFrame:
     """(source_id, ordinal, outcome) of each relationship: kept, or the limit it fell to.
 
-    The most confident go first: each end may have ``degree`` relationships, a source entity ``same`` of one type, a source ``ratio`` times its entities.
-    ``protect`` keeps one that an end with fewer than two would lose. Each choice rests on those before it, so a source, one
-    document's extractions, is worked through in order; sources are spread over tasks.
+    The most confident go first, unknown confidence last: each end may have ``degree`` relationships, a source entity ``same`` of one type, a source ``ratio`` times its entities.
+    ``protect`` keeps one that an end with fewer than two would lose.
+
+    Each choice rests on those before it at its ends and in its type, and on nothing else, so they are made in parallel: what is kept before a relationship
+    lies between what is known to be kept and that with what is still open. Once these bounds agree on a limit it is decided; the first open one at both ends always
+    is. The ratio is a running count over all that the other limits let through.
     """
+    spark, spent = relations.sparkSession, []
     counts = entities.groupBy("source_id").agg(F.count("*").alias("_entities"))
-    rows = relations.select("source_id", "ordinal", "source", "target", "type", "confidence").join(counts, "source_id", "left").fillna(0, ["_entities"])
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        degrees: dict[int, int] = {}
-        of_type: dict[tuple, int] = {}
-        most, kept, out = int(ratio * frame["_entities"].iloc[0]), 0, []
-        for row in frame.sort_values(["confidence", "ordinal"], ascending=[False, True]).itertuples(index=False):
-            a, b = degrees.get(row.source, 0), degrees.get(row.target, 0)
-            pair = (row.source, row.type)
-            spared = protect and min(a, b) < 2 and min(a, b) < degree
-            if kept >= most:
-                out.append("ratio")
-            elif of_type.get(pair, 0) >= same:
-                out.append("same_type")
-            elif max(a, b) >= degree and not spared:
-                out.append("degree")
-            else:
-                out.append("kept")
-                kept += 1
-                of_type[pair] = of_type.get(pair, 0) + 1
-                degrees[row.source] = degrees.get(row.source, 0) + 1
-                degrees[row.target] = degrees.get(row.target, 0) + 1
-        order = frame.sort_values(["confidence", "ordinal"], ascending=[False, True])
-        return pd.DataFrame({"source_id": order["source_id"], "ordinal": order["ordinal"], "outcome": out})
-
-    return rows.groupBy("source_id").applyInPandas(run, "source_id bigint, ordinal bigint, outcome string")
+    rows = relations.select("source_id", "ordinal", "source", "target", "type", F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("_rank"))
+    most = (F.lit(float(ratio)) * F.coalesce("_entities", F.lit(0))).cast("bigint")
+    edges, path = materialise_at(rows.join(counts, "source_id", "left").select(*rows.columns, most.alias("_most"), F.monotonically_increasing_id().alias("_edge")), "edges")
+    spent.append(path)
+    # an edge stands at each of its ends, a self loop once with double weight, and in its type
+    ends = F.transform(F.array_distinct(F.array("source", "target")), lambda v: F.struct(F.lit(0).alias("kind"), v.alias("node"), F.lit(None).cast("string").alias("of"), F.when(F.col("source").eqNullSafe(F.col("target")), 2).otherwise(1).alias("weight")))
+    typed = F.struct(F.lit(1).alias("kind"), F.col("source").alias("node"), F.col("type").cast("string").alias("of"), F.lit(1).alias("weight"))
+    at = edges.select("source_id", "_rank", "ordinal", "_edge", F.posexplode(F.array_append(ends, typed)).alias("_one", "at")).select("source_id", "_rank", "ordinal", "_edge", (F.col("_one") == 0).alias("_one"), "at.*")
+    key, order = ["source_id", "kind", "node", "of"], ["_rank", "ordinal", "_edge"]
+    largest = {r.kind: r.most for r in at.groupBy(*key).agg(F.sum("weight").alias("n")).groupBy("kind").agg(F.max("n").alias("most")).collect()}  # two rows
+    decided = []
+    if largest.get(0, 0) > degree or largest.get(1, 0) > same:
+        groups = Ordered(at, key, order, spent)
+        now = groups.rows.withColumns({"state": F.lit(0), "label": F.lit(None).cast("string")})
+        few = min(2, degree)
+        while True:
+            kept, open_ = F.col("state") == 1, F.col("state") == 0
+            seen = groups.before(now, {"lo": F.when(kept, F.col("weight")).otherwise(0), "hi": F.when(kept | open_, F.col("weight")).otherwise(0)})
+            edge = Window.partitionBy("_edge")
+            of = lambda kind, c, how: F.coalesce(how(F.when(F.col("kind") == kind, F.col(c))).over(edge), F.lit(0))
+            seen = seen.select(*now.columns, *[of(0, c, how).alias(f"{n}_{c}") for c in ("lo", "hi") for n, how in (("most", F.max), ("least", F.min))], of(1, "lo", F.max).alias("type_lo"), of(1, "hi", F.max).alias("type_hi"))
+            full, spare = F.col("most_lo") >= degree, F.col("most_hi") < degree
+            if protect:
+                full, spare = full & (F.col("least_lo") >= few), spare | (F.col("least_hi") < few)
+            state = F.when(~open_, F.col("state")).when((F.col("type_hi") < same) & spare, 1).when((F.col("type_lo") >= same) | full, 2).otherwise(0)
+            label = F.when(F.col("_state") == 1, "kept").when(F.col("_state") == 2, F.when(F.col("type_lo") >= same, "same_type").when(F.col("type_hi") < same, "degree"))
+            after, path = materialise_at(seen.withColumn("_state", state).withColumn("label", label).select(*[F.col("_state").alias("state") if c == "state" else F.col(c) for c in now.columns]), "limits")
+            spent.append(path)
+            decided.append(after.where("_one and label <> 'kept'").select("_edge", "label"))
+            now = after.where("label is null or label = 'kept'")
+            if after.where("label is null").isEmpty():
+                break
+    if decided:
+        lost = reduce(DataFrame.unionByName, decided)
+        edges = edges.join(lost, "_edge", "left").withColumn("label", F.coalesce("label", F.lit("kept")))
+    else:
+        edges = edges.withColumn("label", F.lit("kept"))
+    sources = Ordered(edges.select("source_id", *order, "label", "_most"), ["source_id"], order, spent)
+    done = sources.before(sources.rows, {"_kept": F.when(F.col("label") == "kept", 1).otherwise(0)})
+    out, _ = materialise_at(done.select("source_id", "ordinal", F.when(F.col("_kept") >= F.col("_most"), "ratio").otherwise(F.col("label")).alias("outcome")), "limited")
+    for path in spent:
+        discard(spark, path)
+    return out
 
 
 @query("rel_limits", sql("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY source_id, source, type ORDER BY confidence DESC, ordinal) AS k FROM claims), n AS (SELECT source_id, count(*) AS n FROM mentions GROUP BY 1),
