@@ -274,12 +274,18 @@ def at_word_boundary(text: Column, part: Column) -> Column:
     return (at > 0) & ((at == 1) | ~before.rlike(r"[\p{L}\p{N}]")) & ~after.rlike(r"[\p{L}\p{N}]")
 
 
+# Types that say nothing, so they go with any other.
 GENERIC_TYPES = ("unknown", "thing", "entity", "item", "object", "concept", "")
 
 
-def types_compatible(a: Column, b: Column) -> Column:
-    x, y = F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit("")))
-    return (x == y) | x.isin(*GENERIC_TYPES) | y.isin(*GENERIC_TYPES)
+def types_compatible(a: Column, b: Column, groups: dict[str, list[str]] | None = None) -> Column:
+    """Equal types, a generic one, or two of one of the ``groups``; case and blanks around don't matter, null is empty."""
+    x, y = F.lower(F.trim(F.coalesce(a, F.lit("")))), F.lower(F.trim(F.coalesce(b, F.lit(""))))
+    fits = (x == y) | x.isin(*GENERIC_TYPES) | y.isin(*GENERIC_TYPES)
+    for members in (groups or {}).values():
+        low = sorted({t.lower() for t in members})
+        fits = fits | (x.isin(*low) & y.isin(*low))
+    return fits
 
 
 def simhash(tokens: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from graphloom import model as m
 from graphloom.catalog import query
 from graphloom.functions import text as t
 from graphloom.operators.relational import sql
-from graphloom.operators.retrieval import cosine
+from graphloom.operators.tiles import TILE, per_tile, tiles, unit_rows
+from graphloom.plans.ordering import Ordered, first_untaken, pointer_ends
+from graphloom.plans.scratch import discard, materialise_at
 
 
 def merged_description(a: Column, b: Column, most: int = 8000) -> Column:
@@ -40,28 +44,47 @@ def er_exact(spark, d):
 def greedy_aliases(entities: DataFrame, typed: bool = False) -> DataFrame:
     """(source_id, ordinal, canonical): in order, a name or alias that an earlier entity's name equals joins it.
 
-    ``typed`` lets only entities of compatible types join. Entities without a name get no canonical. A source is one
-    document's entities, taken in order.
+    ``typed`` lets only entities of compatible types join. Entities without a name get no canonical. Only an entity that joined none can be joined, so who joins rests on
+    earlier choices; all whose first candidate is settled choose at once, round by round. Candidates are the first of each name and type that may still be joined,
+    a partial minimum, so no two rows of a common name are paired.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[str, list[tuple[int, str]]] = {}
-        out = []
-        rows = frame.sort_values("ordinal")[["source_id", "ordinal", "name", "aliases", "type"]]
-        for source, ordinal, name, aliases, kind in rows.itertuples(index=False):
-            if not (name or "").strip():
-                out.append((source, ordinal, None))
-                continue
-            kind = (kind or "").strip().lower()
-            keys = [k.strip().lower() for k in [name, *(aliases if aliases is not None else [])] if k and k.strip()]
-            fits = lambda other: not typed or other == kind or kind in t.GENERIC_TYPES or other in t.GENERIC_TYPES  # noqa: B023, E731
-            hit = next((o for k in keys for o, other in seen.get(k, ()) if fits(other)), None)
-            if hit is None:
-                seen.setdefault(keys[0], []).append((ordinal, kind))
-            out.append((source, ordinal, ordinal if hit is None else hit))
-        return pd.DataFrame(out, columns=["source_id", "ordinal", "canonical"]).astype({"canonical": "Int64"})
-
-    return entities.select("source_id", "ordinal", "name", "aliases", "type").groupBy("source_id").applyInPandas(run, "source_id bigint, ordinal bigint, canonical bigint")
+    spent: list[str] = []
+
+    def held(df: DataFrame, tag: str) -> DataFrame:
+        table, path = materialise_at(df, tag)
+        spent.append(path)
+        return table
+
+    key = lambda c: F.lower(F.trim(c))
+    named = F.trim(F.coalesce("name", F.lit(""))) != ""
+    kind = F.lower(F.trim(F.coalesce("type", F.lit("")))) if typed else F.lit("")
+    every = F.concat(F.array(key("name")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), key))
+    rows = held(entities.select("source_id", "ordinal", named.alias("named"), kind.alias("kind"), key("name").alias("name"), F.filter(every, lambda k: k != "").alias("keys")), "rows")
+    open_ = held(rows.where("named").select("source_id", "ordinal", "kind", "name", F.posexplode("keys").alias("place", "key")), "open")
+    # (source_id, ordinal, kind, name, head): who may be joined, settled or not
+    may = rows.where("named").select("source_id", "ordinal", "kind", "name", F.lit(False).alias("head"))
+    joined = []
+    generic = lambda c: F.col(c).isin(*t.GENERIC_TYPES)
+    while True:
+        first = may.groupBy("source_id", F.col("name").alias("key"), F.col("kind").alias("other")).agg(F.min(F.struct("ordinal", "head")).alias("first"))
+        fits = (F.col("kind") == F.col("other")) | generic("kind") | generic("other")
+        best = F.min(F.when(fits & (F.col("first.ordinal") < F.col("ordinal")), F.struct("place", "first"))).alias("best")
+        seen = held(open_.join(first, ["source_id", "key"], "left").groupBy("source_id", "ordinal", "kind", "name").agg(best), "seen")
+        heads = seen.where("best is null").select("source_id", "ordinal")
+        now = seen.where("best.first.head").select("source_id", "ordinal", F.col("best.first.ordinal").alias("canonical"))
+        joined.append(now)
+        settled = heads.unionByName(now.select("source_id", "ordinal"))
+        if seen.isEmpty():
+            break
+        open_ = held(open_.join(settled, ["source_id", "ordinal"], "left_anti"), "open")
+        may = may.join(now, ["source_id", "ordinal"], "left_anti").join(heads.withColumn("_new", F.lit(True)), ["source_id", "ordinal"], "left")
+        may = held(may.select("source_id", "ordinal", "kind", "name", (F.col("head") | F.coalesce("_new", F.lit(False))).alias("head")), "may")
+    found = reduce(DataFrame.unionByName, joined)
+    own = F.when(F.col("named"), F.coalesce("canonical", "ordinal"))
+    out, _ = materialise_at(rows.select("source_id", "ordinal", "named").join(found, ["source_id", "ordinal"], "left").select("source_id", "ordinal", own.alias("canonical")), "aliases")
+    for path in spent:
+        discard(entities.sparkSession, path)
+    return out
 
 
 @query("er_exact_aliases")
@@ -70,98 +93,142 @@ def er_exact_aliases(spark, d):
     return greedy_aliases(m.mentions(spark, d), typed=True)
 
 
-def adjusted_similarity(a: str, b: str) -> Column:
-    """Cosine and bonuses for equal names, a name among the other's aliases, shared aliases; 1 at most."""
-    return F.least(F.lit(1.0), _base(a, b) + _bonus(a, b))
-
-
-def _base(a: str, b: str) -> Column:
-    return cosine(F.col(f"{a}.embedding"), F.col(f"{b}.embedding"))
-
-
-def _bonus(a: str, b: str) -> Column:
-    x, y = (lambda c, p=p: F.col(f"{p}.{c}") for p in (a, b))
-    keys = lambda c: F.transform(c, lambda k: t.name_key(k))
-    return (
-        F.when(t.name_key(x("name")) == t.name_key(y("name")), 0.20).otherwise(0.0)
-        + F.when(F.array_contains(keys(y("aliases")), t.name_key(x("name"))), 0.15).otherwise(0.0)
-        + F.when(F.array_contains(keys(x("aliases")), t.name_key(y("name"))), 0.15).otherwise(0.0)
-        + F.when(F.arrays_overlap(keys(x("aliases")), keys(y("aliases"))), 0.10).otherwise(0.0)
-    )
-
-
+#: What equal names, a name among the other's aliases (each way) and a shared alias add to a similarity.
+SAME_NAME, NAME_IN_ALIASES, SHARED_ALIAS = 0.20, 0.15, 0.10
 #: Entities of a source from which only equal types are compared.
 PARTITION_FROM = 50
 
 
-def similar_pairs(entities: DataFrame, threshold: float, no_bonus: float = 0.08) -> DataFrame:
+def _bonuses(a: pa.Table, b: pa.Table) -> np.ndarray:
+    """What names and aliases add, for each row of ``a`` with each of ``b``."""
+    out = np.zeros((a.num_rows, b.num_rows))
+    named, aliased = defaultdict(list), defaultdict(list)
+    for k, (name, aliases) in enumerate(zip(b.column("name").to_pylist(), b.column("aliases").to_pylist(), strict=True)):
+        named[name].append(k)
+        for alias in set(aliases):
+            aliased[alias].append(k)
+    named, aliased = {k: np.array(v) for k, v in named.items() if k is not None}, {k: np.array(v) for k, v in aliased.items()}
+    for k, (name, aliases) in enumerate(zip(a.column("name").to_pylist(), a.column("aliases").to_pylist(), strict=True)):
+        row = out[k]
+        if name in named:
+            row[named[name]] += SAME_NAME
+        if name in aliased:
+            row[aliased[name]] += NAME_IN_ALIASES
+        shared = [aliased[x] for x in set(aliases) if x in aliased]
+        for x in set(aliases):
+            if x in named:
+                row[named[x]] += NAME_IN_ALIASES
+        if shared:
+            row[np.unique(np.concatenate(shared))] += SHARED_ALIAS
+    return out
+
+
+def similar_pairs(entities: DataFrame, threshold: float, no_bonus: float = 0.08, partition_from: int = PARTITION_FROM, groups: dict[str, list[str]] | None = None, tile: int = TILE) -> DataFrame:
     """(source_id, left, right, score) with left < right: pairs of one source at or above the threshold.
 
-    Types must be compatible, in sources of ``PARTITION_FROM`` entities or more equal. Without any bonus the cosine must be ``no_bonus`` above the
-    threshold. Pairs are of one source, a document's entities; sources spread over tasks.
+    The score is the cosine and bonuses for names and aliases, 1 at most; without any bonus the cosine must be ``no_bonus`` above the threshold. Types must be compatible
+    (``groups`` names sets of types that are), in sources of ``partition_from`` entities or more equal. Vectors of different sizes, null ones and such with null components
+    match nothing; a zero vector has cosine 0. A source, or in large ones each of its types, is compared in tiles.
     """
-    sized = entities.withColumn("_n", F.count("*").over(Window.partitionBy("source_id"))).withColumn("_kind", F.lower(F.trim(F.coalesce("type", F.lit("unknown")))))
-    a, b = sized.alias("a"), sized.alias("b")
-    fits = F.when(F.col("a._n") >= PARTITION_FROM, F.col("a._kind") == F.col("b._kind")).otherwise(t.types_compatible(F.col("a._kind"), F.col("b._kind")))
-    block = (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.ordinal") < F.col("b.ordinal")) & fits
-    scored = a.join(b, block).select(F.col("a.source_id").alias("source_id"), F.col("a.ordinal").alias("left"), F.col("b.ordinal").alias("right"), _base("a", "b").alias("base"), _bonus("a", "b").alias("bonus"))
-    score = F.least(F.lit(1.0), F.col("base") + F.col("bonus"))
-    bar = threshold + F.when(score <= F.col("base"), no_bonus).otherwise(0.0)
-    return scored.where((score >= threshold) & (score >= bar)).select("source_id", "left", "right", score.alias("score"))
+    kind = F.lower(F.trim(F.coalesce("type", F.lit("unknown"))))
+    sized = entities.groupBy(F.col("source_id").alias("_source")).agg(F.count("*").alias("_n"))
+    sound = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    rows = entities.join(sized, F.col("source_id").eqNullSafe(F.col("_source"))).where(sound & F.col("source_id").isNotNull()).select(
+        "source_id", F.when(F.col("_n") >= partition_from, kind).alias("part"), F.size("embedding").alias("size"), F.col("ordinal").cast("bigint").alias("ordinal"), kind.alias("kind"), t.name_key("name").alias("name"),
+        F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda k: t.name_key(k)), lambda k: k.isNotNull()).alias("aliases"), F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    low = [{x.lower() for x in members} for members in (groups or {}).values()]
+    generic = set(t.GENERIC_TYPES)
+    fits = lambda x, y: x == y or x in generic or y in generic or any(x in g and y in g for g in low)
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.RecordBatch:
+        base = np.clip(unit_rows(a.column("embedding")) @ unit_rows(b.column("embedding")).T, -1.0, 1.0)
+        bonus = _bonuses(a, b)
+        score = np.minimum(1.0, base + bonus)
+        found = (score >= threshold) & ((score > base) | (score >= threshold + no_bonus))
+        x, y = a.column("ordinal").to_numpy(), b.column("ordinal").to_numpy()
+        found &= x[:, None] < y[None, :] if a is b else x[:, None] != y[None, :]
+        mine, theirs = a.column("kind").to_pylist(), b.column("kind").to_pylist()
+        if a.column("part")[0].as_py() is None and found.any():
+            names = {k: n for n, k in enumerate(sorted({*mine, *theirs}))}
+            table = np.array([[fits(u, v) for v in names] for u in names])
+            found &= table[np.array([names[k] for k in mine])[:, None], np.array([names[k] for k in theirs])[None, :]]
+        i, j = np.nonzero(found)
+        left, right = np.minimum(x[i], y[j]), np.maximum(x[i], y[j])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), a.column("source_id")[0].as_py()), pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(score[i, j])], ["source_id", "left", "right", "score"])
+
+    by = ["source_id", "part", "size"]
+    return per_tile(tiles(rows, by, "ordinal", tile), by, compare, "source_id bigint, left bigint, right bigint, score double")
 
 
 def _vectored(spark, d) -> DataFrame:
-    """Vectors as entities, forty to sixty to a source."""
+    """Vectors as entities of some sources, most of them one label's vectors, with fifty entities and more or fewer."""
     k = F.col("vec_id")
     return m.table(spark, d, "embeddings").select(
-        F.floor(k / F.lit(40)).alias("source_id"), k.alias("ordinal"), F.concat(F.lit("Name"), k % 13).alias("name"),
-        F.when(k % 19 == 0, "Thing").otherwise(F.concat(F.lit("t"), F.col("label") % 2)).alias("type"),
+        F.when(k % 20 == 0, F.floor(k / F.lit(800)) + 100).otherwise(F.col("label")).cast("bigint").alias("source_id"), k.alias("ordinal"), F.concat(F.lit("Name"), k % 13).alias("name"),
+        F.when(k % 19 == 0, "Thing").otherwise(F.concat(F.lit("t"), k % 3)).alias("type"),
         F.array(F.concat(F.lit("name"), (k * 3) % 17), F.concat(F.lit("alias"), k % 23)).alias("aliases"), F.round((k * 29 % 100) / 100, 2).alias("confidence"), "embedding",
     )
 
 
-_V = "v AS (SELECT vec_id // 40 AS s, vec_id AS o, 'name' || vec_id % 13 AS n, ['name' || (vec_id * 3) % 17, 'alias' || vec_id % 23] AS al, CASE WHEN vec_id % 19 = 0 THEN 'thing' ELSE 't' || label % 2 END AS ty, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+_V = "v AS MATERIALIZED (SELECT CASE WHEN vec_id % 20 = 0 THEN vec_id // 800 + 100 ELSE label END AS s, vec_id AS o, 'name' || vec_id % 13 AS n, ['name' || (vec_id * 3) % 17, 'alias' || vec_id % 23] AS al, CASE WHEN vec_id % 19 = 0 THEN 'thing' ELSE 't' || vec_id % 3 END AS ty, CAST(embedding AS DOUBLE[]) AS e, count(*) OVER (PARTITION BY CASE WHEN vec_id % 20 = 0 THEN vec_id // 800 + 100 ELSE label END) AS many FROM embeddings)"
 _PAIRS = f"""WITH {_V}, p AS (SELECT a.s, a.o AS l, b.o AS r, list_cosine_similarity(a.e, b.e) AS base, CASE WHEN a.n = b.n THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN list_contains(b.al, a.n) THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN list_contains(a.al, b.n) THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN list_has_any(a.al, b.al) THEN 0.1::DOUBLE ELSE 0 END AS bonus
-  FROM v a JOIN v b ON a.s = b.s AND a.o < b.o AND (a.ty = b.ty OR a.ty = 'thing' OR b.ty = 'thing')), q AS (SELECT *, least(1.0, base + bonus) AS score FROM p)"""
+  FROM v a JOIN v b ON a.s = b.s AND a.o < b.o AND (a.ty = b.ty OR (a.many < 50 AND (a.ty = 'thing' OR b.ty = 'thing')))), q AS (SELECT *, least(1.0, base + bonus) AS score FROM p)"""
 
 
 @query("er_similarity", f"{_PAIRS} SELECT l AS left_id, r AS right_id, round(score, 6) AS score FROM q WHERE score >= 0.3 AND (score > base OR score >= 0.38)")
 def er_similarity(spark, d):
+    """Sources of fifty entities and more, and smaller ones."""
     return similar_pairs(_vectored(spark, d), 0.3).select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), F.round("score", 6).alias("score"))
 
 
+def near_pairs(vectors: DataFrame, least: float, by: str = "source_id", key: str = "ordinal", tile: int = TILE) -> DataFrame:
+    """(left, right, score), left < right: pairs of vectors of one ``by`` with a cosine of ``least`` or more, exact, in tiles; zero, null and other-sized vectors match nothing."""
+    sound = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
+    rows = vectors.where(sound).select(F.col(by).alias("of"), F.size("embedding").alias("size"), F.col(key).cast("bigint").alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.RecordBatch:
+        score = unit_rows(a.column("embedding")) @ unit_rows(b.column("embedding")).T
+        x, y = a.column("key").to_numpy(), b.column("key").to_numpy()
+        i, j = np.nonzero((score >= least) & (x[:, None] < y[None, :] if a is b else x[:, None] != y[None, :]))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j])), pa.array(score[i, j])], ["left", "right", "score"])
+
+    return per_tile(tiles(rows, ["of", "size"], "key", tile), ["of", "size"], compare, "left bigint, right bigint, score double")
+
+
 @query("similarity_join", f"WITH {_V} SELECT a.o AS left_id, b.o AS right_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.s = b.s AND a.o < b.o WHERE list_cosine_similarity(a.e, b.e) >= 0.25")
 def similarity_join(spark, d):
     """Pairs of each source's vectors by cosine alone."""
-    e = _vectored(spark, d).select("source_id", "ordinal", "embedding")
-    a, b = e.alias("a"), e.alias("b")
-    pairs = a.join(b, (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.ordinal") < F.col("b.ordinal"))).select(F.col("a.ordinal").alias("left_id"), F.col("b.ordinal").alias("right_id"), _base("a", "b").alias("score"))
-    return pairs.where("score >= 0.25").withColumn("score", F.round("score", 6))
+    return near_pairs(_vectored(spark, d), 0.25).select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), F.round("score", 6).alias("score"))
 
 
 def greedy_merge(pairs: DataFrame, entities: DataFrame, threshold: float, penalty: float = 0.05) -> DataFrame:
     """(source_id, ordinal, canonical, confidence): in order, an entity not yet taken takes its later partners.
 
     confidence is that of the canonical entity after its merges: the higher one, less ``penalty`` where the score is within 0.10 of the threshold,
-    0.1 at least. Others keep their own.
+    0.1 at least. Others keep their own. Each merge is max(0.1, max(it, other) - penalty or 0), so the last is the largest of
+    what any start is left with: the other's, or the entity's own, less the penalties that come after.
     """
-    rows = entities.select("source_id", F.col("ordinal").alias("left"), F.lit(None).cast("bigint").alias("right"), F.coalesce("confidence", F.lit(0.0)).alias("score"))
-    both = rows.unionByName(pairs.select("source_id", "left", "right", "score"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        alone = frame["right"].isna()
-        sure = dict(zip(frame["left"][alone].tolist(), frame["score"][alone].tolist(), strict=True))
-        merged = dict(sure)
-        taken: dict[int, int] = {}
-        for a, b, score in frame[~alone].sort_values(["left", "right"])[["left", "right", "score"]].itertuples(index=False):
-            b = int(b)
-            if a not in taken and b not in taken:
-                taken[b] = a
-                merged[a] = max(0.1, max(merged[a], sure[b]) - (penalty if score - threshold < 0.10 else 0.0))
-        source = frame["source_id"].iloc[0]
-        return pd.DataFrame([(source, k, taken.get(k, k), merged[k]) for k in sorted(sure)], columns=["source_id", "ordinal", "canonical", "confidence"])
-
-    return both.groupBy("source_id").applyInPandas(run, "source_id bigint, ordinal bigint, canonical bigint, confidence double")
+    spent: list[str] = []
+    met, path = materialise_at(pairs.select("source_id", "left", "right", "score"), "met")
+    spent.append(path)
+    taken = first_untaken(met, spent)
+    by_left = met.join(taken.withColumnRenamed("node", "left"), ["source_id", "left"], "left_anti")
+    taker = by_left.groupBy("source_id", "right").agg(F.min(F.struct("left", "score")).alias("by")).select("source_id", "right", "by.left", "by.score")
+    sure = entities.select("source_id", F.col("ordinal").alias("right"), F.coalesce("confidence", F.lit(0.0)).alias("sure"))
+    near = F.when(F.col("score") - threshold < 0.10, float(penalty)).otherwise(0.0)
+    merges = taker.join(sure, ["source_id", "right"]).select("source_id", "left", "right", (-F.col("right")).alias("_last"), near.alias("loss"), "sure")
+    order = Ordered(merges, ["source_id", "left"], ["_last"], spent)  # the last merge first: losses before a row come after it
+    lost = order.before(order.rows, {"after": F.col("loss")}, start=0.0)
+    best = lost.groupBy("source_id", F.col("left").alias("ordinal")).agg(F.max(F.greatest(F.lit(0.1), F.col("sure") - F.col("loss")) - F.col("after")).alias("best"), F.sum("loss").alias("losses"))
+    of = taker.select("source_id", F.col("right").alias("ordinal"), F.col("left").alias("by"))
+    own = entities.select("source_id", "ordinal", F.coalesce("confidence", F.lit(0.0)).alias("own"))
+    confidence = F.coalesce(F.greatest(F.col("own") - F.col("losses"), F.col("best")), F.col("own"))
+    out = own.join(of, ["source_id", "ordinal"], "left").join(best, ["source_id", "ordinal"], "left").select("source_id", "ordinal", F.coalesce("by", "ordinal").alias("canonical"), F.when(F.col("losses").isNull(), F.col("own")).otherwise(confidence).alias("confidence"))
+    out, _ = materialise_at(out, "merged")
+    for path in spent:
+        discard(entities.sparkSession, path)
+    return out
 
 
 @query("er_semantic")
@@ -209,34 +276,29 @@ def fuzzy_name_join(spark, d):
 def hierarchical(entities: DataFrame) -> DataFrame:
     """(source_id, ordinal, canonical): names folded into fuller ones, each to the end of its chain.
 
-    Pairs are taken in order; an entity folded before its turn looks for no more, one folded is no partner. A source's pairs,
-    those of one document, are worked through in one task.
+    Pairs are taken in order of left, then right; an entity folded before its turn looks for no more, one folded is no partner. Only a fuller left name folds another before
+    that one's turn, so who has a turn is settled by these pairs alone. In its turn an entity takes, or goes into, each partner that none before took; one that it takes
+    follows it to where it went last.
     """
-    rows = entities.select("source_id", F.col("ordinal").alias("left"), F.lit(None).cast("bigint").alias("right"), F.col("ordinal").alias("canonical")).unionByName(name_pairs(entities))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        into: dict[int, int] = {}
-        alone = frame["right"].isna()
-        pairs = frame[~alone].sort_values(["left", "right"])
-        for a, group in pairs.groupby("left", sort=True):
-            if a in into:
-                continue
-            for b, keep in zip(group["right"].astype("int64").tolist(), group["canonical"].tolist(), strict=True):
-                if b in into:
-                    continue
-                into[b if keep == a else a] = into.get(keep, keep)
-
-        def root(x: int) -> int:
-            met = set()
-            while x in into and x not in met:
-                met.add(x)
-                x = into[x]
-            return x
-
-        ids = sorted(frame["left"][alone].tolist())
-        return pd.DataFrame({"source_id": frame["source_id"].iloc[0], "ordinal": ids, "canonical": [root(i) for i in ids]})
-
-    return rows.groupBy("source_id").applyInPandas(run, "source_id bigint, ordinal bigint, canonical bigint")
+    spent: list[str] = []
+    pairs, path = materialise_at(name_pairs(entities), "pairs")
+    spent.append(path)
+    takes = F.col("canonical") == F.col("left")
+    folded = first_untaken(pairs.where(takes), spent)
+    turns = pairs.join(folded.withColumnRenamed("node", "left"), ["source_id", "left"], "left_anti")
+    taker = turns.where(takes).groupBy("source_id", "right").agg(F.min("left").alias("taker"))
+    real = turns.join(taker, ["source_id", "right"], "left").where(F.when(takes, F.col("taker") == F.col("left")).otherwise(F.col("taker").isNull() | (F.col("taker") > F.col("left"))))
+    order = Ordered(real.select("source_id", "left", "right", takes.alias("takes")), ["source_id", "left"], ["right"], spent)
+    went = F.when(~F.col("takes"), F.col("right"))
+    seen = order.before(order.rows, {"went": went}, F.max, start=None)
+    into = seen.where("takes").select("source_id", F.col("right").alias("node"), F.coalesce("went", "left").alias("to"))
+    last = order.rows.where("not takes").groupBy("source_id", F.col("left").alias("node")).agg(F.max("right").alias("to"))
+    ends = pointer_ends(into.unionByName(last), spent)
+    out = entities.select("source_id", "ordinal").join(ends.withColumnRenamed("node", "ordinal"), ["source_id", "ordinal"], "left").select("source_id", "ordinal", F.coalesce("end", "ordinal").alias("canonical"))
+    out, _ = materialise_at(out, "hierarchy")
+    for path in spent:
+        discard(entities.sparkSession, path)
+    return out
 
 
 @query("er_hierarchical")

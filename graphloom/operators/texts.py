@@ -81,10 +81,14 @@ def alias_parse(spark, d):
     return m.table(spark, d, "part").select("p_partkey", F.array_join(t.aliases_of(raw), ",").alias("aliases"))
 
 
-@query("fn_types_compatible", "SELECT p_partkey, lower(p_type) = 'economy' OR p_partkey % 3 = 0 AS fits FROM part")
+_TYPE_GROUPS = {"metals": ["Economy", "PROMO"], "sizes": ["small", "LARGE", "Medium"], "mixed": ["Promo", "standard"]}
+
+
+@query("fn_types_compatible", """SELECT p_partkey, k = o OR o = 'thing' OR (k IN ('economy', 'promo') AND o IN ('economy', 'promo')) OR (k IN ('small', 'large', 'medium') AND o IN ('small', 'large', 'medium')) OR (k IN ('promo', 'standard') AND o IN ('promo', 'standard')) AS fits
+  FROM (SELECT p_partkey, lower(trim(p_type, ' ')) AS k, ['thing', 'economy', 'large', 'promo', 'standard'][p_partkey % 5 + 1] AS o FROM part)""")
 def fn_types_compatible(spark, d):
-    other = F.when(F.col("p_partkey") % 3 == 0, "Thing").otherwise("Economy")
-    return m.table(spark, d, "part").select("p_partkey", t.types_compatible(F.col("p_type"), other).alias("fits"))
+    other = F.get(F.array(*[F.lit(x) for x in ("Thing", "Economy", "LARGE ", "promo", "Standard")]), (F.col("p_partkey") % 5).cast("int"))
+    return m.table(spark, d, "part").select("p_partkey", t.types_compatible(F.col("p_type"), other, _TYPE_GROUPS).alias("fits"))
 
 
 @query("fn_hamming", "SELECT a.p_partkey, CAST(bit_count(xor(a.p_partkey * 7919, a.p_size * 104729)) AS INTEGER) AS distance FROM part a")

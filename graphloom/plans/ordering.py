@@ -37,12 +37,12 @@ class Ordered:
         if self.shared is not None:
             on = lambda right: reduce(lambda x, y: x & y, [rows[c].eqNullSafe(right[f"_{c}"]) for c in self.by])
             shared = F.broadcast(self.shared)
-            part = rows.join(shared, on(self.shared), "left_semi").groupBy(*[F.col(c).alias(f"_{c}") for c in self.by], F.col("_block").alias("_of")).agg(*[how(c).alias(f"_v_{n}") for n, c in values.items()])
-            ranges = Window.partitionBy(*[f"_{c}" for c in self.by]).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # a row per range of a group
-            part = part.select(*[f"_{c}" for c in self.by], "_of", *[how(f"_v_{n}").over(ranges).alias(f"_v_{n}") for n in values])
-            same = reduce(lambda x, y: x & y, [out[c].eqNullSafe(part[f"_{c}"]) for c in self.by]) & (out["_block"] == part["_of"])
+            part = rows.join(shared, on(self.shared), "left_semi").groupBy(*[F.col(c).alias(f"_{c}") for c in self.by], F.col("_block").alias("_range")).agg(*[how(c).alias(f"_v_{n}") for n, c in values.items()])
+            ranges = Window.partitionBy(*[f"_{c}" for c in self.by]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range of a group
+            part = part.select(*[f"_{c}" for c in self.by], "_range", *[how(f"_v_{n}").over(ranges).alias(f"_v_{n}") for n in values])
+            same = reduce(lambda x, y: x & y, [out[c].eqNullSafe(part[f"_{c}"]) for c in self.by]) & (out["_block"] == part["_range"])
             both = lambda n: F.when(F.col(n).isNull(), F.col(f"_v_{n}")).when(F.col(f"_v_{n}").isNull(), F.col(n)).otherwise(F.col(n) + F.col(f"_v_{n}") if how is F.sum else F.greatest(n, f"_v_{n}"))
-            out = out.join(F.broadcast(part), same, "left").withColumns({n: both(n) for n in values}).drop(*[f"_{c}" for c in self.by], "_of", *[f"_v_{n}" for n in values])
+            out = out.join(F.broadcast(part), same, "left").withColumns({n: both(n) for n in values}).drop(*[f"_{c}" for c in self.by], "_range", *[f"_v_{n}" for n in values])
         return out if start is None else out.withColumns({n: F.coalesce(F.col(n), F.lit(start)) for n in values})
 
 

@@ -174,7 +174,7 @@ def test_semantic_merge_against_a_loop(spark, data):
                 continue
             sure = a.confidence
             for b in group[i + 1 :]:
-                if b.ordinal in taken or not (a.type == b.type or "Thing" in (a.type, b.type)):
+                if b.ordinal in taken or not (a.type == b.type or ("Thing" in (a.type, b.type) and len(group) < 50)):
                     continue
                 base = float(units[a.ordinal] @ units[b.ordinal])
                 low = lambda v: v.lower()
@@ -188,7 +188,7 @@ def test_semantic_merge_against_a_loop(spark, data):
             want[a.ordinal] = (a.ordinal, round(sure, 6))
         want |= {o: (a, next(round(g.confidence, 6) for g in group if g.ordinal == o)) for o, a in taken.items()}
     got = {g.ordinal: (g.canonical, round(g.confidence, 6)) for g in catalog.queries()["er_semantic"](spark, data).collect()}
-    assert got == want and merges > 20
+    assert got == want and merges > 20 and {len(group) >= 50 for group in per.values()} == {True, False}
 
 
 def test_hierarchy_follows_chains(spark):
