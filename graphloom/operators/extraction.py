@@ -342,7 +342,10 @@ def limited(relations: DataFrame, entities: DataFrame, degree: int = 25, same: i
     largest = {r.kind: r.most for r in at.groupBy(*key).agg(F.sum("weight").alias("n")).groupBy("kind").agg(F.max("n").alias("most")).collect()}  # two rows
     decided = []
     if largest.get(0, 0) > degree or largest.get(1, 0) > same:
-        groups = Ordered(at, key, order, spent)
+        binding = [kind for kind, limit in ((0, degree), (1, same)) if largest[kind] > limit]
+        if 0 not in binding:
+            at = at.withColumn("_one", F.lit(True))  # an edge's only row is that of its type
+        groups = Ordered(at.where(F.col("kind").isin(*binding)), key, order, spent)
         now = groups.rows.withColumns({"state": F.lit(0), "label": F.lit(None).cast("string")})
         few = min(2, degree)
         while True:

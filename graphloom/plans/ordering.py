@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.plans.scratch import materialise_at
 
@@ -24,11 +25,10 @@ class Ordered:
         self.rows, path = materialise_at(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_block", F.spark_partition_id()), "ordered")
         spent.append(path)
         key = F.struct(*by)
-        ends = self.rows.groupBy("_block").agg(F.min(key).alias("low"), F.max(key).alias("high"))
-        before = F.lag("high").over(Window.orderBy("_block"))  # a row per range
-        shared, path = materialise_at(ends.select("low", before.alias("before")).where("low = before").select(*[F.col(f"low.{c}").alias(f"_{c}") for c in by]).distinct(), "shared")
-        spent.append(path)
-        self.shared = None if shared.isEmpty() else shared
+        ends = self.rows.groupBy("_block").agg(F.min(key).alias("low"), F.max(key).alias("high")).orderBy("_block").collect()  # a row per range
+        spanning = {y.low for x, y in zip(ends, ends[1:], strict=False) if x.high == y.low}
+        schema = T.StructType([T.StructField(f"_{f.name}", f.dataType) for f in self.rows.select(*by).schema])
+        self.shared = self.rows.sparkSession.createDataFrame(list(map(tuple, spanning)), schema) if spanning else None
 
     def before(self, rows: DataFrame, values: dict[str, Column], how: Callable[[Column], Column] = F.sum, start=0) -> DataFrame:
         """``rows``, all or some of ``self.rows`` with other columns changed, and per name its value over the rows before each in its group; ``start`` where there is none."""
