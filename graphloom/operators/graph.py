@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from graphloom import model as m
 from graphloom.catalog import query
 from graphloom.operators.relational import endpoints, sql
 from graphloom.plans.fixpoint import connected_components
+from graphloom.plans.forest import cut_sums, spanning_forest
 from graphloom.plans.scratch import discard, materialise, materialise_at
 
 
@@ -125,35 +127,61 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("id", F.when(F.col("k") >= 2, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("coefficient"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, score): exact, normalised, undirected; for graphs whose all-pairs distances fit the cluster.
+#: Pairs of a source and a node whose distances one batch of betweenness holds, about.
+MOST_PAIRS = 200_000_000
 
-    Path counts go forward one depth at a time from all sources at once, dependencies backward.
+
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """(id, score): normalised, undirected; exact, or with ``sources`` (id) estimated from the shortest paths that start there.
+
+    Sources are taken in batches, so that the state of one is about ``most_pairs`` rows. Path counts go forward a depth at a time, dependencies backward; neighbours of
+    a level lie in it or next to it, so two levels tell what is new. A batch leaves its sums and drops its levels. All pairs are work by the square of the graph:
+    a large one is estimated.
     """
-    both = materialise(undirected(known(edges, nodes)), "both")
+    spark = nodes.sparkSession
+    both, both_path = materialise_at(undirected(known(edges, nodes)), "both")
     n = nodes.count()
-    level = nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("depth"), F.lit(1.0).alias("paths"))
-    levels, seen = [level], level
-    while True:
-        step = levels[-1].join(both, levels[-1].v == both.src).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
-        fresh = materialise(step.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(len(levels)).alias("depth"), "paths"), "level")
-        if fresh.isEmpty():
-            break
-        levels.append(fresh)
-        seen = seen.unionByName(fresh)
-    owed = None
+    starts = nodes.select("id") if sources is None else nodes.select("id").join(sources.select("id").distinct(), "id", "left_semi")
+    starts, starts_path = materialise_at(starts, "starts")
+    k = starts.count()
+    batches = max(1, -(-k * n // most_pairs))
     total = None
-    for low, high in zip(levels[-2::-1], levels[:0:-1], strict=True):
-        h = high.select("s", F.col("v").alias("w"), F.col("paths").alias("pw"))
-        if owed is None:
-            h = h.withColumn("dw", F.lit(0.0))
-        else:
-            h = h.join(owed.select("s", F.col("v").alias("w"), F.col("d").alias("dw")), ["s", "w"], "left").na.fill(0.0, ["dw"])
-        x = low.select("s", "v", "paths").join(both, low.v == both.src).join(h.withColumnRenamed("w", "dst"), ["s", "dst"])
-        owed = materialise(x.groupBy("s", "v").agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.col("dw"))).alias("d")), "owed")
-        part = owed.where("s <> v").groupBy("v").agg(F.sum("d").alias("d"))
-        total = part if total is None else total.unionByName(part)
-    scale = (n - 1) * (n - 2) or 1
+    for batch in range(batches):
+        spent: list[str] = []
+
+        def held(df: DataFrame, tag: str) -> DataFrame:
+            table, path = materialise_at(df, tag)
+            spent.append(path)  # noqa: B023
+            return table
+
+        own = starts.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch)
+        levels = [held(own.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")), "level")]
+        while True:
+            step = levels[-1].join(both, levels[-1].v == both.src).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+            for near in levels[-2:]:
+                step = step.join(near.select("s", "v"), ["s", "v"], "left_anti")
+            fresh = held(step, "level")
+            if fresh.isEmpty():
+                break
+            levels.append(fresh)
+        owed, sums = None, []
+        for low, high in zip(levels[-2::-1], levels[:0:-1], strict=True):
+            h = high.select("s", F.col("v").alias("w"), F.col("paths").alias("pw"))
+            if owed is None:
+                h = h.withColumn("dw", F.lit(0.0))
+            else:
+                h = h.join(owed.select("s", F.col("v").alias("w"), F.col("d").alias("dw")), ["s", "w"], "left").na.fill(0.0, ["dw"])
+            x = low.select("s", "v", "paths").join(both, low.v == both.src).join(h.withColumnRenamed("w", "dst"), ["s", "dst"])
+            owed = held(x.groupBy("s", "v").agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.col("dw"))).alias("d")), "owed")
+            sums.append(owed.where("s <> v").groupBy("v").agg(F.sum("d").alias("d")))
+        if sums:
+            part = materialise(reduce(DataFrame.unionByName, sums).groupBy("v").agg(F.sum("d").alias("d")), "sums")  # a row per node
+            total = part if total is None else total.unionByName(part)
+        for path in spent:
+            discard(spark, path)
+    discard(spark, both_path)
+    discard(spark, starts_path)
+    scale = ((n - 1) * (n - 2) or 1) * (k / n if n else 1)
     if total is None:
         return nodes.select("id", F.lit(0.0).alias("score"))
     summed = total.groupBy(F.col("v").alias("id")).agg((F.sum("d") / scale).alias("score"))
@@ -163,40 +191,15 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst, relationship_type): edges whose loss parts a component, src < dst; the type is the last by name of the pair's.
 
-    A breadth-first forest is grown from each component's smallest node, level by level. Each edge outside it gets a hash, and an edge of
-    the forest is a bridge if no outside edge goes around it: if the hashes at the nodes below it, each outside edge counted at both ends, cancel out.
-    Rounds follow the depth of the forest; no component is gathered anywhere.
+    Each edge outside a spanning forest gets a hash, and an edge of the forest is a bridge if no outside edge goes around it: if the hashes on one side of it, each outside edge counted at
+    both its ends, cancel out. Rounds grow with the logarithm of the graph, however deep its trees are.
     """
     pairs = known(edges, nodes).where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "template_id")
     pairs = materialise(pairs.groupBy("a", "b").agg(F.max("template_id").alias("relationship_type")), "pairs")
-    both = materialise(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*"), "both")
-    level = materialise(connected_components(both).where("node = component").select(F.col("node").alias("id"), F.lit(None).cast("string").alias("parent")), "level")
-    levels, seen = [], None
-    while not level.isEmpty():
-        levels.append(level)
-        seen = level.select("id") if seen is None else seen.unionByName(level.select("id"))
-        step = level.select(F.col("id").alias("src")).join(both, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        level = materialise(step.join(seen, "id", "left_anti"), "level")
-    found = None
-    forest = None
-    for x in levels[1:]:
-        t = x.select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
-        forest = t if forest is None else forest.unionByName(t)
-    if forest is None:
-        return pairs.limit(0).select(F.col("a").alias("src"), F.col("b").alias("dst"), "relationship_type")
+    forest = spanning_forest(pairs.select("a", "b"))
     outside = pairs.join(forest, ["a", "b"], "left_anti").select("a", "b", F.xxhash64("a", "b").alias("h"), F.xxhash64("b", "a").alias("g"))
     marks = outside.select(F.explode(F.array("a", "b")).alias("id"), "h", "g").groupBy("id").agg(F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
-    marks = materialise(marks, "marks")
-    below = None
-    for x in levels[:0:-1]:  # from the deepest level up: what lies at a node and below it
-        own = x.join(marks, "id", "left").select("id", "parent", F.coalesce("h", F.lit(0).cast("bigint")).alias("h"), F.coalesce("g", F.lit(0).cast("bigint")).alias("g"))
-        if below is not None:
-            up = below.groupBy(F.col("parent").alias("id")).agg(F.bit_xor("h").alias("uh"), F.bit_xor("g").alias("ug"))
-            zero = F.lit(0).cast("bigint")
-            own = own.join(up, "id", "left").select("id", "parent", F.col("h").bitwiseXOR(F.coalesce("uh", zero)).alias("h"), F.col("g").bitwiseXOR(F.coalesce("ug", zero)).alias("g"))
-        below = materialise(own, "below")
-        part = below.where("h = 0 and g = 0").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
-        found = part if found is None else found.unionByName(part)
+    found = cut_sums(forest, marks).where("h = 0 and g = 0")
     return found.join(pairs, ["a", "b"]).select(F.col("a").alias("src"), F.col("b").alias("dst"), "relationship_type")
 
 
@@ -326,22 +329,43 @@ def graph_traverse(spark, d):
     return walk.select("id", "depth", F.concat(F.lit(">"), F.array_join(F.transform("path", lambda s: F.concat(s["type"], F.lit(" "), s["id"])), ">")).alias("path"))
 
 
-@query("graph_betweenness")
+#: Nodes and edges of the graph of places: nations, regions, suppliers and what links them.
+_PLACES = "pn AS (SELECT id FROM nodes WHERE template_id IN ('nation', 'region', 'supplier')), pe AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges WHERE src <> dst AND src IN (SELECT id FROM pn) AND dst IN (SELECT id FROM pn) UNION SELECT dst, src FROM edges WHERE src <> dst AND src IN (SELECT id FROM pn) AND dst IN (SELECT id FROM pn))"
+
+
+def _places(spark, d) -> tuple[DataFrame, DataFrame]:
+    return m.small_nodes(spark, d), m.edges(spark, d).where(F.col("template_id").isin("located_in", "part_of", "trades_with"))
+
+
+def _betweenness_sql(levels: int = 24) -> str:
+    """Path counts level by level, then for each node the pairs whose shortest paths it lies on."""
+    steps = ["l0 AS (SELECT id AS s, id AS v, 0 AS d, 1.0::DOUBLE AS p FROM pn)"]
+    for k in range(levels):
+        seen = " UNION ALL ".join(f"SELECT s, v FROM l{j}" for j in range(max(0, k - 1), k + 1))
+        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT * FROM (SELECT s, pe.b AS v, {k + 1} AS d, sum(p) AS p FROM l{k} JOIN pe ON pe.a = l{k}.v GROUP BY s, pe.b) c WHERE NOT EXISTS (SELECT 1 FROM ({seen}) x WHERE x.s = c.s AND x.v = c.v))")
+    every = " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(levels + 1))
+    return sql(f"""WITH {_PLACES}, {", ".join(steps)}, far AS MATERIALIZED ({every}), mid AS (SELECT x.v AS id, sum(x.p * y.p / z.p) AS score FROM far x JOIN far y ON y.s = x.v JOIN far z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY 1)
+  SELECT pn.id, round(coalesce(score, 0) / greatest(1, ((SELECT count(*) FROM pn) - 1) * ((SELECT count(*) FROM pn) - 2)), 6) AS score FROM pn LEFT JOIN mid USING (id)""")
+
+
+@query("graph_betweenness", _betweenness_sql())
 def graph_betweenness(spark, d):
-    """Nations and regions: all pairs of a larger graph are too many; tested against a plain search."""
-    n = m.small_nodes(spark, d).where("template_id <> 'supplier'")
-    return betweenness(n, m.small_edges(spark, d)).select("id", F.round("score", 8).alias("score"))
+    """All pairs of the graph of places: all nations, regions and suppliers."""
+    return betweenness(*_places(spark, d)).select("id", F.round("score", 6).alias("score"))
 
 
-@query("topk_betweenness")
+@query("topk_betweenness", f"SELECT * FROM ({_betweenness_sql()}) ORDER BY score DESC, id LIMIT 20")
 def topk_betweenness(spark, d):
     return graph_betweenness(spark, d).orderBy(F.desc("score"), "id").limit(20)
 
 
-@query("graph_bridges")
+@query("graph_bridges", sql("""WITH RECURSIVE t AS MATERIALIZED (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(template_id) AS relationship_type FROM edges WHERE template_id IN ('located_in', 'part_of', 'trades_with') AND src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) GROUP BY ALL),
+  leaf AS MATERIALIZED (SELECT id FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t) GROUP BY id HAVING count(*) = 1), core AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY a, b) AS k FROM t WHERE a NOT IN (SELECT id FROM leaf) AND b NOT IN (SELECT id FROM leaf)),
+  way AS MATERIALIZED (SELECT k, a AS x, b AS y FROM core UNION ALL SELECT k, b, a FROM core), reach AS (SELECT k, a AS v FROM core UNION SELECT reach.k, way.y FROM reach JOIN way ON way.x = reach.v AND way.k <> reach.k)
+  SELECT a AS src, b AS dst, relationship_type FROM t WHERE a IN (SELECT id FROM leaf) OR b IN (SELECT id FROM leaf) UNION ALL SELECT a, b, relationship_type FROM core WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.k = core.k AND reach.v = core.b)"""))
 def graph_bridges(spark, d):
-    """Tested against a plain search."""
-    return bridges(m.nodes(spark, d), m.edges(spark, d))
+    """Where things are, what belongs to what and who trades: an edge to a leaf is a bridge, others are if no way leads around them."""
+    return bridges(m.nodes(spark, d), m.edges(spark, d).where(F.col("template_id").isin("located_in", "part_of", "trades_with")))
 
 
 @query("graph_neighbors", sql("SELECT DISTINCT dst AS id, template_id, 'out' AS direction FROM edges WHERE src = 'c:5' UNION ALL SELECT DISTINCT src, template_id, 'in' FROM edges WHERE dst = 'c:5'"))

@@ -11,6 +11,7 @@ from graphloom import model as m
 from graphloom.functions.stem import stem
 from graphloom.operators import graph, retrieval
 from graphloom.plans.fixpoint import connected_components
+from graphloom.plans.forest import spanning_forest
 
 
 def make(spark, names, pairs):
@@ -110,6 +111,36 @@ def test_bridges_against_removal(spark):
     assert graph.bridges(*make(spark, "ab", [])).count() == 0
 
 
+def test_bridges_of_a_deep_graph(spark):
+    """A chain of 4,000 nodes with a ring at its end and a hub of 300 leaves: rounds don't follow the depth."""
+    chain = [(f"c{k:05}", f"c{k + 1:05}") for k in range(4000)]
+    ring = [(f"c{4000 + k:05}", f"c{4001 + k:05}") for k in range(50)] + [("c04050", "c04000")]
+    hub = [("c00000", f"h{k:03}") for k in range(300)]
+    names = sorted({n for p in chain + ring + hub for n in p})
+    nodes, edges = make(spark, names, chain + ring + hub)
+    assert {(r.src, r.dst) for r in graph.bridges(nodes, edges).collect()} == {(min(p), max(p)) for p in chain + hub}
+
+
+def test_forest_spans_without_cycles(spark):
+    rng = random.Random(9)
+    names = [f"n{k:03}" for k in range(150)]
+    pairs = sorted({tuple(sorted(rng.sample(names, 2))) for _ in range(170)})
+    taken = [tuple(r) for r in spanning_forest(spark.createDataFrame(pairs, "a string, b string")).collect()]
+    assert len(taken) == len(set(taken)) and set(taken) <= set(pairs)
+    assert parts(names, taken) == parts(names, pairs) == len(names) - len(taken)
+    assert spanning_forest(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_betweenness_in_batches_and_from_some_sources(spark):
+    rng = random.Random(2)
+    names = [f"n{k}" for k in range(25)]
+    nodes, edges = make(spark, names, [tuple(rng.sample(names, 2)) for _ in range(40)])
+    whole = scores(graph.betweenness(nodes, edges))
+    assert scores(graph.betweenness(nodes, edges, most_pairs=200)) == pytest.approx(whole)
+    halves = [scores(graph.betweenness(nodes, edges, nodes.where(f"substring(id, 2) % 2 = {k}").limit(30))) for k in (0, 1)]
+    assert {n: (13 * halves[0][n] + 12 * halves[1][n]) / 25 for n in names} == pytest.approx(whole)
+
+
 def test_walk_order_and_paths(spark):
     nodes = spark.createDataFrame([(n, n.upper()) for n in "abcdex"], "id string, label string")
     edges = spark.createDataFrame([("a", "b", "t"), ("c", "a", "t"), ("b", "d", "u"), ("c", "d", "t"), ("d", "e", "t"), ("a", "z", "t")], "src string, dst string, template_id string")
