@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom import model as m
 from graphloom.catalog import query
+from graphloom.functions import alignment as al
 from graphloom.functions import chunking as c
 from graphloom.functions import text as t
 
@@ -33,11 +34,28 @@ def chunk_preprocess(spark, d):
     return x.select("doc_id", F.col("p").contains("\r").alias("has_return"), F.col("p").contains("\n\n\n").alias("has_gap"))
 
 
-@query("chunk_offsets", "SELECT doc_id, CAST(100 AS INTEGER) AS start FROM documents WHERE length(text) > 400 AND instr(text, substr(text, 101, 200)) = 101")
+def _windows(docs: DataFrame, size: int = 400) -> DataFrame:
+    """Texts cut every ``size`` characters."""
+    each = docs.where(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int"))).alias("chunk_index"))
+    return each.select("doc_id", "chunk_index", F.substring("text", F.col("chunk_index") * size + 1, F.lit(size)).alias("content"))
+
+
+@query("chunk_offsets", """WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, text FROM documents WHERE length(text) > 0), r(doc_id, chunk_index, char_start) AS (SELECT doc_id, 0, 0 FROM t
+  UNION ALL SELECT r.doc_id, chunk_index + 1, CASE WHEN instr(substr(text, char_start + 2), substr(text, 400 * chunk_index + 401, 400)) > 0 THEN char_start + instr(substr(text, char_start + 2), substr(text, 400 * chunk_index + 401, 400)) ELSE instr(text, substr(text, 400 * chunk_index + 401, 400)) - 1 END FROM r JOIN t USING (doc_id) WHERE length(text) > 400 * (chunk_index + 1))
+  SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(char_start AS BIGINT) AS char_start, 'exact' AS method FROM r""")
 def chunk_offsets(spark, d):
-    x = m.table(spark, d, "documents").where(F.length("text") > 400).select("doc_id", "text", F.substring("text", 101, 200).alias("chunk"))
-    at = F.call_function("locate", F.col("chunk"), F.col("text"))
-    return x.select("doc_id", (at - 1).alias("start")).where("start = 100")
+    """All pieces of all documents, each behind the one before it."""
+    docs = m.table(spark, d, "documents").select("doc_id", "text")
+    return al.chunk_offsets(docs, _windows(docs)).select("doc_id", "chunk_index", "char_start", "method")
+
+
+@query("chunk_offsets_changed")
+def chunk_offsets_changed(spark, d):
+    """Pieces of texts in originals with other line ends, with lines more, with changed letters, or of another document; tested against what was done to them."""
+    docs = m.table(spark, d, "documents").select("doc_id", "text")
+    k = F.col("doc_id") % 4
+    text = F.when(k == 0, F.replace("text", F.lit("\n"), F.lit(" \r\n\t"))).when(k == 1, F.regexp_replace("text", r"(.{220})", "$1\n-- 12 --\n")).when(k == 2, F.regexp_replace("text", r"(.{9}).", "$1~")).otherwise(F.reverse("text"))
+    return al.chunk_offsets(docs.select("doc_id", text.alias("text")), _windows(docs))
 
 
 @query("embedding_codec", "SELECT vec_id, vec_id % 5 <> 0 AND vec_id % 7 <> 0 AND vec_id % 11 <> 0 AS valid, CASE WHEN vec_id % 5 <> 0 AND vec_id % 7 <> 0 AND vec_id % 11 <> 0 THEN round(list_sum(CAST(embedding AS DOUBLE[])), 4) END AS total FROM embeddings")

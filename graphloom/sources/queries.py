@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom import model as m
 from graphloom.catalog import query
+from graphloom.functions import pages
 from graphloom.plans.scratch import scratch_path
 from graphloom.sources import loaders
 
@@ -124,8 +125,33 @@ def scan_registry(spark, d):
     return spark.createDataFrame([(n,) for n in loaders.LOADERS.names()], "extension string")
 
 
-@query("web_fetch", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_matches(html, '(?i)<article') AS has_article FROM pages WHERE regexp_matches(url, '^https?://')")
+def _web_sql() -> str:
+    """Main text of pages by the same rules over lists of blocks."""
+    quoted = lambda p: p.replace("'", "''")
+
+    def plain(part: str) -> str:
+        out = f"regexp_replace({part}, '(?s)<[^>]+>', '', 'g')"
+        for entity, by in pages.ENTITIES:
+            out = f"replace({out}, '{entity}', '{quoted(by)}')"
+        return f"trim(regexp_replace({out}, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), ' ')"
+
+    body = "raw"
+    for tag in pages.UNSEEN:
+        body = f"regexp_replace({body}, '{pages.unseen(tag)}', '', 'g')"
+    own = "coalesce(b[i + {at}].own, 0)"
+    return f"""WITH r AS (SELECT page_id, url, html, regexp_replace(html, '{pages.COMMENT}', '', 'g') AS raw FROM pages),
+  x AS MATERIALIZED (SELECT page_id, url, {plain(f"regexp_extract(raw, '{pages.TITLE}', 1)")} AS title, string_split_regex({body}, '{pages.BLOCK}') AS parts FROM r),
+  y AS (SELECT page_id, p, {plain("part")} AS text, coalesce(list_sum(list_transform(regexp_extract_all(part, '{pages.LINK}', 1), lambda a: length({plain("a")}))), 0) AS linked FROM (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS p FROM x)),
+  z AS (SELECT page_id, p, text, length(text) - linked AS own FROM y WHERE text <> ''),
+  w AS (SELECT *, 2 * own + coalesce(lag(own) OVER o, 0) + coalesce(lead(own) OVER o, 0) AS near FROM z WINDOW o AS (PARTITION BY page_id ORDER BY p)),
+  k AS (SELECT page_id, text, min(p) AS p FROM w WHERE near >= 4 * {pages.LEAST_CHARS} AND own >= {1 - pages.MOST_LINKED} * length(text) GROUP BY ALL),
+  c AS (SELECT page_id, count(*) AS blocks, string_agg(text, chr(10) ORDER BY p) AS content FROM k GROUP BY page_id),
+  h AS (SELECT x.*, coalesce(c.content, '') AS content, lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?([^:/?#]*)', 1)) AS host FROM x LEFT JOIN c USING (page_id))
+  SELECT page_id, host, 'text/html' AS content_type, title, md5(content) AS content_md5, length(content) AS content_chars, CASE WHEN content = '' THEN 'Could not extract content' END AS error FROM h"""
+
+
+@query("web_fetch", _web_sql())
 def web_fetch(spark, d):
-    """Fetched pages by host; the fetching itself is the pages table here."""
-    p = m.table(spark, d, "pages").where(F.col("url").rlike("^https?://"))
-    return p.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.col("html").rlike("(?i)<article").alias("has_article"))
+    """What the fetched pages say, without what frames it; the fetching itself is the pages table here."""
+    p = pages.fetched(m.table(spark, d, "pages"))
+    return p.select("page_id", "host", "content_type", "title", F.md5("content").alias("content_md5"), F.length("content").cast("bigint").alias("content_chars"), "error")
