@@ -135,10 +135,10 @@ class Machine:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Machine:
-    """Fit on labelled rows that aren't held out, ``most`` of them at most.
+    """Fit on labelled rows that aren't held out, ``most`` of them at most, one of each id.
 
-    The bound caps what reaches the driver, about ``most`` times a text's distinct words. Rows with a null
-    label or id don't teach; without any the score is one half.
+    The bound caps what reaches the driver, about ``most`` times a text's distinct words. Of rows that share an id the least in its features
+    teaches; rows with a null label or id don't; without any the score is one half.
     """
     chosen = (
         labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
@@ -158,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Mach
             )
 
     rows = rows_of(docs, "doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids
-    found = materialise(rows.mapInArrow(run, "doc_id bigint, label double, at array<int>, value array<float>"), "features").toPandas()
+    every = materialise(rows.mapInArrow(run, "doc_id bigint, label double, at array<int>, value array<float>"), "features")
+    found = every.groupBy("doc_id").agg(F.min(F.struct("label", "at", "value")).alias("row")).select("doc_id", "row.*").toPandas()
     found = found.sort_values("doc_id", kind="stable")
     pairs = [(np.asarray(a, np.int64), np.asarray(v, np.float64)) for a, v in zip(found["at"], found["value"], strict=True)]
     return Machine.fit(pairs, found["label"].to_numpy())

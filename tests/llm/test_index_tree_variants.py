@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from graphloom.llm import encoding, exact_dedup, merkle, variants
+from graphloom.llm import encoding, exact_dedup, merkle, quality, variants
 from graphloom.plans.scratch import materialise, scratch_path
 
 DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -230,3 +230,14 @@ def test_ids_around_added_tokens(name, keep_space):
     for text in MARKED + ["".join(pick.choices(PARTS, k=pick.randint(1, 9))) for _ in range(5000)]:
         ids = theirs.encode(text, add_special_tokens=False).ids
         assert mine(text) == struct.pack(f"<{len(ids)}I", *ids), text
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """One id on thousands of rows teaches once, whatever other columns are called."""
+    docs = spark.range(3000).selectExpr("7L AS doc_id", "concat('text ', id % 3) AS text", "1 AS label", "2 AS at", "3 AS value").unionByName(spark.range(20).selectExpr("100 + id AS doc_id", "'other words' AS text", "1 AS label", "2 AS at", "3 AS value"))
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS quality").distinct()
+    seen = []
+    monkeypatch.setattr(quality.Machine, "fit", classmethod(lambda cls, pairs, values: seen.append((len(pairs), len(values)))))
+    quality.train(docs, labels, 2)
+    quality.train(docs, labels)
+    assert seen[0] == (2, 2) and 2 < seen[1][0] <= 21
