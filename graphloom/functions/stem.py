@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -39,10 +40,19 @@ def _swap(word: str, pairs: tuple[tuple[str, str], ...]) -> str:
     return word
 
 
+def fold(word: str) -> str:
+    """Latin letters without their marks, as full-text indexes fold them: é is e; letters that are no marked a to z stay."""
+    if word.isascii():
+        return word
+    parts = (unicodedata.normalize("NFD", c) for c in word)
+    return "".join(p[0] if p[0].isascii() and len(p) > 1 else unicodedata.normalize("NFC", p) for p in parts)
+
+
 @lru_cache(200_000)
 def stem(word: str) -> str:
-    """The stem of a lower-case word; words of up to two letters and others than a to z stay."""
-    if len(word) < 3 or not re.fullmatch("[a-z]+", word):
+    """The stem of a lower-case word, its letters folded; words of up to two letters or over 64, and others than a to z, stay."""
+    word = fold(word)
+    if not 3 <= len(word) <= 64 or not re.fullmatch("[a-z]+", word):
         return word
     if word.endswith("sses") or word.endswith("ies"):
         word = word[:-2]

@@ -10,7 +10,7 @@ from graphloom.catalog import query
 from graphloom.functions.stem import stem, stems
 from graphloom.operators.ranking import ranks, rrf, union_max
 from graphloom.operators.relational import endpoints, in_enabled_sources, sql
-from graphloom.plans.scratch import scratch_path
+from graphloom.plans.scratch import materialise, scratch_path
 
 K1, B = 1.2, 0.75
 
@@ -32,8 +32,9 @@ def words(text: Column | str) -> Column:
 
 
 def fields_of(docs: DataFrame, fields: dict[str, float], key: str, stemmed: bool) -> DataFrame:
-    """(id, _words_0, _words_1, ..., length): the words of each field, stemmed or not, and how many they are in all."""
-    each = {f"_words_{k}": F.coalesce(words(f), F.array().cast("array<string>")) for k, f in enumerate(fields)}
+    """(id, _words_0, _words_1, ..., length): the words of each field, stemmed or not, and how many they are in all; fields that ``docs`` lacks are empty."""
+    none = F.array().cast("array<string>")
+    each = {f"_words_{k}": F.coalesce(words(f), none) if f in docs.columns else none for k, f in enumerate(fields)}
     out = docs.select(F.col(key).alias("id"), *[(stems(c) if stemmed else c).alias(n) for n, c in each.items()])
     total = F.size("_words_0")
     for n in list(each)[1:]:
@@ -123,26 +124,26 @@ def hybrid(keyword: DataFrame, semantic: DataFrame, query_text: str, k: int, lea
     return hits.orderBy(F.desc("score"), "id").limit(k)
 
 
-TERMS = ["onreen", "thing", "ndble", "hahaha"]
+TERMS = ["onreen", "thing", "ndble", "hahaha", "de"]
 
 
-def bm25_sql(rows: str, terms: list[str], name: str = "bm") -> str:
-    """CTEs that end in ``name`` (id, score): BM25 over ``rows``, a query of (id, label, text) with weights 3 and 0.5."""
+def bm25_sql(rows: str, terms: list[str], name: str = "bm", properties: bool = False) -> str:
+    """CTEs that end in ``name`` (id, score): BM25 over ``rows``, a query of (id, label, text) with weights 3 and 0.5, and where it has ``properties`` 1 for these."""
     listed = ", ".join(f"'{t}'" for t in terms)
     cut = lambda c: f"regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+')"
-    return f"""{name}_t AS MATERIALIZED (SELECT id, {cut('label')} AS a, {cut('text')} AS b FROM ({rows})), {name}_l AS (SELECT id, len(a) + len(b) AS l FROM {name}_t), {name}_c AS (SELECT count(*) AS n, avg(l) AS mean FROM {name}_l),
-  {name}_f AS (SELECT id, term, sum(w) AS tf FROM (SELECT id, unnest(a) AS term, 3.0::DOUBLE AS w FROM {name}_t UNION ALL SELECT id, unnest(b), 0.5 FROM {name}_t) WHERE term IN ({listed}) GROUP BY 1, 2), {name}_d AS (SELECT term, count(*) AS df FROM {name}_f GROUP BY 1),
+    return f"""{name}_t AS MATERIALIZED (SELECT id, {cut('label')} AS a, {cut('text')} AS b, {cut('properties' if properties else "''")} AS c FROM ({rows})), {name}_l AS (SELECT id, len(a) + len(b) + len(c) AS l FROM {name}_t), {name}_c AS (SELECT count(*) AS n, avg(l) AS mean FROM {name}_l),
+  {name}_f AS (SELECT id, term, sum(w) AS tf FROM (SELECT id, unnest(a) AS term, 3.0::DOUBLE AS w FROM {name}_t UNION ALL SELECT id, unnest(b), 0.5 FROM {name}_t UNION ALL SELECT id, unnest(c), 1.0 FROM {name}_t) WHERE term IN ({listed}) GROUP BY 1, 2), {name}_d AS (SELECT term, count(*) AS df FROM {name}_f GROUP BY 1),
   {name} AS (SELECT id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS score FROM {name}_f JOIN {name}_d USING (term) JOIN {name}_l USING (id), {name}_c GROUP BY 1)"""
 
 
-FIELDS = {"label": 3.0, "text": 0.5}
-_DOC_ROWS = "SELECT doc_id AS id, string_split(text, chr(10))[1] AS label, text FROM documents"
-_BM25 = f"WITH {bm25_sql(_DOC_ROWS, TERMS)}"
+FIELDS = {"label": 3.0, "properties": 1.0, "text": 0.5}
+_DOC_ROWS = "SELECT doc_id AS id, string_split(text, chr(10))[1] AS label, text, coalesce(source, '') || ' ' || coalesce(lang, '') AS properties FROM documents"
+_BM25 = f"WITH {bm25_sql(_DOC_ROWS, TERMS, properties=True)}"
 
 
 def _titled(spark, d) -> DataFrame:
-    """Documents with their first line as label."""
-    return m.table(spark, d, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("label"), "text")
+    """Documents with their first line as label, their source and language as properties."""
+    return m.table(spark, d, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("label"), "text", F.concat(F.coalesce("source", F.lit("")), F.lit(" "), F.coalesce("lang", F.lit(""))).alias("properties"))
 
 
 def _keyword(spark, d) -> DataFrame:
@@ -259,11 +260,6 @@ def resolve(nodes: DataFrame, name: str, limit: int = 5) -> DataFrame:
     return nodes.select("id", "label", score.alias("score")).where("score is not null").orderBy(F.desc("score"), "id").limit(limit)
 
 
-@query("resolve_node", sql("SELECT id, label, CAST(CASE WHEN lower(label) = 'nation_1' THEN 1.0 WHEN starts_with(lower(label), 'nation_1') THEN 0.8 WHEN contains(lower(label), 'nation_1') THEN 0.6 END AS DOUBLE) AS score FROM nodes WHERE contains(lower(label), 'nation_1') ORDER BY score DESC, id LIMIT 5"))
-def resolve_node(spark, d):
-    return resolve(m.nodes(spark, d), "Nation_1")
-
-
 @query("search_hydrate", sql(f"SELECT h.id, n.label, n.template_id, round(h.score, 6) AS score FROM (SELECT 'c:' || id AS id, score FROM {_SEMANTIC}) h JOIN nodes n ON n.id = h.id LEFT JOIN sources s ON n.source_id = s.source_id WHERE n.source_id IS NULL OR s.enabled"))
 def search_hydrate(spark, d):
     hits = _vector(spark, d, 25).select(F.concat(F.lit("c:"), "id").alias("id"), F.round("score", 6).alias("score"))
@@ -302,6 +298,84 @@ def hybrid_hits(docs: DataFrame, vectors: DataFrame, text: str, query_vector: li
     return union_max(found, near)
 
 
+# Properties that hold other names of a node.
+ALIAS_KEYS = ("aliases", "nicknames", "also_known_as", "titles")
+
+
+def alias_list(properties: Column) -> Column:
+    """The other names among a node's properties (a map of texts), a list written as JSON or one name each, in the order of ``ALIAS_KEYS``."""
+    none = F.array().cast("array<string>")
+    value = lambda k: F.element_at(properties, F.lit(k))
+    names = lambda k: F.when(F.coalesce(value(k), F.lit("")) == "", none).when(value(k).startswith("["), F.coalesce(F.from_json(value(k), "array<string>"), none)).otherwise(F.array(value(k)))
+    return F.flatten(F.array(*[names(k) for k in ALIAS_KEYS]))
+
+
+def resolved(nodes: DataFrame, text: str, vectors: DataFrame, query_vector: list[float], alternatives: int = 3, scope: list | None = None, least: float = 0.55) -> DataFrame:
+    """(place, id, label, template_id, confidence, method, aliases): the node that a name, nickname or description means, at place 0, and up to ``alternatives`` others.
+
+    Keywords in labels and properties come first. Without a hit, or with a best one below 1, the higher of keyword and vector score counts instead if its best is better.
+    Nodes of other sources than those in ``scope`` are left out afterwards, those without a source stay.
+    """
+    many = alternatives + 2
+    has = "properties" in nodes.columns
+    props = F.col("properties") if has else F.create_map().cast("map<string,string>")
+    docs = nodes.select("id", "label", F.array_join(F.map_values(F.coalesce(props, F.create_map().cast("map<string,string>"))), " ").alias("properties"))
+    found = materialise(keyword(docs, text.split(), FIELDS, "id").orderBy(F.desc("score"), "id").limit(many), "hits")
+    best = found.agg(F.max("score").alias("best")).first().best
+    method = "keyword"
+    if best is None or best < 1.0:
+        near = knn(vectors.join(nodes.select("id"), "id", "left_semi"), query_vector, many, key="id") if query_vector else found.limit(0)
+        both = materialise(hybrid(found, near, text, many, least), "hits")
+        top = both.agg(F.max("score").alias("best")).first().best
+        if top is not None and (best is None or top > best):
+            found, method = both, "hybrid"
+    hits = nodes.join(F.broadcast(found), "id")  # as many rows as asked for
+    if scope:
+        hits = hits.where(F.col("source_id").isNull() | F.col("source_id").isin(*scope))
+    ranked = hits.select(F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("n"), "id", "label", "template_id", F.col("score").alias("confidence"), alias_list(props).alias("aliases"))
+    return ranked.where(F.col("n") <= alternatives + 1).select((F.col("n") - 1).alias("place"), "id", "label", "template_id", "confidence", F.lit(method).alias("method"), "aliases")
+
+
+def _described(spark, d) -> DataFrame:
+    """Nodes with properties: a title of some, nicknames as a list and a note of others."""
+    k = F.right(F.col("id"), F.lit(1)).cast("int") % 4
+    name = F.concat(F.lit("nick"), k, F.lit(" "), F.col("template_id"))
+    props = F.when(k == 0, F.create_map(F.lit("titles"), name)).when(k == 1, F.create_map(F.lit("nicknames"), F.concat(F.lit('["'), name, F.lit('","'), F.lower("label"), F.lit('"]')), F.lit("note"), F.lit("ring")))
+    return m.nodes(spark, d).withColumn("properties", props)
+
+
+def _resolved(spark, d, text: str, scope: list | None = None) -> DataFrame:
+    found = resolved(_described(spark, d), text, _node_vectors(spark, d), _query_vector(spark, d), scope=scope, least=0.2)
+    return found.select("place", "id", "label", "template_id", F.round("confidence", 5).alias("confidence"), "method", F.array_join("aliases", "|").alias("aliases"))
+
+
+def _resolved_sql(text: str, scope: str = "true") -> str:
+    rows = "SELECT id, label, '' AS text, coalesce(properties, '') AS properties FROM named"
+    return sql(f"""WITH named AS MATERIALIZED (SELECT *, CASE k WHEN 0 THEN 'nick0 ' || template_id WHEN 1 THEN '["nick1 ' || template_id || '","' || lower(label) || '"] ring' END AS properties FROM (SELECT *, CAST(right(id, 1) AS INTEGER) % 4 AS k FROM nodes)),
+  {bm25_sql(rows, text.lower().split(), properties=True)}, kw AS (SELECT * FROM bm ORDER BY score DESC, id LIMIT 5), near AS (SELECT * FROM ({_NODE_NEAR}) WHERE id IN (SELECT id FROM nodes) ORDER BY score DESC, id LIMIT 5),
+  hy AS (SELECT id, max(score) AS score FROM (SELECT * FROM kw UNION ALL SELECT * FROM near WHERE score >= 0.2) GROUP BY id ORDER BY max(score) DESC, id LIMIT 5), u AS (SELECT coalesce((SELECT max(score) FROM kw), 0) < 1 AND (SELECT max(score) FROM hy) > coalesce((SELECT max(score) FROM kw), -1) AS u),
+  f AS (SELECT *, 'hybrid' AS method FROM hy WHERE (SELECT u FROM u) UNION ALL SELECT *, 'keyword' FROM kw WHERE NOT coalesce((SELECT u FROM u), false)), r AS (SELECT named.*, score, method, row_number() OVER (ORDER BY score DESC, named.id) - 1 AS place FROM f JOIN named ON named.id = f.id WHERE {scope})
+  SELECT CAST(place AS INTEGER) AS place, id, label, template_id, round(score, 5) AS confidence, method, CASE k WHEN 0 THEN properties WHEN 1 THEN 'nick1 ' || template_id || '|' || lower(label) ELSE '' END AS aliases FROM r WHERE place <= 3""")
+
+
+@query("resolve_node_alias", _resolved_sql("Nick1 Region", "source_id IS NULL OR source_id IN (1, 2, 3)"))
+def resolve_node_alias(spark, d):
+    """A nickname, within some sources."""
+    return _resolved(spark, d, "Nick1 Region", [1, 2, 3])
+
+
+@query("resolve_node_hybrid", _resolved_sql("somebody nobody knows"))
+def resolve_node_hybrid(spark, d):
+    """A description that no word of a node's matches: by vector."""
+    return _resolved(spark, d, "somebody nobody knows")
+
+
+@query("resolve_node", sql("SELECT id, label, CAST(CASE WHEN lower(label) = 'nation_1' THEN 1.0 WHEN starts_with(lower(label), 'nation_1') THEN 0.8 WHEN contains(lower(label), 'nation_1') THEN 0.6 END AS DOUBLE) AS score FROM nodes WHERE contains(lower(label), 'nation_1') ORDER BY score DESC, id LIMIT 5"))
+def resolve_node(spark, d):
+    """By the label alone."""
+    return resolve(m.nodes(spark, d), "Nation_1")
+
+
 def search_nodes_by(nodes: DataFrame, sources: DataFrame, vectors: DataFrame, text: str, query_vector: list[float], templates: list[str] | None = None, limit: int = 10, least: float = 0.55) -> DataFrame:
     """(id, label, template_id, score, of_template): the best nodes of enabled sources and some templates, each with how many of its template are among them."""
     wanted = nodes if templates is None else nodes.where(F.col("template_id").isin(*templates))

@@ -221,3 +221,34 @@ def test_modes_of_graph_search(spark):
     assert words.stats["mode"] == "keyword_only" and [r.id for r in words.chunks.collect()] == [1]
     assert ask("knows", [], scope=["t"]).chunks.count() == 0
     assert full.chunks.where(F.col("alias") == "C0").count() == 1
+
+
+def test_scores_are_those_of_the_full_text_index(spark, data):
+    """Words, stems, folded letters and weights of three fields over all documents, against the tokenizer itself."""
+    import sqlite3
+
+    rows = [(r.doc_id, *((r.text or "").split("\n", 1) + [""])[:2], f"{r.source} {r.lang}") for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    rows += [(9001, "Possible", "archaeology possibly", "Résumé"), (9002, "Relational operators", "the résumés of flies; Café", ""), (9003, "", "", "")]
+    db = sqlite3.connect(":memory:")
+    try:
+        db.execute("CREATE VIRTUAL TABLE t USING fts5(label, properties, text, tokenize='porter unicode61')")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text search in this build")
+    db.executemany("INSERT INTO t(rowid, label, text, properties) VALUES (?, ?, ?, ?)", rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, label string, text string, properties string")
+    for terms in (["possible"], ["archaeologies", "resume"], ["relate", "operator", "cafe"], ["things", "de"], ["flying", "the"]):
+        want = dict(db.execute("SELECT rowid, -bm25(t, 3.0, 1.0, 0.5) FROM t WHERE t MATCH ?", (" OR ".join(terms),)))
+        got = {r.id: r.score for r in retrieval.keyword(docs, terms, retrieval.FIELDS, stemmed=True).collect()}
+        assert set(got) == set(want) and got == pytest.approx(want, rel=1e-6), terms
+        assert got
+
+
+def test_resolving_names(spark):
+    nodes = spark.createDataFrame([("a", "Pierre Bezukhov", "p", 1, {"nicknames": '["Petya","The Count"]', "titles": "Count"}), ("b", "Natasha", "p", 2, {"aliases": "", "also_known_as": "[broken"}), ("c", "Napoleon", "q", None, None), ("d", "Pierre", "p", 3, None)], "id string, label string, template_id string, source_id int, properties map<string,string>")
+    near = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0]), ("x", [1.0, 0.0])], "id string, embedding array<double>")
+    ask = lambda text, v, **how: [(r.place, r.id, r.method, r.aliases) for r in retrieval.resolved(nodes, text, near, v, **how).collect()]
+    assert ask("petya", [])[0] == (0, "a", "keyword", ["Petya", "The Count", "Count"])
+    assert [x[1:3] for x in ask("an enemy", [0.1, 1.0])] == [("c", "hybrid")]
+    assert [x[1] for x in ask("an enemy", [1.0, 0.0], alternatives=0)] == ["a"]
+    assert [x[1] for x in ask("an enemy", [1.0, 0.0], scope=[2])] == ["b"] and ask("an enemy", [1.0, 0.0])[1][3] == []
+    assert ask("nobody", []) == [] and {x[1] for x in ask("pierre", [])} == {"a", "d"}
