@@ -172,6 +172,26 @@ def loop(spark, d):
     return m.table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 4)).alias("iteration", "item"))
 
 
+_DEEP = """SELECT event_id, json_merge_patch(props::JSON, ('{"k2": ' || event_id || ', "deep": {"a": {"b": [1, ' || user_id || '], "c": {"d": "old"}}, "e": 1}}')::JSON, ('{"deep": {"a": {"b": ["' || event_type || '"], "c": {"f": ' || value || '}}, "e": {"g": true}}' || CASE WHEN event_id % 2 = 0 THEN ', "k": {"was": 1}' ELSE '' END || '}')::JSON) AS o FROM events"""
+
+
+@query("merge_objects_deep", f"""SELECT event_id, json_extract_string(o, '$.k') AS k, CAST(json_extract_string(o, '$.k2') AS BIGINT) AS k2, json_extract_string(o, '$.deep.a.b[0]') AS b0, json_array_length(o, '$.deep.a.b') AS b_size,
+  json_extract_string(o, '$.deep.a.c.d') AS d, round(CAST(json_extract_string(o, '$.deep.a.c.f') AS DOUBLE), 4) AS f, json_extract_string(o, '$.deep.e.g') AS g FROM ({_DEEP})""")
+def merge_objects_deep(spark, d):
+    """Deep merge of three objects: nested ones are merged, of other values the last one wins."""
+    from graphloom.functions.properties import deep_merged
+
+    e = m.table(spark, d, "events")
+    second = F.concat(F.lit('{"k2": '), "event_id", F.lit(', "deep": {"a": {"b": [1, '), "user_id", F.lit('], "c": {"d": "old"}}, "e": 1}}'))
+    third = F.concat(F.lit('{"deep": {"a": {"b": ["'), "event_type", F.lit('"], "c": {"f": '), F.col("value").cast("string"), F.lit('}}, "e": {"g": true}}'), F.when(F.col("event_id") % 2 == 0, ', "k": {"was": 1}').otherwise(""), F.lit("}"))
+    o = e.select("event_id", deep_merged(deep_merged(F.parse_json("props"), F.parse_json(second)), F.parse_json(third)).alias("o"))
+    get = lambda path, kind="string": F.try_variant_get("o", path, kind)
+    return o.select(
+        "event_id", get("$.k").alias("k"), get("$.k2", "bigint").alias("k2"), get("$.deep.a.b[0]").alias("b0"), F.size(get("$.deep.a.b", "array<variant>")).cast("bigint").alias("b_size"),
+        get("$.deep.a.c.d").alias("d"), F.round(get("$.deep.a.c.f", "double"), 4).alias("f"), get("$.deep.e.g").alias("g"),
+    )
+
+
 @query("merge_objects", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'second' ELSE event_type END AS kind, CAST(user_id AS VARCHAR) AS who FROM events")
 def merge_objects(spark, d):
     """Shallow merge of maps: the last one wins."""

@@ -13,18 +13,35 @@ from pyspark.sql import functions as F
 from graphloom import model as m
 from graphloom.catalog import query
 from graphloom.functions import text as t
+from graphloom.functions.properties import deep_merged, surer_value
 from graphloom.operators.relational import sql
 from graphloom.operators.tiles import TILE, per_tile, tiles, unit_rows
 from graphloom.plans.ordering import Ordered, first_untaken, pointer_ends
 from graphloom.plans.scratch import discard, materialise_at
 
 
+_BLANKS = " \t\n\r\f\x0b"
+
+
 def merged_description(a: Column, b: Column, most: int = 8000) -> Column:
-    """The one that holds the other, the longer if over half of its words are shared, else both."""
-    x, y = F.split(F.lower(a), " "), F.split(F.lower(b), " ")
-    shared = F.size(F.array_intersect(x, y)) / F.least(F.size(F.array_distinct(x)), F.size(F.array_distinct(y)))
+    """The one that holds the other, the longer if over half of the larger one's words are shared, else both, ``most`` characters at most.
+
+    Two are joined as sentences; what is too long is cut behind the last sentence in the second half, else marked as cut. Null is empty.
+    """
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    blank = f"[{_BLANKS}]"
+    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), f"{blank}+"), lambda w: w != ""))
+    x, y = words(a), words(b)
+    share = F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))
+    head = F.regexp_replace(a, f"{blank}+$", "")
+    both = F.concat(head, F.when((head != "") & ~F.right(head, F.lit(1)).isin(".", "!", "?"), ".").otherwise(""), F.lit(" "), F.regexp_replace(b, f"^{blank}+|{blank}+$", ""))
+    cut = F.substring(both, 1, most - 3)
+    back = F.locate(" .", F.reverse(cut))  # from its end, 0 if there is none
+    short = F.when((back > 0) & (most - 3 - back - 1 > most // 2), F.substring(cut, F.lit(1), most - 3 - back)).otherwise(F.concat(F.regexp_replace(cut, f"{blank}+$", ""), F.lit("...")))
+    one = F.when((a == "") | F.contains(b, a), b).when((b == "") | F.contains(a, b) | (F.length(a) >= most), a)
     longer = F.when(F.length(a) >= F.length(b), a).otherwise(b)
-    return F.when(F.contains(F.lower(a), F.lower(b)), a).when(F.contains(F.lower(b), F.lower(a)), b).when(shared > 0.5, longer).otherwise(F.substring(F.concat_ws(" ", a, b), 1, most))
+    one = F.coalesce(one, F.when((F.size(x) == 0) | (F.size(y) == 0) | (share > 0.5), longer))
+    return F.when(one.isNotNull(), F.substring(one, 1, most)).when(F.length(both) > most, short).otherwise(both)
 
 
 def exact_names(entities: DataFrame, by: list[str]) -> DataFrame:
@@ -313,8 +330,10 @@ def merged_value(a: Column, b: Column, a_sure: Column, b_sure: Column) -> Column
     return F.when(a.isNull(), b).when(b.isNull() | (a == b), a).when(short, F.when(a_sure >= b_sure, a).otherwise(b)).otherwise(F.when(F.length(a) >= F.length(b), a).otherwise(b))
 
 
-def merged_properties(a: Column, b: Column, a_sure: Column, b_sure: Column) -> Column:
-    """Two maps of texts by :func:`merged_value` of each key."""
+def merged_properties(a: Column, b: Column, a_sure: Column, b_sure: Column, nested: bool = False) -> Column:
+    """Two maps of texts by :func:`merged_value` of each key; ``nested``: two VARIANT objects, lists joined and objects in them merged in turn."""
+    if nested:
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(deep_merged(a, b, surer_value(a_sure, b_sure)))
     return F.map_zip_with(a, b, lambda k, x, y: merged_value(x, y, a_sure, b_sure))
 
 
@@ -325,6 +344,7 @@ def merged_entities(entities: DataFrame, canonical: DataFrame, penalty: float =
     descriptions join, chunks unite, and history keeps each time the lower confidence. A group is one entity's mentions in one document.
     """
     props = F.col("properties") if "properties" in entities.columns else F.create_map().cast("map<string,string>")
+    nested = "properties" in entities.columns and entities.schema["properties"].dataType.typeName() == "variant"
     rows = entities.join(canonical.where("canonical is not null").select("source_id", "ordinal", "canonical"), ["source_id", "ordinal"])
     chunk = F.when(F.col("chunk_index").isNotNull(), F.array("chunk_index")).otherwise(F.array().cast("array<int>"))
     item = F.struct(
@@ -343,7 +363,7 @@ def merged_entities(entities: DataFrame, canonical: DataFrame, penalty: float =
             "aliases": F.array_union(s["aliases"], F.concat(x["aliases"], named)),
             "confidence": F.greatest(F.lit(0.1), F.greatest(s["confidence"], x["confidence"]) - penalty),
             "description": F.when(s["description"] == "", x["description"]).when(x["description"] == "", s["description"]).otherwise(merged_description(s["description"], x["description"])),
-            "properties": merged_properties(s["properties"], x["properties"], s["confidence"], x["confidence"]),
+            "properties": merged_properties(s["properties"], x["properties"], s["confidence"], x["confidence"], nested),
             "chunks": F.array_union(s["chunks"], x["chunks"]),
             "lost": F.when(low > 0, F.array_append(s["lost"], low)).otherwise(s["lost"]),
             "skipped": F.when(other & title, F.array_append(s["skipped"], x["name"])).otherwise(s["skipped"]),

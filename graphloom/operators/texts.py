@@ -270,12 +270,19 @@ def fn_cosine(spark, d):
     return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))  # one query row
 
 
-@query("merge_descriptions", "SELECT p_partkey, CASE WHEN contains(lower(a), lower(b)) THEN a WHEN contains(lower(b), lower(a)) THEN b ELSE a || ' ' || b END AS merged FROM (SELECT p_partkey, p_name AS a, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_brand END AS b FROM part)")
+@query("merge_descriptions", """WITH p AS (SELECT x.doc_id, coalesce(x.text, '') AS a, coalesce(y.text, '') AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1),
+  w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(a), '[ \\t\\n\\r\\f\\x0b]+'), lambda v: v <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(lower(b), '[ \\t\\n\\r\\f\\x0b]+'), lambda v: v <> '')) AS y, regexp_replace(a, '[ \\t\\n\\r\\f\\x0b]+$', '') AS head FROM p),
+  j AS (SELECT *, head || CASE WHEN head <> '' AND right(head, 1) NOT IN ('.', '!', '?') THEN '.' ELSE '' END || ' ' || regexp_replace(b, '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g') AS both_ FROM w),
+  c AS (SELECT *, substr(both_, 1, 1997) AS cut, instr(reverse(substr(both_, 1, 1997)), ' .') AS back FROM j)
+  SELECT doc_id, md5(CASE WHEN a = '' OR contains(b, a) THEN substr(b, 1, 2000) WHEN b = '' OR contains(a, b) OR length(a) >= 2000 THEN substr(a, 1, 2000) WHEN len(x) = 0 OR len(y) = 0 OR len(list_intersect(x, y)) / greatest(len(x), len(y)) > 0.5 THEN substr(CASE WHEN length(a) >= length(b) THEN a ELSE b END, 1, 2000)
+    WHEN length(both_) <= 2000 THEN both_ WHEN back > 0 AND 1996 - back > 1000 THEN substr(cut, 1, 1997 - back) ELSE regexp_replace(cut, '[ \\t\\n\\r\\f\\x0b]+$', '') || '...' END) AS digest FROM c""")
 def merge_descriptions(spark, d):
+    """Each document's text with the next one's, at most 2,000 characters."""
     from graphloom.operators.resolution import merged_description
 
-    other = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_brand"))
-    return m.table(spark, d, "part").select("p_partkey", merged_description(F.col("p_name"), other).alias("merged"))
+    docs = m.table(spark, d, "documents")
+    a, b = docs.select("doc_id", F.col("text").alias("a")), docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b"))
+    return a.join(b, "doc_id").select("doc_id", F.md5(merged_description(F.col("a"), F.col("b"), 2000)).alias("digest"))
 
 
 @query("fn_unicode_nfc", "SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")
@@ -311,10 +318,26 @@ def fn_fix_encoding(spark, d):
     return m.table(spark, d, "region").select("r_regionkey", mend(broken).alias("text"))
 
 
-@query("merge_properties", "SELECT p_partkey, CASE WHEN length(p_name) < 20 AND length(p_brand) < 20 THEN CASE WHEN p_size >= 25 THEN p_name ELSE p_brand END WHEN length(p_name) >= length(p_brand) THEN p_name ELSE p_brand END AS value FROM part")
+@query("merge_properties", """SELECT p_partkey, CASE WHEN length(p_brand) < 20 OR length(p_type) < 20 THEN CASE WHEN p_size >= 25 THEN p_brand ELSE p_type END WHEN length(p_brand) >= length(p_type) THEN p_brand ELSE p_type END AS short,
+  CASE WHEN length(p_name || ' and the rest of it') >= length(p_brand || ' with a longer description') THEN p_name || ' and the rest of it' ELSE p_brand || ' with a longer description' END AS long, CASE WHEN p_size = 7 THEN '[' || p_size || ',"x"]' ELSE '[' || p_size || ',"x",7]' END AS list,
+  p_size AS mixed, 'both' AS nested_same, p_partkey AS nested_kept, p_partkey + 1 AS nested_other FROM part""")
 def merge_properties(spark, d):
-    """Of two short values the more confident one's, else the longer."""
-    short = (F.length("p_name") < 20) & (F.length("p_brand") < 20)
-    sure = F.when(F.col("p_size") >= 25, F.col("p_name")).otherwise(F.col("p_brand"))
-    longer = F.when(F.length("p_name") >= F.length("p_brand"), F.col("p_name")).otherwise(F.col("p_brand"))
-    return m.table(spark, d, "part").select("p_partkey", F.when(short, sure).otherwise(longer).alias("value"))
+    """Texts, lists, objects and values of different kinds in the properties of an entity and its duplicate."""
+    from graphloom.functions.properties import deep_merged, surer_value
+
+    kept = F.struct(
+        F.col("p_brand").alias("short"), F.concat("p_name", F.lit(" and the rest of it")).alias("long"), F.array(F.col("p_size").cast("string"), F.lit("x")).alias("list"), F.col("p_size").alias("mixed"),
+        F.struct(F.lit("both").alias("same"), F.col("p_partkey").alias("kept")).alias("nested"),
+    )
+    other = F.struct(
+        F.col("p_type").alias("short"), F.concat("p_brand", F.lit(" with a longer description")).alias("long"), F.array(F.lit("7"), F.col("p_size").cast("string")).alias("list"), F.col("p_type").alias("mixed"),
+        F.struct(F.lit("both").alias("same"), (F.col("p_partkey") + 1).alias("other")).alias("nested"),
+    )
+    numbers = lambda c: F.regexp_replace(F.to_json(c), '"([0-9]+)"', "$1")
+    sure = surer_value(F.col("p_size") / 50, F.lit(0.5))
+    o = m.table(spark, d, "part").select("p_partkey", deep_merged(F.parse_json(numbers(kept)), F.parse_json(numbers(other)), sure).alias("o"))
+    get = lambda path, kind: F.variant_get("o", path, kind)
+    return o.select(
+        "p_partkey", get("$.short", "string").alias("short"), get("$.long", "string").alias("long"), F.to_json(get("$.list", "variant")).alias("list"), get("$.mixed", "int").alias("mixed"),
+        get("$.nested.same", "string").alias("nested_same"), get("$.nested.kept", "bigint").alias("nested_kept"), get("$.nested.other", "bigint").alias("nested_other"),
+    )

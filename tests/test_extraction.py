@@ -245,7 +245,7 @@ def test_merge_folds_in_order(spark):
     g = r.merged_entities(e, canonical, penalty=0.05).first()
     assert (g.name, g.type, g.aliases, g.source_chunk_indices, g.merged) == ("Ann", "Lady", ["AK", "Anna K"], [0, 1, 3], 3)
     assert g.confidence == pytest.approx(0.80) and g.history.confidence == [0.4, 0.2] and g.history.aliases_skipped == ["Lady"]
-    assert g.properties == {"age": "31", "bio": "an even longer text of all of a life"} and g.description == "A woman Quite another thing altogether"
+    assert g.properties == {"age": "31", "bio": "an even longer text of all of a life"} and g.description == "A woman. Quite another thing altogether"
 
 
 def test_domains(spark):
