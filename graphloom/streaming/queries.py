@@ -169,6 +169,74 @@ def windowed(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), "event_type", "n")
 
 
+def idle(events: DataFrame, key: str, hours: float, late: str = "2 hours") -> DataFrame:
+    """(``key``, last_activity, stuck_at): each activity that none of its key follows within ``hours``, once the watermark has passed that time.
+
+    Each event sets a timer. What fires looks at the key's times that are still open: those behind the watermark's delay and the span, which is all the state there is.
+    Events within the delay may come in any order, those that are later are dropped.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    of, span = key, int(hours * 3_600_000_000)
+    due_ms = lambda at: -(-(at + span) // 1000)
+
+    class Idle(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle, self.open = handle, handle.getListState("open", "at bigint")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            fresh = sorted({int(at) for frame in rows for at in frame["at"]})
+            self.open.appendList([(at,) for at in fresh])
+            for at in fresh:
+                self.handle.registerTimer(due_ms(at))
+            yield from ()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            times = sorted({row[0] for row in self.open.get()})
+            due = [at for at in times if due_ms(at) <= expiredTimerInfo.getExpiryTimeInMs()]
+            after = dict(zip(times, times[1:], strict=False))
+            found = [at for at in due if at not in after or after[at] > at + span]
+            kept = [(at,) for at in times if at not in due]
+            if kept:
+                self.open.put(kept)
+            else:
+                self.open.clear()
+            if found:
+                yield pd.DataFrame({of: [key[0]] * len(found), "at": found})
+
+        def close(self) -> None:
+            pass
+
+    kind = dict(events.dtypes)[key]
+    timed = events.select(key, F.col("ts").cast("timestamp").alias("ts")).withColumn("at", F.unix_micros("ts")).withWatermark("ts", late)
+    out = timed.groupBy(key).transformWithStateInPandas(statefulProcessor=Idle(), outputStructType=f"{key} {kind}, at bigint", outputMode="Append", timeMode="EventTime")
+    return out.select(key, F.timestamp_micros("at").alias("last_activity"), F.timestamp_micros(F.col("at") + span).alias("stuck_at"))
+
+
+def sliding(events: DataFrame, length: str = "6 hours", step: str = "2 hours", late: str = "2 hours") -> DataFrame:
+    """(start, event_type, n, total): counts and sums of values in windows that overlap, each once it is closed."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", length, step).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents")).select(F.col("w.start").alias("start"), "event_type", "n", "cents")
+
+
+def sessions(events: DataFrame, key: str, gap: str = "8 hours", late: str = "2 hours") -> DataFrame:
+    """(``key``, start, end, n): runs of events with less than ``gap`` between them, each once it is over."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def replay_in_turn(spark: SparkSession, parts: list[DataFrame], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Stream ``parts`` one after the other, a batch each, through ``step``; what it appends is written exactly once."""
+    folder = scratch_path(spark, "stream")
+    for n, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{folder}/in/part={n}")  # a later part has later files, which streams take in that order
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
+    out = step(stream)
+    started = out.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start()
+    started.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
 # ---- queries -------------------------------------------------------------------------------
 
 
@@ -312,3 +380,38 @@ def queue_rehydrate(spark, d):
     """The queue rebuilt from the log: tasks whose last event isn't an end."""
     last = m.table(spark, d, "events").groupBy("user_id").agg(F.max(F.struct("event_id", "event_type")).alias("x"))
     return last.where(F.col("x.event_type").isin("view", "click")).select("user_id", F.col("x.event_id").alias("task"))
+
+
+# Three parts by time; one event in forty of the first three days comes only with the last part, too late.
+_LATE = "event_id % 40 = 7 AND ts < TIMESTAMP_NTZ '2024-01-04 00:00:00'"
+_TIMELY = "e AS MATERIALIZED (SELECT * FROM events WHERE NOT (event_id % 40 = 7 AND ts < TIMESTAMP '2024-01-04 00:00:00')), wm AS (SELECT max(ts) - INTERVAL 2 HOUR AS wm FROM e)"
+
+
+def _parts(spark, d) -> list[DataFrame]:
+    """The events of two ten days each and the rest; within a part they come in any order."""
+    e = m.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    late = F.expr(_LATE)
+    cuts = [F.lit(f"2024-01-{day}").cast("timestamp_ntz") for day in (11, 21)]
+    return [e.where((F.col("ts") < cuts[0]) & ~late), e.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])), e.where((F.col("ts") >= cuts[1]) | late)]
+
+
+@query("stuck_by_timer", f"""WITH {_TIMELY}, t AS (SELECT DISTINCT user_id, ts FROM e), n AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM t)
+  SELECT user_id, ts AS last_activity, ts + INTERVAL 24 HOUR AS stuck_at FROM n, wm WHERE (next IS NULL OR next > ts + INTERVAL 24 HOUR) AND ts + INTERVAL 24 HOUR <= wm""")
+def stuck_by_timer(spark, d):
+    """Activities that nothing followed within a day, by timers over three batches with late events among them."""
+    _stateful(spark)
+    plain = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return replay_in_turn(spark, _parts(spark, d), lambda e: idle(e, "user_id", 24)).select("user_id", plain("last_activity"), plain("stuck_at"))
+
+
+@query("window_sliding", f"""WITH {_TIMELY}, w AS (SELECT event_type, value, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '2024-01-01') - k * INTERVAL 2 HOUR AS start FROM e, range(3) r(k))
+  SELECT start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM w, wm WHERE start + INTERVAL 6 HOUR <= wm GROUP BY 1, 2""")
+def window_sliding(spark, d):
+    return replay_in_turn(spark, _parts(spark, d), sliding).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("window_session", f"""WITH {_TIMELY}, s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER o < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS first FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s)
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 8 HOUR AS "end", count(*) AS n FROM k, wm GROUP BY user_id, k, wm HAVING max(ts) + INTERVAL 8 HOUR <= wm""")
+def window_session(spark, d):
+    plain = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return replay_in_turn(spark, _parts(spark, d), lambda e: sessions(e, "user_id")).select("user_id", plain("start"), plain("end"), "n")
