@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import chunking
+from graphloom.functions import pages as pages_of
 from graphloom.functions import text as t
-from graphloom.operators import graph, ranking, relational, resolution, retrieval, stats
+from graphloom.operators import graph, ranking, relational, resolution, retrieval, stats, vector_index
 from graphloom.registry import clean
 from graphloom.sources import exchange, loaders
 
@@ -71,8 +72,9 @@ class Engine:
     # ---- search ----------------------------------------------------------------------------
 
     def build_index(self, path: str) -> None:
-        """Write the keyword index of the chunks; searches read it from then on."""
+        """Write the keyword and the vector index of the chunks; searches read them from then on."""
         retrieval.build_index(self.chunks, {"content": 1.0}, path, "chunk_id")
+        vector_index.build_vector_index(self._vectors(), f"{path}/near", "chunk_id")
         self.index = path
 
     def search(self, query: str, mode: str = "hybrid", k: int = 10, least: float = 0.55) -> DataFrame:
@@ -85,7 +87,8 @@ class Engine:
         found = found.select("id", (F.col("score") / (1 + F.col("score"))).alias("score"))
         if mode == "keyword" or not terms:
             return found.orderBy(F.desc("score"), "id").limit(k)
-        semantic = retrieval.knn(self._vectors(), self._vector(query), 3 * k, key="chunk_id")
+        vector = self._vector(query)
+        semantic = vector_index.search_vectors(self.spark, f"{self.index}/near", vector, 3 * k) if self.index else retrieval.knn(self._vectors(), vector, 3 * k, key="chunk_id")
         return semantic.limit(k) if mode == "semantic" else retrieval.hybrid(found, semantic, query, k, least)
 
     def _vectors(self) -> DataFrame:
@@ -97,6 +100,21 @@ class Engine:
     def resolve(self, name: str, limit: int = 5) -> DataFrame:
         return retrieval.resolve(self.nodes, name, limit)
 
+    def resolve_node(self, text: str, alternatives: int = 3, scope: list | None = None) -> DataFrame:
+        """The node that a name, nickname or description means, and others; see :func:`retrieval.resolved`."""
+        vectors = self.nodes.select("id", "embedding") if "embedding" in self.nodes.columns else self.nodes.select("id", self.embed(F.col("label")).alias("embedding"))
+        return retrieval.resolved(self.nodes, text, vectors, self._vector(text), alternatives, scope)
+
+    def bridges(self) -> DataFrame:
+        return graph.bridges(self.nodes, self.edges)
+
+    def betweenness(self, sources: DataFrame | None = None) -> DataFrame:
+        return graph.betweenness(self.nodes, self.edges, sources)
+
+    def fetch(self, pages: DataFrame, **how) -> DataFrame:
+        """Main text, title and errors of fetched pages (url, html); see :func:`pages.fetched`."""
+        return pages_of.fetched(pages, **how)
+
     def graph_search(self, query: str, limit: int = 10, **how) -> graph.GraphAnswer:
         """Chunks, triples and statistics for a question; see :func:`graph.graph_search`."""
         vectors = self.nodes.select("id", self.embed(F.col("label")).alias("embedding")) if "embedding" not in self.nodes.columns else self.nodes.select("id", "embedding")

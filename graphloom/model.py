@@ -81,7 +81,7 @@ def small_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         t("nation").where(k % 2 == 0).select(_id("n", "n_nationkey").alias("src"), F.concat(F.lit("n:"), ((k * 7 + 3) % 25).cast("string")).alias("dst"), F.lit("trades_with").alias("template_id"))
         .union(t("nation").select(_id("n", "n_nationkey"), _id("r", "n_regionkey"), F.lit("part_of")))
-        .union(t("supplier").where("s_suppkey < 200").select(_id("s", "s_suppkey"), _id("n", "s_nationkey"), F.lit("located_in")))
+        .union(t("supplier").select(_id("s", "s_suppkey"), _id("n", "s_nationkey"), F.lit("located_in")))
     )
 
 
@@ -232,7 +232,7 @@ SQL = {
     "small_nodes": "SELECT * FROM nodes WHERE template_id IN ('nation', 'region', 'supplier')",
     "small_edges": """SELECT 'n:' || n_nationkey AS src, 'n:' || ((n_nationkey * 7 + 3) % 25) AS dst, 'trades_with' AS template_id FROM nation WHERE n_nationkey % 2 = 0
       UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 'part_of' FROM nation
-      UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'located_in' FROM supplier WHERE s_suppkey < 200""",
+      UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'located_in' FROM supplier""",
     "citations": """SELECT 'p:' || l_partkey AS entity_uri, CAST(l_suppkey % 25 AS INTEGER) AS source_id, l_orderkey % 500 AS chunk_id, round(1 - l_discount, 2) AS confidence,
       l_returnflag AS extraction_method, CASE WHEN l_linenumber <> 7 THEN l_linestatus END AS entity_type, l_shipdate AS created_at, l_orderkey * 8 + l_linenumber AS citation_id FROM lineitem""",
     "chunks": """SELECT doc_id * 16777216 + i - 1 AS chunk_id, doc_id, source AS source_id, CAST(i - 1 AS INTEGER) AS chunk_index, lines[i] AS content FROM

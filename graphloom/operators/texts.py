@@ -108,9 +108,14 @@ def fn_sentences(spark, d):
     return t.split_sentences(_docs(spark, d).select("doc_id", "text")).select("doc_id", F.size("sentences").alias("n"))
 
 
-@query("text_web_basic", """SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<nav[^>]*>.*?</nav>', '', 'g'), '(?is)<footer[^>]*>.*?</footer>', '', 'g'), '(?is)<header[^>]*>.*?</header>', '', 'g'), '(?is)<aside[^>]*>.*?</aside>', '', 'g'),
-  '(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr)[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \\t]+', ' ', 'g'), '\\n[ \\n]*\\n', chr(10) || chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')) AS digest FROM pages""")
+def web_basic_sql(html: str = "html") -> str:
+    """(page_id, digest) of pages' text by the same rules."""
+    return """SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(""" + html + """, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<nav[^>]*>.*?</nav>', '', 'g'), '(?is)<footer[^>]*>.*?</footer>', '', 'g'), '(?is)<header[^>]*>.*?</header>', '', 'g'), '(?is)<aside[^>]*>.*?</aside>', '', 'g'),
+  '(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr)[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \\t]+', ' ', 'g'), '\\n[ \\n]*\\n', chr(10) || chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')) AS digest FROM pages"""
+
+
+@query("text_web_basic", web_basic_sql())
 def text_web_basic(spark, d):
     return m.table(spark, d, "pages").select("page_id", F.md5(t.web_basic("html")).alias("digest"))
 
@@ -159,7 +164,7 @@ _HEADS = ("- one\n- two of it\n* three\n", "Copyright 2020. All rights reserved.
 
 def _category_sql() -> str:
     heads = "[" + ", ".join("'" + h.replace("\n", "' || chr(10) || '") + "'" for h in _HEADS) + "]"
-    steps = [f"c0 AS (SELECT doc_id, {heads}[doc_id % 8 + 1] || CASE WHEN doc_id % 16 < 8 THEN text ELSE left(text, 90) END AS clean, '' AS categories FROM documents)"]
+    steps = [f"c0 AS (SELECT doc_id, {heads}[doc_id % 8 + 1] || text AS clean, '' AS categories FROM documents)"]
     for k, name in enumerate(_KINDS):
         c = CATEGORIES[name]
         pattern = c.pattern.replace("'", "''")
@@ -178,7 +183,7 @@ def _category_sql() -> str:
 def content_category(spark, d):
     """What eight categories, one after the other, take out of documents that start with things of that kind."""
     head = F.get(F.array(*[F.lit(h) for h in _HEADS]), (F.col("doc_id") % 8).cast("int"))
-    rows = _docs(spark, d).select("doc_id", F.concat(head, F.when(F.col("doc_id") % 16 < 8, F.col("text")).otherwise(F.left("text", F.lit(90)))).alias("text"))
+    rows = _docs(spark, d).select("doc_id", F.concat(head, F.col("text")).alias("text"))
     found = stripped(rows, _KINDS)
     return found.select("doc_id", F.md5("clean").alias("digest"), F.array_join(F.transform("categories", lambda c: F.concat(F.lit(" "), c)), "").alias("categories"), "excluded")
 
@@ -198,7 +203,7 @@ def parse_llm_lines(spark, d):
 
 @query("citation_extract", "SELECT doc_id, 'chunk' || (doc_id % 7) AS cited, 'S1,S' || (doc_id % 5 + 1) AS refs FROM documents")
 def citation_extract(spark, d):
-    answer = F.concat(F.substring("text", 1, 20), F.lit("[[cite:chunk"), F.col("doc_id") % 7, F.lit(":S1,S"), F.col("doc_id") % 5 + 1, F.lit("|see]] and [[node_x|y]]"))
+    answer = F.concat(F.coalesce("text", F.lit("")), F.lit("[[cite:chunk"), F.col("doc_id") % 7, F.lit(":S1,S"), F.col("doc_id") % 5 + 1, F.lit("|see]] and [[node_x|y]]"))
     return _docs(spark, d).select("doc_id", F.explode(t.citations_in(answer)).alias("c")).select("doc_id", F.col("c.id").alias("cited"), "c.refs")
 
 

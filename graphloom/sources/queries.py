@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom import model as m
 from graphloom.catalog import query
 from graphloom.functions import pages
+from graphloom.operators import texts
 from graphloom.plans.scratch import scratch_path
 from graphloom.sources import loaders
 
@@ -41,11 +42,16 @@ def scan_text(spark, d):
     return loaders.load(spark, f"{path}/*.txt").select("content")
 
 
-@query("scan_html", "SELECT count(*) AS pages FROM pages WHERE page_id < 5")
+_PAGE_TEXT = "regexp_replace(html, '\\n', ' ', 'g') || chr(10)"
+
+
+@query("scan_html", texts.web_basic_sql(_PAGE_TEXT))
 def scan_html(spark, d):
+    """Every page written as a file of its own by the executors, and read as text."""
     path = scratch_path(spark, "html")
-    m.table(spark, d, "pages").where("page_id < 5").select("page_id", F.regexp_replace("html", "\n", " ").alias("value")).repartition(1).write.partitionBy("page_id").text(path)
-    return loaders.load_html(spark, f"{path}/*/*.txt").where(~F.col("content").contains("<p>") & (F.length("content") > 0)).agg(F.count("*").alias("pages"))
+    m.table(spark, d, "pages").select("page_id", F.regexp_replace("html", "\n", " ").alias("value")).repartitionByRange("page_id").write.partitionBy("page_id").text(path)
+    found = loaders.load_html(spark, f"{path}/*/*.txt")
+    return found.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), F.md5("content").alias("digest"))
 
 
 def _put(spark, path: str, data: bytes) -> None:
