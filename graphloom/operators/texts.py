@@ -188,6 +188,21 @@ def content_category(spark, d):
     return found.select("doc_id", F.md5("clean").alias("digest"), F.array_join(F.transform("categories", lambda c: F.concat(F.lit(" "), c)), "").alias("categories"), "excluded")
 
 
+_CUSTOM = [{"regex": "^(the|der|la) ", "mode": "line_ratio", "threshold": 0.2}, {"regex": "(unclosed", "mode": "count"}, {"regex": "ING", "threshold": 40}]
+
+
+@query("content_custom", """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), h AS (SELECT doc_id, lines, list_filter(lines, lambda x: trim(x, ' ') <> '') AS full_, list_filter(lines, lambda x: regexp_matches(x, '(?i)^(the|der|la) ')) AS alike FROM l),
+  a AS (SELECT doc_id, len(full_) > 0 AND len(alike) / len(full_) >= 0.2 AS hit, array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '(?i)^(the|der|la) ')), chr(10)) AS left_, array_to_string(lines, chr(10)) AS whole FROM h),
+  b AS (SELECT doc_id, hit, CASE WHEN hit THEN left_ ELSE whole END AS clean FROM a), c AS (SELECT *, len(regexp_extract_all(clean, '(?i)ing')) >= 40 AS many FROM b)
+  SELECT doc_id, md5(CASE WHEN many THEN '' ELSE clean END) AS digest, CASE WHEN hit THEN 'custom_0 ' ELSE '' END || CASE WHEN many THEN 'custom_2 ' ELSE '' END AS custom FROM c""")
+def content_custom(spark, d):
+    """Categories of users' patterns, one of which doesn't compile."""
+    from graphloom.functions.user_patterns import compiled, strip_categories
+
+    found = strip_categories(_docs(spark, d).select("doc_id", "text"), compiled(_CUSTOM)[0])
+    return found.select("doc_id", F.md5("clean").alias("digest"), F.array_join(F.transform("custom", lambda c: F.concat(c, F.lit(" "))), "").alias("custom"))
+
+
 @query("parse_llm_lines", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'E' WHEN 1 THEN 'R' WHEN 2 THEN 'P' END AS kind, p_partkey % 4 < 3 AND p_partkey % 9 <> 0 AS valid FROM part")
 def parse_llm_lines(spark, d):
     k, cut = F.col("p_partkey") % 4, F.when(F.col("p_partkey") % 9 == 0, F.lit("|surplus|more")).otherwise(F.lit(""))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import importlib
 import importlib.metadata
+import inspect
 import re
-import time
 from collections.abc import Callable
 from typing import Generic, TypeVar
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as t
+from graphloom.functions.user_patterns import UserPattern
 
 T = TypeVar("T")
 
@@ -137,8 +139,71 @@ def clean_text(rows: DataFrame, text: str = "text") -> DataFrame:
 
 @_tool("text.match")
 def match_text(rows: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
-    """Whether a user's pattern, if it is a safe one, is found."""
-    return rows.withColumn(out, F.col(text).rlike(safe_pattern(pattern)))
+    """Whether a user's pattern is found, false where that takes too long; null texts have no answer."""
+    own = UserPattern(pattern)
+
+    @F.pandas_udf("boolean")
+    def found(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else own.search(v))
+
+    return rows.withColumn(out, found(text))
+
+
+@_tool("ai.generate_embedding")
+def generate_embedding(rows: DataFrame, text: str, out: str, embed: Callable[[Column], Column]) -> DataFrame:
+    """Add the vectors of texts, by an injected column function."""
+    return rows.withColumn(out, embed(F.col(text)))
+
+
+@_tool("ai.vector_search")
+def vector_search(rows: DataFrame, path: str, key: str, vector: str, k: int = 10, exact: bool = False) -> DataFrame:
+    """(query_id, id, score): the nearest ``k`` of a stored index for each row's vector."""
+    from graphloom.operators.vector_index import search_many
+
+    return search_many(rows.select(F.col(key).alias("query_id"), F.col(vector).alias("embedding")), path, k, exact=exact)
+
+
+@_tool("ai.prompt")
+def prompt(rows: DataFrame, template: str, out: str, ask: Callable[[Column], Column]) -> DataFrame:
+    """Add a model's answers, by an injected column function, to a prompt in which ``{column}`` stands for a row's value."""
+    parts = [F.coalesce(F.col(p[1:-1]).cast("string"), F.lit("")) if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", template) if p]
+    return rows.withColumn(out, ask(F.concat(*parts) if parts else F.lit("")))
+
+
+@_tool("ai.extract_json")
+def extract_json(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the JSON value (VARIANT) that a model's answer holds: in a fenced block, alone, or from its first bracket to its last; null if there is none."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    inner = F.regexp_extract(c, r"(?s)(\{.*\}|\[.*\])", 1)
+    whole = lambda x: F.try_parse_json(F.when(F.trim(x) != "", x))
+    return rows.withColumn(out, F.coalesce(whole(fenced), whole(c), whole(inner)))
+
+
+@_tool("templates.list")
+def list_templates(nodes: DataFrame, edges: DataFrame | None = None, kind: str | None = None) -> DataFrame:
+    """(name, kind, uses) of the templates of nodes and, if given, edges, most used first."""
+    found = nodes.groupBy(F.col("template_id").alias("name")).agg(F.count("*").alias("uses")).withColumn("kind", F.lit("node"))
+    if edges is not None:
+        found = found.unionByName(edges.groupBy(F.col("template_id").alias("name")).agg(F.count("*").alias("uses")).withColumn("kind", F.lit("edge")))
+    found = found.where("name is not null").select("name", "kind", "uses")
+    return (found if kind is None else found.where(F.col("kind") == kind)).orderBy(F.desc("uses"), "name", "kind")
+
+
+def tool_schema(name: str) -> dict:
+    """A tool's inputs as JSON schema, from its signature: names, types, defaults, which are required, and what it says of itself."""
+    kinds = {"str": "string", "int": "integer", "float": "number", "bool": "boolean", "list": "array", "dict": "object", "DataFrame": "table", "Callable": "function"}
+    tool, properties, required = TOOLS[name], {}, []
+    for n, p in inspect.signature(tool).parameters.items():
+        said = str(p.annotation)
+        properties[n] = {"type": kinds.get(re.match(r"\w*", said)[0], "string")}
+        if "| None" in said:
+            properties[n]["nullable"] = True
+        if p.default is inspect.Parameter.empty:
+            required.append(n)
+        else:
+            properties[n]["default"] = p.default
+    return {"name": name, "description": inspect.getdoc(tool), "input": {"type": "object", "properties": properties, "required": required}, "output": {"type": "table"}}
 
 
 #: What makes a user's pattern unsafe: a repeated group that repeats inside or chooses between alternatives, and references back.
@@ -164,25 +229,19 @@ def safe_pattern(pattern: str) -> str:
 
 
 class TimedPatterns:
-    """Users' patterns with a budget of time: one that is over it for some texts ``most`` times is switched off."""
+    """Users' patterns with a limit of time that stops a match: one that reaches it for some texts ``most`` times is switched off."""
 
     def __init__(self, patterns: dict[str, str], seconds: float = 0.1, most: int = 3):
-        self.patterns = {n: re.compile(safe_pattern(p)) for n, p in patterns.items()}
-        self.seconds, self.most = seconds, most
-        self.timeouts = dict.fromkeys(patterns, 0)
+        self.patterns = {n: UserPattern(p, seconds) for n, p in patterns.items()}
+        self.most = most
+
+    @property
+    def timeouts(self) -> dict[str, int]:
+        return {n: p.timeouts for n, p in self.patterns.items()}
 
     def search(self, text: str) -> list[str]:
         """Names of the patterns found in a text."""
-        found = []
-        for name, pattern in self.patterns.items():
-            if self.timeouts[name] >= self.most:
-                continue
-            began = time.monotonic()
-            if pattern.search(text):
-                found.append(name)
-            if time.monotonic() - began > self.seconds:
-                self.timeouts[name] += 1
-        return found
+        return [n for n, p in self.patterns.items() if p.timeouts < self.most and p.search(text)]
 
 
 def clean(docs: DataFrame, text: str = "text", out: str = "text") -> DataFrame:

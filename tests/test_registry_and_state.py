@@ -1,5 +1,6 @@
 """Tools of workflows, users' patterns, and stateful streams against plain loops."""
 
+import time
 from collections import defaultdict
 
 import pytest
@@ -7,7 +8,10 @@ from pyspark.sql import functions as F
 
 from graphloom import catalog
 from graphloom import model as m
-from graphloom.registry import TOOLS, Registry, TimedPatterns, UnsafePattern, safe_pattern
+from graphloom.functions import user_patterns
+from graphloom.operators import vector_index
+from graphloom.plans.scratch import scratch_path
+from graphloom.registry import TOOLS, Registry, TimedPatterns, UnsafePattern, safe_pattern, tool_schema
 from graphloom.streaming import queries as q
 
 
@@ -31,8 +35,37 @@ def test_safe_patterns():
             safe_pattern(bad)
     for good in ("a+b", "[0-9]{2,4}", "(abc)", "(a|b)", "x.*y"):
         assert safe_pattern(good) == good
-    slow = TimedPatterns({"a": "a", "b": "b"}, seconds=-1, most=2)
-    assert slow.search("ab") == ["a", "b"] and slow.search("ab") == ["a", "b"] and slow.search("ab") == [] and slow.timeouts == {"a": 2, "b": 2}
+    slow = TimedPatterns({"a": "(a|aa)+$", "b": "B"}, seconds=0.05, most=2)
+    text = "a" * 60 + "b"
+    began = time.monotonic()
+    assert [slow.search(text) for _ in range(5)] == [["b"]] * 5 and slow.timeouts == {"a": 2, "b": 0} and time.monotonic() - began < 2
+
+
+def test_custom_categories(spark):
+    specs = [{"regex": "(x", "mode": "count"}, {"regex": "^note:", "mode": "line_ratio", "threshold": 0.5}, {"mode": "count"}, {"regex": "a" * 513}, {"regex": "SPAM", "threshold": 2}, {"regex": "(a|aa)+$"}, {"regex": "x", "mode": "odd"}]
+    found, errors = user_patterns.compiled(specs)
+    assert [c.name for c in found] == ["custom_1", "custom_4", "custom_5"] and [e["index"] for e in errors] == [0, 2, 3, 6]
+    rows = [(1, "Note: a\nnote: b\nrest of it"), (2, "spam and spam"), (3, None), (4, "a" * 60 + "b"), (5, "one spam\n\n" + "long " * 40)]
+    table = spark.createDataFrame(rows, "id int, text string").withColumn("timeouts", F.lit("old"))
+    got = {r.id: (r.clean, r.custom, r.timeouts, r.excluded) for r in user_patterns.strip_categories(table, found).collect()}
+    assert got == {1: ("rest of it", ["custom_1"], 0, True), 2: ("", ["custom_4"], 0, True), 3: ("", [], 0, False), 4: ("a" * 60 + "b", [], 1, False), 5: (rows[4][1], [], 0, False)}
+
+
+def test_model_tools(spark):
+    rows = spark.createDataFrame([(1, 'So: ```json\n{"a": 1}\n```'), (2, "[1, 2]"), (3, 'It is {"b": [2]}.'), (4, "none"), (5, None)], "id int, answer string")
+    got = {r.id: r.j for r in TOOLS["ai.extract_json"](rows, "answer", "v").selectExpr("id", "to_json(v) AS j").collect()}
+    assert got == {1: '{"a":1}', 2: "[1,2]", 3: '{"b":[2]}', 4: None, 5: None}
+    asked = TOOLS["ai.prompt"](rows, "{id}: what is {answer}?", "said", F.upper).orderBy("id").collect()
+    assert asked[1].said == "2: WHAT IS [1, 2]?" and asked[4].said == "5: WHAT IS ?"
+    vectors = TOOLS["ai.generate_embedding"](rows, "answer", "embedding", lambda c: F.array(F.coalesce(F.length(c), F.lit(1)).cast("double"), F.lit(1.0)))
+    path = scratch_path(spark, "tool")
+    vector_index.build_vector_index(vectors, path, "id")
+    near = TOOLS["ai.vector_search"](vectors, path, "id", "embedding", 1, exact=True)
+    assert {(r.query_id, r.id) for r in near.collect()} == {(k, k) for k in range(1, 6)}
+    nodes = spark.createDataFrame([("a", "P"), ("b", "P"), ("c", None), ("d", "Q")], "id string, template_id string")
+    assert [tuple(r) for r in TOOLS["templates.list"](nodes, nodes, "edge").collect()] == [("P", "edge", 2), ("Q", "edge", 1)]
+    schema = tool_schema("data.sort")
+    assert schema["input"]["required"] == ["rows", "by"] and schema["input"]["properties"]["limit"] == {"type": "integer", "nullable": True, "default": None} and schema["description"].startswith("Rows in the order")
 
 
 def test_registry_discovers_and_reloads():
