@@ -144,26 +144,39 @@ def path_extract(spark, d):
     )
 
 
-@query("prop_validate", """SELECT event_id, (CASE WHEN TRY_CAST(v AS BIGINT) IS NULL THEN 1 ELSE 0 END) + (CASE WHEN event_type NOT IN ('view', 'click') THEN 1 ELSE 0 END) AS n_errors FROM
-  (SELECT event_id, event_type, CASE WHEN event_id % 4 = 0 THEN 'x' || event_id ELSE CAST(user_id AS VARCHAR) END AS v FROM events)""")
+_CHECKED = [
+    {"name": "count", "type": "integer", "required": True}, {"name": "share", "type": "float"}, {"name": "flag", "type": "boolean"}, {"name": "day", "type": "date"}, {"name": "at", "type": "datetime"},
+    {"name": "home", "type": "url"}, {"name": "mail", "type": "email"}, {"name": "kind", "type": "enum", "values": ["view", "click"]}, {"name": "code", "type": "string", "pattern": "^[A-Z]-[0-9]+$"}, {"name": "note", "type": "text", "required": True},
+]
+
+
+@query("prop_validate", """WITH p AS (SELECT event_id, event_type, event_id % 4 AS a, event_id % 5 AS b, event_id % 7 AS c, user_id FROM events)
+  SELECT event_id, array_to_string(list_filter([CASE WHEN a = 0 THEN 'count: not integer' WHEN a = 1 THEN 'count: required' END, CASE WHEN b = 0 THEN 'share: not float' END, CASE WHEN b = 1 THEN 'flag: not boolean' END, CASE WHEN c = 0 THEN 'day: not date' END, CASE WHEN c = 1 THEN 'at: not datetime' END,
+    CASE WHEN c = 2 THEN 'home: not url' END, CASE WHEN c = 3 THEN 'mail: not email' END, CASE WHEN event_type NOT IN ('view', 'click') THEN 'kind: not enum' END, CASE WHEN user_id % 3 = 0 THEN 'code: not string' END, CASE WHEN user_id % 5 = 0 THEN 'note: required' END], lambda x: x IS NOT NULL), '; ') AS errors FROM p""")
 def prop_validate(spark, d):
-    """Errors of each row against a template: an integer and an enumeration."""
+    """Errors of each row against a template of all ten types."""
     from graphloom.functions.properties import property_errors
 
-    rows = m.table(spark, d, "events").select(
-        "event_id", F.create_map(F.lit("count"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("x"), F.col("event_id"))).otherwise(F.col("user_id").cast("string")), F.lit("kind"), F.col("event_type")).alias("properties")
-    )
-    template = [{"name": "count", "type": "integer", "required": True}, {"name": "kind", "type": "enum", "values": ["view", "click"]}]
-    return rows.select("event_id", F.size(property_errors("properties", template)).alias("n_errors"))
+    e, lit = F.col("event_id"), F.lit
+    put = {
+        "count": F.when(e % 4 == 0, F.concat(lit("x"), e)).when(e % 4 != 1, F.col("user_id").cast("string")), "share": F.when(e % 5 == 0, "1,5").otherwise("1.5e-3"), "flag": F.when(e % 5 == 1, "yes").otherwise("True"),
+        "day": F.when(e % 7 == 0, "2024-02-30").otherwise("2024-02-29"), "at": F.when(e % 7 == 1, "noon").otherwise("2024-02-29T12:30:00"), "home": F.when(e % 7 == 2, "ftp://x").otherwise("https://a.b/c?d=1"), "mail": F.when(e % 7 == 3, "a@b").otherwise("a.b@c.de"),
+        "kind": F.col("event_type"), "code": F.concat(F.when(F.col("user_id") % 3 == 0, "a-").otherwise("A-"), F.col("user_id")), "note": F.when(F.col("user_id") % 5 != 0, "any\ntext"),
+    }
+    pairs = [x for k, v in put.items() for x in (lit(k), v)]
+    return m.table(spark, d, "events").select("event_id", F.array_join(property_errors(F.create_map(*pairs), _CHECKED), "; ").alias("errors"))
 
 
-@query("conditional", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'then' ELSE 'else' END AS branch FROM events")
+_LITERALS = (("True", True), ("False", False), ("None", False), ("0", False), ("0.0", False), ("-2", True), ("''", False), ("'x'", True), ("[]", False), ("[0]", True), ("{}", False), ("{'a': 1}", True), ("()", False), ("(1,)", True), ("not a literal (", False), ("", False))
+
+
+@query("conditional", f"SELECT event_id, CASE WHEN [{', '.join(str(t).lower() for _, t in _LITERALS)}][event_id % {len(_LITERALS)} + 1] THEN event_type ELSE 'user ' || user_id END AS branch FROM events")
 def conditional(spark, d):
+    """One of two values by the truth of a literal, of every kind; what is none is false."""
     from graphloom.functions.properties import truthy
 
-    raw = F.element_at(F.array(F.lit("0"), F.lit("[1]"), F.lit("'x'")), ((F.col("event_id") % 3) + 1).cast("int"))
-    raw = F.when(F.col("event_id") % 3 == 0, F.lit("True")).otherwise(F.when(F.col("event_id") % 3 == 1, F.lit("0")).otherwise(F.lit("not a literal (")))
-    return m.table(spark, d, "events").select("event_id", F.when(truthy(raw), "then").otherwise("else").alias("branch"))
+    raw = F.get(F.array(*[F.lit(x) for x, _ in _LITERALS]), (F.col("event_id") % len(_LITERALS)).cast("int"))
+    return m.table(spark, d, "events").select("event_id", F.when(truthy(raw), F.col("event_type")).otherwise(F.concat(F.lit("user "), "user_id")).alias("branch"))
 
 
 @query("loop", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS iteration, w[i] AS item FROM (SELECT doc_id, w, unnest(range(1, least(len(w), 4) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))")
@@ -317,10 +330,32 @@ def delete_cascade(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple
     return nodes.join(ids, nodes.id == F.col("_id"), "left_anti"), kept
 
 
-@query("delete_cascade", sql("""SELECT template_id, count(*) AS edges_left FROM edges WHERE src NOT IN ('n:1', 'n:2', 's:3', 'zz') AND dst NOT IN ('n:1', 'n:2', 's:3', 'zz') GROUP BY template_id"""))
+def deletion_report(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """(id, found, edges): for each id of ``gone`` whether there is such a node and how many edges at it go; a self loop is one edge."""
+    wanted = gone.select("id").distinct()
+    known = nodes.select("id").distinct().withColumn("found", F.lit(True))
+    ends = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id")).join(wanted, "id", "left_semi").groupBy("id").agg(F.count("*").alias("edges"))
+    return wanted.join(known, "id", "left").join(ends, "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"), F.when(F.col("found"), F.coalesce("edges", F.lit(0))).otherwise(0).cast("bigint").alias("edges"))
+
+
+def _gone(spark, d) -> DataFrame:
+    """Every third supplier and nation, and as many ids that no node has."""
+    some = m.nodes(spark, d).where(F.col("template_id").isin("supplier", "nation") & (F.right("id", F.lit(1)).cast("int") % 3 == 0)).select("id")
+    return some.unionByName(some.select(F.concat(F.lit("no "), "id").alias("id"))).unionByName(some)
+
+
+_GONE = "g AS (SELECT id FROM nodes WHERE template_id IN ('supplier', 'nation') AND CAST(right(id, 1) AS INTEGER) % 3 = 0)"
+
+
+@query("delete_cascade", sql(f"WITH {_GONE} SELECT template_id, count(*) AS edges_left FROM edges WHERE src NOT IN (SELECT id FROM g) AND dst NOT IN (SELECT id FROM g) GROUP BY template_id"))
 def delete_cascade_query(spark, d):
-    gone = spark.createDataFrame([("n:1",), ("n:2",), ("s:3",), ("zz",)], "id string")
-    return delete_cascade(m.nodes(spark, d), m.edges(spark, d), gone)[1].groupBy("template_id").agg(F.count("*").alias("edges_left"))
+    return delete_cascade(m.nodes(spark, d), m.edges(spark, d), _gone(spark, d))[1].groupBy("template_id").agg(F.count("*").alias("edges_left"))
+
+
+@query("delete_report", sql(f"WITH {_GONE}, c AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges WHERE src <> dst) GROUP BY id) SELECT g.id, true AS found, coalesce(n, 0) AS edges FROM g LEFT JOIN c ON c.id = g.id UNION ALL SELECT 'no ' || id, false, 0 FROM g"))
+def delete_report(spark, d):
+    """What a deletion takes along, and what it doesn't find."""
+    return deletion_report(m.nodes(spark, d), m.edges(spark, d), _gone(spark, d))
 
 
 def node_id(database: str, source: Column, template: Column, label: Column) -> Column:
@@ -397,19 +432,48 @@ def relation_resolve(spark, d):
     return r.join(a, ["source", "source_id"]).join(b, ["target", "source_id"], "left_semi").select("ordinal", "source_name")
 
 
-@query("inverse_edges", sql("""SELECT template_id, count(*) AS n FROM (SELECT template_id FROM edges UNION ALL SELECT CASE template_id WHEN 'part_of' THEN 'has_part' ELSE 'bought_by' END FROM edges WHERE template_id IN ('part_of', 'bought')) GROUP BY template_id"""))
+def with_inverses(edges: DataFrame, types: DataFrame) -> DataFrame:
+    """Edges (src, dst, template_id, properties) and, for types with an inverse, the same turned around under its name.
+
+    ``types`` has (name, inverse, symmetric). A turned edge names its type in the property ``inverse_of``; symmetric types, types that are their own inverse, and self loops
+    get none, and one that is there already isn't made again.
+    """
+    named = types.where("inverse is not null and inverse <> name and not coalesce(symmetric, false)").select(F.col("name").alias("_name"), "inverse").dropDuplicates(["_name"])
+    turned = edges.join(named, edges.template_id == F.col("_name")).where("src <> dst").select(
+        F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("inverse").alias("template_id"), F.map_concat(F.map_filter(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda k, v: k != "inverse_of"), F.create_map(F.lit("inverse_of"), "_name")).alias("properties")
+    )
+    fresh = turned.join(edges.select("src", "dst", "template_id"), ["src", "dst", "template_id"], "left_anti").dropDuplicates(["src", "dst", "template_id"])
+    return edges.select("src", "dst", "template_id", "properties").unionByName(fresh)
+
+
+@query("inverse_edges", sql("""WITH t AS (SELECT * FROM (VALUES ('part_of', 'has_part'), ('bought', 'bought_by'), ('located_in', 'supplied_by')) t(name, inverse)),
+  i AS (SELECT DISTINCT dst AS src, src AS dst, inverse AS template_id, name FROM edges JOIN t ON name = template_id WHERE src <> dst), f AS (SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = i.src AND e.dst = i.dst AND e.template_id = i.template_id))
+  SELECT template_id, inverse_of, count(*) AS n FROM (SELECT template_id, NULL AS inverse_of FROM edges UNION ALL SELECT template_id, name FROM f) GROUP BY ALL"""))
 def inverse_edges(spark, d):
-    e = m.edges(spark, d).select("src", "dst", "template_id")
-    inverse = spark.createDataFrame([("part_of", "has_part"), ("bought", "bought_by")], "template_id string, inverse string")
-    turned = e.join(F.broadcast(inverse), "template_id").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("inverse").alias("template_id"))
-    return e.unionByName(turned).groupBy("template_id").agg(F.count("*").alias("n"))
+    """Some types have inverses; trade is symmetric, and a type that is its own inverse needs none."""
+    e = m.edges(spark, d).select("src", "dst", "template_id", F.lit(None).cast("map<string,string>").alias("properties"))
+    types = spark.createDataFrame([("part_of", "has_part", False), ("bought", "bought_by", None), ("located_in", "supplied_by", False), ("trades_with", "sells_to", True), ("refers_to", "refers_to", False), ("supplied_by", None, False)], "name string, inverse string, symmetric boolean")
+    return with_inverses(e, types).groupBy("template_id", F.col("properties")["inverse_of"].alias("inverse_of")).agg(F.count("*").alias("n"))
+
 
+def matched_templates(entities: DataFrame, templates: DataFrame, default: str = "Entity") -> DataFrame:
+    """Add template and matched: the template of the entity's source whose name is its type but for case and blanks around, else ``default``.
 
-@query("template_match", sql("SELECT ordinal, CASE WHEN lower(type) IN ('economy', 'promo') THEN lower(type) ELSE 'entity' END AS template FROM entities"))
+    ``templates`` has (source_id, name); of names that differ in case only the first by name counts.
+    """
+    key = lambda c: F.lower(F.trim(c))
+    named = templates.groupBy(F.col("source_id").alias("_source"), key("name").alias("_key")).agg(F.min("name").alias("_template"))
+    found = entities.join(named, (entities.source_id == F.col("_source")) & (key(entities.type) == F.col("_key")), "left")
+    return found.withColumns({"matched": F.col("_template").isNotNull(), "template": F.coalesce("_template", F.lit(default))}).drop("_source", "_key", "_template")
+
+
+@query("template_match", sql("""WITH t AS (SELECT source_id, lower(trim(type, ' ')) AS k, min(name) AS name FROM (SELECT source_id, type, CASE WHEN ordinal % 2 = 0 THEN upper(type) ELSE type END AS name FROM mentions WHERE ordinal % 8 < 4 AND type <> 'Unknown') GROUP BY 1, 2)
+  SELECT m.ordinal, coalesce(t.name, 'Entity') AS template, t.name IS NOT NULL AS matched FROM mentions m LEFT JOIN t ON t.source_id = m.source_id AND t.k = lower(trim(m.type, ' '))"""))
 def template_match(spark, d):
-    known = spark.createDataFrame([("economy",), ("promo",)], "template string")
-    e = m.entities(spark, d)
-    return e.join(F.broadcast(known), F.lower("type") == F.col("template"), "left").select("ordinal", F.coalesce("template", F.lit("entity")).alias("template"))
+    """Templates are those of the source's first four entities, some in capitals."""
+    e = m.mentions(spark, d)
+    templates = e.where("ordinal % 8 < 4 AND type <> 'Unknown'").select("source_id", F.when(F.col("ordinal") % 2 == 0, F.upper("type")).otherwise(F.col("type")).alias("name"))
+    return matched_templates(e, templates).select("ordinal", "template", "matched")
 
 
 # ---- sorts and pages -----------------------------------------------------------------------
@@ -492,6 +556,22 @@ def package_union_namespace(spark, d):
     return compose([("one", n.where("template_id = 'nation'")), ("two", n.where("template_id in ('nation', 'region')"))], "namespace")
 
 
-@query("alias_union", sql("SELECT name, string_agg(DISTINCT brand, ',' ORDER BY brand) AS aliases FROM entities GROUP BY name"))
+def united(entities: DataFrame, by: list[str]) -> DataFrame:
+    """(by, aliases, descriptors, source_chunk_indices, merged): arrays of merged entities as sets, sorted; the name itself is no alias. Nulls and empty texts are left out."""
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter("aliases", lambda x: F.trim(x) != "")))))
+    sets = entities.groupBy(*by).agg(
+        names.alias("aliases"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter("descriptors", lambda x: F.trim(x) != ""))))).alias("descriptors"),
+        F.array_sort(F.collect_set("chunk_index")).alias("source_chunk_indices"), F.count("*").alias("merged"),
+    )
+    return sets.withColumn("aliases", F.filter("aliases", lambda x: x != F.col("name"))) if "name" in by else sets
+
+
+@query("alias_union", sql("""WITH e AS (SELECT name, brand, type, n_chunks AS chunk_index, CASE WHEN ordinal % 3 = 0 THEN name ELSE lower(brand) END AS other FROM entities)
+  SELECT name, (SELECT coalesce(string_agg(DISTINCT x, ',' ORDER BY x), '') FROM (SELECT brand AS x FROM e f WHERE f.name = e.name UNION SELECT other FROM e f WHERE f.name = e.name) WHERE x <> e.name) AS aliases,
+  (SELECT coalesce(string_agg(DISTINCT type, ',' ORDER BY type), '') FROM e f WHERE f.name = e.name) AS descriptors, string_agg(DISTINCT chunk_index, ',' ORDER BY chunk_index) AS chunks, count(*) AS merged FROM e GROUP BY name"""))
 def alias_union(spark, d):
-    return m.entities(spark, d).groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("brand")), ",").alias("aliases"))
+    """Aliases, descriptors and chunks of entities with one name."""
+    other = F.when(F.col("ordinal") % 3 == 0, F.col("name")).otherwise(F.lower("brand"))
+    e = m.entities(spark, d).select("name", F.array("brand", other, F.lit(" ")).alias("aliases"), F.array("type").alias("descriptors"), F.col("n_chunks").alias("chunk_index"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return united(e, ["name"]).select("name", text("aliases").alias("aliases"), text("descriptors").alias("descriptors"), text("source_chunk_indices").alias("chunks"), "merged")

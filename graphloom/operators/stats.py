@@ -209,10 +209,27 @@ def token_cost(spark, d):
     return priced(m.metrics(spark, d), PRICES).groupBy("model").agg(F.round(F.sum("cost"), 6).alias("cost"))
 
 
-@query("daily_spend", sql("SELECT day, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens, count(*) AS calls, sum(input_tokens + output_tokens) > 400000 AS over_cap FROM metrics GROUP BY day"))
+def added_spend(stored: DataFrame, calls: DataFrame) -> DataFrame:
+    """(source_id, day, tokens, calls): what was stored with the tokens of new ``calls`` (source_id, day, tokens) added, a row per source and day."""
+    fresh = calls.groupBy("source_id", "day").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("calls"))
+    return stored.select("source_id", "day", "tokens", "calls").unionByName(fresh).groupBy("source_id", "day").agg(F.sum("tokens").alias("tokens"), F.sum("calls").alias("calls"))
+
+
+def spend_checks(spend: DataFrame, source_cap: int, day_cap: int) -> DataFrame:
+    """Add source_tokens, day_tokens and blocked: source, day or null, the cap that is reached; the source's, over all its days, first."""
+    of_source, of_day = spend.groupBy("source_id").agg(F.sum("tokens").alias("source_tokens")), spend.groupBy("day").agg(F.sum("tokens").alias("day_tokens"))
+    blocked = F.when(F.col("source_tokens") >= source_cap, "source").when(F.col("day_tokens") >= day_cap, "day")
+    return spend.join(of_source, "source_id").join(of_day, "day").withColumn("blocked", blocked)
+
+
+@query("daily_spend", sql("""WITH c AS (SELECT source_id, day, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens, count(*) AS calls FROM metrics GROUP BY ALL), s AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY source_id) AS BIGINT) AS source_tokens, CAST(sum(tokens) OVER (PARTITION BY day) AS BIGINT) AS day_tokens FROM c)
+  SELECT *, CASE WHEN source_tokens >= 480000 THEN 'source' WHEN day_tokens >= 400000 THEN 'day' END AS blocked FROM s"""))
 def daily_spend(spark, d):
-    t = F.sum(F.col("input_tokens") + F.col("output_tokens"))
-    return m.metrics(spark, d).groupBy("day").agg(t.alias("tokens"), F.count("*").alias("calls"), (t > 400000).alias("over_cap"))
+    """Spend per source and day, added up from two halves of the calls, and the caps that it reaches."""
+    calls = m.metrics(spark, d).select("id", "source_id", "day", (F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
+    none = calls.limit(0).select("source_id", "day", "tokens", F.lit(0).cast("bigint").alias("calls"))
+    stored = added_spend(none, calls.where("id % 2 = 0"))
+    return spend_checks(added_spend(stored, calls.where("id % 2 = 1")), 480000, 400000)
 
 
 @query("workflow_stats", sql("SELECT user_id, count(*) AS total, count(*) FILTER (WHERE success) AS completed, round(100.0 * count(*) FILTER (WHERE success) / count(*), 2) AS success_rate, round(avg(duration_ms) FILTER (WHERE success), 2) AS avg_duration, min(duration_ms) FILTER (WHERE success) AS min_duration, max(duration_ms) FILTER (WHERE success) AS max_duration FROM metrics GROUP BY user_id"))

@@ -72,12 +72,39 @@ def depth_sample(spark, d):
     return c.join(n, "doc_id").where((F.col("chunk_index") % F.col("step") == 0) & (F.col("chunk_index") / F.col("step") < 5)).select("doc_id", "chunk_index")
 
 
-@query("offset_aggregate", sql("SELECT source_id, chunk, CAST(coalesce(sum(n) OVER (PARTITION BY source_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_global FROM (SELECT source_id, ordinal % 50 AS chunk, count(*) AS n FROM entities GROUP BY 1, 2)"))
+def globalised(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relations with global ends, dropped per source): chunk-local places of entities become places in the source by the entities of the chunks before.
+
+    ``entities`` has (source_id, chunk_index), ``relations`` (source_id, chunk_index, source, target, anything else). Ends outside their chunk's entities are invalid: such
+    relations are dropped and counted as (source_id, dropped). A source has a row per chunk in the window.
+    """
+    per = entities.groupBy("source_id", "chunk_index").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("source_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = per.withColumn("_first", F.coalesce(before, F.lit(0).cast("bigint")))
+    met = relations.join(offsets, ["source_id", "chunk_index"], "left")
+    inside = lambda c: F.coalesce((F.col(c) >= 0) & (F.col(c) < F.col("_n")), F.lit(False))
+    fine = inside("source") & inside("target")
+    good = met.where(fine).withColumns({c: F.col("_first") + F.col(c) for c in ("source", "target")}).select(*relations.columns)
+    return good, met.groupBy("source_id").agg(F.count_if(~fine).alias("dropped"))
+
+
+_LOCAL = "l AS (SELECT source_id, chunk_index, ordinal, ordinal % 4 AS s, ordinal * 7 % 5 - 1 AS t FROM claims), p AS (SELECT source_id, chunk_index, count(*) AS n FROM mentions GROUP BY ALL), o AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY source_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS f FROM p)"
+
+
+def _local(spark, d):
+    places = m.claims(spark, d).select("source_id", "chunk_index", "ordinal", (F.col("ordinal") % 4).alias("source"), (F.col("ordinal") * 7 % 5 - 1).alias("target"))
+    return globalised(m.mentions(spark, d).select("source_id", "chunk_index"), places)
+
+
+@query("offset_aggregate", sql(f"WITH {_LOCAL} SELECT ordinal, f + s AS source, f + t AS target FROM l JOIN o USING (source_id, chunk_index) WHERE s < n AND t BETWEEN 0 AND n - 1"))
 def offset_aggregate(spark, d):
-    """First global index of each chunk's entities: the entities of the chunks before it."""
-    per = m.entities(spark, d).groupBy("source_id", (F.col("ordinal") % 50).alias("chunk")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    return per.select("source_id", "chunk", F.coalesce(before, F.lit(0).cast("bigint")).alias("first_global"))
+    """Ends of relations counted within chunks, as places within sources."""
+    return _local(spark, d)[0].select("ordinal", "source", "target")
+
+
+@query("offset_dropped", sql(f"WITH {_LOCAL} SELECT source_id, count(*) FILTER (WHERE NOT coalesce(s < n AND t BETWEEN 0 AND n - 1, false)) AS dropped FROM l LEFT JOIN o USING (source_id, chunk_index) GROUP BY 1"))
+def offset_dropped(spark, d):
+    return _local(spark, d)[1]
 
 
 def lookback(paragraphs: DataFrame, key: Column, same: Callable, back: int = 50) -> DataFrame:
