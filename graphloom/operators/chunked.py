@@ -28,10 +28,34 @@ def chunk_coverage(spark, d):
     return parts.groupBy("doc_id").agg(F.max("char_end").alias("covered"), F.min("char_start").alias("first"))
 
 
-@query("chunk_preprocess", "SELECT doc_id, false AS has_return, false AS has_gap FROM documents")
+def _preprocess_sql() -> str:
+    """Four pages made of each text with heads, numbers, contents and structure put in, and the passes that take them out."""
+    q = lambda p: p.replace("'", "''")
+    rep = lambda value, pattern, by: f"regexp_replace({value}, '{q(pattern)}', {by}, 'g')"
+    n2 = "chr(10) || chr(10)"
+    cleaned = "x"
+    for pattern in (c.PAGE_NUMBER, c.STRUCTURE, c.CONTENTS):
+        cleaned = rep(cleaned, pattern, "''")
+    cleaned = rep(f"replace({cleaned}, chr(12), {n2})", r"\n{3,}", n2)
+    flow = rep(rep("y", c.PAGE_HEAD, n2), r"([\p{Ll}]),?\n\n([\p{Ll}])", r"'\1 \2'")
+    flow = f"trim({rep(f'replace({rep(f"replace({flow}, {n2}, chr(1))", r"[ \t]*\n[ \t]*", "' '")}, chr(1), {n2})', '[ \t]{2,}', "' '")}, ' ')"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) // 4 AS q FROM documents),
+  n AS (SELECT doc_id, 'CHAPTER IV' || chr(10) || 'One ..... 3' || chr(10) || 'Two ...... 9' || chr(10) || '1.2 Three' || chr(10) || substr(text, 1, q) || chr(12) || 'Running head' || chr(10) || substr(text, q + 1, q) || chr(12) || 'Running head' || chr(10) || '- 12 -' || chr(10) || substr(text, 2 * q + 1, q) || chr(12) || 'Running head ' || chr(10) || substr(text, 3 * q + 1) AS text FROM t),
+  pages AS (SELECT doc_id, p, parts[p] AS body FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS p FROM (SELECT doc_id, string_split_regex(text, '{c.PAGE_BREAK}') AS parts FROM n))),
+  heads AS (SELECT doc_id, list(line) AS heads FROM (SELECT doc_id, line FROM (SELECT DISTINCT doc_id, p, trim(unnest(string_split(body, chr(10))), ' ') AS line FROM pages) WHERE line <> '' GROUP BY ALL HAVING count(*) >= {c.REPEATED}) GROUP BY doc_id),
+  x AS (SELECT doc_id, array_to_string(list_filter(string_split(replace(text, chr(12), chr(12) || chr(10)), chr(10)), lambda l: NOT list_contains(coalesce(heads, []), trim(l, ' '))), chr(10)) AS x FROM n LEFT JOIN heads USING (doc_id)), y AS (SELECT doc_id, {cleaned} AS y FROM x)
+  SELECT doc_id, md5({flow}) AS digest FROM y"""
+
+
+@query("chunk_preprocess", _preprocess_sql())
 def chunk_preprocess(spark, d):
-    x = m.table(spark, d, "documents").select("doc_id", c.prepare(F.concat(F.lit("﻿"), "text", F.lit("\r\n\r\n\r\n12\n"))).alias("p"))
-    return x.select("doc_id", F.col("p").contains("\r").alias("has_return"), F.col("p").contains("\n\n\n").alias("has_gap"))
+    """Whole texts as four pages with a running head, page numbers, a chapter's mark and contents, cleaned."""
+    t_, q = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 4).cast("int")
+    part = lambda k: F.substring(t_, q * k + 1, q) if k < 3 else F.substring(t_, q * 3 + 1, F.length(t_))
+    noisy = F.concat(
+        F.lit("\ufeffCHAPTER IV\r\nOne ..... 3\nTwo ...... 9\n1.2 Three\n"), part(0), F.lit("\fRunning head\n"), part(1), F.lit("\fRunning head\n- 12 -\n"), part(2), F.lit("\fRunning head \n"), part(3),
+    )
+    return c.preprocessed(m.table(spark, d, "documents").select("doc_id", noisy.alias("text"))).select("doc_id", F.md5("text").alias("digest"))
 
 
 def _windows(docs: DataFrame, size: int = 400) -> DataFrame:
