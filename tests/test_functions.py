@@ -151,12 +151,12 @@ def test_engine_end_to_end(spark, tmp_path):
 
 def test_preprocessing(spark):
     pages = "﻿PART II:\r\nHead\r\nA first line that\r\ngoes on here.  And on.\f Head\n- 7 -\nmore text, ends with a word\n\nand goes on.\n\n12 Introduction\n\nNew one.\fHead\nOne ...... 1\nTwo ..... 2\nIV. Three\nLast line.\n\n\nHead\nof all"
-    rows = spark.createDataFrame([(1, pages), (2, None), (3, ""), (4, "x\n\n\n\ny\nz")], "doc_id bigint, text string")
+    rows = spark.createDataFrame([(1, pages), (2, None), (3, ""), (4, "X.\n\n\n\ny\nz")], "doc_id bigint, text string")
     got = {r.doc_id: r.text for r in chunking.preprocessed(rows).collect()}
     assert got[1] == "A first line that goes on here. And on.\n\nmore text, ends with a word and goes on.\n\nNew one.\n\nLast line.\n\nof all"
-    assert got[2] is None and got[3] == "" and got[4] == "x\n\ny z"
+    assert got[2] is None and got[3] == "" and got[4] == "X.\n\ny z"
     raw = {r.doc_id: r.text for r in chunking.preprocessed(rows, noise=False, flow=False).collect()}
-    assert raw[1].startswith("PART II:\nHead\nA first") and raw[4] == "x\n\ny\nz"
+    assert raw[1].startswith("PART II:\nHead\nA first") and raw[4] == "X.\n\ny\nz"
 
 
 def test_quotes_are_shielded(spark):
