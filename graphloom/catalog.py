@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Registers what the query modules define."""
-    from graphloom.operators import chunked, extraction, graph, relational, resolution, retrieval, stats, texts, vector_index, windows  # noqa: F401
+    from graphloom.operators import chunked, citations, extraction, graph, relational, resolution, retrieval, stats, texts, vector_index, windows  # noqa: F401
     from graphloom.sources import exchange, queries as _sources, triples  # noqa: F401
     from graphloom.streaming import queries as _streams  # noqa: F401
 
