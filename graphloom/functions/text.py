@@ -124,6 +124,40 @@ def is_gibberish(text: Column | str) -> Column:
     return (F.size(words) > 0) & (F.size(odd) / F.size(words) > 0.3)
 
 
+# Short lines of scans that always stay, that never do, and shapes of noise.
+KEPT_WORDS = (
+    "by", "to", "for", "from", "with", "the", "a", "an", "and", "or", "but", "nor", "yet", "so", "as", "if", "no", "vs", "re", "ch", "pt", "vol", "ed", "rev",
+    "in", "on", "at", "of", "up", "out", "off", "is", "it", "be", "we", "he", "me", "my", "do", "go", "am", "us", "oh", "ok", "id",
+)
+SCAN_NOISE = ("i", "l", "1", "|", "ii", "ll", "il", "li", "hi", "ih", "ie", "ei", "fi", "ti", "ri", "ir", "f", "t", "r", "n", "m")
+NOISE_SHAPES = r"(?i)^[a-z]\s+[a-z]$|^([a-z]\s+){2,}[a-z]?$"
+ROMAN = r"(?i)^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
+STRUCTURAL_LINE = r"^#{1,6}\s+\S|^[-*+•]\s*\S|^[0-9]+[.)]\s*\S|^[-_=*]{3,}$"
+SHORT_LINE, LEAST_LETTERS = 5, 0.5
+
+
+def keeps_line(line: Column, known: Column | None = None, short: int = SHORT_LINE, least: float = LEAST_LETTERS) -> Column:
+    """Whether a line of a scan is text.
+
+    Blank lines stay. Of lines under ``short`` characters noise goes; marks of structure, common words and Roman numerals stay; of the others those whose word is ``known`` to a
+    dictionary, or all without one, but lines without a word go. Longer ones go if under ``least`` of their letters, figures and blanks are letters, if over 30 % of them are in runs
+    of five consonants, or if capitals alternate in most words.
+    """
+    t = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    word = F.lower(F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", "")))
+    repeated = t.rlike(r"^(.)\1+$") & ~F.left(t, F.lit(1)).rlike("(?i)[ivxlcdm]")
+    noise = word.isin(*SCAN_NOISE) | t.rlike(NOISE_SHAPES) | repeated
+    stays = t.rlike(STRUCTURAL_LINE) | word.isin(*KEPT_WORDS) | t.rlike(ROMAN)
+    of_short = F.when(noise, False).when(stays, True).when(word == "", False).otherwise(F.lit(True) if known is None else known)
+    letters, counted = F.length(F.regexp_replace(t, r"[^\p{L}]", "")), F.length(F.regexp_replace(t, r"[^\p{L}\p{N}\s]", ""))
+    clusters = F.length(t) - F.length(F.regexp_replace(t, "(?i)[bcdfghjklmnpqrstvwxyz]{5,}", ""))
+    words = F.split(t, r"\s+")
+    odd = F.size(F.filter(words, lambda w: w.rlike("^[A-Z][a-z][A-Z]")))
+    gibberish = (F.length(t) >= 10) & ((clusters / F.length(t) > 0.3) | (t.rlike("([A-Z][a-z]){4,}|([a-z][A-Z]){4,}") & (odd > F.size(words) * 0.5)))
+    of_long = (counted > 0) & (letters / F.greatest(counted, F.lit(1)) >= least) & ~gibberish
+    return F.when(t == "", True).when(F.length(t) < short, of_short).otherwise(of_long)
+
+
 def numbered_sentences(sentences: Column) -> Column:
     return F.array_join(F.transform(sentences, lambda s, i: F.concat(F.lit("S"), i + 1, F.lit(": "), s)), "\n")
 

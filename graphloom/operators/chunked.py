@@ -108,10 +108,29 @@ def citation_repair(spark, d):
     return m.table(spark, d, "documents").select("doc_id", c.repair_citations(raw).alias("text"))
 
 
-@query("ocr_gibberish_lines", "SELECT doc_id, count(*) AS kept FROM (SELECT doc_id, unnest(string_split(text || chr(10) || 'xqzvbnm trwqpsdf', chr(10))) AS line FROM documents) WHERE NOT (len(list_filter(string_split(lower(line), ' '), lambda w: w <> '')) > 0 AND len(list_filter(string_split(lower(line), ' '), lambda w: regexp_matches(w, '[bcdfghjklmnpqrstvwxz]{5}'))) / len(list_filter(string_split(lower(line), ' '), lambda w: w <> '')) > 0.3) GROUP BY doc_id")
+_SCANNED = ("xqzvbnm trwqpsdf", "i", "Hi", "by", "IV", "i e f", "a b", "aaaa", "# a", "- x", "3)", "---", "cat", "!!", "12345678 9", "aBcDeFgHiJ", "AbA CdC EfE AbAbAbAb", "é à")
+_SCAN_KEEPS = (False, False, False, True, True, True, False, False, True, True, True, False, True, False, False, True, False, True)
+
+
+def _scan_sql() -> str:
+    """Lines of documents by the same rules, with the rules' words and shapes."""
+    q = lambda v: "(" + ", ".join("'" + x + "'" for x in v) + ")"
+    added = "chr(10) || " + " || chr(10) || ".join("'" + x + "'" for x in _SCANNED)
+    return f"""WITH l AS (SELECT doc_id, i, regexp_replace(lines[i], '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, '') || {added}, chr(10)) AS lines FROM documents))),
+  w AS (SELECT *, lower(trim(regexp_replace(t, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), ' ')) AS word FROM l),
+  s AS (SELECT *, word IN {q(t.SCAN_NOISE)} OR regexp_matches(t, '{t.NOISE_SHAPES}') OR (length(t) > 1 AND replace(t, t[1], '') = '' AND NOT regexp_matches(t[1], '(?i)[ivxlcdm]')) AS noise, regexp_matches(t, '{t.STRUCTURAL_LINE}') OR word IN {q(t.KEPT_WORDS)} OR regexp_matches(t, '{t.ROMAN}') AS stays,
+    length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')) AS counted, length(t) - length(regexp_replace(t, '(?i)[bcdfghjklmnpqrstvwxyz]{{5,}}', '', 'g')) AS clusters, string_split_regex(t, '\\s+') AS words FROM w),
+  k AS (SELECT doc_id, CASE WHEN t = '' THEN true WHEN length(t) < 5 THEN CASE WHEN noise THEN false WHEN stays THEN true ELSE word <> '' END
+    ELSE counted > 0 AND letters / greatest(counted, 1) >= 0.5 AND NOT (length(t) >= 10 AND (clusters / length(t) > 0.3 OR (regexp_matches(t, '([A-Z][a-z]){{4,}}|([a-z][A-Z]){{4,}}') AND len(list_filter(words, lambda x: regexp_matches(x, '^[A-Z][a-z][A-Z]'))) > 0.5 * len(words)))) END AS keep FROM s)
+  SELECT doc_id, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS removed FROM k GROUP BY doc_id"""
+
+
+@query("ocr_gibberish_lines", _scan_sql())
 def ocr_gibberish_lines(spark, d):
-    lines = m.table(spark, d, "documents").select("doc_id", F.explode(F.split(F.concat("text", F.lit("\nxqzvbnm trwqpsdf")), "\n")).alias("line"))
-    return lines.where(~t.is_gibberish("line")).groupBy("doc_id").agg(F.count("*").alias("kept"))
+    """All lines of documents and, after them, lines of each kind that a scan has."""
+    noisy = F.concat(F.coalesce("text", F.lit("")), F.lit("\n" + "\n".join(_SCANNED)))
+    lines = m.table(spark, d, "documents").select("doc_id", F.explode(F.split(noisy, "\n")).alias("line")).withColumn("keep", t.keeps_line(F.col("line")))
+    return lines.groupBy("doc_id").agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("removed"))
 
 
 @query("detect_encoding", "SELECT r_regionkey, r_name || ' é' AS text, 0 AS replaced FROM region")

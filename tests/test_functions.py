@@ -163,3 +163,13 @@ def test_quotes_are_shielded(spark):
     said = 'He said "Hello! How are you? Fine." and left. “Why? No.” Then "open. and more.\nNext "end."'
     r = spark.createDataFrame([(said,)], "t string").select(chunking.protect_quotes("t").alias("p"), chunking.restore_quotes(chunking.protect_quotes("t")).alias("r")).first()
     assert r.r == said and len(r.p) == len(said) and '"Hello❗ How are you❓ Fine․" and left. “Why❓ No․” Then "open. and more.' in r.p
+
+
+def test_lines_of_scans(spark):
+    from graphloom.operators.chunked import _SCAN_KEEPS, _SCANNED
+
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(_SCANNED)] + [(90, ""), (91, "  "), (92, "An ordinary line of text, 12 of 13."), (93, "Rhythm")], "k int, line string")
+    got = {r.k: r.keep for r in rows.select("k", text.keeps_line(F.col("line")).alias("keep")).collect()}
+    assert [got[k] for k in range(len(_SCANNED))] == list(_SCAN_KEEPS) and all(got[k] for k in (90, 91, 92, 93))
+    spelt = {r.k: r.keep for r in rows.select("k", text.keeps_line(F.col("line"), F.col("line") == "cat").alias("keep")).collect()}
+    assert spelt[12] and not spelt[17] and spelt[92]
