@@ -17,18 +17,20 @@ TEXTUAL = ("application/json", "application/xml", "application/xhtml+xml", "appl
 LEAST_CHARS, MOST_LINKED = 40, 0.5
 
 COMMENT = r"(?s)<!--.*?-->"
-BLOCK = rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>"
-LINK = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+# a tag ends before another begins, so an open one isn't looked for to the end of the page
+BLOCK = rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^<>]*>"
+LINK = r"(?is)<a\b[^<>]*>(.*?)</a\s*>"
+TITLE = r"(?is)<title\b[^<>]*>(.*?)</title\s*>"
+TAG = r"<[^<>]+>"
 
 
 def unseen(tag: str) -> str:
-    return rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"
+    return rf"(?is)<{tag}\b[^<>]*>.*?</{tag}\s*>"
 
 
 def plain(part: Column) -> Column:
     """Text of a piece of a page: no tags, entities read, white space as one blank."""
-    out = F.regexp_replace(part, r"(?s)<[^>]+>", "")
+    out = F.regexp_replace(part, TAG, "")
     for entity, by in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(by))
     return F.trim(F.regexp_replace(out, r"[ \t\n\r\f\x0b]+", " "))

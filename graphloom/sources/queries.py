@@ -136,7 +136,7 @@ def _web_sql() -> str:
     quoted = lambda p: p.replace("'", "''")
 
     def plain(part: str) -> str:
-        out = f"regexp_replace({part}, '(?s)<[^>]+>', '', 'g')"
+        out = f"regexp_replace({part}, '{pages.TAG}', '', 'g')"
         for entity, by in pages.ENTITIES:
             out = f"replace({out}, '{entity}', '{quoted(by)}')"
         return f"trim(regexp_replace({out}, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), ' ')"
