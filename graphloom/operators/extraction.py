@@ -19,7 +19,7 @@ from graphloom.catalog import query
 from graphloom.functions import text as t
 from graphloom.operators.relational import sql
 from graphloom.plans.ordering import Ordered
-from graphloom.plans.scratch import discard, materialise, materialise_at
+from graphloom.plans.scratch import discard, few, materialise, materialise_at
 
 # ---- presets -------------------------------------------------------------------------------
 
@@ -264,7 +264,7 @@ def constrained(relations: DataFrame, entities: DataFrame, rules: DataFrame, str
     held = (mine != "") & (F.contains(mine, theirs) | F.contains(theirs, mine))
     quality = F.when(mine == theirs, F.struct(F.lit(0), F.lit(0))).when(held, F.struct(F.lit(1), -F.length(theirs))).when(shared > 0, F.struct(F.lit(2), -shared))
     matches = (
-        types.join(F.broadcast(rules), quality.isNotNull())  # rules are a domain's, distinct types few
+        types.join(few(rules), quality.isNotNull())  # rules are a domain's, distinct types few
         .groupBy("_type")
         .agg(F.min(F.struct(quality.alias("quality"), "name", "source_types", "target_types")).alias("rule"))
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom import model as m
 from graphloom.catalog import query
+from graphloom.plans.scratch import few
 
 SYSTEM_TEMPLATES = ("region",)
 
@@ -134,7 +135,7 @@ def filter_event_trigger(spark, d):
     payload = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
     ev = m.table(spark, d, "events").select(payload.alias("payload"))
     hit = F.forall(F.map_keys("filter"), lambda k: F.coalesce(F.col("payload")[k] == F.col("filter")[k], F.lit(False)))
-    return ev.join(F.broadcast(triggers), hit).groupBy("trigger_id").agg(F.count("*").alias("matched"))  # a trigger per row of a literal
+    return ev.join(few(triggers), hit).groupBy("trigger_id").agg(F.count("*").alias("matched"))  # a trigger per row of a literal
 
 
 @query("path_extract", "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k, json_extract(props, '$.missing') IS NOT NULL AS found FROM events")

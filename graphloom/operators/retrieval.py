@@ -433,7 +433,7 @@ def context_triples(edges: DataFrame, nodes: DataFrame, tops: DataFrame, limit:
     t = tops.orderBy(F.desc("score"), "id").limit(20).select("id", "score")
     a, b = t.select(F.col("id").alias("src"), F.col("score").alias("s1")), t.select(F.col("id").alias("dst"), F.col("score").alias("s2"))
     names = nodes.select("id", "label")
-    hits = edges.select("src", "dst", "template_id").distinct().join(F.broadcast(a), "src").join(F.broadcast(b), "dst")
+    hits = edges.select("src", "dst", "template_id").distinct().join(F.broadcast(a), "src").join(F.broadcast(b), "dst")  # twenty rows
     best = hits.orderBy(F.desc(F.col("s1") + F.col("s2")), "src", "dst", "template_id").limit(limit)
     return best.join(names.select(F.col("id").alias("src"), F.col("label").alias("subject")), "src").join(names.select(F.col("id").alias("dst"), F.col("label").alias("object")), "dst").select("subject", F.col("template_id").alias("relation"), "object")
 
@@ -463,7 +463,7 @@ def graphrag_context(spark, d):
 
 def provenance(citations: DataFrame, tops: DataFrame, limit: int = 50) -> DataFrame:
     """(chunk_id, score): chunks that cite top entities, the best entity's first."""
-    hits = citations.join(F.broadcast(tops.select(F.col("id").alias("entity_uri"), "score")), "entity_uri")
+    hits = citations.join(tops.select(F.col("id").alias("entity_uri"), "score"), "entity_uri")
     return hits.groupBy("chunk_id").agg(F.max("score").alias("best")).orderBy(F.desc("best"), "chunk_id").limit(limit).select("chunk_id", F.lit(1.0).alias("score"))
 
 

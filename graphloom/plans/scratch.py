@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +47,10 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later plan reads."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` to be broadcast, checked to have ``most`` rows at most: for definitions that conditions other than equality join."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} definitions")
+    return F.broadcast(df)

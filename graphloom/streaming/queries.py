@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from graphloom import model as m
 from graphloom.catalog import query
 from graphloom.operators.relational import sql
-from graphloom.plans.scratch import scratch_path
+from graphloom.plans.scratch import few, scratch_path
 
 
 def replay(spark: SparkSession, sf_dir: str, name: str, step: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
@@ -52,7 +52,7 @@ def stage_progress(events: DataFrame) -> DataFrame:
 def triggered(events: DataFrame, triggers: DataFrame) -> DataFrame:
     """Event and trigger pairs whose kind and least value fit; triggers are a static table of definitions."""
     fits = (F.col("want_type").isNull() | (F.col("want_type") == F.col("event_type"))) & (F.col("value") >= F.col("least_value"))
-    return events.join(F.broadcast(triggers), fits).select("event_id", "trigger_id", "priority")
+    return events.join(few(triggers), fits).select("event_id", "trigger_id", "priority")
 
 
 def fan_in(events: DataFrame, size: int) -> DataFrame:
