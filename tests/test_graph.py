@@ -252,3 +252,19 @@ def test_resolving_names(spark):
     assert [x[1] for x in ask("an enemy", [1.0, 0.0], alternatives=0)] == ["a"]
     assert [x[1] for x in ask("an enemy", [1.0, 0.0], scope=[2])] == ["b"] and ask("an enemy", [1.0, 0.0])[1][3] == []
     assert ask("nobody", []) == [] and {x[1] for x in ask("pierre", [])} == {"a", "d"}
+
+
+def test_clustering_against_pairs_of_neighbours(spark):
+    """Hubs, parallel edges, loops and unknown ends; the work is a row per edge, with the neighbours upward of its ends."""
+    rng = random.Random(4)
+    names = [f"n{k:02}" for k in range(40)]
+    pairs = [tuple(rng.choices(names, k=2)) for _ in range(200)] + [("n00", n) for n in names] + [("n01", "ghost")]
+    around = defaultdict(set)
+    for a, b in pairs:
+        if a != b and b != "ghost":
+            around[a].add(b)
+            around[b].add(a)
+    closed = lambda n: sum(b in around[a] for a in around[n] for b in around[n])
+    want = {n: closed(n) / (len(around[n]) * (len(around[n]) - 1)) if len(around[n]) > 1 else 0.0 for n in names}
+    out = graph.clustering(*make(spark, names, pairs))
+    assert {r.id: r.coefficient for r in out.collect()} == pytest.approx(want)
