@@ -268,3 +268,19 @@ def test_clustering_against_pairs_of_neighbours(spark):
     want = {n: closed(n) / (len(around[n]) * (len(around[n]) - 1)) if len(around[n]) > 1 else 0.0 for n in names}
     out = graph.clustering(*make(spark, names, pairs))
     assert {r.id: r.coefficient for r in out.collect()} == pytest.approx(want)
+
+
+def test_trees_are_taken_off_before_all_pairs(spark):
+    """A thousand leaves on a ring of five, and a chain: all pairs are those of what is left, so one batch of 100 pairs does."""
+    ring = [(f"r{k}", f"r{(k + 1) % 5}") for k in range(5)]
+    pairs = ring + [(f"r{k % 5}", f"s{k}") for k in range(1000)] + [("x", "y"), ("y", "z")]
+    names = sorted({n for p in pairs for n in p})
+    nodes, edges = make(spark, names, pairs)
+    left, rounds = graph.peeled(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")), [])
+    assert left.count() == 7 - sum(r.where("id in ('x', 'y', 'z')").count() for r in rounds) and sum(r.where("id like 's%'").count() for r in rounds) == 1000
+    got = scores(graph.betweenness(nodes, edges, most_pairs=100))
+    n, hung = len(names), 200
+    # a ring node: its leaves with all, the leaves' pairs, and its two neighbours' trees
+    ring_score = (hung * (hung - 1) + 2 * hung * (4 * (hung + 1)) + 2 * (hung + 1) ** 2) / ((n - 1) * (n - 2))
+    assert [got[f"r{k}"] for k in range(5)] == pytest.approx([ring_score] * 5)
+    assert got["s7"] == 0 and got["x"] == 0 and got["y"] == pytest.approx(2 / ((n - 1) * (n - 2)))
