@@ -65,3 +65,17 @@ def test_all_documents_by_their_change(spark, data):
     large = [r for r in rows if r.doc_id % 4 == 2 and len(squeeze(texts[r.doc_id][400 * r.chunk_index : 400 * r.chunk_index + 400])) > 200]
     near = [r for r in large if r.char_start is not None and abs(r.char_start - 400 * r.chunk_index) <= 32]
     assert len(near) > 0.9 * len(large)
+
+
+def test_windows_that_cannot_be_alike_are_left_out(monkeypatch):
+    """Of eight bands of eight windows each those are compared that those before don't rule out, and none to its end that can't be alike."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(300)]
+    text = " ".join(rng.choices(words, k=4000))
+    calls, plain = [], al.common
+    monkeypatch.setattr(al, "common", lambda *a: calls.append(a) or plain(*a))
+    changed = "".join("~" if k % 10 == 9 else c for k, c in enumerate(text[5000:5400]))
+    assert al.aligned(text, [text[400:0:-1], changed])[0][2] == "none" and len(calls) <= 24
+    calls.clear()
+    assert al.aligned(text, [changed])[0] == (5000, 5400, "fuzzy", "window")
+    assert len(calls) <= 24 and plain("abcd" * 50, "wxyz" * 50, None, 160) < 160
