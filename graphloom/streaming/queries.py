@@ -172,7 +172,8 @@ def windowed(events: DataFrame, late: str = "1 hour") -> DataFrame:
 def idle(events: DataFrame, key: str, hours: float, late: str = "2 hours") -> DataFrame:
     """(``key``, last_activity, stuck_at): each activity that none of its key follows within ``hours``, once the watermark has passed that time.
 
-    Each event sets a timer. What fires looks at the key's times that are still open: those behind the watermark's delay and the span, which is all the state there is.
+    A key has a timer for the earliest of its activities that nothing follows yet; what fires takes all that are due and sets the next. The state, read and written once a
+    batch, holds the times that nothing follows yet and those that the watermark hasn't passed: an earlier time could still come and be followed by them.
     Events within the delay may come in any order, those that are later are dropped.
     """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -182,25 +183,34 @@ def idle(events: DataFrame, key: str, hours: float, late: str = "2 hours") -> Da
 
     class Idle(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle, self.open = handle, handle.getListState("open", "at bigint")
+            self.handle, self.open = handle, handle.getValueState("open", "at array<bigint>")
+
+        def known(self) -> set[int]:
+            return set(self.open.get()[0]) if self.open.exists() else set()
+
+        def settle(self, known: set[int], passed: int) -> list[int]:
+            """Those of the sorted ``known`` that nothing follows and whose time has passed; the others that matter are kept, with a timer for the earliest that nothing follows."""
+            times = sorted(known)
+            alone = [at for at, after in zip(times, [*times, None][1:], strict=True) if after is None or after > at + span]
+            found = [at for at in alone if due_ms(at) <= passed]
+            waiting = [at for at in alone if due_ms(at) > passed]
+            kept = sorted({*waiting, *(at for at in times if at >= passed * 1000)})
+            if kept:
+                self.open.update((kept,))
+            else:
+                self.open.clear()
+            if waiting:
+                self.handle.registerTimer(due_ms(waiting[0]))
+            return found
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            fresh = sorted({int(at) for frame in rows for at in frame["at"]})
-            self.open.appendList([(at,) for at in fresh])
-            for at in fresh:
-                self.handle.registerTimer(due_ms(at))
-            yield from ()
+            fresh = {int(at) for frame in rows for at in frame["at"]}
+            found = self.settle(self.known() | fresh, timerValues.getCurrentWatermarkInMs())
+            if found:
+                yield pd.DataFrame({of: [key[0]] * len(found), "at": found})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            times = sorted({row[0] for row in self.open.get()})
-            due = [at for at in times if due_ms(at) <= expiredTimerInfo.getExpiryTimeInMs()]
-            after = dict(zip(times, times[1:], strict=False))
-            found = [at for at in due if at not in after or after[at] > at + span]
-            kept = [(at,) for at in times if at not in due]
-            if kept:
-                self.open.put(kept)
-            else:
-                self.open.clear()
+            found = self.settle(self.known(), timerValues.getCurrentWatermarkInMs())
             if found:
                 yield pd.DataFrame({of: [key[0]] * len(found), "at": found})
 

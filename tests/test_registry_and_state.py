@@ -191,3 +191,18 @@ def test_semantic_search_against_a_loop(spark, data):
     want = sorted(((round(score(vector(t)), 6), i) for i, t in rows), key=lambda v: (-v[0], v[1]))[:10]
     got = [(r.score, r.id) for r in catalog.queries()["search_semantic"](spark, data).orderBy(F.desc("score"), "id").collect()]
     assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=1e-6)
+
+
+def test_idle_timers_of_a_busy_key(spark):
+    """Thousands of events of one key: a timer and a look at the whole state for each would take many minutes."""
+    from datetime import datetime, timedelta
+
+    q._stateful(spark)
+    start, day = datetime(2024, 1, 1), timedelta(hours=24)
+    times = [start + timedelta(seconds=30 * i) for i in range(6_000)]
+    times += [times[-1] + timedelta(hours=30), times[-1] + timedelta(hours=60)]
+    rows = lambda ts: spark.createDataFrame([(1, t) for t in ts], "user_id bigint, ts timestamp_ntz")
+    began = time.monotonic()
+    found = q.replay_in_turn(spark, [rows(times[:3_000][::-1]), rows(times[3_000:])], lambda e: q.idle(e, "user_id", 24)).select(F.col("last_activity").cast("timestamp_ntz"), F.col("stuck_at").cast("timestamp_ntz"))
+    assert sorted(tuple(r) for r in found.collect()) == [(t, t + day) for t in times[5_999:6_001]]
+    assert time.monotonic() - began < 60
