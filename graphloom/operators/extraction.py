@@ -549,7 +549,7 @@ def plausible(
 
 
 _TEXT_WORDS = r"""said AS MATERIALIZED (SELECT DISTINCT source_id, word, inside FROM (SELECT doc_id AS source_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS word, false AS inside FROM documents
-  UNION ALL SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '([\p{Ll}\p{N},;]) ([\p{L}\p{N}])', '\1 ^\2', 'g'), '([\p{Ll}\p{N},;]) ([\p{L}\p{N}])', '\1 ^\2', 'g'), '[\p{Ll}\p{N},;] \^([\p{L}\p{N}]+)', 1)), true FROM documents))"""
+  UNION ALL SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(replace(text, '^', '*'), '([\p{Ll}\p{N},;]) ([\p{L}\p{N}])', '\1 ^\2', 'g'), '([\p{Ll}\p{N},;]) ([\p{L}\p{N}])', '\1 ^\2', 'g'), '\^([\p{L}\p{N}]+)', 1)), true FROM documents))"""
 
 
 @query("ent_plausibility", sql(f"""WITH {_TEXT_WORDS}, n AS (SELECT ordinal, source_id, type, list_filter(regexp_split_to_array(trim(name, ' '), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND lower(w) <> 'the') AS w FROM mentions),

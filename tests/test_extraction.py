@@ -263,3 +263,16 @@ def test_empty_tables(spark):
     canonical = spark.createDataFrame([], "source_id bigint, ordinal bigint, canonical bigint")
     for rows in (x.entity_evidence(e, said), x.relation_evidence(rel, e, said), x.constrained(rel, e, rules), x.limited(rel, e), r.hierarchical(e), r.greedy_aliases(e), r.merged_entities(e, canonical), x.rescued_types(e, rel, ["A"], {}, {}), x.valid_relations(rel, e)):
         assert rows.count() == 0
+
+
+def test_words_inside_sentences_equal_sql(spark):
+    """Words in a row, single letters in a row and the SQL's own mark: each is taken, not every second one."""
+    import duckdb
+
+    texts = [(1, "went to Foo Bar Baz, Qux; Zed"), (2, "a b c d e F"), (3, "so ^Marked x ^ Caret"), (4, None), (5, "1 Two. Three")]
+    found = {tuple(r) for r in x.spoken_words(spark.createDataFrame(texts, "source_id bigint, text string")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    assert set(con.execute(f"WITH {x._TEXT_WORDS} SELECT source_id, word, inside FROM said").fetchall()) == found
+    assert {w for k, w, inside in found if k == 1 and inside} == {"to", "Foo", "Bar", "Baz", "Qux", "Zed"}
