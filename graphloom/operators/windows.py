@@ -7,6 +7,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +43,34 @@ def chunk_group_window(spark, d):
 
 
 def token_groups(chunks: DataFrame, budget: int) -> DataFrame:
-    """(doc_id, group_index, chunks): runs of chunks whose tokens fit the budget; a larger chunk stands alone."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out, used, group = [], 0, -1
-        for n in frame.sort_values("chunk_index")["tokens"].tolist():
-            if group < 0 or used + n > budget:
-                group, used = group + 1, 0
-                out.append([key[0], group, 0])
-            used += n
-            out[-1][2] += 1
-        return pd.DataFrame(out, columns=["doc_id", "group_index", "chunks"])
-
-    return chunks.groupBy("doc_id").applyInPandas(run, "doc_id bigint, group_index int, chunks int")
+    """(doc_id, group_index, chunks): runs of chunks whose tokens fit the budget; a larger chunk stands alone.
+
+    Documents follow each other in a sorted stream, so a task holds a batch of chunks and the last group.
+    """
+    names = ["doc_id", "group_index", "chunks"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = None, 0
+        for batch in batches:
+            out = [] if last is None else [last]
+            for doc, n in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                new = not out or out[-1][0] != doc
+                if new or used + n > budget:
+                    out.append([doc, 0 if new else out[-1][1] + 1, 0])
+                    used = 0
+                used += n
+                out[-1][2] += 1
+            last = out.pop() if out else None
+            if out:
+                yield _groups(out)
+        if last is not None:
+            yield _groups([last])
+
+    def _groups(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
+
+    ordered = chunks.select("doc_id", "chunk_index", "tokens").repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index")
+    return ordered.mapInArrow(run, "doc_id bigint, group_index int, chunks int")
 
 
 @query("chunk_group_budget")
