@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.scratch import discard, materialise_at
+from graphloom.plans.spread import spread
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -27,20 +28,43 @@ def _contract(edges: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+#: Edges up to which they are contracted as they are.
+DIRECT = 2_000_000
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", direct: int = DIRECT) -> DataFrame:
     """(node, component): every node that an edge touches with its component's smallest node.
 
     Null endpoints and self loops join nothing. Each round writes its edges to the
     shared folder and drops the round before; rounds grow with the logarithm of
-    the diameter. An empty edge table gives an empty result.
+    the diameter. An empty edge table gives an empty result. Of more than ``direct`` edges
+    only each node's to its smallest neighbour, fewer than there are nodes, go through
+    the rounds; the other edges then lead between what these have joined, which is little.
     """
     spark = edges.sparkSession
-    pairs = (
-        edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-        .select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"))
-        .distinct()
-    )
-    now, path = materialise_at(pairs, "components")
+    pairs = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"))
+    every, every_path = materialise_at(pairs, "pairs")
+    many = every.count()
+    if many <= direct:
+        found = _contracted(every)
+        discard(spark, every_path)
+        return found
+    ends = every.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*")
+    hooks, hooks_path = materialise_at(ends.groupBy("x").agg(F.min("y").alias("y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), "hooks")
+    joined, _ = materialise_at(_contracted(hooks), "joined")
+    of = lambda end, name: spread(joined.select(F.col("node").alias(end), F.col("component").alias(name)), many, end)
+    left = spread(spread(every, many, "a").join(of("a", "ca"), "a").select("ca", "b"), many, "b").join(of("b", "cb"), "b").where("ca <> cb")
+    rest, _ = materialise_at(left.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), "rest")
+    for path in (every_path, hooks_path):
+        discard(spark, path)
+    higher = _contracted(rest).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return joined.join(higher, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+
+
+def _contracted(pairs: DataFrame) -> DataFrame:
+    """(node, component) of rows (a, b) with a > b, repeated ones too."""
+    spark = pairs.sparkSession
+    now, path = materialise_at(pairs.distinct(), "components")
     seal = None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
