@@ -23,7 +23,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with like sets of five-word shingles the first stays."""
+    """Of documents linked by fingerprints at most four bits apart, or with like sets of five-word shingles, the first stays."""
     return simhash.keep_first(docs)
 
 

@@ -204,13 +204,23 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "t", "id")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall: float = 0.97) -> DataFrame:
+def _near_ids(classes: DataFrame, max_bits: int, held) -> DataFrame:
+    """(src, dst): links of ``classes`` (low, fp) by their fingerprints, equal ones to the first of them, others as :func:`links` finds them."""
+    heads = held(classes.groupBy("fp").agg(F.min("low.id").alias("head")), "heads")
+    equal = classes.join(heads, "fp").select(F.col("low.id").alias("src"), F.col("head").alias("dst")).where("src <> dst")
+    apart = held(links(heads.select("fp"), max_bits), "apart")
+    named = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head"))
+    return equal.unionByName(apart.join(named("src"), "src").join(named("dst"), "dst").select(F.col("src_head").alias("src"), F.col("dst_head").alias("dst")))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall: float = 0.97, max_bits: int | None = None, print_shingle: int = 4) -> DataFrame:
     """(doc_id, t, component_id, first) of each row in a group of similar texts: its id and the hash of its text, the smallest
     doc_id of its group, and whether it is the row that stays for the group.
 
-    Texts link if their sets of word shingles are ``least`` alike (Jaccard, exactly). Fingerprints can't find such pairs: they
-    differ in some 10 bits, and a pair of many differing bits has them in every table. Candidates are texts that share a band of
-    smallest shingle hashes instead, ``recall`` of the pairs at the similarity itself, whatever the table's size. Equal texts
+    With ``max_bits`` texts link as :func:`near_duplicates` links them: by fingerprints of ``print_shingle`` words at most so many bits
+    apart. Texts also link if their sets of word shingles are ``least`` alike (Jaccard, exactly). Fingerprints of such pairs
+    differ in some 10 bits at 0.8, which no grid finds. Candidates for these are texts that share a band of
+    smallest shingle hashes, ``recall`` of the pairs at the similarity itself, whatever the table's size. Equal texts
     collapse first. Large cells come to few pairs: first each text meets only the smallest of its cells, and then only
     cells of texts that this has not joined are paired. Null and wordless texts are in no group. Rows are told apart by
     themselves, not by doc_id: repeated rows, ids on several texts and null ids are each a row of their group, and one of all of
@@ -224,15 +234,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall
         compress = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            keys, cells, zipped = [], [], []
+            keys, prints, cells, zipped = [], [], [], []
             for text in texts:
                 hashes = shingle_hashes(text, shingle)
+                prints.append(0 if max_bits is None else fingerprint(text, print_shingle))
                 keys.append(xxhash.xxh128_digest(np.array(hashes, dtype="<u8").tobytes()))
                 cells.append(band_hashes(hashes, bands, long))
                 zipped.append(compress(text.encode()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("doc_id"), batch.column("t"), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(zipped, pa.binary())],
-                ["id", "doc_id", "t", "same", "cells", "z"],
+                [batch.column("id"), batch.column("doc_id"), batch.column("t"), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(zipped, pa.binary())],
+                ["id", "doc_id", "t", "same", "fp", "cells", "z"],
             )
 
     spent: list[str] = []
@@ -243,8 +254,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall
         return table
 
     # ids are numbered once, in the scan whose result is written
-    every = held(rows.mapInArrow(run, "id bigint, doc_id bigint, t bigint, same binary, cells array<bigint>, z binary"), "texts")
-    classes = held(every.groupBy("same").agg(F.min(_order()).alias("low"), F.count("*").alias("times")), "same")
+    every = held(rows.mapInArrow(run, "id bigint, doc_id bigint, t bigint, same binary, fp bigint, cells array<bigint>, z binary"), "texts")
+    classes = held(every.groupBy("same").agg(F.min(_order()).alias("low"), F.min("fp").alias("fp"), F.count("*").alias("times")), "same")
     single = every.join(classes.select(F.col("low.id").alias("id")), "id", "left_semi")
     gridded = held(single.select("id", F.explode("cells").alias("cell")), "grid")
     heads = gridded.groupBy("cell").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("cell", "head")
@@ -252,6 +263,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall
     zipped = every.select("id", "z")
     stars = shared.where("head < id").select(F.col("id").alias("src"), F.col("head").alias("dst")).distinct()
     joined = _similar(held(stars, "stars"), zipped, shingle, least, held)
+    if max_bits is not None:
+        joined = held(joined.unionByName(_near_ids(classes, max_bits, held)), "linked")
     parts = held(connected_components(joined), "parts").withColumnRenamed("node", "id")
     placed = held(shared.join(parts, "id", "left").select("id", "cell", F.coalesce("component", "id").alias("part")), "placed")
     mixed = placed.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("cell")
@@ -270,13 +283,13 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall
     return found
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` without near copies: of each of :func:`similar_groups` the row of the smallest doc_id stays.
+def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` without near copies: of each of :func:`similar_groups`, linked by fingerprints and by sets, the row of the smallest doc_id stays.
 
     Null and wordless texts aren't taken as copies of each other and stay. Rows with a null id go if their text is in a group with
     another row. Of rows equal in doc_id and text any one stays.
     """
-    groups = similar_groups(docs, shingle, least)
+    groups = similar_groups(docs, shingle, least, max_bits=max_bits)
     names = groups.groupBy("doc_id", "t").agg(F.max("first").alias("first"), F.count("*").alias("n"))
     names = materialise(names.where("n > 1 or not first"), "gone")  # written: a small one is then joined without moving texts
     kept = without(docs, names)

@@ -254,6 +254,24 @@ def test_similar_groups_at_the_similarity(spark):
     assert not any(k in got for k, j in alike.items() if j < 0.8)
 
 
+def test_first_of_linked_fingerprints_stays(spark):
+    """What fingerprints link goes though its sets of shingles are less alike than the rest of the stage asks for."""
+    rng = random.Random(5)
+    linked = None
+    while linked is None:
+        words = [f"w{rng.randrange(50_000)}" for _ in range(rng.randrange(40, 120))]
+        near = [*words]
+        for i in rng.sample(range(len(near)), 4):
+            near[i] = f"x{rng.randrange(1000)}"
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, near))
+        bits = (simhash.fingerprint(" ".join(words), 4) ^ simhash.fingerprint(" ".join(near), 4)) & (1 << 64) - 1
+        if len(a & b) < 0.75 * len(a | b) and bits.bit_count() <= 4:
+            linked = [(1, " ".join(words)), (2, " ".join(near)), (3, "Words of a text that nobody else here has said so far at all")]
+    df = spark.createDataFrame(linked, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == [1, 3]
+
+
 def test_substring_dedup(docs, texts):
     unique = sorted(set(texts), key=lambda x: (x[0], 0))
     seen, want = {}, {}
