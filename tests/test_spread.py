@@ -1,15 +1,20 @@
 """Parts that grow with the rows, components by hooks, stems and groups in streams."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from graphloom.functions.stem import stem, stems
-from graphloom.operators import graph
+from graphloom import model
+from graphloom.functions import text
+from graphloom.operators import citations, extraction, graph, retrieval
 from graphloom.operators.retrieval import context_triples
 from graphloom.operators.windows import token_groups
 from graphloom.plans import spread as s
 from graphloom.plans.fixpoint import connected_components
+from graphloom.plans.scratch import scratch_path, shared_dir
+from graphloom.sources import exchange, queries
 
 
 def test_parts_grow_with_rows(spark):
@@ -63,3 +68,15 @@ def test_groups_stream_without_a_frame_per_document(spark):
     found = token_groups(spark.createDataFrame(rows, "doc_id bigint, chunk_index int, tokens int"), 500)
     assert sorted(map(list, found.collect())) == want
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+
+
+def test_pages_of_lines(spark, tmp_path):
+    """Many pages share a file, whatever control characters they hold."""
+    pages = spark.createDataFrame([(k, f"<p>page {k}\r\tof\nmany</p>") for k in range(500)], "page_id bigint, html string").coalesce(2)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    before = set(Path(shared_dir(spark).removeprefix("file://")).glob("html-*"))
+    got = {r.page_id: r.digest for r in queries.scan_html(spark, str(tmp_path)).collect()}
+    (new,) = set(Path(shared_dir(spark).removeprefix("file://")).glob("html-*")) - before
+    assert len(list(new.rglob("part-*"))) <= 4
+    want = pages.select("page_id", F.md5(text.web_basic(F.concat(F.regexp_replace("html", "\n", " "), F.lit("\n")))).alias("digest"))
+    assert got == {r.page_id: r.digest for r in want.collect()}
