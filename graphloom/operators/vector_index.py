@@ -31,6 +31,8 @@ ASKED, RECALL = 256, 0.97
 #: The cell of vectors that have no direction.
 ODD = -1
 _AT_ONCE = 1024
+#: Entries of a matrix of queries and cells, and rows of queries with their cells, that a task holds at a time.
+_ROUTES, _HANDED = 1 << 20, 1 << 14
 
 
 def _sound(size: int):
@@ -170,11 +172,10 @@ def _routed(queries: DataFrame, cells: list[Row], probes: int, skip: bool) -> Da
     names = np.array([c.cell for c in cells], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = max(1, min(_AT_ONCE, _ROUTES // len(cells)))
         for batch in batches:
-            for start in range(0, batch.num_rows, _AT_ONCE):
-                part = pa.Table.from_batches([batch.slice(start, _AT_ONCE)])
-                if not part.num_rows:
-                    continue
+            for start in range(0, batch.num_rows, many):
+                part = pa.Table.from_batches([batch.slice(start, many)])
                 least, to = _angles(unit_rows(part.column("embedding")), cells)
                 order = to.argsort(axis=1, kind="stable")
                 place = np.empty_like(order)
@@ -183,8 +184,9 @@ def _routed(queries: DataFrame, cells: list[Row], probes: int, skip: bool) -> Da
                 if skip:
                     wanted = ~wanted & (np.cos(least) >= part.column("bar").to_numpy()[:, None] - 1e-9)
                 i, j = np.nonzero(wanted)
-                taken = part.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([taken.column("query_id").combine_chunks(), taken.column("embedding").combine_chunks(), pa.array(names[j])], ["query_id", "embedding", "cell"])
+                for a in range(0, len(i), _HANDED):  # a query goes to so many cells that all its copies at once would be too much
+                    taken = part.take(pa.array(i[a : a + _HANDED]))
+                    yield pa.RecordBatch.from_arrays([taken.column("query_id").combine_chunks(), taken.column("embedding").combine_chunks(), pa.array(names[j[a : a + _HANDED]])], ["query_id", "embedding", "cell"])
 
     return queries.mapInArrow(run, f"query_id {kind}, embedding array<double>, cell int")
 

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,16 @@ def test_small_and_empty_indexes(spark):
     v.build_vector_index(spark.createDataFrame([(7, [0.0, 2.0])], "vec_id bigint, embedding array<float>"), path)  # replaced
     assert [tuple(r) for r in v.search_vectors(spark, path, [0.0, 1.0], 3).collect()] == [(7, 1.0)]
     assert v.search_vectors(spark, path, [], 3).count() == retrieval.knn(none, [], 3).count() == 0
+
+
+def test_routes_are_handed_on_in_parts(spark):
+    """A batch of queries that goes to very many cells is never copied for all of them at once."""
+    from pyspark.sql import Row
+
+    turns = np.linspace(0, np.pi, 300)
+    cells = [Row(cell=k, centre=[float(np.cos(a)), float(np.sin(a))], rows=1, radius=0.0) for k, a in enumerate(turns)]
+    asked = spark.createDataFrame([(k, [1.0, k / 200]) for k in range(200)], "query_id bigint, embedding array<double>").coalesce(1)
+    routed = v._routed(asked, cells, 250, False)
+    sizes = routed.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n bigint")
+    assert max(r.n for r in sizes.collect()) <= v._HANDED
+    assert {(r.query_id, r.n) for r in routed.groupBy("query_id").agg(F.countDistinct("cell").alias("n")).collect()} == {(k, 250) for k in range(200)}
