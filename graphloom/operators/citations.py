@@ -237,9 +237,8 @@ def _retrieved(spark, d) -> DataFrame:
     )
 
 
-def _answers(spark, d) -> DataFrame:
-    """Answers with marks as models write them, one kind for each document in turn."""
-    given = _retrieved(spark, d)
+def _answers(given: DataFrame) -> DataFrame:
+    """Answers with marks as models write them, one kind for each document of ``given`` in turn."""
     c = given.groupBy("answer_id").agg(*[F.max(F.when(F.col("chunk_index") == k, F.struct("chunk_id", "content"))).alias(f"c{k}") for k in range(3)])
     quote = lambda k, at=1, n=60: F.substring(F.col(f"c{k}.content"), at, n)
     lit = F.lit
@@ -261,4 +260,5 @@ def _answers(spark, d) -> DataFrame:
 @query("citation_family")
 def citation_family(spark, d):
     """Six kinds of broken answers, each repaired; tested against what each must become."""
-    return repaired(_answers(spark, d), _retrieved(spark, d))
+    given = materialise(_retrieved(spark, d), "retrieved")  # a few hundred characters a document, which every repair reads
+    return repaired(_answers(given), given)

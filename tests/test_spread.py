@@ -80,3 +80,12 @@ def test_pages_of_lines(spark, tmp_path):
     assert len(list(new.rglob("part-*"))) <= 4
     want = pages.select("page_id", F.md5(text.web_basic(F.concat(F.regexp_replace("html", "\n", " "), F.lit("\n")))).alias("digest"))
     assert got == {r.page_id: r.digest for r in want.collect()}
+
+
+def test_citations_read_documents_once(spark, data, monkeypatch):
+    read = []
+    table = model.table
+    monkeypatch.setattr(model, "table", lambda spark, d, name: read.append(name) or table(spark, d, name))
+    written = citations.citation_family(spark, data)
+    assert read == ["documents"]
+    assert "documents.parquet" not in " ".join(written.inputFiles())
