@@ -137,10 +137,15 @@ def _hinted(said: Column, names: Column, least: int) -> Column:
 
 def entity_evidence(entities: DataFrame, sentences: DataFrame, mode: str = "standard", least: int = 4) -> DataFrame:
     """Add grounded: off takes all, relaxed a sound reference, standard a telling word of the name in it, others the name."""
+    return entity_modes(entities, sentences, {"grounded": mode}, least)
+
+
+def entity_modes(entities: DataFrame, sentences: DataFrame, modes: dict[str, str], least: int = 4) -> DataFrame:
+    """Add a column for each of ``modes``, as :func:`entity_evidence` adds grounded; texts are met once for all."""
     rows = _evidence(entities, sentences, t.sentence_refs)
     names, said = _names("name", "aliases"), F.col("_said")
-    test = {"off": F.lit(True), "relaxed": said.isNotNull(), "standard": _hinted(said, names, least)}.get(mode, _named(said, names))
-    return rows.withColumn("grounded", F.coalesce(test, F.lit(False))).drop("_said")
+    tests = {"off": F.lit(True), "relaxed": said.isNotNull(), "standard": _hinted(said, names, least)}
+    return rows.withColumns({c: F.coalesce(tests.get(mode, _named(said, names)), F.lit(False)) for c, mode in modes.items()}).drop("_said")
 
 
 def relation_evidence(relations: DataFrame, entities: DataFrame, sentences: DataFrame, mode: str = "standard", least: int = 4) -> DataFrame:
@@ -148,24 +153,29 @@ def relation_evidence(relations: DataFrame, entities: DataFrame, sentences: Data
 
     Ends that are no entity of the source are never grounded, but where the mode asks for no names.
     """
+    return relation_modes(relations, entities, sentences, {"grounded": mode}, least)
+
+
+def relation_modes(relations: DataFrame, entities: DataFrame, sentences: DataFrame, modes: dict[str, str], least: int = 4) -> DataFrame:
+    """Add a column for each of ``modes``, as :func:`relation_evidence` adds grounded; texts and entities are met once for all."""
     rows = _evidence(relations, sentences, repaired_refs)
     said = F.col("_said")
     for end in ("source", "target"):
         e = entities.select("source_id", F.col("ordinal").alias(end), F.col("name").alias(f"_{end}"), F.col("aliases").alias(f"_{end}_aliases"), F.lit(True).alias(f"_{end}_known"))
         rows = rows.join(e, ["source_id", end], "left")
-    found = (lambda x: _named(said, x)) if mode not in ("standard", "narrative") else (lambda x: _hinted(said, x, least))
-    a, b = found(_names("_source", "_source_aliases")), found(_names("_target", "_target_aliases"))
+    source, target = _names("_source", "_source_aliases"), _names("_target", "_target_aliases")
+    a, b = _hinted(said, source, least), _hinted(said, target, least)
     words = F.filter(F.split(F.lower(F.replace(F.coalesce("type", F.lit("")), F.lit("_"), F.lit(" "))), r"\s+"), lambda w: F.length(w) >= least)
     typed = F.exists(words, lambda w: F.contains(said, w))
     known = F.col("_source_known") & F.col("_target_known")
-    test = {
+    tests = {
         "off": F.lit(True),
         "relaxed": said.isNotNull(),
         "standard": known & ((a & b) | ((a | b) & typed)),
         "narrative": known & (a | b | typed),
-    }.get(mode, known & a & b)
-    kept = [c for c in relations.columns]
-    return rows.select(*kept, F.coalesce(test, F.lit(False)).alias("grounded"))
+    }
+    strict = known & _named(said, source) & _named(said, target)
+    return rows.select(*relations.columns, *[F.coalesce(tests.get(mode, strict), F.lit(False)).alias(c) for c, mode in modes.items()])
 
 
 _PARTS = "list_filter(regexp_split_to_array(upper(regexp_replace(sent_ref, '[ \\t]', '', 'g')), '[,;]'), lambda p: p <> '')"
@@ -191,10 +201,8 @@ _MINE = "([name] || aliases)"
 def ent_evidence(spark, d):
     """Each entity under each mode; off takes all and narrative is strict for entities."""
     e, s = m.mentions(spark, d), m.sentences(spark, d)
-    out = e
-    for mode in ("relaxed", "standard", "strict"):
-        out = entity_evidence(out, s, mode).withColumnRenamed("grounded", mode)
-    return out.select("ordinal", "relaxed", "standard", "strict")
+    modes = ("relaxed", "standard", "strict")
+    return entity_modes(e, s, {x: x for x in modes}).select("ordinal", *modes)
 
 
 _A, _B = "([a.name] || a.aliases)", "([b.name] || b.aliases)"
@@ -207,10 +215,8 @@ _TYPED = "len(list_filter(regexp_split_to_array(lower(replace(r.type, '_', ' '))
 def rel_evidence(spark, d):
     """Each relationship under each mode."""
     r, e, s = m.claims(spark, d), m.mentions(spark, d), m.sentences(spark, d)
-    out = r
-    for mode in ("relaxed", "standard", "narrative", "strict"):
-        out = relation_evidence(out, e, s, mode).withColumnRenamed("grounded", mode)
-    return out.select("ordinal", "relaxed", "standard", "narrative", "strict")
+    modes = ("relaxed", "standard", "narrative", "strict")
+    return relation_modes(r, e, s, {x: x for x in modes}).select("ordinal", *modes)
 
 
 # ---- validity ------------------------------------------------------------------------------

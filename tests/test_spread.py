@@ -89,3 +89,15 @@ def test_citations_read_documents_once(spark, data, monkeypatch):
     written = citations.citation_family(spark, data)
     assert read == ["documents"]
     assert "documents.parquet" not in " ".join(written.inputFiles())
+
+
+def test_a_pass_for_all_modes(spark):
+    """Modes of evidence share their joins: texts are read once, not once a mode."""
+    said = spark.createDataFrame([(1, ["Anna met Vronsky."])], "source_id bigint, sentences array<string>")
+    e = spark.createDataFrame([(1, 0, "Anna", []), (1, 1, "Vronsky", [])], "source_id bigint, ordinal bigint, name string, aliases array<string>")
+    r = spark.createDataFrame([(1, 0, 0, 1, "knows", "S1")], "source_id bigint, ordinal bigint, source bigint, target bigint, type string, sent_ref string")
+    modes = {m: m for m in ("off", "relaxed", "standard", "narrative", "strict")}
+    got = extraction.relation_modes(r, e, said, modes)
+    assert got.first().asDict() | r.first().asDict() == got.first().asDict() and all(got.first()[m] for m in modes)
+    plan = extraction.rel_evidence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3  # sentences and both ends, of all four modes
