@@ -101,3 +101,11 @@ def test_a_pass_for_all_modes(spark):
     assert got.first().asDict() | r.first().asDict() == got.first().asDict() and all(got.first()[m] for m in modes)
     plan = extraction.rel_evidence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 3  # sentences and both ends, of all four modes
+
+
+def test_linked_documents_parsed_once(spark):
+    nodes = spark.createDataFrame([("a", "A", "t")], "id string, label string, template_id string")
+    edges = spark.createDataFrame([("a", "b", "knows")], "src string, dst string, template_id string")
+    n, e = exchange.from_linked(exchange.to_linked(nodes, edges))
+    assert [tuple(x) for x in n.collect()] == [("a", "A", "t")] and [tuple(x) for x in e.collect()] == [("a", "b", "knows")]
+    assert "get_json_object" not in e._jdf.queryExecution().optimizedPlan().toString()
