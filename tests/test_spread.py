@@ -109,3 +109,16 @@ def test_linked_documents_parsed_once(spark):
     n, e = exchange.from_linked(exchange.to_linked(nodes, edges))
     assert [tuple(x) for x in n.collect()] == [("a", "A", "t")] and [tuple(x) for x in e.collect()] == [("a", "b", "knows")]
     assert "get_json_object" not in e._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_are_counted_where_texts_are(spark):
+    """Weighted counts of plain Python, over more texts than are counted at a time, and without a shuffle of words."""
+    rng = random.Random(1)
+    rows = [(k, " ".join(rng.choices("abcdefgh", k=rng.randrange(30))), " ".join(rng.choices("abc", k=3)) if k % 3 else None) for k in range(700)]
+    path = scratch_path(spark, "index")
+    retrieval.build_index(spark.createDataFrame(rows, "doc_id bigint, text string, label string").coalesce(1), {"label": 3.0, "text": 0.5}, path, stemmed=False, buckets=4)
+    want = {(k, w): 3.0 * (label or "").split().count(w) + 0.5 * text.split().count(w) for k, text, label in rows for w in {*(label or "").split(), *text.split()}}
+    got = spark.read.parquet(f"{path}/postings").collect()
+    assert {(r.id, r.term): r.tf for r in got} == want and len(got) == len(want)
+    sizes = {k: len(text.split()) + len((label or "").split()) for k, text, label in rows}
+    assert all(r.length == sizes[r.id] for r in got)
