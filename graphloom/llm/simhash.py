@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import is_row, join_counted, rows_of, slices, text_key, without
 from graphloom.plans.fixpoint import connected_components
 from graphloom.plans.scratch import discard, materialise, materialise_at
+from graphloom.plans.spread import unsized
 
 MAX_BITS = 4
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -101,7 +102,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     coded = distinct.select("fp", embed(F.col("fp")).alias("code"))
     keys = [F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(_long(sum(masks[b] for b in c))).alias("cell")) for k, c in enumerate(cells)]
     gridded = coded.select("fp", "code", F.explode(F.array(*keys)).alias("at")).select("fp", "code", "at.k", "at.cell")
-    a, b = gridded.alias("a"), gridded.alias("b")
+    a, b = gridded.alias("a"), unsized(gridded).alias("b")
     apart = F.col("a.code").bitwiseXOR(F.col("b.code"))
     # a pair is reported by the first choice of blocks on which it agrees: no earlier block agrees besides
     first = F.lit(False)
@@ -259,7 +260,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall
     single = every.join(classes.select(F.col("low.id").alias("id")), "id", "left_semi")
     gridded = held(single.select("id", F.explode("cells").alias("cell")), "grid")
     heads = gridded.groupBy("cell").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("cell", "head")
-    shared = held(gridded.join(heads, "cell"), "shared")
+    shared = held(unsized(gridded).join(heads, "cell"), "shared")
     zipped = every.select("id", "z")
     stars = shared.where("head < id").select(F.col("id").alias("src"), F.col("head").alias("dst")).distinct()
     joined = _similar(held(stars, "stars"), zipped, shingle, least, held)
@@ -268,8 +269,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall
     parts = held(connected_components(joined), "parts").withColumnRenamed("node", "id")
     placed = held(shared.join(parts, "id", "left").select("id", "cell", F.coalesce("component", "id").alias("part")), "placed")
     mixed = placed.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("cell")
-    placed = held(placed.join(mixed, "cell"), "mixed")
-    a, b = placed.alias("a"), placed.alias("b")
+    placed = held(unsized(placed).join(mixed, "cell"), "mixed")
+    a, b = placed.alias("a"), unsized(placed).alias("b")
     rest = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part")))
     more = _similar(held(rest.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct(), "rest"), zipped, shingle, least, held)
     reach = connected_components(joined.unionByName(more))

@@ -510,3 +510,10 @@ def test_pipeline_stages(spark, data):
         docs = after
     packed = corpus_pipeline.run(spark, data)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_fingerprints_of_all_cells_are_not_broadcast(spark):
+    """Spark sizes rows that it explodes by the file they come from; their join is by sort and merge at any size."""
+    fps = spark.createDataFrame([(random.getrandbits(63),) for _ in range(200)], "fp bigint")
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
