@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import rows_of, slices, text_key, without
 from graphloom.llm.rolling import Sums, Texts, WordHash
 from graphloom.plans.scratch import discard, materialise, materialise_at
+from graphloom.plans.spread import unsized
 
 SEED = 5
 COVERAGE = 0.8
@@ -216,7 +217,7 @@ def _candidates(scanned: DataFrame, items: DataFrame, seed: int, least: float) -
     ranked = places.join(common, "seed").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("times"), "place")))
     kept = ranked.where(F.col("rank") > F.floor(needed / 2)).select("item", "seed", (needed - F.floor(needed / 2)).alias("wanted"))
     hits = scanned.where(F.size("seeds") > 0).select("row", F.explode("seeds").alias("seed"))
-    met = hits.join(kept, "seed").groupBy("row", "item").agg(F.count("*").alias("shared"), F.first("wanted").alias("wanted"))
+    met = unsized(hits).join(kept, "seed").groupBy("row", "item").agg(F.count("*").alias("shared"), F.first("wanted").alias("wanted"))
     return met.where("shared >= wanted").select("row", "item")
 
 

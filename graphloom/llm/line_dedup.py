@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import is_row, rows_of, text_key
 from graphloom.plans.scratch import discard, materialise, materialise_at
+from graphloom.plans.spread import unsized
 
 #: Words from which equal lines count in the query, and from which an edit leaves a similarity of 0.8.
 LEAST_EQUAL, LEAST_NEAR = 3, 5
@@ -49,9 +50,9 @@ def _neighbours(docs: DataFrame, lines: DataFrame, held) -> DataFrame:
     """(h, g): distinct lines that an earlier line is one word edit away from; ``held`` writes what lasts until they are known."""
     keyed = lines.where(F.size("halves") > 0).select("h", "g", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
-    chosen = keyed.join(shared, "half").select("h", "g").distinct()
+    chosen = unsized(keyed).join(shared, "half").select("h", "g").distinct()
     wanted = held(
-        lines.join(chosen, ["h", "g"])
+        unsized(lines).join(chosen, ["h", "g"])
         .groupBy("first.doc_id", "first.t")
         .agg(F.collect_list(F.struct("first.n", "h", "g", "first")).alias("wanted")),
         "wanted",
@@ -81,12 +82,12 @@ def _neighbours(docs: DataFrame, lines: DataFrame, held) -> DataFrame:
     # whole lines stand among the variants as place -1; only hashes that occur again can join anything
     hashed = variants.select("v", "i", "h", "g").unionByName(variants.where("i = 0").select(F.col("self").alias("v"), F.lit(-1).alias("i"), "h", "g"))
     again = hashed.groupBy("v").agg(F.count("*").alias("lines")).where("lines > 1").select("v")
-    shared = held(hashed.join(again, "v").join(picked.select("h", "g", "first"), ["h", "g"]), "shared")
+    shared = held(unsized(hashed).join(again, "v").join(unsized(picked.select("h", "g", "first")), ["h", "g"]), "shared")
     line = F.struct("first", "h", "g")
     cut, whole = shared.where("i >= 0"), shared.where("i < 0").select("v", line.alias("whole"))
     heads = cut.groupBy("v", "i").agg(F.min(line).alias("other"), F.count("*").alias("lines")).where("lines > 1")
-    replaced = cut.join(heads, ["v", "i"]).where("other.first < first").select("h", "g", "other", F.col("i").alias("mine"), F.col("i").alias("theirs"))
-    met = cut.join(whole, "v").select(line.alias("longer"), "whole", "i")
+    replaced = unsized(cut).join(heads, ["v", "i"]).where("other.first < first").select("h", "g", "other", F.col("i").alias("mine"), F.col("i").alias("theirs"))
+    met = unsized(cut).join(unsized(whole), "v").select(line.alias("longer"), "whole", "i")
     longer = met.where("whole.first < longer.first").select("longer.h", "longer.g", F.col("whole").alias("other"), F.col("i").alias("mine"), F.lit(-1).alias("theirs"))
     shorter = met.where("longer.first < whole.first").select("whole.h", "whole.g", F.col("longer").alias("other"), F.lit(-1).alias("mine"), F.col("i").alias("theirs"))
     found = replaced.unionByName(longer).unionByName(shorter)
@@ -95,7 +96,7 @@ def _neighbours(docs: DataFrame, lines: DataFrame, held) -> DataFrame:
     left = lambda words, i: F.when(i < 0, words).otherwise(F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words))))
     mine = picked.select("h", "g", F.col("words").alias("my_words"))
     theirs = picked.select(F.col("h").alias("oh"), F.col("g").alias("og"), F.col("words").alias("their_words"))
-    checked = best.join(mine, ["h", "g"]).join(theirs, ["oh", "og"])
+    checked = best.join(unsized(mine), ["h", "g"]).join(unsized(theirs), ["oh", "og"])
     return checked.where(left(F.col("my_words"), F.col("mine")) == left(F.col("their_words"), F.col("theirs"))).select("h", "g")
 
 

@@ -517,3 +517,17 @@ def test_fingerprints_of_all_cells_are_not_broadcast(spark):
     fps = spark.createDataFrame([(random.getrandbits(63),) for _ in range(200)], "fp bigint")
     plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_exploded_tables_are_not_broadcast(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(1, 2, [5, 6])], "item bigint, n bigint, seeds array<bigint>")
+    scanned = spark.createDataFrame([(7, [5, 6, 8])], "row bigint, seeds array<bigint>")
+    assert "strategy=merge" in decontaminate._candidates(scanned, items, 1, 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    written = {}
+    for module in (simhash, line_dedup):
+        plain = module.materialise_at
+        monkeypatch.setattr(module, "materialise_at", lambda df, tag, plain=plain: (written.setdefault(tag, []).append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df, tag))[1])
+    simhash.similar_groups(docs, max_bits=4)
+    line_dedup.removed_lines(docs).count()
+    for tag in ("shared", "mixed", "rest", "wanted"):
+        assert all("strategy=merge" in p for p in written[tag]), tag
