@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from graphloom.functions.stem import stem
 from graphloom.operators import graph, retrieval
 from graphloom.plans.fixpoint import connected_components
 from graphloom.plans.forest import spanning_forest
+from graphloom.plans.scratch import materialise
 
 
 def make(spark, names, pairs):
@@ -284,3 +286,41 @@ def test_trees_are_taken_off_before_all_pairs(spark):
     ring_score = (hung * (hung - 1) + 2 * hung * (4 * (hung + 1)) + 2 * (hung + 1) ** 2) / ((n - 1) * (n - 2))
     assert [got[f"r{k}"] for k in range(5)] == pytest.approx([ring_score] * 5)
     assert got["s7"] == 0 and got["x"] == 0 and got["y"] == pytest.approx(2 / ((n - 1) * (n - 2)))
+
+
+def test_structure_report_leaves_little_behind(spark):
+    """What it writes and nothing reads any more goes, and so do the shuffles of each write."""
+    from graphloom.plans import scratch
+
+    nodes, edges = make(spark, "abcdefgh", ["ab", "bc", "ca", "de", "ab", "aa", "gh", "xy"])
+    tags = Counter()
+    home = Path(scratch.shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in home.iterdir()} if home.exists() else set()
+    got = {(r.section, r.id): r.value for r in graph.structure_report(nodes, edges).collect()}
+    assert got["facts", "links"] == 5 and got["facts", "isolated"] == 1 and got["facts", "average_clustering"] == round(3 / 8, 6)
+    want = scores(graph.pagerank(nodes, edges))
+    assert {i: v for (s, i), v in got.items() if s == "rank"} == {i: round(v, 8) for i, v in want.items()}
+    tags.update(p.name.rsplit("-", 1)[0] for p in home.iterdir() if p.name not in before)
+    assert not {"edges", "links", "pairs", "both", "up", "tops"} & set(tags) and tags["parts"] == 1, tags
+
+
+def test_shuffles_of_a_write_go_with_it(spark):
+    (home,) = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    kept = lambda: {p.name for p in Path(home).rglob("shuffle_*.data")}
+    before = kept()
+    materialise(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "cleaned")
+    assert not kept() - before
+
+
+def test_triangles_in_passes(spark):
+    pairs = [(a, b) for a in range(30) for b in range(a + 1, 30) if (a, b) != (3, 4)]
+    around = defaultdict(set)
+    for a, b in pairs:
+        around[a].add(b)
+        around[b].add(a)
+    want = {n: sum(1 for x in near for y in near if x < y and y in around[x]) for n, near in around.items()}
+    written = []
+    held = lambda df, tag: written.append(tag) or materialise(df, tag)
+    _, corners = graph._corners(materialise(spark.createDataFrame(pairs, "a bigint, b bigint"), "given"), held, most_tops=1)
+    assert {r.n: r.t for r in corners.collect()} == want
+    assert written.count("corners") == 3  # an edge's neighbours are nine on average, four an edge are carried at once
