@@ -46,6 +46,24 @@ class Ordered:
         return out if start is None else out.withColumns({n: F.coalesce(F.col(n), F.lit(start)) for n in values})
 
 
+#: Rows that a task can number.
+_ROWS = 1 << 33
+
+
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with their ``place`` in ``order``, from 1, which tells them apart: sorted into ranges once, a range's rows count behind those of the ranges before it."""
+    sorted_, _ = materialise_at(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    block = F.floor(F.col("_at") / _ROWS).cast("bigint")
+    sizes = sorted_.groupBy(block.alias("_block")).agg(F.count("*").alias("n")).orderBy("_block").collect()  # a row per range
+    begins, at = [], 1
+    for r in sizes:
+        begins.append((r._block, at))
+        at += r.n
+    begin = rows.sparkSession.createDataFrame(begins, "_block bigint, _begin bigint")
+    found = sorted_.withColumn("_block", block).join(F.broadcast(begin), "_block")
+    return found.withColumn("place", F.col("_begin") + F.pmod(F.col("_at"), F.lit(_ROWS))).drop("_at", "_block", "_begin")
+
+
 def first_untaken(pairs: DataFrame, spent: list[str]) -> DataFrame:
     """(source_id, node): who is taken where, in order, each node of ``pairs`` (source_id, left, right; left < right) not yet taken takes its right ones.
 

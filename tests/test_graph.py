@@ -324,3 +324,21 @@ def test_triangles_in_passes(spark):
     _, corners = graph._corners(materialise(spark.createDataFrame(pairs, "a bigint, b bigint"), "given"), held, most_tops=1)
     assert {r.n: r.t for r in corners.collect()} == want
     assert written.count("corners") == 3  # an edge's neighbours are nine on average, four an edge are carried at once
+
+
+def test_structure_report_is_whole(spark):
+    names = [f"n{i:02}" for i in range(40)]
+    nodes = spark.createDataFrame([(n,) for n in names], "id string")
+    pairs = [(names[i], names[i + 1]) for i in range(0, 24, 2)] + [(names[0], names[i]) for i in range(30, 37)]
+    edges = spark.createDataFrame([(*p, "t") for p in pairs], "src string, dst string, template_id string")
+    rows = graph.structure_report(nodes, edges).collect()
+    of = lambda section: sorted((r.place, r.id, r.value) for r in rows if r.section == section)
+    ends = Counter(x for p in pairs for x in p)
+    assert of("degree") == [(k + 1, i, float(v)) for k, (i, v) in enumerate(sorted(((n, ends[n]) for n in names), key=lambda x: (-x[1], x[0])))]
+    parts = scores(graph.components(nodes, edges), "component")
+    sizes = sorted(Counter(parts.values()).items(), key=lambda x: (-x[1], x[0]))
+    assert of("community") == [(k + 1, i, float(v)) for k, (i, v) in enumerate(sizes)] and len(sizes) == 21
+    place = {i: k + 1 for k, (i, _) in enumerate(sizes)}
+    assert {i: p for p, i, _ in of("member")} == {i: place[c] for i, c in parts.items()}
+    want = scores(graph.pagerank(nodes, edges))
+    assert [(i, v) for _, i, v in of("rank")] == sorted(((i, round(v, 8)) for i, v in want.items()), key=lambda x: (-x[1], x[0]))
