@@ -342,3 +342,21 @@ def test_structure_report_is_whole(spark):
     assert {i: p for p, i, _ in of("member")} == {i: place[c] for i, c in parts.items()}
     want = scores(graph.pagerank(nodes, edges))
     assert [(i, v) for _, i, v in of("rank")] == sorted(((i, round(v, 8)) for i, v in want.items()), key=lambda x: (-x[1], x[0]))
+
+
+def test_context_is_what_is_around_the_best(spark):
+    nodes = spark.createDataFrame([("a", "Ann", "person"), ("b", "Bob", None), ("c", "Cem", "place")], "id string, label string, template_id string")
+    edges = spark.createDataFrame([("c", "b", "t"), ("a", "b", "u"), ("a", "b", "u"), ("a", "x", "t"), ("c", "c", "t"), ("b", "a", "v")], "src string, dst string, template_id string")
+    tops = spark.createDataFrame([("a", 2), ("b", 1)], "id string, place int")
+    of = lambda **how: [tuple(r) for r in retrieval.neighbour_triples(edges, nodes, tops, **how).orderBy("place").select("subject", "relation", "object", "line", "shown").collect()]
+    want = [("Bob", "v", "Ann", "Bob v Ann (person).", True), ("Cem", "t", "Bob", "Cem (place) t Bob.", True), ("Ann", "u", "Bob", "Ann (person) u Bob.", True), ("Ann", "t", "x", "Ann (person) t x.", True)]
+    assert of() == want and of(limit=2) == want[:2]
+    ends = [sum(len(w[3]) + 1 for w in want[: k + 1]) for k in range(4)]
+    assert [r[4] for r in of(most=ends[1])] == [True, True, False, False]
+    assert [r[4] for r in of(most=ends[3] - 1)] == [True] * 4 and [r[4] for r in of(most=ends[3] - 2)] == [True] * 3 + [False]
+
+
+def test_context_follows_the_ranks(spark, data):
+    """The best nodes are those that ranks from the nearest vectors make so, not the first by their names."""
+    rows = catalog.queries()["graphrag_context"](spark, data).collect()
+    assert any(r.seed for r in rows) and any(r.relation == "bought" for r in rows) and [r.place for r in sorted(rows, key=lambda r: r.place)] == list(range(1, len(rows) + 1))
