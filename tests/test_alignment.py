@@ -79,3 +79,23 @@ def test_windows_that_cannot_be_alike_are_left_out(monkeypatch):
     calls.clear()
     assert al.aligned(text, [changed])[0] == (5000, 5400, "fuzzy", "window")
     assert len(calls) <= 24 and plain("abcd" * 50, "wxyz" * 50, None, 160) < 160
+
+
+def test_white_space_collapses_as_split_takes_it():
+    for text in ("", "  ", "a", " a\t\n b ", "a 　b\x1c\x85c\ud800 ", " x  y", "no​break z\n\n"):
+        got = al.Original(text)
+        assert got.flat == " ".join(text.split()) and len(got.places) == len(got.flat)
+        assert all(text[p] == c or (c == " " and text[p].isspace()) for p, c in zip(got.places, got.flat, strict=True))
+        assert all(c != " " or not text[p - 1].isspace() for p, c in zip(got.places, got.flat, strict=True))
+
+
+def test_bands_that_cannot_be_more_like_are_not_compared(monkeypatch):
+    """One comparison of the whole stretch stands for a band's windows, once a better one is known."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(30)]
+    text = " ".join(rng.choices(words, k=3000))
+    part = "".join("~" if k % 12 == 11 else c for k, c in enumerate(text[6000:6400]))
+    calls, plain = [], al.common
+    monkeypatch.setattr(al, "common", lambda *a: calls.append(1) or plain(*a))
+    assert al.Original(text).like(part, 0) == (6000, 6400)
+    assert len(calls) < 18
